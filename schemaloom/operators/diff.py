@@ -5,10 +5,13 @@ predecessor of ``v`` is ``v - 1`` and every pairing is an equi-join on a key
 that includes ``v`` — unique per version, so a table with very many
 versions never lands in one task (no per-table window).
 
-Column lists are compared relationally (plan (a) of SURVEY §4): exploded
-columns of ``v`` full-outer-joined with the columns of ``v - 1`` on
-(db, tbl, v, name). Order of columns is ignored, a rename is a delete plus
-an add.
+All sections are compared relationally in one pass (``diff_long``): every
+item of version ``v`` (column, partition column, constraint, attribute
+value) is emitted as "new" at ``v`` and as "old" at ``v + 1`` and grouped by
+(db, tbl, v, section, name). This is the full outer join of plan (a) of
+SURVEY §4 without the self-join: the extraction is read once and the
+grouping aggregates map-side. Order of columns is ignored, a rename is a
+delete plus an add.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import column_line
-from .extract import ATTRIBUTES, SECTIONS, def_columns, def_constraints, def_part_columns
+from .extract import ATTRIBUTES, SECTIONS
 
 KEYS = ["db", "tbl", "v"]
 DIFF_COLUMNS = ["db", "tbl", "v", "name", "change", "old_type", "new_type",
@@ -35,37 +38,78 @@ def version_pairs(defs: DataFrame) -> DataFrame:
     return new.join(old, KEYS)
 
 
-def shift_to_successor(items: DataFrame, defs: DataFrame) -> DataFrame:
-    """Rows of version v relabelled v + 1, kept only where v + 1 exists."""
-    return (items.withColumn("v", F.col("v") + 1)
-            .join(version_keys(defs), KEYS, "left_semi"))
-
-
-def diff_lists(items: DataFrame, defs: DataFrame) -> DataFrame:
-    """D5/D9 core: items(db, tbl, v, name, type, comment) of each version
-    against those of the previous version.
-    -> db, tbl, v, name, change, old_type, new_type, old_comment, new_comment
-    with change in added / deleted / changed / same."""
-    new = items.filter(F.col("v") > 1).select(
-        *KEYS, "name", F.col("type").alias("new_type"),
-        F.col("comment").alias("new_comment"), F.lit(True).alias("_in_new"))
-    old = shift_to_successor(items, defs).select(
-        *KEYS, "name", F.col("type").alias("old_type"),
-        F.col("comment").alias("old_comment"), F.lit(True).alias("_in_old"))
-    j = new.join(old, [*KEYS, "name"], "full_outer")
+def _items(defs: DataFrame, sections) -> DataFrame:
+    """Long form of the definitions: one row per (version, section, name)
+    item with two value fields. Columns / partition columns: name, type,
+    comment. Constraints: name = text. Attributes: name NULL, type = value
+    (only non-NULL values are items)."""
+    null = F.lit(None).cast("string")
+    parts = []
+    def as_item(section: str):
+        # one-argument lambda: PySpark passes the element index to a second one
+        return lambda c: F.struct(F.lit(section).alias("section"), c["name"].alias("name"),
+                                  c["type"].alias("type"), c["comment"].alias("comment"))
+    for sec in ("columns", "part_columns"):
+        if sec in sections:
+            parts.append(F.transform(sec, as_item(sec)))
+    if "constraints" in sections:
+        parts.append(F.transform("constraints", lambda t: F.struct(
+            F.lit("constraints").alias("section"), t.alias("name"),
+            null.alias("type"), null.alias("comment"))))
+    attrs = [a for a in ATTRIBUTES if a in sections]
+    if attrs:
+        parts.append(F.filter(F.array(*[
+            F.struct(F.lit(a).alias("section"), null.alias("name"),
+                     F.col(a).alias("type"), null.alias("comment")) for a in attrs]),
+            lambda x: x["type"].isNotNull()))
+    arr = parts[0] if len(parts) == 1 else F.concat(*parts)
+    return defs.select(*KEYS, F.inline(arr))
+
+
+def diff_long(defs: DataFrame, sections=tuple(SECTIONS)) -> DataFrame:
+    """Every section of every version against the previous version, in ONE
+    pass: each item is emitted as "new" at v and as "old" at v + 1, then
+    grouped by (db, tbl, v, section, name) — the extraction runs once, the
+    aggregation is partial (map-side), and no self-join is needed. Rows whose
+    v does not exist (old items of a table's last version) are dropped by a
+    semi-join on version keys.
+    -> db, tbl, v, section, name, change, old_type, new_type, old_comment, new_comment"""
+    items = _items(defs, set(sections))
+    val = F.struct("type", "comment")
+    both = items.select(
+        "db", "tbl", "section", "name",
+        F.inline(F.array(
+            F.struct(F.col("v").alias("v"), val.alias("nv"), F.lit(None).cast(val_type()).alias("ov")),
+            F.struct((F.col("v") + 1).alias("v"), F.lit(None).cast(val_type()).alias("nv"), val.alias("ov")))))
+    # one payload per side and key (names are unique per version), so max()
+    # just picks it; counts tell which sides are present
+    g = (both.filter(F.col("v") > 1)
+         .groupBy(*KEYS, "section", "name")
+         .agg(F.max("nv").alias("nv"), F.max("ov").alias("ov"),
+              F.count("nv").alias("_cn"), F.count("ov").alias("_co")))
+    g = g.join(version_keys(defs), KEYS, "left_semi")
     change = (
-        F.when(F.col("_in_old").isNull(), "added")
-        .when(F.col("_in_new").isNull(), "deleted")
-        .when(~F.col("old_type").eqNullSafe(F.col("new_type"))
-              | ~F.col("old_comment").eqNullSafe(F.col("new_comment")), "changed")
+        F.when(F.col("_co") == 0, "added")
+        .when(F.col("_cn") == 0, "deleted")
+        .when(~F.col("ov.type").eqNullSafe(F.col("nv.type"))
+              | ~F.col("ov.comment").eqNullSafe(F.col("nv.comment")), "changed")
         .otherwise("same"))
-    return j.select(*KEYS, "name", change.alias("change"), "old_type", "new_type",
-                    "old_comment", "new_comment")
+    return g.select(*KEYS, "section", "name", change.alias("change"),
+                    F.col("ov.type").alias("old_type"), F.col("nv.type").alias("new_type"),
+                    F.col("ov.comment").alias("old_comment"), F.col("nv.comment").alias("new_comment"))
+
+
+def val_type() -> str:
+    return "struct<type:string,comment:string>"
+
+
+def _list_diff(defs: DataFrame, section: str) -> DataFrame:
+    return diff_long(defs, (section,)).select(*DIFF_COLUMNS)
 
 
 def diff_columns(defs: DataFrame) -> DataFrame:
     """All columns of every version pair, change in added/deleted/changed/same."""
-    return diff_lists(def_columns(defs), defs)
+    return _list_diff(defs, "columns")
 
 
 def added_columns(defs: DataFrame) -> DataFrame:   # D3
@@ -82,7 +126,7 @@ def changed_columns(defs: DataFrame) -> DataFrame:  # D4
 
 def diff_part_columns(defs: DataFrame) -> DataFrame:
     """As D5 for partition columns (position is not compared)."""
-    return diff_lists(def_part_columns(defs), defs)
+    return _list_diff(defs, "part_columns")
 
 
 def added_part_columns(defs: DataFrame) -> DataFrame:   # D7
@@ -99,10 +143,7 @@ def changed_part_columns(defs: DataFrame) -> DataFrame:  # D8
 
 def diff_constraints(defs: DataFrame) -> DataFrame:
     """Db, tbl, v, text, change (added / deleted)."""
-    items = def_constraints(defs).select(
-        *KEYS, F.col("text").alias("name"), F.lit(None).cast("string").alias("type"),
-        F.lit(None).cast("string").alias("comment"))
-    return (diff_lists(items, defs).filter(F.col("change") != "same")
+    return (diff_long(defs, ("constraints",)).filter(F.col("change") != "same")
             .select(*KEYS, F.col("name").alias("text"), "change"))
 
 
@@ -114,43 +155,23 @@ def attribute_changed(old, new):
 def diff_attributes(defs: DataFrame) -> DataFrame:
     """D11 (+D13 view text): db, tbl, v, section, old, new for each scalar
     section whose value differs from the previous version."""
-    new = defs.select(*KEYS, F.struct(*ATTRIBUTES).alias("n"))
-    old = defs.select("db", "tbl", (F.col("v") + 1).alias("v"), F.struct(*ATTRIBUTES).alias("o"))
-    pairs = new.join(old, KEYS)
-    rows = F.array(*[
-        F.struct(F.lit(s).alias("section"), F.col(f"o.{s}").alias("old"),
-                 F.col(f"n.{s}").alias("new"))
-        for s in ATTRIBUTES])
-    return (pairs.select(*KEYS, F.inline(rows))
-            .filter(attribute_changed(F.col("old"), F.col("new"))))
-
-
-def _change_of(old, new):
-    return (F.when(old.isNull(), "added").when(new.isNull(), "deleted")
-            .otherwise("changed"))
+    return (diff_long(defs, tuple(ATTRIBUTES)).filter(F.col("change") != "same")
+            .select(*KEYS, "section", F.col("old_type").alias("old"), F.col("new_type").alias("new")))
 
 
 def diff_definitions(defs: DataFrame) -> DataFrame:
     """Every real change, long form:
     db, tbl, v, section, change, name, old, new."""
-    def lists(df: DataFrame, section: str) -> DataFrame:
-        return df.filter(F.col("change") != "same").select(
-            *KEYS, F.lit(section).alias("section"), "change", "name",
-            F.when(F.col("change") != "added",
-                   column_line(F.col("name"), F.col("old_type"), F.col("old_comment"))).alias("old"),
-            F.when(F.col("change") != "deleted",
-                   column_line(F.col("name"), F.col("new_type"), F.col("new_comment"))).alias("new"))
-
-    cons = diff_constraints(defs).select(
-        *KEYS, F.lit("constraints").alias("section"), "change", F.col("text").alias("name"),
-        F.when(F.col("change") == "deleted", F.col("text")).alias("old"),
-        F.when(F.col("change") == "added", F.col("text")).alias("new"))
-    attrs = diff_attributes(defs).select(
-        *KEYS, "section", _change_of(F.col("old"), F.col("new")).alias("change"),
-        F.lit(None).cast("string").alias("name"), "old", "new")
-    return (lists(diff_columns(defs), "columns")
-            .unionByName(lists(diff_part_columns(defs), "part_columns"))
-            .unionByName(cons).unionByName(attrs))
+    d = diff_long(defs).filter(F.col("change") != "same")
+    is_list = F.col("section").isin("columns", "part_columns")
+    is_attr = F.col("section").isin(*ATTRIBUTES)
+    old = (F.when(F.col("change") == "added", F.lit(None))
+           .when(is_list, column_line(F.col("name"), F.col("old_type"), F.col("old_comment")))
+           .when(is_attr, F.col("old_type")).otherwise(F.col("name")))
+    new = (F.when(F.col("change") == "deleted", F.lit(None))
+           .when(is_list, column_line(F.col("name"), F.col("new_type"), F.col("new_comment")))
+           .when(is_attr, F.col("new_type")).otherwise(F.col("name")))
+    return d.select(*KEYS, "section", "change", "name", old.alias("old"), new.alias("new"))
 
 
 def change_flags(defs: DataFrame, diff: DataFrame | None = None) -> DataFrame:

@@ -159,6 +159,15 @@ def definitions(corpus: DataFrame, _debug: bool = False) -> DataFrame:
         "columns", "part_columns", "constraints", "reject_reason")
 
 
+def filter_extracted(df: DataFrame, cond: Column) -> DataFrame:
+    """Filter on extracted fields without letting Catalyst push the filter
+    below the extraction: pushed down, the condition would inline every
+    projection stage into one expression tree evaluated without
+    subexpression reuse (measured 5x slower). Generator output is never
+    pushed through; select the needed columns first so pruning still works."""
+    return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns])))).filter(cond)
+
+
 def def_columns(defs: DataFrame) -> DataFrame:
     """db, tbl, v, pos, name, type, comment — one row per column."""
     return defs.select("db", "tbl", "v", F.inline("columns")).select(
@@ -179,5 +188,5 @@ def def_attrs(defs: DataFrame) -> DataFrame:
 
 
 def rejected(defs: DataFrame) -> DataFrame:
-    return defs.filter(F.col("reject_reason").isNotNull()).select(
-        "db", "tbl", "v", "shape", "reject_reason")
+    return filter_extracted(defs.select("db", "tbl", "v", "shape", "reject_reason"),
+                            F.col("reject_reason").isNotNull())

@@ -27,20 +27,20 @@ STREAM_DROPS = 10
 
 def def_files(spark: SparkSession, sf: str) -> DataFrame:
     root = scratch_path(spark, "def_files")
-    S.write_definition_files(FX.ddl_corpus(spark, sf), root)
+    S.write_definition_files(FX.corpus_table(spark, sf), root)
     files = S.drop_history_paths(S.scan_definition_files(spark, root, glob="*.txt"))
     return files.select("db", "tbl", "v")
 
 
 def append_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "corpus")
-    W.append_snapshot(FX.ddl_corpus(spark, sf), path)
+    W.append_snapshot(FX.corpus_table(spark, sf), path)
     return (W.read_corpus(spark, path).groupBy("capture_date")
             .agg(F.count(F.lit(1)).alias("n")))
 
 
 def alert_outbox(spark: SparkSession, sf: str) -> DataFrame:
-    defs = E.definitions(FX.ddl_corpus(spark, sf))
+    defs = E.definitions(FX.corpus_table(spark, sf))
     reports = R.change_report(D.diff_definitions(defs))
     subs = W.subscriptions_from_suppliers(FX.table(spark, sf, "supplier"))
     return R.fan_out(reports, subs).select("db", "tbl", "v", "recipient", "body")
@@ -137,7 +137,7 @@ def stream_drift(spark: SparkSession, sf: str) -> DataFrame:
     version order; the streamed diff must equal the batch ``col_diff``."""
     base = scratch_path(spark, "stream")
     src = f"{base}/in"
-    corpus = FX.ddl_corpus(spark, sf).withColumn(
+    corpus = FX.corpus_table(spark, sf).withColumn(
         "_drop", F.pmod(F.xxhash64("vid"), F.lit(STREAM_DROPS)))
     for k in range(STREAM_DROPS):
         (corpus.filter(F.col("_drop") == k).drop("_drop")

@@ -25,7 +25,7 @@ DIFF_COLS = D.DIFF_COLUMNS
 
 
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
-    return FX.ddl_corpus(spark, sf)
+    return FX.corpus_table(spark, sf)
 
 
 def defs(spark: SparkSession, sf: str) -> DataFrame:
@@ -41,19 +41,19 @@ def x_identity(spark, sf):
 
 def _attr(name: str):
     def q(spark, sf):
-        return defs(spark, sf).filter(F.col(name).isNotNull()).select(*KEYS, name)
+        return E.filter_extracted(defs(spark, sf).select(*KEYS, name), F.col(name).isNotNull())
     q.__name__ = f"x_{name}"
     return q
 
 
 def x_clustered(spark, sf):
-    return (defs(spark, sf).filter(F.col("clustered").isNotNull())
-            .select(*KEYS, "clustered", "cluster_cols", "n_buckets"))
+    return E.filter_extracted(defs(spark, sf).select(*KEYS, "clustered", "cluster_cols", "n_buckets"),
+                              F.col("clustered").isNotNull())
 
 
 def x_skew(spark, sf):
-    return (defs(spark, sf).filter(F.col("skewed").isNotNull())
-            .select(*KEYS, "skewed", "skewed_on", "skewed_dirs"))
+    return E.filter_extracted(defs(spark, sf).select(*KEYS, "skewed", "skewed_on", "skewed_dirs"),
+                              F.col("skewed").isNotNull())
 
 
 def x_shape(spark, sf):

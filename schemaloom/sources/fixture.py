@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import number_within
 from ..functions.text import column_line
+from ..session import scratch_path
 
 CORPUS_COLUMNS = ["db", "tbl", "v", "vid", "captured_at", "ddl"]
 
@@ -159,3 +160,23 @@ def ddl_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return (v.select("db", "tbl", "v", "vid", "captured_at", text.alias("ddl"))
             .repartition(n, "db", "tbl", "v"))
+
+
+_CORPUS_TABLES: dict[tuple[str, str], str] = {}
+
+
+def corpus_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rendered corpus written once per application as a Parquet table in
+    the shared scratch folder (it plays the captured, append-only corpus);
+    later queries read it instead of re-rendering. Extraction and diffs still
+    run from the texts in every query."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    path = _CORPUS_TABLES.get(key)
+    if path is None:
+        path = scratch_path(spark, "ddl_corpus")
+        ddl_corpus(spark, sf_dir).write.mode("overwrite").parquet(path)
+        _CORPUS_TABLES[key] = path
+    # small files are packed into few read partitions; extraction is CPU per
+    # byte, so spread versions over all tasks again
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return spark.read.parquet(path).repartition(n, "db", "tbl", "v")
