@@ -54,11 +54,25 @@ def _parts_to_columns(parts: str) -> Column:
     return F.transform(parts, one)
 
 
+_COL_TYPE = "struct<name:string,pos:int,type:string,comment:string>"
+
+
 def _first_per_name(sorted_col: str) -> Column:
     """Keep the first item (lowest pos) of each name from an array already
-    sorted by (name, pos); result stays sorted by name."""
+    sorted by (name, pos); result stays sorted by name.
+
+    Each element is compared with its predecessor by zipping the array with
+    a copy shifted by one. No lambda refers to the outer array: Catalyst may
+    inline the producer of a column into a lambda, which would then re-run
+    (sort, regexes) once per element."""
     s = F.col(sorted_col)
-    return F.filter(s, lambda c, i: (i == 0) | (F.get(s, i - 1)["name"] != c["name"]))
+    prev = F.concat(F.array(F.lit(None).cast(_COL_TYPE)),
+                    F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))))
+    pairs = F.zip_with(s, prev, lambda c, p: F.struct(c.alias("c"), p.alias("p")))
+    # zip_with pads the shorter side with NULL: an empty list must stay empty
+    firsts = F.filter(pairs, lambda z: z["c"].isNotNull()
+                      & (z["p"].isNull() | (z["p"]["name"] != z["c"]["name"])))
+    return F.transform(firsts, lambda z: z["c"])
 
 
 def _blank_null(c: Column) -> Column:

@@ -65,7 +65,8 @@ def check_definition(spark: SparkSession, ddl: str, scratch_db: str) -> str | No
         spark.sql(with_name(ddl, name))
         return None
     except Exception as e:  # noqa: BLE001 - reported to the caller
-        return str(e).splitlines()[0][:500]
+        lines = [x.strip() for x in str(e).splitlines() if x.strip()]
+        return (lines[0] if lines else type(e).__name__)[:500]
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {_q(name)}")
 
@@ -191,7 +192,7 @@ def migrate_table(spark: SparkSession, table: str, new_ddl: str, select_sql: str
     backup, new_t, old_t = f"{pre}{short}__backup", f"{pre}{short}__new", f"{pre}{short}__old"
     r = MigrationResult(tbl=table, stage="check", status="running")
     err = check_definition(spark, new_ddl, scratch_db)
-    if err:
+    if err is not None:
         r.status, r.error = "bad_definition", err
         return r
     r.stage = "backup"

@@ -27,7 +27,12 @@ def number_new_capture(captured: DataFrame, corpus: DataFrame | None) -> DataFra
 def append_snapshot(corpus: DataFrame, path: str) -> None:
     """K1: append versions to the corpus, partitioned by capture date (so a
     run's reads of recent versions prune old partitions)."""
+    n = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Range-partition on (date, key) first: each task writes only the dates
+    # of its range (files ~ tasks + dates, not tasks x dates), and a run whose
+    # rows all share one capture date is still split over many tasks.
     (corpus.withColumn("capture_date", F.to_date("captured_at"))
+     .repartitionByRange(n, "capture_date", "db", "tbl", "v")
      .write.mode("append").partitionBy("capture_date").parquet(path))
 
 
