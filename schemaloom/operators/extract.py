@@ -111,14 +111,19 @@ def definitions(corpus: DataFrame, _debug: bool = False) -> DataFrame:
         "_rest": F.when(c("shape").isin("table", "like"), c("_after").substr(
             F.coalesce(F.length("_body_full"), F.lit(0)) + 1, F.length("_after") + 1)),
     })
+    # Clause scans run only where their keyword occurs at all (a cheap
+    # substring test on the lower-cased remainder); the regex decides.
+    d = d.withColumn("_rl", F.lower(F.coalesce(c("_rest"), F.lit(""))))
+    has = lambda word: c("_rl").contains(word)
     # column list -> items; clauses after it, one scan each
     d = d.withColumns({
         "_items": rx_all(F.coalesce(c("_body"), F.lit("")), P.ITEM),
-        "_pfull": F.regexp_extract(F.coalesce(c("_rest"), F.lit("")), P.PARTITIONED, 1),
-        "_pword": F.coalesce(c("_rest"), F.lit("")).rlike(P.PARTITIONED_WORD),
-        "_cl": groups(c("_rest"), P.CLUSTERED, 3),
-        "_sk": groups(c("_rest"), P.SKEWED, 3),
-        "_ct": groups(c("_rest"), P.CTAS_SPLIT, 2),
+        "_pfull": F.when(has("partitioned"), F.regexp_extract(
+            F.coalesce(c("_rest"), F.lit("")), P.PARTITIONED, 1)).otherwise(F.lit("")),
+        "_pword": has("partitioned") & F.coalesce(c("_rest"), F.lit("")).rlike(P.PARTITIONED_WORD),
+        "_cl": F.when(has("clustered"), groups(c("_rest"), P.CLUSTERED, 3)),
+        "_sk": F.when(has("skewed"), groups(c("_rest"), P.SKEWED, 3)),
+        "_ct": F.when(has("as"), groups(c("_rest"), P.CTAS_SPLIT, 2)),
     })
     d = d.withColumns({
         "_items_ok": c("_body").isNull() | (F.array_join("_items", ",") == c("_body")),
@@ -136,8 +141,9 @@ def definitions(corpus: DataFrame, _debug: bool = False) -> DataFrame:
         "_bad_item": F.exists("_cols", lambda x: x["name"].isNull()),
         "_pcols_sorted": F.array_sort("_pcols"),
         "_tail": groups(c("_pre"), P.TAIL, 1)[0],
-        "provider": F.lower(_blank_null(F.regexp_extract("_pre", P.PROVIDER, 1))),
-        "table_comment": unquote(_blank_null(F.regexp_extract("_pre", P.TABLE_COMMENT, 1))),
+        "provider": F.when(has("using"), F.lower(_blank_null(F.regexp_extract("_pre", P.PROVIDER, 1)))),
+        "table_comment": F.when(has("comment"), unquote(_blank_null(
+            F.regexp_extract("_pre", P.TABLE_COMMENT, 1)))),
         "_parts": name_parts(F.when(c("_view") != "", c("_view")).otherwise(c("_name"))),
     })
     d = d.withColumns({

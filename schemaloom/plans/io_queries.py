@@ -143,7 +143,7 @@ def stream_drift(spark: SparkSession, sf: str) -> DataFrame:
         (corpus.filter(F.col("_drop") == k).drop("_drop")
          .write.mode("overwrite").json(f"{src}/drop_{k:02d}"))
     per_drop = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ST.stream_drift_check(spark, f"{src}/*", f"{base}/corpus", f"{base}/out",
+    ST.stream_drift_check(spark, f"{src}/*", f"{base}/state", f"{base}/out",
                           f"{base}/checkpoint", max_files_per_trigger=per_drop)
     return ST.read_stream_result(spark, f"{base}/out")
 
