@@ -38,49 +38,70 @@ def version_pairs(defs: DataFrame) -> DataFrame:
     return new.join(old, KEYS)
 
 
+ATTRS_ITEM = "__attributes__"
+
+
+def _attr_struct_type() -> str:
+    return "struct<" + ",".join(f"{a}:string" for a in ATTRIBUTES) + ">"
+
+
+def _val_type() -> str:
+    return f"struct<type:string,comment:string,attrs:{_attr_struct_type()}>"
+
+
 def _items(defs: DataFrame, sections) -> DataFrame:
     """Long form of the definitions: one row per (version, section, name)
-    item with two value fields. Columns / partition columns: name, type,
-    comment. Constraints: name = text. Attributes: name NULL, type = value
-    (only non-NULL values are items)."""
+    item. Columns / partition columns: name, type, comment. Constraints:
+    name = text. All scalar attributes travel as ONE item per version
+    (section ``__attributes__``, payload ``attrs``) and are unpivoted after
+    the grouping, only where they differ."""
     null = F.lit(None).cast("string")
-    parts = []
+    no_attrs = F.lit(None).cast(_attr_struct_type())
+
     def as_item(section: str):
         # one-argument lambda: PySpark passes the element index to a second one
         return lambda c: F.struct(F.lit(section).alias("section"), c["name"].alias("name"),
-                                  c["type"].alias("type"), c["comment"].alias("comment"))
+                                  c["type"].alias("type"), c["comment"].alias("comment"),
+                                  no_attrs.alias("attrs"))
+    parts = []
     for sec in ("columns", "part_columns"):
         if sec in sections:
             parts.append(F.transform(sec, as_item(sec)))
     if "constraints" in sections:
         parts.append(F.transform("constraints", lambda t: F.struct(
-            F.lit("constraints").alias("section"), t.alias("name"),
-            null.alias("type"), null.alias("comment"))))
-    attrs = [a for a in ATTRIBUTES if a in sections]
-    if attrs:
-        parts.append(F.filter(F.array(*[
-            F.struct(F.lit(a).alias("section"), null.alias("name"),
-                     F.col(a).alias("type"), null.alias("comment")) for a in attrs]),
-            lambda x: x["type"].isNotNull()))
+            F.lit("constraints").alias("section"), t.alias("name"), null.alias("type"),
+            null.alias("comment"), no_attrs.alias("attrs"))))
+    if any(a in sections for a in ATTRIBUTES):
+        parts.append(F.array(F.struct(
+            F.lit(ATTRS_ITEM).alias("section"), null.alias("name"), null.alias("type"),
+            null.alias("comment"), F.struct(*ATTRIBUTES).alias("attrs"))))
     arr = parts[0] if len(parts) == 1 else F.concat(*parts)
     return defs.select(*KEYS, F.inline(arr))
 
 
+def _change(old_present, new_present, differs):
+    return (F.when(~old_present, "added").when(~new_present, "deleted")
+            .when(differs, "changed").otherwise("same"))
+
+
 def diff_long(defs: DataFrame, sections=tuple(SECTIONS)) -> DataFrame:
     """Every section of every version against the previous version, in ONE
     pass: each item is emitted as "new" at v and as "old" at v + 1, then
     grouped by (db, tbl, v, section, name) — the extraction runs once, the
     aggregation is partial (map-side), and no self-join is needed. Rows whose
     v does not exist (old items of a table's last version) are dropped by a
-    semi-join on version keys.
+    semi-join on version keys. List sections give every item (incl. "same");
+    attribute sections give only values that differ.
     -> db, tbl, v, section, name, change, old_type, new_type, old_comment, new_comment"""
-    items = _items(defs, set(sections))
-    val = F.struct("type", "comment")
+    sections = set(sections)
+    items = _items(defs, sections)
+    val = F.struct("type", "comment", "attrs")
+    none = F.lit(None).cast(_val_type())
     both = items.select(
         "db", "tbl", "section", "name",
         F.inline(F.array(
-            F.struct(F.col("v").alias("v"), val.alias("nv"), F.lit(None).cast(val_type()).alias("ov")),
-            F.struct((F.col("v") + 1).alias("v"), F.lit(None).cast(val_type()).alias("nv"), val.alias("ov")))))
+            F.struct(F.col("v").alias("v"), val.alias("nv"), none.alias("ov")),
+            F.struct((F.col("v") + 1).alias("v"), none.alias("nv"), val.alias("ov")))))
     # one payload per side and key (names are unique per version), so max()
     # just picks it; counts tell which sides are present
     g = (both.filter(F.col("v") > 1)
@@ -88,19 +109,28 @@ def diff_long(defs: DataFrame, sections=tuple(SECTIONS)) -> DataFrame:
          .agg(F.max("nv").alias("nv"), F.max("ov").alias("ov"),
               F.count("nv").alias("_cn"), F.count("ov").alias("_co")))
     g = g.join(version_keys(defs), KEYS, "left_semi")
-    change = (
-        F.when(F.col("_co") == 0, "added")
-        .when(F.col("_cn") == 0, "deleted")
-        .when(~F.col("ov.type").eqNullSafe(F.col("nv.type"))
-              | ~F.col("ov.comment").eqNullSafe(F.col("nv.comment")), "changed")
-        .otherwise("same"))
-    return g.select(*KEYS, "section", "name", change.alias("change"),
-                    F.col("ov.type").alias("old_type"), F.col("nv.type").alias("new_type"),
-                    F.col("ov.comment").alias("old_comment"), F.col("nv.comment").alias("new_comment"))
-
-
-def val_type() -> str:
-    return "struct<type:string,comment:string>"
+    null = F.lit(None).cast("string")
+    listed = F.array(F.struct(
+        F.col("section").alias("section"), F.col("name").alias("name"),
+        _change(F.col("_co") > 0, F.col("_cn") > 0,
+                ~F.col("ov.type").eqNullSafe(F.col("nv.type"))
+                | ~F.col("ov.comment").eqNullSafe(F.col("nv.comment"))).alias("change"),
+        F.col("ov.type").alias("old_type"), F.col("nv.type").alias("new_type"),
+        F.col("ov.comment").alias("old_comment"), F.col("nv.comment").alias("new_comment")))
+    wanted = [a for a in ATTRIBUTES if a in sections]
+    unpivoted = F.filter(F.array(*[
+        F.struct(F.lit(a).alias("section"), null.alias("name"),
+                 _change(F.col(f"ov.attrs.{a}").isNotNull(), F.col(f"nv.attrs.{a}").isNotNull(),
+                         F.lit(True)).alias("change"),
+                 F.col(f"ov.attrs.{a}").alias("old_type"), F.col(f"nv.attrs.{a}").alias("new_type"),
+                 null.alias("old_comment"), null.alias("new_comment"))
+        for a in wanted] or [F.lit(None).cast(
+            "struct<section:string,name:string,change:string,old_type:string,new_type:string,"
+            "old_comment:string,new_comment:string>")]),
+        lambda x: x.isNotNull() & ~x["old_type"].eqNullSafe(x["new_type"]))
+    rows = F.when(F.col("section") == ATTRS_ITEM, unpivoted).otherwise(listed)
+    return g.select(*KEYS, F.inline(rows)).select(
+        *KEYS, "section", "name", "change", "old_type", "new_type", "old_comment", "new_comment")
 
 
 def _list_diff(defs: DataFrame, section: str) -> DataFrame:
