@@ -216,3 +216,11 @@ def change_flags(defs: DataFrame, diff: DataFrame | None = None) -> DataFrame:
 def changed_versions(diff: DataFrame) -> DataFrame:
     """Versions with any change."""
     return diff.select(*KEYS).distinct()
+
+
+def diff_views(defs: DataFrame) -> DataFrame:
+    """Changed view text."""
+    return diff_attributes(defs).filter(F.col("section") == "view_text")
+
+
+has_change = changed_versions               # D15

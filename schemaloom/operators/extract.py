@@ -210,3 +210,6 @@ def def_attrs(defs: DataFrame) -> DataFrame:
 def rejected(defs: DataFrame) -> DataFrame:
     return filter_extracted(defs.select("db", "tbl", "v", "shape", "reject_reason"),
                             F.col("reject_reason").isNotNull())
+
+
+extract_definition = definitions            # E19

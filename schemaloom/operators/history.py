@@ -103,3 +103,9 @@ def version_intervals(defs: DataFrame, diff: DataFrame) -> DataFrame:
     nxt = kept.select(*TABLE, (F.col("r") - 1).alias("r"), F.col("valid_from").alias("valid_to"))
     return (kept.join(nxt, [*TABLE, "r"], "left")
             .select(*KEYS, "vid", "valid_from", "valid_to"))
+
+
+# SURVEY §2 signature names
+archive_previous = archived_versions        # K2
+touch_last_seen = last_seen                 # H5
+collapse_unchanged = distinct_versions      # H6

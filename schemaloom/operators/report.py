@@ -86,8 +86,12 @@ def deleted_alerts(deleted: DataFrame, chunk: int = DROPPED_CHUNK) -> DataFrame:
     numbered = number_within(deleted.select("db", "tbl"), ["db"], ["tbl"], out="rn")
     return (numbered.withColumn("part", ((F.col("rn") - 1) / chunk).cast("int"))
             .groupBy("db", "part")
-            .agg(F.array_sort(F.collect_list("tbl")).alias("ts"))
-            .select("db", "part", F.concat(
-                F.lit(DROPPED_TABLES_TEXT),
-                F.array_join(F.transform("ts", lambda t: F.concat(F.col("db"), F.lit("."), t)), ", ")
-            ).alias("body")))
+            .agg(F.array_sort(F.collect_list(F.concat("db", F.lit("."), "tbl"))).alias("ts"))
+            .select("db", "part", F.concat(F.lit(DROPPED_TABLES_TEXT),
+                                           F.array_join("ts", ", ")).alias("body")))
+
+
+# SURVEY §2 signature names
+render_section = render_line                # A2
+new_table_alert = new_table_alerts          # A5
+deleted_tables_alert = deleted_alerts       # A6
