@@ -81,6 +81,26 @@ def classify_tables(prev_defs: DataFrame, cur_defs: DataFrame) -> DataFrame:
     return j.select(*TABLE, status.alias("status"))
 
 
+def classify_runs(defs: DataFrame, prev_keys: DataFrame, cur_keys: DataFrame) -> DataFrame:
+    """H4 for two runs over ONE definitions relation: ``prev_keys`` /
+    ``cur_keys`` (db, tbl, v) say which versions each run saw. Fingerprints
+    are computed once; each run's newest version is found from keys alone
+    (no extraction), and one join + per-table pivot gives the status."""
+    def newest(keys: DataFrame, tag: str) -> DataFrame:
+        return (keys.groupBy(*TABLE).agg(F.max("v").alias("v"))
+                .withColumn("_run", F.lit(tag)))
+    runs = newest(prev_keys, "prev").unionByName(newest(cur_keys, "cur"))
+    fps = defs.select(*KEYS, fingerprint(defs).alias("fp")).join(runs, KEYS)
+    per_table = fps.groupBy(*TABLE).agg(
+        F.max(F.when(F.col("_run") == "prev", F.col("fp"))).alias("fp_prev"),
+        F.max(F.when(F.col("_run") == "cur", F.col("fp"))).alias("fp_cur"))
+    status = (F.when(F.col("fp_prev").isNull(), "new")
+              .when(F.col("fp_cur").isNull(), "deleted")
+              .when(F.col("fp_prev") != F.col("fp_cur"), "changed")
+              .otherwise("unchanged"))
+    return per_table.select(*TABLE, status.alias("status"))
+
+
 def last_seen(defs: DataFrame, by: Iterable[str] = ("kind", "options_tail")) -> DataFrame:
     """H5: last capture date of each (table, definition attributes)."""
     by = list(by)

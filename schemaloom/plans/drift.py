@@ -49,9 +49,10 @@ def run_drift_check(prev_corpus: DataFrame, cur_corpus: DataFrame,
     diff = D.diff_definitions(all_defs)
     fresh = cur_corpus.select("db", "tbl", "v")
     new_diff = diff.join(fresh, ["db", "tbl", "v"], "left_semi")
-    prev_defs = all_defs.join(prev_corpus.select("db", "tbl", "v"), ["db", "tbl", "v"], "left_semi")
-    cur_defs = all_defs.join(H.inventory(cur_corpus), ["db", "tbl"], "left_semi")
-    status = H.classify_tables(prev_defs, cur_defs)
+    prev_keys = prev_corpus.select("db", "tbl", "v")
+    cur_keys = (prev_corpus.select("db", "tbl", "v").unionByName(fresh)
+                .join(H.inventory(cur_corpus), ["db", "tbl"], "left_semi"))
+    status = H.classify_runs(all_defs, prev_keys, cur_keys)
     reports = R.change_report(new_diff)
     return DriftRun(
         defs=all_defs, diff=new_diff, status=status, reports=reports,

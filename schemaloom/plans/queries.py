@@ -140,8 +140,9 @@ def deleted_tables(spark, sf):
 
 
 def table_status(spark, sf):
+    d = defs(spark, sf)
     prev, cur = _runs(spark, sf)
-    return H.classify_tables(prev, cur)
+    return H.classify_runs(d, prev.select(*KEYS), cur.select(*KEYS))
 
 
 def last_seen(spark, sf):
