@@ -79,7 +79,7 @@ def _blank_null(c: Column) -> Column:
     return F.when(c != "", c)
 
 
-def definitions(corpus: DataFrame, _debug: bool = False) -> DataFrame:
+def definitions(corpus: DataFrame) -> DataFrame:
     """corpus(db, tbl, v, vid, captured_at, ddl, …) -> one definition row each.
 
     A handful of projection stages; each regex runs once per text (several
@@ -171,8 +171,6 @@ def definitions(corpus: DataFrame, _debug: bool = False) -> DataFrame:
                   "partition list unbalanced or nested too deep")),
     })
     d = d.withColumn("identity", _blank_null(F.concat_ws(".", "ident_db", "ident_tbl")))
-    if _debug:
-        return d
     keep = [x for x in corpus.columns if x != "ddl"]
     return d.select(
         *keep, "shape", "ident_db", "ident_tbl", *ATTRIBUTES, "cluster_cols", "n_buckets",
