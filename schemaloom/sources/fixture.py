@@ -176,7 +176,15 @@ def corpus_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = scratch_path(spark, "ddl_corpus")
         ddl_corpus(spark, sf_dir).write.mode("overwrite").parquet(path)
         _CORPUS_TABLES[key] = path
-    # small files are packed into few read partitions; extraction is CPU per
-    # byte, so spread versions over all tasks again
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return spark.read.parquet(path).repartition(n, "db", "tbl", "v")
+    return spread_for_extraction(spark.read.parquet(path))
+
+
+def spread_for_extraction(corpus: DataFrame) -> DataFrame:
+    """Extraction is CPU per byte. A small corpus is packed into few read
+    partitions, so spread its versions over all tasks (by version, so a hot
+    table is split too); a large corpus already has enough splits and is
+    left alone — no shuffle of the text."""
+    n = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if corpus.rdd.getNumPartitions() < n:
+        return corpus.repartition(n, "db", "tbl", "v")
+    return corpus
