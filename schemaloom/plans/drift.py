@@ -44,15 +44,23 @@ def run_drift_check(prev_corpus: DataFrame, cur_corpus: DataFrame,
                     subscriptions: DataFrame) -> DriftRun:
     """Compare the saved corpus (``prev_corpus``) with a fresh capture
     appended to it (``cur_corpus``, same schema, new versions numbered after
-    the saved ones). Returns lazy DataFrames; write them with the sinks."""
-    all_defs = E.definitions(prev_corpus.unionByName(cur_corpus))
-    diff = D.diff_definitions(all_defs)
-    fresh = cur_corpus.select("db", "tbl", "v")
-    new_diff = diff.join(fresh, ["db", "tbl", "v"], "left_semi")
-    prev_keys = prev_corpus.select("db", "tbl", "v")
-    cur_keys = (prev_corpus.select("db", "tbl", "v").unionByName(fresh)
+    the saved ones, see ``sinks.writers.number_new_capture``). Returns lazy
+    DataFrames; write them with the sinks."""
+    keys = ["db", "tbl", "v"]
+    fresh = cur_corpus.select(*keys)
+    saved = prev_corpus.select(*keys)
+    newest_saved = saved.groupBy("db", "tbl").agg(F.max("v").alias("v"))
+    # Only these versions are read and extracted: the fresh ones, their
+    # predecessors and each table's newest saved one — a run costs the size
+    # of the catalog, not of its history.
+    needed = (fresh.unionByName(fresh.select("db", "tbl", (F.col("v") - 1).alias("v")))
+              .unionByName(newest_saved.select(*keys)).distinct())
+    corpus = prev_corpus.unionByName(cur_corpus).join(needed, keys, "left_semi")
+    all_defs = E.definitions(corpus)
+    new_diff = D.diff_definitions(all_defs).join(fresh, keys, "left_semi")
+    cur_keys = (saved.unionByName(fresh)
                 .join(H.inventory(cur_corpus), ["db", "tbl"], "left_semi"))
-    status = H.classify_runs(all_defs, prev_keys, cur_keys)
+    status = H.classify_runs(all_defs, saved, cur_keys)
     reports = R.change_report(new_diff)
     return DriftRun(
         defs=all_defs, diff=new_diff, status=status, reports=reports,

@@ -82,3 +82,17 @@ def test_whole_run(spark, corpus_of, tmp_path):
     assert [r.body for r in run.dropped_alerts.collect()] == ["tables dropped from the catalog: d.gone"]
     W.write_alerts(run.outbox, str(tmp_path / "outbox"))
     assert spark.read.parquet(str(tmp_path / "outbox")).count() == 2
+
+
+def test_whole_run_reads_only_needed_history(spark, corpus_of):
+    prev = corpus_of([("t", 1, "CREATE TABLE d.t (a INT)"),
+                      ("t", 2, "CREATE TABLE d.t (a BIGINT)"),
+                      ("t", 3, "CREATE TABLE d.t (a BIGINT, c INT)"),
+                      ("old", 1, "CREATE TABLE d.old (x INT)"),
+                      ("old", 2, "CREATE TABLE d.old (x INT, y INT)")])
+    cur = corpus_of([("t", 4, "CREATE TABLE d.t (a BIGINT, c INT)")])
+    subs = spark.createDataFrame([], "db string, tbl string, recipient string")
+    run = run_drift_check(prev, cur, subs)
+    assert run.diff.count() == 0                      # v4 equals v3
+    assert {r.tbl: r.status for r in run.status.collect()} == {"t": "unchanged", "old": "deleted"}
+    assert [r.body for r in run.dropped_alerts.collect()] == ["tables dropped from the catalog: d.old"]
