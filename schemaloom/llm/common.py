@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -77,6 +78,13 @@ def chunks(batches: Iterator[pa.RecordBatch], name: str,
             at = to
 
 
+def unassigned(words) -> set[str]:
+    """Words with code points that Python's Unicode tables don't know; other
+    libraries may know them as letters or digits."""
+    return {w for w in words if not w.isascii()
+            and any(unicodedata.category(c) == "Cn" for c in w)}
+
+
 def crc32_text(value: str) -> int:
     return zlib.crc32(value.encode())
 

@@ -5,10 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, sharding, warc
+from . import bpe, decontaminate, sharding, tokenfiles, warc
 from .common import table
 
 
+WORD_BPE = "word_bpe_49k.json"
+BYTE_BPE = "byte_bpe_50k.json"
+
+
+def vocabulary(name: str) -> str:
+    """Place of a public vocabulary file; it is installed on every executor."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary(WORD_BPE))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.encode(ids, "UTF-8"), 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"),
                                         table(spark, sf_dir, "benchmark"))
@@ -18,6 +37,11 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         "contaminated")
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (tokenfiles.round_trip(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE))
+            .select("doc_id", "start", "n_tokens", "ids_crc32"))
+
+
 def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (warc.archive(table(spark, sf_dir, "pages"))
             .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
@@ -29,4 +53,5 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.lit(None).cast("int").alias("grown_shard"), "vslot"))
 
 
-QUERIES = {f.__name__: f for f in (op4_decontaminate, op8_warc_revisits, op9_sharding)}
+QUERIES = {f.__name__: f for f in (
+    op1_bpe, op4_decontaminate, op7_token_files, op8_warc_revisits, op9_sharding)}
