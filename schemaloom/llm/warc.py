@@ -23,10 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import open_folder, saved
+from .common import chunks, open_folder, saved
 
 MIN_REVISIT = 100
 FILE_BYTES = 256 << 20
+SLICE = 2 << 20  # bytes of payload that a task holds as Python objects
 #: Date of the fresh headers, profile of identical payloads.
 WARC_DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -101,7 +102,7 @@ def _writer(root: str, file_bytes: int):
             out.close()
             return pa.RecordBatch.from_pydict(
                 {"path": pa.array([name], pa.string()), "records": pa.array([records], pa.int64())})
-        for batch in batches:
+        for batch in chunks(batches, "html", SLICE):
             for row in batch.to_pylist():
                 if out is None:
                     name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{part}.warc.gz"
@@ -187,7 +188,7 @@ def read_archives(spark: SparkSession, root: str, manifest: DataFrame) -> DataFr
                                      head["warc-type"], refers,
                                      None if again else payload.decode()))
                         held += len(block)
-                        if held > 8 << 20 or len(rows) >= 5000:
+                        if held > SLICE or len(rows) >= 2000:
                             yield pa.RecordBatch.from_arrays(
                                 [pa.array(c, f.type) for c, f in zip(zip(*rows), schema)],
                                 schema=schema)
