@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, sharding, tokenfiles, warc
-from .common import table
+from . import ann, bpe, decontaminate, langid, sharding, tokenfiles, toxicity, warc
+from .common import fold, table
 
 
 WORD_BPE = "word_bpe_49k.json"
@@ -28,6 +28,19 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = fold(F.col("doc_id"), 5) == 0
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held))
+    return (toxicity.score(docs, model)
+            .select("doc_id", held.alias("held_out"), "score", "predicted"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"),
                                         table(spark, sf_dir, "benchmark"))
@@ -53,5 +66,14 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.lit(None).cast("int").alias("grown_shard"), "vslot"))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = fold(F.col("doc_id"), 3) == 1
+    net = langid.train(docs.where(~held).select("doc_id", "text", "lang"))
+    return (langid.predict(docs.select("doc_id", "text"), net)
+            .select("doc_id", held.alias("held_out"), "lang_pred", "score"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_bpe, op4_decontaminate, op7_token_files, op8_warc_revisits, op9_sharding)}
+    op1_bpe, op2_nearest, op3_toxicity, op4_decontaminate, op7_token_files, op8_warc_revisits, op9_sharding,
+    op10_language)}
