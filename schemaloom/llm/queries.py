@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, langid, sharding, tokenfiles, toxicity, warc
+from . import ann, bpe, dartminhash, decontaminate, langid, sharding, tokenfiles, toxicity, warc
 from .common import fold, table
 
 
@@ -50,6 +50,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         "contaminated")
 
 
+def op6_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dartminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (tokenfiles.round_trip(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE))
             .select("doc_id", "start", "n_tokens", "ids_crc32"))
@@ -75,5 +79,6 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_bpe, op2_nearest, op3_toxicity, op4_decontaminate, op7_token_files, op8_warc_revisits, op9_sharding,
+    op1_bpe, op2_nearest, op3_toxicity, op4_decontaminate, op6_dartminhash,
+    op7_token_files, op8_warc_revisits, op9_sharding,
     op10_language)}
