@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, dartminhash, decontaminate, langid, sharding, tokenfiles, toxicity, warc
+from . import ann, bpe, dartminhash, decontaminate, katz, langid, sharding, tokenfiles, toxicity, warc
 from .common import fold, table
 
 
@@ -50,6 +50,13 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         "contaminated")
 
 
+def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = fold(F.col("doc_id"), 5) == 1
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (~held).alias("learn"))
+    return katz.score(docs).select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens",
+                                   "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dartminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -79,6 +86,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_bpe, op2_nearest, op3_toxicity, op4_decontaminate, op6_dartminhash,
-    op7_token_files, op8_warc_revisits, op9_sharding,
-    op10_language)}
+    op1_bpe, op2_nearest, op3_toxicity, op4_decontaminate, op5_katz,
+    op6_dartminhash, op7_token_files, op8_warc_revisits, op9_sharding, op10_language)}
