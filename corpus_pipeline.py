@@ -21,7 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     held = fold(F.col("doc_id"), 5) == 0
     model = toxicity.fit(table(spark, sf_dir, "documents"),
                          table(spark, sf_dir, "labels").where(~held))
-    return toxicity.score(docs, model).where(F.col("predicted") == 0).select(*docs.columns)
+    marked = toxicity.score(docs, model, ("_toxicity", "_toxic", "_evidence"))
+    return marked.where(F.col("_toxic") == 0).select(*docs.columns)
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +30,8 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     held = fold(F.col("doc_id"), 3) == 1
     net = langid.train(table(spark, sf_dir, "documents").where(~held)
                        .select("doc_id", "text", "lang"))
-    return (langid.predict(docs, net).where(F.col("lang_pred") != langid.UNKNOWN)
-            .select(*docs.columns))
+    marked = langid.predict(docs, net, ("_language", "_probability"))
+    return marked.where(F.col("_language") != langid.UNKNOWN).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -328,7 +328,7 @@ def count_pairs(asked: DataFrame, unigrams: Unigrams) -> DataFrame:
     """Answers per (block, shard): counts of the pairs; per context, what its
     seen pairs sum up to: pairs seen 1 .. KEPT times, tokens of the others, sum
     of P of the seen words. Hot contexts' sums stand in the row with part -1,
-    with the counts of counts up to KEPT + 1."""
+    with the counts of counts up to KEPT + 1 (at size 0: all seen pairs)."""
     def run(t: pa.Table) -> pa.Table:
         shard = t.column("shard")[0].as_py()
         rows = t.to_pylist()
@@ -373,7 +373,7 @@ def count_pairs(asked: DataFrame, unigrams: Unigrams) -> DataFrame:
         vkeys = v[order[first]][np.concatenate([[True], context[1:] != context[:-1]])]
         n = np.bincount(total[total <= KEPT + 1], minlength=KEPT + 2)
         out.append({"part": -1, "shard": shard, "sizes": list(range(KEPT + 2)),
-                    "numbers": [0, *n[1:].tolist()],
+                    "numbers": [int((total > 0).sum()), *n[1:].tolist()],
                     "hot": [{"v": int(vkeys[i].astype(np.int64)), "few": few[i].tolist(),
                              "many": int(many[i]), "p": float(seen[i])}
                             for i in np.flatnonzero(is_hot).tolist()]})
@@ -482,7 +482,7 @@ def score(docs: DataFrame) -> DataFrame:
            totals.select(F.explode(F.arrays_zip("sizes", "numbers")).alias("x"))
            .groupBy("x.sizes").agg(F.sum("x.numbers").alias("n")).collect()}
     n = np.array([few.get(r, 0) for r in range(KEPT + 2)])
-    bigram = Discount.of(n, unigrams.tokens, int(n.sum()))
+    bigram = Discount.of(n, unigrams.tokens, int(n[0]))
     hot = {r.v: ([r[f"f{i}"] for i in range(KEPT)], r.many, r.p) for r in
            totals.select(F.explode("hot").alias("h")).groupBy(F.col("h.v").alias("v"))
            .agg(*(F.sum(F.col("h.few")[i]).alias(f"f{i}") for i in range(KEPT)),

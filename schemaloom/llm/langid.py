@@ -182,12 +182,13 @@ def train(labelled: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> ByteCNN | Non
     return net
 
 
-def predict(docs: DataFrame, net: ByteCNN | None) -> DataFrame:
-    """Adds lang_pred and score to the columns of ``docs`` (columns of these
-    names are replaced). Texts that are null or have no letter, and all texts
+def predict(docs: DataFrame, net: ByteCNN | None,
+            into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Adds lang_pred and score to the columns of ``docs`` (columns of the
+    names in ``into`` are replaced). Texts that are null or have no letter, and all texts
     if there is no net, get 'und' and score 0. Whole texts of any length are
     read; repeated rows stay."""
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    names = [c for c in docs.columns if c not in into]
     model = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +199,7 @@ def predict(docs: DataFrame, net: ByteCNN | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in names), pa.array([f[0] for f in found], pa.string()),
                  pa.array([f[1] for f in found], pa.float64())],
-                names=[*names, "lang_pred", "score"])
+                names=[*names, *into])
     own = docs.select(*names)
     schema = ", ".join(f"`{c}` {t}" for c, t in own.dtypes)
-    return own.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return own.mapInArrow(run, f"{schema}, `{into[0]}` string, `{into[1]}` double")

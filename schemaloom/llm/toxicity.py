@@ -220,14 +220,15 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
                  np.array([r.toxic for r in rows], np.int64), [r.id for r in rows], population)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
+def score(docs: DataFrame, model: Model,
+          into: tuple[str, str, str] = ("score", "predicted", "evidence")) -> DataFrame:
     """Adds score (0 to 1), predicted (1 if score >= 0.5) and evidence (id,
     label and cosine of the neighbours that voted) to the columns of ``docs``;
-    columns of these names are replaced. Null and empty texts have no term and
+    columns of the names in
+    ``into`` are replaced. Null and empty texts have no term and
     get the prior, as do all texts if nothing is labelled. Whole texts are
     read; rows that repeat get the same score each."""
-    new = ("score", "predicted", "evidence")
-    names = [c for c in docs.columns if c not in new]
+    names = [c for c in docs.columns if c not in into]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("doc_id", pa.string()), ("label", pa.int32()),
                                ("cosine", pa.float64())]))
@@ -241,8 +242,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                  pa.array([s for s, _ in found], pa.float64()),
                  pa.array([int(s >= 0.5) for s, _ in found], pa.int32()),
                  pa.array([[dict(zip(("doc_id", "label", "cosine"), e)) for e in ev]
-                           for _, ev in found], kind)], names=[*names, *new])
+                           for _, ev in found], kind)], names=[*names, *into])
     own = docs.select(*names)
     schema = ", ".join(f"`{c}` {t}" for c, t in own.dtypes)
-    return own.mapInArrow(run, f"{schema}, score double, predicted int, "
-                               "evidence array<struct<doc_id:string,label:int,cosine:double>>")
+    return own.mapInArrow(run, f"{schema}, `{into[0]}` double, `{into[1]}` int, `{into[2]}` "
+                               "array<struct<doc_id:string,label:int,cosine:double>>")
