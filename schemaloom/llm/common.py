@@ -81,8 +81,8 @@ def chunks(batches: Iterator[pa.RecordBatch], name: str,
 def unassigned(words) -> set[str]:
     """Words with code points that Python's Unicode tables don't know; other
     libraries may know them as letters or digits."""
-    return {w for w in words if not w.isascii()
-            and any(unicodedata.category(c) == "Cn" for c in w)}
+    odd = {c for c in set("".join(words)) if unicodedata.category(c) == "Cn"}
+    return {w for w in words if not odd.isdisjoint(w)} if odd else set()
 
 
 def crc32_text(value: str) -> int:
@@ -106,7 +106,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class _Powers:
+class Powers:
     """Powers of the hash base and of its inverse, grown on demand."""
 
     up = np.ones(1, np.uint64)
@@ -149,7 +149,7 @@ class Words:
         ends = np.cumsum([len(r) + 1 for r in raw]) if raw else np.zeros(0, np.int64)
         self.first = np.concatenate([[0], np.searchsorted(self.start, ends)]).astype(np.int64)
         self.doc = np.repeat(np.arange(len(raw)), np.diff(self.first))
-        up, down = _Powers.upto(len(buf) + 1)
+        up, down = Powers.upto(len(buf) + 1)
         sums = np.zeros(len(buf) + 1, np.uint64)
         np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
         self.hash = mix((sums[self.end] - sums[self.start]) * down[self.start])

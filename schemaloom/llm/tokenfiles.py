@@ -11,95 +11,183 @@ is base + local offset. Readers map the files into memory.
 
 from __future__ import annotations
 
+import functools
+import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import chunks, open_folder, saved, texts, unassigned
+from .common import Powers, chunks, mix, open_folder, saved, texts
 
-SLICE = 4 << 20
-CACHE = 300_000
+SLICE = 2 << 20
+CACHE = 1_000_000  # distinct pieces that a worker remembers (about 45 bytes each)
 TOGETHER = 2000  # distinct words per call of the library
 
-#: Fixed value: how byte-level BPE splits a text before merging.
-PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
-           r"|\s+(?!\S)|\s+")
+#: White space, and the endings that byte-level BPE splits off
+#: after an apostrophe. The pieces are: an ending with its apostrophe; a run of
+#: letters, of numbers, or of other characters, each with one blank before it;
+#: white space, of which the last character stands alone before another piece.
+SPACES = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F,
+          0x205F, 0x3000]
+ENDINGS = ["s", "t", "re", "ve", "m", "ll", "d"]
+
+_LETTER, _NUMBER, _OTHER, _SPACE, _GAP, _UNKNOWN = range(6)
+_GAP_CODE = 0x110000  # stands between texts
+
+
+@functools.cache
+def _classes() -> np.ndarray:
+    """Class of each code point; unassigned ones are unknown."""
+    kind = {"L": _LETTER, "N": _NUMBER}
+    out = np.array([_UNKNOWN if c == "Cn" else kind.get(c[0], _OTHER) for c in
+                    map(unicodedata.category, map(chr, range(_GAP_CODE)))] + [_GAP], np.uint8)
+    out[SPACES] = _SPACE
+    return out
+
+
+class Pieces:
+    """Pieces of many texts as flat arrays: start, end (places in ``code``),
+    text, 64-bit hash; ``unknown``: texts with unassigned code points."""
+
+    def __init__(self, values: list[str]):
+        size = np.array([len(v) for v in values], np.int64)
+        code = np.frombuffer("".join(values).encode("utf-32-le", "surrogatepass"), np.uint32)
+        code = np.insert(code, np.cumsum(size), _GAP_CODE)
+        code = np.concatenate([code, np.full(3, _GAP_CODE, np.uint32)])
+        kind = _classes()[code]
+        odd = kind == _UNKNOWN
+        text = np.cumsum(kind == _GAP)
+        self.unknown = np.unique(text[odd])
+        kind[odd] = _OTHER
+
+        first = np.concatenate([[True], kind[1:] != kind[:-1]])
+        after = np.flatnonzero(first & (kind < _SPACE))
+        after = after[after > 0]
+        after = after[kind[after - 1] == _SPACE]
+        first[after - 1] = True
+        first[after] = code[after - 1] != 32
+        mark = np.flatnonzero((code == 39) & first)
+        mark = mark[kind[mark + 1] == _LETTER]
+        for ending in ENDINGS:
+            own = mark
+            for j, c in enumerate(ending, 1):
+                own = own[code[own + j] == ord(c)]
+            first[own + 1] = False
+            first[own + 1 + len(ending)] = True
+
+        start = np.flatnonzero(first)
+        end = np.append(start[1:], len(code))
+        own = kind[start] != _GAP
+        self.code, self.start, self.end = code, start[own], end[own]
+        self.text = text[self.start]
+        up, down = Powers.upto(len(code) + 1)
+        sums = np.zeros(len(code) + 1, np.uint64)
+        np.cumsum((code.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
+        self.hash = mix((sums[self.end] - sums[self.start]) * down[self.start])
+
+    def pieces(self, at: np.ndarray) -> list[str]:
+        """The pieces of these numbers as strings."""
+        n = self.end[at] - self.start[at]
+        cut = np.cumsum(n)
+        code = self.code[np.repeat(self.start[at] - (cut - n), n) + np.arange(n.sum())]
+        text = code.tobytes().decode("utf-32-le", "surrogatepass")
+        return [text[i:j] for i, j in zip((cut - n).tolist(), cut.tolist())]
 
 
 class LibraryEncoder:
     """Byte-level BPE of the tokenizers library, each distinct piece once.
 
-    Byte-level BPE merges only inside the pieces of PATTERN, so the ids of a
-    text are the ids of its pieces in order. Texts with a special token or with
-    code points unknown to Python go to the library whole.
+    Byte-level BPE merges only inside pieces, so the ids of a text are the ids
+    of its pieces in order. Texts with a special token or with code points
+    unknown to Python go to the library whole. Pieces are told apart by their
+    64-bit hashes; about CACHE of them are remembered.
     """
 
     def __init__(self, path: str):
-        import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.pattern = regex.compile(PATTERN)
-        self.spaced = regex.compile(r" \p{L}+")
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
+        self.keys = np.zeros(0, np.uint64)  # sorted
+        self.number = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
         self.count = np.zeros(0, np.int64)
         self.start = np.zeros(0, np.int64)
 
-    def learn(self, pieces: list[str]) -> None:
-        ids: list[list[int]] = []
-        run = [p for p in pieces if self.spaced.fullmatch(p)]
-        # pieces that begin with a blank split at it in a longer text as well
-        parts = [run[i:i + TOGETHER] for i in range(0, len(run), TOGETHER)]
-        for part, e in zip(parts, self.lib.encode_batch(["".join(p) for p in parts],
-                                                        add_special_tokens=False)):
-            own: list[list[int]] = [[] for _ in part]
-            for i, w in zip(e.ids, e.word_ids):
-                own[w].append(i)
-            ids += own
-        rest = sorted(set(pieces).difference(run))
-        ids += [e.ids for e in self.lib.encode_batch(rest, add_special_tokens=False)]
-        for p in run + rest:
-            self.number[p] = len(self.number)
-        self.flat = np.concatenate([self.flat, np.array([i for x in ids for i in x], np.uint32)])
-        self.count = np.concatenate([self.count, np.array([len(x) for x in ids], np.int64)])
-        self.start = np.concatenate([[0], np.cumsum(self.count)[:-1]]).astype(np.int64)
+    def learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+        # pieces of a blank and letters split at the blank in a longer text too
+        run = np.array([p[0] == " " and p[1:].isalpha() for p in pieces], bool)
+        order = np.concatenate([np.flatnonzero(run), np.flatnonzero(~run)])
+        joined = int(run.sum())
+        ids, count = [self.flat], [self.count]
+        for at in range(0, len(order), TOGETHER):
+            part = [pieces[i] for i in order[at:min(at + TOGETHER, joined)].tolist()]
+            if part:
+                e = self.lib.encode_batch(["".join(part)], add_special_tokens=False)[0]
+                word = np.array(e.word_ids, np.int64)
+                n = np.bincount(word, minlength=len(part))
+                if len(n) == len(part) and (n > 0).all():
+                    ids.append(np.array(e.ids, np.uint32))
+                    count.append(n)
+                else:  # split otherwise by the library: one by one
+                    self._each(part, ids, count)
+            rest = order[max(at, joined):at + TOGETHER].tolist()
+            self._each([pieces[i] for i in rest], ids, count)
+        number = np.empty(len(order), np.int64)
+        number[order] = len(self.count) + np.arange(len(order))
+        place = np.searchsorted(self.keys, keys)  # both are sorted
+        self.keys = np.insert(self.keys, place, keys)
+        self.number = np.insert(self.number, place, number)
+        self.flat, self.count = np.concatenate(ids), np.concatenate(count)
+        self.start = np.cumsum(self.count) - self.count
+
+    def _each(self, part: list[str], ids: list, count: list) -> None:
+        found = [e.ids for e in self.lib.encode_batch_fast(part, add_special_tokens=False)]
+        ids.append(np.array([i for x in found for i in x], np.uint32))
+        count.append(np.array([len(x) for x in found], np.int64))
 
     def encode(self, values: list[str]) -> Iterator[np.ndarray]:
-        if len(self.number) > CACHE:
+        if len(self.keys) > CACHE:
             self.forget()
         whole = [any(s in v for s in self.special) for v in values]
-        split = [[] if w else self.pattern.findall(v) for v, w in zip(values, whole)]
-        new = set().union(*split).difference(self.number)
-        if odd := unassigned(new):  # the library's Unicode tables decide
-            whole = [w or not odd.isdisjoint(p) for w, p in zip(whole, split)]
-            split = [[] if w else p for w, p in zip(whole, split)]
-            new -= odd
-        if new:
-            self.learn(sorted(new))
-        for value, pieces, w in zip(values, split, whole):
-            if w:
+        p = Pieces(["" if w else v for v, w in zip(values, whole)])
+        for i in p.unknown.tolist():
+            whole[i] = True
+        keys, first, where = np.unique(p.hash, return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        new = self.keys[at] != keys if len(self.keys) else np.ones(len(keys), bool)
+        if new.any():
+            self.learn(keys[new], p.pieces(first[new]))
+            at = np.searchsorted(self.keys, keys)
+        no = self.number[at][where] if len(keys) else where
+        n = self.count[no]
+        place = np.repeat(self.start[no] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        flat = self.flat[place]
+        cut = np.concatenate([[0], np.cumsum(n)])[np.searchsorted(p.text, np.arange(len(values) + 1))]
+        for i, value in enumerate(values):
+            if whole[i]:
                 yield np.array(self.lib.encode(value, add_special_tokens=False).ids, np.uint32)
-                continue
-            no = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
-            n = self.count[no]
-            shift = np.cumsum(n) - n
-            yield self.flat[np.repeat(self.start[no] - shift, n) + np.arange(n.sum())] \
-                if len(no) else self.flat[:0]
+            else:
+                yield flat[cut[i]:cut[i + 1]]
+
+    @classmethod
+    @functools.cache
+    def of(cls, path: str) -> LibraryEncoder:
+        """One per worker process: tasks that follow reuse what it remembers."""
+        return cls(path)
 
     @property
     def dtype(self) -> str:
@@ -123,7 +211,7 @@ def write(docs: DataFrame, path: str, root: str, end_id: int = 0,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         files, folder = open_folder(root)
-        coder = LibraryEncoder(path)
+        coder = LibraryEncoder.of(path)
         name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}"
         end = np.array([end_id], coder.dtype)
         docs = nulls = tokens = 0
