@@ -1,27 +1,39 @@
 """Table migration (M1-M10, K4): move a table to a new definition safely.
 
-Order of steps (each failure leaves a complete live table):
+Order of steps; whatever stops them, the live name holds a complete table:
 
-1. check the new definition by creating it empty in a scratch schema (M1);
+1. check the new (and the saved) definition by creating it empty in a scratch
+   schema (M1), and that its location touches no table involved;
 2. back the live table up into a LIKE-twin without a user location (M3/M4);
-3. reconcile backup and source: counts, then content (M5/M6);
+3. reconcile backup and source (M5/M6): fingerprints, whole rows only to
+   explain a difference;
 4. build the new table *beside* the live one and load it through the user
    SELECT (M7);
-5. verify the load, then swap names with two renames (M8);
-6. drop the old table and the backup only after verification (M9).
+5. verify the load against the SELECT itself, then swap names with two
+   renames (M8);
+6. drop the old table and the backup (M9).
+
+Working tables carry the run's own suffix. A step that fails drops what the
+run made and returns a result row with the full error. A run that is killed
+leaves its working tables; the next run (or ``recover``) finishes or undoes
+it from the tables that exist: the renames happen only after verification, so
+a live name beside an old one means the swap was done, and an old one alone
+that it must be undone.
 
 Names are always spliced at the position the grammar found, never by
-replacing text (the mixed-case / IF NOT EXISTS hazard of the saved-file
-tool). Data moves only through Spark SQL / DataFrame writes.
+replacing text. Data moves only through Spark SQL / DataFrame writes.
 """
 
 from __future__ import annotations
 
+import posixpath
 import re
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
+from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,28 +45,72 @@ RESULT_SCHEMA = T.StructType([
     T.StructField("n_backup", T.LongType()), T.StructField("n_new", T.LongType()),
     T.StructField("error", T.StringType())])
 
-_LOCATION = re.compile(r"(?is)\blocation\s+'(?:[^'\\]|\\.)*'")
+STAGES = ["check", "backup", "reconcile", "load", "verify", "swap", "cleanup", "done"]
+
+_TEXT = r"'((?:[^'\\]|\\.|'')*)'"
+_LOCATION = re.compile(rf"(?is)\blocation\s+{_TEXT}")
+_PATH_OPTION = re.compile(rf"(?is)[(,]\s*['\"`]?path['\"`]?\s*=?\s*{_TEXT}")
+_WORK = r"__sl_(new|old|backup)_[0-9a-f]{8}$"
 
 
 def _q(name: str) -> str:
     return ".".join("`" + p.replace("`", "``") + "`" for p in name.split("."))
 
 
-def with_name(ddl: str, new_name: str, drop_location: bool = True) -> str:
-    """M2: the same CREATE TABLE text under ``new_name`` — the name is spliced
-    at the span the grammar matched; the user LOCATION is removed from the
-    clauses after the column list so a twin never shares the source folder."""
+def _split(ddl: str) -> tuple[re.Match, str, str]:
+    """Head match, text through the column list, and the clauses after it."""
     m = re.match(P.TABLE_HEAD, ddl)
     if not m:
         raise ValueError("not a CREATE TABLE statement")
-    head = ddl[:m.start(2)] + _q(new_name)
     after = ddl[m.end(2):]
     body = re.match(P.BODY_AFTER, after)
     cut = body.end() if body else 0
-    rest = after[cut:]
+    return m, after[:cut], after[cut:]
+
+
+def with_name(ddl: str, new_name: str, drop_location: bool = True) -> str:
+    """M2: the same CREATE TABLE text under ``new_name``. With
+    ``drop_location`` a twin never shares the source folder: LOCATION is
+    removed from the clauses after the column list, and with it EXTERNAL."""
+    m, body, rest = _split(ddl)
+    head = ddl[:m.start(2)]
     if drop_location:
         rest = _LOCATION.sub("", rest)
-    return head + after[:cut] + rest
+        if (m.group(1) or "").lower() == "external":
+            head = ddl[:m.start(1)] + ddl[m.end(1):m.start(2)].lstrip()
+    return head + _q(new_name) + body + rest
+
+
+def ddl_location(ddl: str) -> str | None:
+    """The folder a definition names (LOCATION or the path option), if any."""
+    rest = _split(ddl)[2]
+    m = _LOCATION.search(rest) or _PATH_OPTION.search(rest)
+    return m.group(1).replace("''", "'") if m else None
+
+
+def _folder(location: str) -> tuple[str, str, str]:
+    u = urlparse(location)
+    return u.scheme or "file", u.netloc, posixpath.normpath("/" + u.path.strip("/")) + "/"
+
+
+def overlaps(a: str, b: str) -> bool:
+    """Is one folder the other, above it or below it?"""
+    (sa, na, pa), (sb, nb, pb) = _folder(a), _folder(b)
+    return (sa, na) == (sb, nb) and (pa.startswith(pb) or pb.startswith(pa))
+
+
+def table_location(spark: SparkSession, table: str) -> str | None:
+    """Location of a catalog table (None for a view)."""
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {_q(table)}").where("col_name = 'Location'").collect()
+    return rows[0].data_type if rows else None
+
+
+def tables_read(spark: SparkSession, select_sql: str) -> list[str]:
+    """Catalog tables that a SELECT reads, from its analysed plan."""
+    plan = spark.sql(f"EXPLAIN EXTENDED {select_sql}").first()[0]
+    analysed = plan.partition("== Analyzed Logical Plan ==")[2].partition("== Optimized")[0]
+    return sorted({".".join(n.split(".")[1:]) for n in
+                   re.findall(r"SubqueryAlias (spark_catalog\.[^\s,]+)", analysed)})
 
 
 def check_definition(spark: SparkSession, ddl: str, scratch_db: str) -> str | None:
@@ -65,8 +121,7 @@ def check_definition(spark: SparkSession, ddl: str, scratch_db: str) -> str | No
         spark.sql(with_name(ddl, name))
         return None
     except Exception as e:  # noqa: BLE001 - reported to the caller
-        lines = [x.strip() for x in str(e).splitlines() if x.strip()]
-        return (lines[0] if lines else type(e).__name__)[:500]
+        return str(e) or type(e).__name__
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {_q(name)}")
 
@@ -104,13 +159,30 @@ def reconcile_counts(a: DataFrame, b: DataFrame) -> DataFrame:
                  ).withColumn("equal", F.col("n_source") == F.col("n_backup"))
 
 
-def _comparable(df: DataFrame) -> list:
-    """Columns usable as grouping keys (maps become canonical JSON)."""
-    out = []
-    for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
-        out.append(F.to_json(F.map_entries(c)).alias(f.name) if isinstance(f.dataType, T.MapType) else c)
-    return out
+def _has_map(t: T.DataType) -> bool:
+    if isinstance(t, T.ArrayType):
+        return _has_map(t.elementType)
+    if isinstance(t, T.StructType):
+        return any(_has_map(f.dataType) for f in t.fields)
+    return isinstance(t, T.MapType)
+
+
+def _canonical(c: Column, t: T.DataType) -> Column:
+    """The value without maps: their entries as an array sorted by key."""
+    if not _has_map(t):
+        return c
+    if isinstance(t, T.MapType):
+        return F.array_sort(F.transform(F.map_entries(c), lambda e: F.struct(
+            e["key"].alias("key"), _canonical(e["value"], t.valueType).alias("value"))))
+    if isinstance(t, T.ArrayType):
+        return F.transform(c, lambda x: _canonical(x, t.elementType))
+    return F.when(c.isNotNull(), F.struct(*[_canonical(c[f.name], f.dataType).alias(f.name)
+                                            for f in t.fields]))
+
+
+def _comparable(df: DataFrame) -> list[Column]:
+    """Columns usable as grouping and hashing keys."""
+    return [_canonical(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields]
 
 
 def reconcile_content(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -119,7 +191,8 @@ def reconcile_content(a: DataFrame, b: DataFrame) -> DataFrame:
     in the map-side partial aggregate, so a hot row is never one big task."""
     cols = [f.name for f in a.schema.fields]
     u = (a.select(*_comparable(a), F.lit(1).alias("_s"))
-         .unionByName(b.select(*_comparable(b.select(*cols)), F.lit(-1).alias("_s"))))
+         .unionByName(b.select(*cols).select(*_comparable(b.select(*cols)),
+                                             F.lit(-1).alias("_s"))))
     d = u.groupBy(*cols).agg(F.sum("_s").alias("_d"))
     return d.agg(
         F.coalesce(F.sum(F.when(F.col("_d") > 0, F.col("_d"))), F.lit(0)).cast("bigint").alias("n_missing"),
@@ -127,26 +200,40 @@ def reconcile_content(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def reconcile_fingerprint(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Cheap pre-check (no shuffle, one pass): row count and order-free sum of
-    row hashes of both sides."""
+    """n_a, n_b, equal in one pass without a shuffle of rows: counts and
+    order-free sums of two independent 64-bit row hashes of both sides."""
+    cols = a.columns
+
     def tagged(df: DataFrame, tag: int) -> DataFrame:
-        return df.select(F.lit(tag).alias("_s"),
-                         F.xxhash64(*_comparable(df)).cast("decimal(38,0)").alias("_h"))
+        own = _comparable(df.select(*cols))
+        return df.select(F.lit(tag).alias("_s"), *[
+            F.xxhash64(F.lit(seed), *own).cast("decimal(38,0)").alias(f"_h{seed}") for seed in (1, 2)])
     u = tagged(a, 1).unionByName(tagged(b, 2))
     side = lambda t, c: F.when(F.col("_s") == t, c)
     out = u.agg(F.count(side(1, 1)).alias("n_a"), F.count(side(2, 1)).alias("n_b"),
-                F.sum(side(1, F.col("_h"))).alias("h_a"), F.sum(side(2, F.col("_h"))).alias("h_b"))
-    return out.withColumn("equal", (F.col("n_a") == F.col("n_b")) & F.col("h_a").eqNullSafe(F.col("h_b")))
+                *[F.sum(side(t, F.col(f"_h{h}"))).alias(f"h{h}_{t}") for h in (1, 2) for t in (1, 2)])
+    return out.select("n_a", "n_b", (
+        (F.col("n_a") == F.col("n_b")) & F.col("h1_1").eqNullSafe(F.col("h1_2"))
+        & F.col("h2_1").eqNullSafe(F.col("h2_2"))).alias("equal"))
 
 
-def reload_select(spark: SparkSession, select_sql: str, target: str) -> DataFrame:
-    """M7: run the user SELECT, check it fits the target's columns and types
-    (castable), load it. Returns the loaded target."""
+def reload_source(spark: SparkSession, select_sql: str, target: str) -> DataFrame:
+    """The user SELECT cast to the target's columns; a column that either side
+    lacks is an error, never dropped."""
     src = spark.sql(select_sql)
     schema = {f.name.lower(): f.dataType for f in spark.table(target).schema.fields}
-    cast = [F.col(f"`{c}`").cast(schema[c.lower()]).alias(c.lower())
-            for c in src.columns if c.lower() in schema]
-    insert_into(spark, src.select(*cast), target)
+    names = [c.lower() for c in src.columns]
+    extra, missing = sorted(set(names) - set(schema)), sorted(set(schema) - set(names))
+    if extra or missing or len(set(names)) < len(names):
+        raise ValueError(f"the SELECT doesn't fit {target}: not in the table {extra}, "
+                         f"not in the SELECT {missing}, given {names}")
+    return src.select(*[F.col(f"`{c}`").cast(schema[c.lower()]).alias(c.lower())
+                        for c in src.columns])
+
+
+def reload_select(spark: SparkSession, select_sql: str, target: str) -> DataFrame:
+    """M7: load the user SELECT into the target. Returns the loaded target."""
+    insert_into(spark, reload_source(spark, select_sql, target), target)
     return spark.table(target)
 
 
@@ -177,53 +264,118 @@ class MigrationResult:
     error: str | None = None
 
 
-def _count(spark: SparkSession, t: str) -> int:
-    return spark.table(t).count()
+def working_tables(spark: SparkSession, table: str) -> dict[str, list[str]]:
+    """Tables that runs for ``table`` have made and not removed, by kind."""
+    pre, _, short = table.rpartition(".")
+    where = f" IN {_q(pre)}" if pre else ""
+    out: dict[str, list[str]] = {"new": [], "old": [], "backup": []}
+    for r in spark.sql(f"SHOW TABLES{where} LIKE '{short}__sl_*'").collect():
+        m = re.fullmatch(re.escape(short.lower()) + _WORK, r.tableName.lower())
+        if m:
+            out[m.group(1)].append(f"{pre}.{r.tableName}" if pre else r.tableName)
+    return out
+
+
+def recover(spark: SparkSession, table: str, keep_backup: bool = False) -> str:
+    """Finish or undo a run that was killed: 'clean', 'undone' (the live name
+    was missing and got the old table back) or 'removed' (left-overs dropped)."""
+    left = working_tables(spark, table)
+    did = "clean"
+    if not spark.catalog.tableExists(table):
+        if not left["old"]:
+            raise ValueError(f"{table} doesn't exist, nor a table to restore it from")
+        spark.sql(f"ALTER TABLE {_q(left['old'].pop())} RENAME TO {_q(table)}")
+        did = "undone"
+    for name in left["new"] + left["old"] + ([] if keep_backup else left["backup"]):
+        spark.sql(f"DROP TABLE IF EXISTS {_q(name)}")
+        did = "removed" if did == "clean" else did
+    return did
 
 
 def migrate_table(spark: SparkSession, table: str, new_ddl: str, select_sql: str,
-                  scratch_db: str, exact: bool = True, keep_backup: bool = False) -> MigrationResult:
-    """Check -> backup -> reconcile -> build beside -> load -> verify ->
-    swap -> drop. ``select_sql`` reads the live table by its name. The result
-    records the last stage reached, so a rerun can finish or undo."""
-    db = table.rsplit(".", 1)[0] if "." in table else None
-    short = table.rsplit(".", 1)[-1]
-    pre = f"{db}." if db else ""
-    backup, new_t, old_t = f"{pre}{short}__backup", f"{pre}{short}__new", f"{pre}{short}__old"
+                  scratch_db: str, exact: bool = True, keep_backup: bool = False,
+                  saved_ddl: str | None = None,
+                  on_stage: Callable[[str], None] | None = None) -> MigrationResult:
+    """Check -> backup -> reconcile -> load -> verify -> swap -> cleanup.
+
+    ``select_sql`` reads the live table by its name; ``saved_ddl``, the last
+    saved definition, is checked as well if given. Left-overs of a killed run
+    are cleared first. Always returns a result: status 'ok', 'bad_definition',
+    'bad_saved_definition', 'shared_location', 'backup_mismatch',
+    'load_mismatch' or 'failed', the stage it came to, and the full error; on
+    all but 'ok' the live table is as before and the run's tables are gone.
+    ``on_stage`` is called when a stage begins.
+    """
+    pre, _, short = table.rpartition(".")
+    run = uuid.uuid4().hex[:8]
+    new_t, old_t, backup = (f"{pre}.{short}__sl_{k}_{run}" if pre else f"{short}__sl_{k}_{run}"
+                            for k in ("new", "old", "backup"))
     r = MigrationResult(tbl=table, stage="check", status="running")
-    err = check_definition(spark, new_ddl, scratch_db)
-    if err is not None:
-        r.status, r.error = "bad_definition", err
-        return r
-    r.stage = "backup"
-    create_backup(spark, table, backup)
-    backup_copy(spark, table, backup)
-    r.stage = "reconcile"
-    counts = reconcile_counts(spark.table(table), spark.table(backup)).first()
-    r.n_source, r.n_backup = counts["n_source"], counts["n_backup"]
-    if not counts["equal"]:
-        r.status, r.error = "backup_mismatch", "row counts differ"
+
+    def begin(stage: str) -> None:
+        r.stage = stage
+        if on_stage:
+            on_stage(stage)
+
+    def stopped(status: str, error: str) -> MigrationResult:
+        r.status, r.error = status, error
+        if r.stage not in ("cleanup", "done"):
+            recover(spark, table)
         return r
-    if exact:
-        c = reconcile_content(spark.table(table), spark.table(backup)).first()
-        if c["n_missing"] or c["n_extra"]:
-            r.status, r.error = "backup_mismatch", f"{c['n_missing']} missing, {c['n_extra']} extra"
-            return r
-    r.stage = "load"
-    spark.sql(with_name(new_ddl, new_t, drop_location=False))
-    reload_select(spark, select_sql, new_t)
-    r.n_new = _count(spark, new_t)
-    if r.n_new != r.n_source:
-        r.status, r.error = "load_mismatch", f"{r.n_new} rows loaded of {r.n_source}"
+
+    try:
+        begin("check")
+        recover(spark, table)
+        for ddl, status in ((new_ddl, "bad_definition"), (saved_ddl, "bad_saved_definition")):
+            err = check_definition(spark, ddl, scratch_db) if ddl is not None else None
+            if err is not None:
+                return stopped(status, err)
+        place = ddl_location(new_ddl)
+        for t in {table, *tables_read(spark, select_sql)} if place else ():
+            there = table_location(spark, t)
+            if there and overlaps(place, there):
+                return stopped("shared_location", f"location {place} of the new definition and "
+                                                  f"{there} of {t} overlap")
+        begin("backup")
+        create_backup(spark, table, backup)
+        backup_copy(spark, table, backup)
+
+        begin("reconcile")
+        live, copy = spark.table(table), spark.table(backup)
+        same = (reconcile_fingerprint(live, copy).first() if exact else None)
+        if exact:
+            r.n_source, r.n_backup, equal = same.n_a, same.n_b, same.equal
+        else:
+            c = reconcile_counts(live, copy).first()
+            r.n_source, r.n_backup, equal = c.n_source, c.n_backup, c.equal
+        if not equal:
+            c = reconcile_content(live, copy).first()
+            return stopped("backup_mismatch", f"{c.n_missing} missing, {c.n_extra} extra")
+
+        begin("load")
+        spark.sql(with_name(new_ddl, new_t, drop_location=False))
+        reload_select(spark, select_sql, new_t)
+
+        begin("verify")
+        source, loaded = reload_source(spark, select_sql, new_t), spark.table(new_t)
+        same = reconcile_fingerprint(source, loaded).first()
+        r.n_new = same.n_b
+        if not same.equal:
+            c = reconcile_content(source, loaded).first()
+            return stopped("load_mismatch", f"the SELECT has {same.n_a} rows, {same.n_b} were "
+                                            f"loaded: {c.n_missing} missing, {c.n_extra} extra")
+        begin("swap")
+        swap_in(spark, table, new_t, old_t)
+
+        begin("cleanup")
+        spark.sql(f"DROP TABLE IF EXISTS {_q(old_t)}")
+        if not keep_backup:
+            drop_backup(spark, backup)
+        begin("done")
+        r.status = "ok"
         return r
-    r.stage = "swap"
-    swap_in(spark, table, new_t, old_t)
-    r.stage = "cleanup"
-    spark.sql(f"DROP TABLE IF EXISTS {_q(old_t)}")
-    if not keep_backup:
-        drop_backup(spark, backup)
-    r.stage, r.status = "done", "ok"
-    return r
+    except Exception as e:  # noqa: BLE001 - becomes the result
+        return stopped("failed", str(e) or type(e).__name__)
 
 
 def result_frame(spark: SparkSession, results: list[MigrationResult]) -> DataFrame:

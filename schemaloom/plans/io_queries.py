@@ -90,8 +90,16 @@ def reconcile_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def reconcile_content(spark: SparkSession, sf: str) -> DataFrame:
-    t, b = _backed_up(spark, sf)
-    return M.reconcile_content(spark.table(t), spark.table(b))
+    """A backup with planned faults: of the orders with key % 1000 = 1 the rows
+    are missing, with 2 they are there twice, with 3 the quantity differs."""
+    db = scratch_database(spark, "rec")
+    t = live_table(spark, sf, db, "lineitem")
+    kind = F.col("l_orderkey") % 1000
+    times = F.when(kind == 1, 0).when(kind == 2, 2).otherwise(1)
+    faulty = (spark.table(t).withColumn("_n", F.explode(F.array_repeat(F.lit(1), times))).drop("_n")
+              .withColumn("l_quantity", F.when(kind == 3, F.col("l_quantity") + 1)
+                          .otherwise(F.col("l_quantity"))))
+    return M.reconcile_content(spark.table(t), faulty)
 
 
 def compacted_write(spark: SparkSession, sf: str) -> DataFrame:
@@ -130,6 +138,55 @@ def migration_summary(spark: SparkSession, sf: str) -> DataFrame:
     return M.result_frame(spark, [res]).select("n_source", "n_backup", "n_new", "status")
 
 
+class Killed(BaseException):
+    """Ends a run at a stage like a lost driver: no handler of the run sees it."""
+
+
+def migration_faults(spark: SparkSession, sf: str) -> DataFrame:
+    """What goes wrong in a migration, and the live table after it: case, stage,
+    status, rows and columns of the live table, working tables left."""
+    db = scratch_database(spark, "flt")
+    folder = scratch_path(spark, "flt_data")
+    rows = []
+
+    def live(name: str) -> str:
+        t = f"{db}.{name}"
+        (FX.table(spark, sf, "part").write.format("parquet")
+         .option("path", f"{folder}/{name}/data").saveAsTable(t))
+        return t
+
+    def one(case: str, ddl: str, select: str, kill: str | None = None) -> None:
+        t = live(case)
+        where = {"same_location": f"{folder}/{case}/data", "parent_location": f"{folder}/{case}",
+                 "child_location": f"{folder}/{case}/data/x"}.get(case)
+        text = f"CREATE TABLE {t} ({ddl}) USING parquet" + (f" LOCATION '{where}'" if where else "")
+
+        def on_stage(stage: str) -> None:
+            if stage == kill:
+                raise Killed(stage)
+        try:
+            res = M.migrate_table(spark, t, text, select.format(t=t), db, on_stage=on_stage)
+            stage, status = res.stage, res.status
+        except Killed as k:
+            stage, status = str(k), M.recover(spark, t)
+        left = sum(map(len, M.working_tables(spark, t).values()))
+        rows.append((case, stage, status, spark.table(t).count(), len(spark.table(t).columns), left))
+
+    fits, full = "id BIGINT, brand STRING", "SELECT p_partkey AS id, p_brand AS brand FROM {t}"
+    for case in ("same_location", "parent_location", "child_location"):
+        one(case, fits, full)
+    one("bad_type", "id NOSUCHTYPE", full)
+    one("extra_column", "id BIGINT", full)
+    one("failing_select", fits, "SELECT p_partkey AS id, no_such_column AS brand FROM {t}")
+    one("filtered", fits, full + " WHERE p_partkey % 2 = 0")
+    one("aggregated", "brand STRING, n BIGINT",
+        "SELECT p_brand AS brand, count(*) AS n FROM {t} GROUP BY p_brand")
+    for stage in M.STAGES[1:-1]:
+        one(f"killed_{stage}", fits, full, kill=stage)
+    return spark.createDataFrame(rows, "case string, stage string, status string, n_live long, "
+                                       "n_columns int, n_left int")
+
+
 # ---- streaming --------------------------------------------------------------
 
 def stream_drift(spark: SparkSession, sf: str) -> DataFrame:
@@ -159,5 +216,6 @@ IO_QUERIES = {
     "reload_select": reload_select,
     "swap_in": swap_in,
     "migration_summary": migration_summary,
+    "migration_faults": migration_faults,
     "stream_drift": stream_drift,
 }

@@ -273,7 +273,24 @@ Q: dict[str, str] = {
     "backup_copy": "select l_returnflag, l_linestatus, count(*) as n from lineitem group by 1, 2",
     "compacted_write": "select cast(4 as bigint) as n_files, count(*) as n_rows from lineitem",
     "reconcile_counts": "select count(*) as n_source, count(*) as n_backup, true as equal from lineitem",
-    "reconcile_content": "select cast(0 as bigint) as n_missing, cast(0 as bigint) as n_extra",
+    "reconcile_content": "select count(*) filter (where l_orderkey % 1000 in (1, 3)) as n_missing, "
+                         "count(*) filter (where l_orderkey % 1000 in (2, 3)) as n_extra from lineitem",
+    "migration_faults": """
+        select 'same_location' as "case", 'check' as stage, 'shared_location' as status,
+               count(*) as n_live, cast(8 as integer) as n_columns, cast(0 as integer) as n_left from part
+        union all select 'parent_location', 'check', 'shared_location', count(*), 8, 0 from part
+        union all select 'child_location', 'check', 'shared_location', count(*), 8, 0 from part
+        union all select 'bad_type', 'check', 'bad_definition', count(*), 8, 0 from part
+        union all select 'extra_column', 'load', 'failed', count(*), 8, 0 from part
+        union all select 'failing_select', 'load', 'failed', count(*), 8, 0 from part
+        union all select 'filtered', 'done', 'ok', count(*) filter (where p_partkey % 2 = 0), 2, 0 from part
+        union all select 'aggregated', 'done', 'ok', count(distinct p_brand), 2, 0 from part
+        union all select 'killed_backup', 'backup', 'clean', count(*), 8, 0 from part
+        union all select 'killed_reconcile', 'reconcile', 'removed', count(*), 8, 0 from part
+        union all select 'killed_load', 'load', 'removed', count(*), 8, 0 from part
+        union all select 'killed_verify', 'verify', 'removed', count(*), 8, 0 from part
+        union all select 'killed_swap', 'swap', 'removed', count(*), 8, 0 from part
+        union all select 'killed_cleanup', 'cleanup', 'removed', count(*), 2, 0 from part""",
     "reload_select": """
         select p_partkey as part_id, p_name as part_name, upper(p_brand) as brand, p_type as part_type,
                cast(p_size as bigint) as size, cast(round(p_retailprice * 100) as bigint) as price_cents

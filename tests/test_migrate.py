@@ -43,15 +43,95 @@ def test_full_migration(spark, db):
     assert (r.status, r.n_source, r.n_backup, r.n_new) == ("ok", 1000, 1000, 1000)
     assert spark.table(t).columns == ["id", "k", "s2"]
     assert spark.table(t).filter("s2 = '5!'").count() == 1
-    assert not spark.catalog.tableExists(f"{t}__backup")
+    assert not any(M.working_tables(spark, t).values())
 
 
-def test_failed_load_keeps_live_table(spark, db):
+def test_filtering_select_is_verified_against_itself(spark, db):
     t = live(spark, db)
     r = M.migrate_table(spark, t, f"CREATE TABLE {t} (id BIGINT) USING parquet",
                         f"SELECT id FROM {t} WHERE id < 10", scratch_db=db)
-    assert r.status == "load_mismatch"
+    assert (r.status, r.n_source, r.n_new) == ("ok", 1000, 10)
+    assert spark.table(t).count() == 10
+
+
+def test_wrong_values_are_a_load_mismatch(spark, db):
+    t = live(spark, db)
+    r = M.migrate_table(spark, t, f"CREATE TABLE {t} (id DOUBLE) USING parquet",
+                        f"SELECT id + rand() AS id FROM {t}", scratch_db=db)
+    assert r.status == "load_mismatch" and "missing" in r.error
     assert spark.table(t).count() == 1000 and "k" in spark.table(t).columns
+    assert not any(M.working_tables(spark, t).values())
+
+
+@pytest.mark.parametrize("where", ["", "/..", "/sub"])
+def test_shared_location_is_refused(spark, db, tmp_path, where):
+    t, folder = f"{db}.loc", tmp_path / "a" / "b"
+    spark.range(100).write.option("path", f"file://{folder}").saveAsTable(t)
+    r = M.migrate_table(spark, t, f"CREATE TABLE {t} (id BIGINT) USING parquet LOCATION '{folder}{where}'",
+                        f"SELECT id FROM {t}", scratch_db=db)
+    assert r.status == "shared_location" and spark.table(t).count() == 100
+
+
+def test_location_of_another_source_is_refused(spark, db, tmp_path):
+    t, other = live(spark, db), f"{db}.other"
+    spark.range(5).write.option("path", f"file://{tmp_path}/o").saveAsTable(other)
+    r = M.migrate_table(spark, t, f"CREATE TABLE {t} (id BIGINT) USING parquet LOCATION '{tmp_path}/o'",
+                        f"SELECT a.id FROM {t} a JOIN {other} b ON a.id = b.id", scratch_db=db)
+    assert r.status == "shared_location" and spark.table(other).count() == 5
+
+
+def test_extra_select_column_is_refused(spark, db):
+    t = live(spark, db)
+    r = M.migrate_table(spark, t, f"CREATE TABLE {t} (id BIGINT, k INT) USING parquet",
+                        f"SELECT id, k, s FROM {t}", scratch_db=db)
+    assert r.status == "failed" and r.stage == "load" and "'s'" in r.error
+    assert spark.table(t).count() == 1000
+
+
+def test_saved_definition_is_checked(spark, db):
+    t = live(spark, db)
+    r = M.migrate_table(spark, t, f"CREATE TABLE {t} (id BIGINT) USING parquet", f"SELECT id FROM {t}",
+                        scratch_db=db, saved_ddl=f"CREATE TABLE {t} (id NOSUCH) USING parquet")
+    assert r.status == "bad_saved_definition" and len(r.error) > 20
+
+
+class Kill(BaseException):
+    pass
+
+
+@pytest.mark.parametrize("at", M.STAGES[:-1])
+def test_rerun_after_a_kill(spark, db, at):
+    t = live(spark, db, 50)
+    args = (spark, t, f"CREATE TABLE {t} (id BIGINT) USING parquet", f"SELECT id FROM {t}", db)
+
+    def stop(stage):
+        if stage == at:
+            raise Kill
+    with pytest.raises(Kill):
+        M.migrate_table(*args, on_stage=stop)
+    assert spark.table(t).count() == 50
+    r = M.migrate_table(*args)
+    assert r.status == "ok" and spark.table(t).columns == ["id"] and spark.table(t).count() == 50
+    assert not any(M.working_tables(spark, t).values())
+
+
+def test_kill_between_the_renames(spark, db):
+    t = live(spark, db, 50)
+    spark.sql(f"ALTER TABLE {t} RENAME TO {t}__sl_old_0123abcd")
+    assert M.recover(spark, t) == "undone"
+    assert spark.table(t).count() == 50 and M.recover(spark, t) == "clean"
+
+
+def test_external_goes_with_its_location():
+    out = M.with_name("CREATE EXTERNAL TABLE a.b (x INT) STORED AS ORC LOCATION '/d'", "s.t")
+    assert out.startswith("CREATE TABLE `s`.`t` (x INT)") and "LOCATION" not in out
+
+
+def test_maps_compare_by_entries(spark):
+    a = spark.sql("SELECT map('a', 1, 'b', 2) AS m, array(named_struct('x', map(1, 2, 3, 4))) AS n")
+    b = spark.sql("SELECT map('b', 2, 'a', 1) AS m, array(named_struct('x', map(3, 4, 1, 2))) AS n")
+    assert tuple(M.reconcile_content(a, b).first()) == (0, 0)
+    assert M.reconcile_fingerprint(a, b).first().equal
 
 
 def test_reconcile_content_counts_copies(spark):
