@@ -17,8 +17,8 @@ from .common import saved
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Edges (u > v). large: every larger neighbour of u goes to the smallest
     of u and its neighbours; small: u's smaller neighbours and u itself do."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    rows = both if large else edges
+    rows = (edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            if large else edges)
     low = saved(rows.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "cc_low")
     joined = rows.join(low, "u")
     if large:
@@ -27,7 +27,17 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         out = (joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
                .unionByName(low.select("u", F.col("m").alias("v"))))
-    return out.where(F.col("u") != F.col("v")).distinct()
+    return saved(out.where(F.col("u") != F.col("v")).distinct(), "cc_edges")
+
+
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """Does each u have one edge, to a v that has none of its own?"""
+    ends = edges.select(F.inline(F.array(
+        F.struct(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")),
+        F.struct(F.col("v").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))))
+    bad = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where(
+        (F.col("up") > 1) | ((F.col("up") == 1) & (F.col("down") == 1)))
+    return bad.isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -36,16 +46,8 @@ def components(links: DataFrame) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     edges = saved(links.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
                   .distinct(), "cc_edges")
-
-    def mark(e: DataFrame):
-        return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    seen = mark(edges)
-    while seen[0]:
-        edges = saved(_star(saved(_star(edges, large=True), "cc_large"), large=False), "cc_edges")
-        now = mark(edges)
-        if now == seen:
-            break
-        seen = now
+    while not _is_forest_of_stars(edges):
+        edges = _star(_star(edges, large=True), large=False)
     roots = edges.select(F.col("v").alias("id")).distinct()
     return (edges.select(F.col("u").alias("id"), F.col("v").alias("class_id"))
             .unionByName(roots.select("id", F.col("id").alias("class_id"))))

@@ -13,17 +13,20 @@ the weight plus K log K, not their product.
 
 Join: BANDS keys of ROWS coordinates each (a pair at 0.8 shares none with
 probability below 1e-5). Equal texts collapse first. In each bucket every
-member is compared with the smallest id (linear in the bucket). Links are
-verified exactly on the whole texts and their components found; pairs of a
-bucket that are still in different components are then compared as well, in
-blocks on their signatures if the bucket is large, and verified. So no bucket
-emits all its pairs, and no link between components is lost to the star.
+member is compared with the smallest id (linear in the bucket), links are
+verified exactly on the whole texts, and their components found. What is left
+are buckets whose members are still in several components: there the members
+outside the bucket's largest component are compared with all others, block by
+block. A block's exact similarities are one matrix product, and it passes on
+no more links than join its components. So no bucket emits all its pairs, and
+no link between components is lost to the star.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +42,8 @@ ROWS = 5
 BANDS = 30
 K = ROWS * BANDS
 TEXTS_AT_ONCE = 1000
-SMALL_BUCKET = 32  # pairs of larger buckets are compared in blocks
-BLOCK = 512
-#: Signature agreement from which a pair is verified: 0.8 less 4 deviations.
-LEAST_AGREEMENT = SIMILARITY - 4 * float(np.sqrt(SIMILARITY * (1 - SIMILARITY) / K))
+BLOCK = 512  # texts on either side of a block of comparisons
+COLUMNS = 4096  # units of shingles that one matrix product takes
 
 _POISSON = np.cumsum(np.exp(-1.0) / np.cumprod([1, *range(1, 20)]))
 _RANK_BITS = np.uint64(44)
@@ -117,7 +118,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 def signed(docs: DataFrame) -> DataFrame:
     """doc_id, k1, k2 (128-bit hash of the word sequence; of the raw text if it
-    has no word), bands, sig (two bytes of each coordinate)."""
+    has no word), bands."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in chunks(batches, "text", WORDS_AT_ONCE):
             for at in range(0, whole.num_rows, TEXTS_AT_ONCE):
@@ -136,18 +137,15 @@ def signed(docs: DataFrame) -> DataFrame:
                                                      + np.uint64(salt >> 7))))
             keys.append(mix(total + count.astype(np.uint64)).view(np.int64))
         bands = list(band_keys(sig))
-        short = (sig & np.uint64(0xFFFF)).astype("<u2")
         for i in np.flatnonzero(count == 0).tolist():
             raw = np.frombuffer(hashlib.md5(values[i].encode()).digest(), "<i8")
             keys[0][i], keys[1][i] = raw
             bands[i] = bands[i][:0]
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id").cast(pa.int64()), pa.array(keys[0]), pa.array(keys[1]),
-             pa.array(bands, pa.list_(pa.int64())),
-             pa.array([s.tobytes() for s in short], pa.binary())],
-            names=["doc_id", "k1", "k2", "bands", "sig"])
+             pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "k1", "k2", "bands"])
     return (docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, k1 long, k2 long, bands array<long>, sig binary"))
+        run, "doc_id long, k1 long, k2 long, bands array<long>"))
 
 
 def similarity(left: list[str], right: list[str]) -> np.ndarray:
@@ -182,37 +180,96 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                                                                   "similarity double")
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """Pairs (a < b) of a bucket in different components, without the bucket's
-    smallest id (compared before). ``members``: h, id, comp, sig, n, lead."""
-    rest = members.where(F.col("id") != F.col("lead"))
-    small = rest.where(F.col("n") <= SMALL_BUCKET)
-    left, right = (small.select("h", F.col("id").alias(i), F.col("comp").alias(f"c{i}"))
-                   for i in ("a", "b"))
-    pairs = (left.join(right, "h").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")))
-             .select("a", "b"))
-
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    large = (rest.where(F.col("n") > SMALL_BUCKET)
-             .withColumn("p", F.pmod(F.xxhash64("id"), parts).cast("int"))
-             .withColumn("q", F.explode(F.sequence(F.lit(0), parts - 1)))
+def common_weight(doc: np.ndarray, element: np.ndarray, weight: np.ndarray,
+                  left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sum of minima of the weights of each (left, right) pair of texts.
+
+    A count of c is c units, so the sum of minima is a product of 0/1 rows.
+    """
+    row, unit = _spread(weight)
+    key = mix(element[row] + unit.astype(np.uint64) * np.uint64(0x94D049BB133111EB))
+    _, column, n = np.unique(key, return_inverse=True, return_counts=True)
+    own = n[column] > 1  # units of one text alone are common to none
+    number = np.cumsum(n > 1) - 1
+    doc, column = doc[row][own], number[column[own]]
+    order = np.argsort(column, kind="stable")
+    doc, column = doc[order], column[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    texts = int(max(left.max(), right.max())) + 1
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        i, j = np.searchsorted(column, [at, at + COLUMNS])
+        part = np.zeros((texts, COLUMNS), np.float32)
+        part[doc[i:j], column[i:j] - at] = 1
+        out += part[left] @ part[right].T
+    return out
+
+
+def block_links(ids: list[int], comp: list[int], values: list[str], left: np.ndarray,
+                right: np.ndarray) -> list[tuple[int, int]]:
+    """Links between texts of different components, as many as join them."""
+    doc, element, weight = shingles(Words(values))
+    total = np.bincount(doc, weight, minlength=len(values))
+    common = common_weight(doc, element, weight, left, right)
+    union = total[left][:, None] + total[right][None, :] - common
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+    out = []
+    comps = np.array(comp)
+    like = (common >= SIMILARITY * union) & (comps[left][:, None] != comps[right][None, :])
+    for i, j in zip(*(x.tolist() for x in np.nonzero(like))):
+        a, b = int(left[i]), int(right[j])
+        x, y = find(comp[a]), find(comp[b])
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((min(ids[a], ids[b]), max(ids[a], ids[b])))
+    return out
+
+
+def across(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) between components of a bucket. ``members``: h, id, comp.
+
+    Members outside the bucket's most frequent component are dealt into blocks
+    0 .. s - 1, the others into blocks from s on; every block pair with one of
+    the first kind is a group of its own.
+    """
+    sizes = saved(members.groupBy("h").agg(F.mode("comp", True).alias("main"),
+                                           F.count(F.lit(1)).alias("n"))
+                  .select("h", "main", "n"), "dart_sizes")
+    tagged = members.join(sizes, "h").withColumn("in_main", F.col("comp") == F.col("main"))
+    count = saved(tagged.groupBy("h").agg(
+        F.ceil(F.count_if(~F.col("in_main")) / BLOCK).cast("int").alias("s"),
+        F.ceil(F.count_if("in_main") / BLOCK).cast("int").alias("m"), F.first("main").alias("main")),
+        "dart_blocks")
+    rows = members.join(count, "h").withColumn("in_main", F.col("comp") == F.col("main"))
+    block = F.when(F.col("in_main"), F.col("s") + F.pmod(F.xxhash64("id"), F.col("m"))).otherwise(
+        F.pmod(F.xxhash64("id"), F.col("s"))).cast("int")
+    last = F.when(F.col("in_main"), F.col("s")).otherwise(F.col("s") + F.col("m")) - 1
+    dealt = (rows.withColumn("p", block).withColumn("q", F.explode(F.sequence(F.lit(0), last)))
              .select("h", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "p",
-                     "id", "comp", "sig"))
-
-    def compare(t: pa.Table) -> pa.Table:
-        ids, comp = t.column("id").to_numpy(), t.column("comp").to_numpy()
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u2").reshape(len(ids), -1)
-        p, i, j = t.column("p").to_numpy(), t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        a, b = np.flatnonzero(p == i), np.flatnonzero(p == j)
-        found = []
-        for x in a.tolist():
-            ys = b[(ids[b] > ids[x]) & (comp[b] != comp[x])] if i == j else b[comp[b] != comp[x]]
-            ys = ys[(sig[ys] == sig[x]).mean(axis=1) >= LEAST_AGREEMENT]
-            found += [(min(ids[x], ids[y]), max(ids[x], ids[y])) for y in ys.tolist()]
-        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()),
-                         "b": pa.array([f[1] for f in found], pa.int64())})
-    return pairs.unionByName(large.groupBy("h", "i", "j").applyInArrow(compare, "a long, b long")
-                             ).distinct()
+                     "id", "comp")
+             .join(docs.select(F.col("doc_id").alias("id"), "text"), "id"))
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for part in chunks(iter([batch]), "text", WORDS_AT_ONCE)
+                for r in part.to_pylist())
+        for (_, i, j), group in groupby(rows, key=lambda r: (r["h"], r["i"], r["j"])):
+            group = list(group)
+            p = np.array([r["p"] for r in group])
+            left, right = np.flatnonzero(p == i), np.flatnonzero(p == j)
+            if len(left) and len(right):
+                found = block_links([r["id"] for r in group], [r["comp"] for r in group],
+                                    [r["text"] or "" for r in group], left, right)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([f[0] for f in found], pa.int64()),
+                     pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
+    keys = ["h", "i", "j"]
+    return (dealt.repartition(n, *keys).sortWithinPartitions(*keys)
+            .mapInArrow(compare, "a long, b long").distinct())
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -228,8 +285,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = saved(signed(docs), "dart_rows")
     known = rows.where(F.col("doc_id").isNotNull())
     same = saved(known.groupBy("k1", "k2").agg(
-        F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sig").alias("sig")),
-        "dart_texts")
+        F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "dart_texts")
     keys = same.select("id", F.explode("bands").alias("h"))
     buckets = saved(keys.groupBy("h").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("n"))
                     .where(F.col("n") > 1), "dart_buckets")
@@ -241,17 +297,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = saved(verified(star, named).select("a", "b"), "dart_links")
     first = saved(components(links), "dart_first")
 
-    comp = same.select("id", "sig").join(first, "id", "left").select(
-        "id", "sig", F.coalesce("class_id", "id").alias("comp"))
-    # buckets whose members (the lead aside) are in several components
-    labelled = members.where(F.col("n") > 2).join(comp.select("id", "comp"), "id")
+    # buckets of three or more whose members are in several components
+    labelled = saved(members.where(F.col("n") > 2).join(first, "id", "left").select(
+        "h", "id", F.coalesce("class_id", "id").alias("comp")), "dart_labelled")
     mixed = saved(labelled.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
                   .where(F.col("x") != F.col("y")).select("h"), "dart_mixed")
-    open_ = saved(labelled.join(mixed, "h").join(same.select("id", "sig"), "id"), "dart_open")
-    more = verified(_across(open_), named).select("a", "b")
-    # links plus one edge per labelled text: components of both rounds together
-    tree = first.select(F.col("class_id").alias("a"), F.col("id").alias("b"))
-    final = components(tree.unionByName(more))
+    final = first
+    if not mixed.isEmpty():
+        more = saved(across(labelled.join(mixed, "h"), named), "dart_more")
+        if not more.isEmpty():
+            # one edge per labelled text: components of both rounds together
+            tree = first.select(F.col("class_id").alias("a"), F.col("id").alias("b"))
+            final = components(tree.unionByName(more))
 
     out = same.join(final, "id", "left").select(
         "k1", "k2", F.coalesce("class_id", "id").alias("class_id"))

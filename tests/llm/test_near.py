@@ -65,8 +65,8 @@ def test_classes(docs_of, odd_rows):
 
 def test_large_bucket_without_star_link(docs_of, monkeypatch):
     """The smallest id is like few members; the others must still meet."""
-    monkeypatch.setattr(M, "SMALL_BUCKET", 4)
     monkeypatch.setattr(M, "BLOCK", 8)
+    monkeypatch.setattr(M, "COLUMNS", 50)
     rng = random.Random(4)
     words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(200)]
     rows = [(0, edited(rng, words, 0.03))]
