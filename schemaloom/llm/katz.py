@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 from .common import WORDS_AT_ONCE, Words, chunks, mix, open_folder, saved, texts
 
-BLOCK = 16 << 20
-SHARD_TOKENS = 2_000_000
+BLOCK = 8 << 20
+SHARD_TOKENS = 1_000_000
 KEPT = 5  # counts up to this are discounted
 END = np.uint64(0x5851F42D4C957F2D)  # the end token's key
 BEGIN = np.uint64(0x14057B7EF767814F)  # the begin mark's key, a context only
