@@ -31,6 +31,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def thinned(rows: DataFrame, key: str, h: Column, most: int) -> DataFrame:
+    """Rows that may be among the ``most`` smallest ``h`` (a 64-bit hash) of
+    their ``key``: about twice as many of each, found by a threshold on the
+    hash, so that ranking them needs no large group. Keys with few rows keep
+    all. ``rows`` gets the column _h."""
+    rows = rows.withColumn("_h", F.pmod(h, F.lit(1 << 40)))
+    count = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    limit = (2.0 * most / F.col("_n") + 64 / F.col("_n")) * (1 << 40)
+    return rows.join(F.broadcast(count), key).where(F.col("_h") < limit).drop("_n")
+
+
 def uri_of(path: str) -> str:
     """``path`` as a URI that pyarrow's file systems take."""
     if path.startswith("file:/") and not path.startswith("file://"):

@@ -3,8 +3,8 @@
 Bytes are embedded, filters of several widths run over fixed-length windows,
 each filter's maximum over the window goes to a softmax layer. It is trained
 on a bounded sample: at most SAMPLE_PER_LANG documents per language, at most
-WINDOW bytes of each, chosen by hash (a partial limit per task before the
-shuffle). Prediction covers every window of the whole text; the windows'
+WINDOW bytes of each, chosen by hash (a threshold leaves about twice as many
+before they are ranked). Prediction covers every window of the whole text; the windows'
 logits are averaged by their lengths.
 
 Because an embedded byte times a filter column is a table of 256 rows, the
@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, texts
+from .common import chunks, texts, thinned
 
 WINDOW = 256
 SAMPLE_PER_LANG = 600
@@ -161,13 +161,13 @@ def train(labelled: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> ByteCNN | Non
     teach nothing); None if there are none. At most ``per_lang`` rows of each
     language, smallest hash of the id first; from each the bytes of WINDOW
     characters at a place that the hash gives."""
-    h = F.xxhash64("doc_id")
     place = F.pmod(F.xxhash64("doc_id", F.lit(1)),
                    F.greatest(F.length("text") - WINDOW + 1, F.lit(1))) + 1
-    rows = (labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-            .select("lang", h.alias("h"), F.substring("text", place.cast("int"), F.lit(WINDOW))
-                    .alias("part"))
-            .withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "part")))
+    usable = (labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+              .select("lang", "doc_id", F.substring("text", place.cast("int"), F.lit(WINDOW))
+                      .alias("part")))
+    rows = (thinned(usable, "lang", F.xxhash64("doc_id"), per_lang)
+            .withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "part")))
             .where(F.col("n") <= per_lang).collect())
     rows.sort(key=lambda r: (r.lang, r.n))
     langs = sorted({r.lang for r in rows})

@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, saved, texts
+from .common import chunks, saved, texts, thinned
 
 PER_CLASS = 4000
 TERMS = 1000
@@ -153,13 +153,15 @@ def examples(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
     """doc_id, text, toxic of at most ``per_class`` documents of each label.
 
     A label counts if toxic is 0 or 1; of several labels of one id the larger
-    holds. Only ids are ranked (a partial limit per task before the shuffle);
-    the chosen ones, 2 * per_class at most, are broadcast to the documents.
+    holds. Only ids are ranked, after a threshold on their hash that leaves
+    about twice as many as wanted; the chosen ones, 2 * per_class at most, are
+    broadcast to the documents.
     """
     known = (labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
              .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (known.withColumn("n", F.row_number().over(order))
+    order = Window.partitionBy("toxic").orderBy("_h", "doc_id")
+    chosen = (thinned(known, "toxic", F.xxhash64("doc_id"), per_class)
+              .withColumn("n", F.row_number().over(order))
               .where(F.col("n") <= per_class).select("doc_id", "toxic"))
     return (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
             .dropDuplicates(["doc_id"]))
