@@ -5,18 +5,19 @@ predecessor of ``v`` is ``v - 1`` and every pairing is an equi-join on a key
 that includes ``v`` — unique per version, so a table with very many
 versions never lands in one task (no per-table window).
 
-All sections are compared relationally in one pass (``diff_long``): every
-item of version ``v`` (column, partition column, constraint, attribute
-value) is emitted as "new" at ``v`` and as "old" at ``v + 1`` and grouped by
-(db, tbl, v, section, name). This is the full outer join of plan (a) of
-SURVEY §4 without the self-join: the extraction is read once and the
-grouping aggregates map-side. Order of columns is ignored, a rename is a
-delete plus an add.
+All sections are compared in one pass (``diff_long``): one compact row per
+version is sent as "new" to ``v`` and as "old" to ``v + 1``, a window over the
+unique key (db, tbl, v) puts the two side by side, and the lists are compared
+inside the row with higher-order functions. One shuffle, one sort on short
+keys, no aggregation of strings, and no task holds more than two versions of
+a table at a time. Order of columns is ignored, a rename is a delete plus an
+add. Versions with a ``reject_reason`` are in no pair: what could not be read
+is never reported as a change.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import column_line
@@ -38,99 +39,108 @@ def version_pairs(defs: DataFrame) -> DataFrame:
     return new.join(old, KEYS)
 
 
-ATTRS_ITEM = "__attributes__"
+_ROW = ("struct<section:string,name:string,change:string,old_type:string,new_type:string,"
+        "old_comment:string,new_comment:string>")
+_ITEM = "struct<name:string,side:int,type:string,comment:string>"
 
 
-def _attr_struct_type() -> str:
-    return "struct<" + ",".join(f"{a}:string" for a in ATTRIBUTES) + ">"
+def readable(defs: DataFrame) -> Column:
+    """True where the whole text was read."""
+    return F.col("reject_reason").isNull() if "reject_reason" in defs.columns else F.lit(True)
 
 
-def _val_type() -> str:
-    return f"struct<type:string,comment:string,attrs:{_attr_struct_type()}>"
+def paired(defs: DataFrame, fields) -> DataFrame:
+    """db, tbl, v, new, old: structs of ``fields`` of every readable version
+    and its readable predecessor. The extraction is read once."""
+    body = F.struct(*fields)
+    sides = defs.select("db", "tbl", "v", body.alias("_d"), readable(defs).alias("_ok")).select(
+        "db", "tbl", "_ok", F.inline(F.array(
+            F.struct(F.col("v").alias("v"), F.lit(1).alias("_side"), F.col("_d").alias("_d")),
+            F.struct((F.col("v") + 1).alias("v"), F.lit(0).alias("_side"), F.col("_d").alias("_d")))))
+    w = Window.partitionBy(*KEYS).orderBy("_side")
+    return (sides.where(F.col("_ok"))
+            .withColumns({"old": F.lag("_d").over(w), "_from": F.lag("_side").over(w)})
+            .where((F.col("_side") == 1) & (F.col("_from") == 0))
+            .select(*KEYS, F.col("_d").alias("new"), "old"))
 
 
-def _items(defs: DataFrame, sections) -> DataFrame:
-    """Long form of the definitions: one row per (version, section, name)
-    item. Columns / partition columns: name, type, comment. Constraints:
-    name = text. All scalar attributes travel as ONE item per version
-    (section ``__attributes__``, payload ``attrs``) and are unpivoted after
-    the grouping, only where they differ."""
+def _entries(items: Column, side: int, listed: bool) -> Column:
+    """name, side, type, comment of each item of a list section."""
     null = F.lit(None).cast("string")
-    no_attrs = F.lit(None).cast(_attr_struct_type())
-
-    def as_item(section: str):
-        # one-argument lambda: PySpark passes the element index to a second one
-        return lambda c: F.struct(F.lit(section).alias("section"), c["name"].alias("name"),
-                                  c["type"].alias("type"), c["comment"].alias("comment"),
-                                  no_attrs.alias("attrs"))
-    parts = []
-    for sec in ("columns", "part_columns"):
-        if sec in sections:
-            parts.append(F.transform(sec, as_item(sec)))
-    if "constraints" in sections:
-        parts.append(F.transform("constraints", lambda t: F.struct(
-            F.lit("constraints").alias("section"), t.alias("name"), null.alias("type"),
-            null.alias("comment"), no_attrs.alias("attrs"))))
-    if any(a in sections for a in ATTRIBUTES):
-        parts.append(F.array(F.struct(
-            F.lit(ATTRS_ITEM).alias("section"), null.alias("name"), null.alias("type"),
-            null.alias("comment"), F.struct(*ATTRIBUTES).alias("attrs"))))
-    arr = parts[0] if len(parts) == 1 else F.concat(*parts)
-    return defs.select(*KEYS, F.inline(arr))
-
-
-def _change(old_present, new_present, differs):
-    return (F.when(~old_present, "added").when(~new_present, "deleted")
-            .when(differs, "changed").otherwise("same"))
-
-
-def diff_long(defs: DataFrame, sections=tuple(SECTIONS)) -> DataFrame:
-    """Every section of every version against the previous version, in ONE
-    pass: each item is emitted as "new" at v and as "old" at v + 1, then
-    grouped by (db, tbl, v, section, name) — the extraction runs once, the
-    aggregation is partial (map-side), and no self-join is needed. Rows whose
-    v does not exist (old items of a table's last version) are dropped by a
-    semi-join on version keys. List sections give every item (incl. "same");
-    attribute sections give only values that differ.
-    -> db, tbl, v, section, name, change, old_type, new_type, old_comment, new_comment"""
-    sections = set(sections)
-    items = _items(defs, sections)
-    val = F.struct("type", "comment", "attrs")
-    none = F.lit(None).cast(_val_type())
-    both = items.select(
-        "db", "tbl", "section", "name",
-        F.inline(F.array(
-            F.struct(F.col("v").alias("v"), val.alias("nv"), none.alias("ov")),
-            F.struct((F.col("v") + 1).alias("v"), none.alias("nv"), val.alias("ov")))))
-    # one payload per side and key (names are unique per version), so max()
-    # just picks it; counts tell which sides are present
-    g = (both.filter(F.col("v") > 1)
-         .groupBy(*KEYS, "section", "name")
-         .agg(F.max("nv").alias("nv"), F.max("ov").alias("ov"),
-              F.count("nv").alias("_cn"), F.count("ov").alias("_co")))
-    g = g.join(version_keys(defs), KEYS, "left_semi")
+    out = F.transform(items, lambda c: F.struct(
+        (c["name"] if listed else c).alias("name"), F.lit(side).alias("side"),
+        (c["type"] if listed else null).alias("type"),
+        (c["comment"] if listed else null).alias("comment")))
+    return F.coalesce(out, F.array().cast(f"array<{_ITEM}>"))
+
+
+def _beside(both: str) -> Column:
+    """Each entry of the sorted array with the one before and after it. The
+    shifted copies are zipped, so no lambda refers to an outer array."""
+    s, none = F.col(both), F.array(F.lit(None).cast(_ITEM))
+    before = F.concat(none, F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))))
+    after = F.concat(F.slice(s, 2, F.greatest(F.size(s), F.lit(1))), none)
+    near = F.zip_with(before, after, lambda x, y: F.struct(x.alias("b"), y.alias("a")))
+    return F.filter(F.zip_with(s, near, lambda c, z: F.struct(
+        c.alias("c"), z["b"].alias("b"), z["a"].alias("a"))), lambda z: z["c"].isNotNull())
+
+
+def _changes(section: str, beside: str) -> Column:
+    """Rows of a list section: an old entry leads its new one (side 0 < 1)."""
+    null = F.lit(None).cast("string")
+
+    def row(z):
+        c, a, old = z["c"], z["a"], z["c"]["side"] == 0
+        both = old & a["name"].eqNullSafe(c["name"])
+        same = c["type"].eqNullSafe(a["type"]) & c["comment"].eqNullSafe(a["comment"])
+        return F.struct(
+            F.lit(section).alias("section"), c["name"].alias("name"),
+            F.when(~old, "added").when(~both, "deleted").when(same, "same").otherwise("changed")
+            .alias("change"),
+            F.when(old, c["type"]).otherwise(null).alias("old_type"),
+            F.when(~old, c["type"]).when(both, a["type"]).otherwise(null).alias("new_type"),
+            F.when(old, c["comment"]).otherwise(null).alias("old_comment"),
+            F.when(~old, c["comment"]).when(both, a["comment"]).otherwise(null).alias("new_comment"))
+    leads = F.filter(F.col(beside), lambda z: (z["c"]["side"] == 0)
+                     | z["b"].isNull() | (z["b"]["name"] != z["c"]["name"]))
+    return F.transform(leads, row)
+
+
+def _attribute_rows(wanted) -> Column:
     null = F.lit(None).cast("string")
-    listed = F.array(F.struct(
-        F.col("section").alias("section"), F.col("name").alias("name"),
-        _change(F.col("_co") > 0, F.col("_cn") > 0,
-                ~F.col("ov.type").eqNullSafe(F.col("nv.type"))
-                | ~F.col("ov.comment").eqNullSafe(F.col("nv.comment"))).alias("change"),
-        F.col("ov.type").alias("old_type"), F.col("nv.type").alias("new_type"),
-        F.col("ov.comment").alias("old_comment"), F.col("nv.comment").alias("new_comment")))
+    rows = F.array(*[F.struct(
+        F.lit(a).alias("section"), null.alias("name"),
+        F.when(F.col(f"old.{a}").isNull(), "added").when(F.col(f"new.{a}").isNull(), "deleted")
+        .otherwise("changed").alias("change"),
+        F.col(f"old.{a}").alias("old_type"), F.col(f"new.{a}").alias("new_type"),
+        null.alias("old_comment"), null.alias("new_comment")) for a in wanted])
+    return F.filter(rows, lambda x: attribute_changed(x["old_type"], x["new_type"]))
+
+
+def _with_rows(pairs: DataFrame, sections, keep_same: bool) -> DataFrame:
+    """Adds ``rows``, the array of all difference rows of each pair."""
+    lists = [s for s in ("columns", "part_columns", "constraints") if s in sections]
     wanted = [a for a in ATTRIBUTES if a in sections]
-    unpivoted = F.filter(F.array(*[
-        F.struct(F.lit(a).alias("section"), null.alias("name"),
-                 _change(F.col(f"ov.attrs.{a}").isNotNull(), F.col(f"nv.attrs.{a}").isNotNull(),
-                         F.lit(True)).alias("change"),
-                 F.col(f"ov.attrs.{a}").alias("old_type"), F.col(f"nv.attrs.{a}").alias("new_type"),
-                 null.alias("old_comment"), null.alias("new_comment"))
-        for a in wanted] or [F.lit(None).cast(
-            "struct<section:string,name:string,change:string,old_type:string,new_type:string,"
-            "old_comment:string,new_comment:string>")]),
-        lambda x: x.isNotNull() & ~x["old_type"].eqNullSafe(x["new_type"]))
-    rows = F.when(F.col("section") == ATTRS_ITEM, unpivoted).otherwise(listed)
-    return g.select(*KEYS, F.inline(rows)).select(
-        *KEYS, "section", "name", "change", "old_type", "new_type", "old_comment", "new_comment")
+    d = pairs.withColumns({f"_s_{s}": F.array_sort(F.concat(
+        _entries(F.col(f"old.{s}"), 0, s != "constraints"),
+        _entries(F.col(f"new.{s}"), 1, s != "constraints"))) for s in lists})
+    d = d.withColumns({f"_z_{s}": _beside(f"_s_{s}") for s in lists})
+    parts = [_changes(s, f"_z_{s}") for s in lists]
+    if not keep_same:
+        parts = [F.filter(p, lambda x: x["change"] != "same") for p in parts]
+    if wanted:
+        parts.append(_attribute_rows(wanted))
+    return d.withColumn("rows", parts[0] if len(parts) == 1 else F.concat(*parts))
+
+
+def diff_long(defs: DataFrame, sections=tuple(SECTIONS), keep_same: bool = True) -> DataFrame:
+    """Every section of every version against the previous version. List
+    sections give every item (incl. "same" if ``keep_same``); attribute
+    sections give only values that differ.
+    -> db, tbl, v, section, name, change, old_type, new_type, old_comment, new_comment"""
+    wanted = [s for s in SECTIONS if s in set(sections)]
+    return (_with_rows(paired(defs, wanted), wanted, keep_same)
+            .select(*KEYS, F.inline("rows")))
 
 
 def _list_diff(defs: DataFrame, section: str) -> DataFrame:
@@ -173,7 +183,7 @@ def changed_part_columns(defs: DataFrame) -> DataFrame:  # D8
 
 def diff_constraints(defs: DataFrame) -> DataFrame:
     """Db, tbl, v, text, change (added / deleted)."""
-    return (diff_long(defs, ("constraints",)).filter(F.col("change") != "same")
+    return (diff_long(defs, ("constraints",), keep_same=False)
             .select(*KEYS, F.col("name").alias("text"), "change"))
 
 
@@ -185,36 +195,50 @@ def attribute_changed(old, new):
 def diff_attributes(defs: DataFrame) -> DataFrame:
     """D11 (+D13 view text): db, tbl, v, section, old, new for each scalar
     section whose value differs from the previous version."""
-    return (diff_long(defs, tuple(ATTRIBUTES)).filter(F.col("change") != "same")
+    return (diff_long(defs, tuple(ATTRIBUTES), keep_same=False)
             .select(*KEYS, "section", F.col("old_type").alias("old"), F.col("new_type").alias("new")))
 
 
+def _printed(x: Column) -> Column:
+    """section, change, name, old, new of a difference row."""
+    is_list = x["section"].isin("columns", "part_columns")
+    is_attr = x["section"].isin(*ATTRIBUTES)
+
+    def side(gone: str, type_: str, comment: str) -> Column:
+        return (F.when(x["change"] == gone, F.lit(None))
+                .when(is_list, column_line(x["name"], x[type_], x[comment]))
+                .when(is_attr, x[type_]).otherwise(x["name"]))
+    return F.struct(x["section"].alias("section"), x["change"].alias("change"),
+                    x["name"].alias("name"), side("added", "old_type", "old_comment").alias("old"),
+                    side("deleted", "new_type", "new_comment").alias("new"))
+
+
+def version_changes(defs: DataFrame) -> DataFrame:
+    """db, tbl, v, changes: one row per pair with the array of its real changes
+    (section, change, name, old, new); empty if nothing changed. Reports, flags
+    and summaries are projections of it, without another shuffle."""
+    return _with_rows(paired(defs, SECTIONS), SECTIONS, keep_same=False).select(
+        *KEYS, F.transform("rows", _printed).alias("changes"))
+
+
 def diff_definitions(defs: DataFrame) -> DataFrame:
     """Every real change, long form:
     db, tbl, v, section, change, name, old, new."""
-    d = diff_long(defs).filter(F.col("change") != "same")
-    is_list = F.col("section").isin("columns", "part_columns")
-    is_attr = F.col("section").isin(*ATTRIBUTES)
-    old = (F.when(F.col("change") == "added", F.lit(None))
-           .when(is_list, column_line(F.col("name"), F.col("old_type"), F.col("old_comment")))
-           .when(is_attr, F.col("old_type")).otherwise(F.col("name")))
-    new = (F.when(F.col("change") == "deleted", F.lit(None))
-           .when(is_list, column_line(F.col("name"), F.col("new_type"), F.col("new_comment")))
-           .when(is_attr, F.col("new_type")).otherwise(F.col("name")))
-    return d.select(*KEYS, "section", "change", "name", old.alias("old"), new.alias("new"))
-
-
-def change_flags(defs: DataFrame, diff: DataFrame | None = None) -> DataFrame:
-    """One row per version with a predecessor, one boolean per section."""
-    diff = diff if diff is not None else diff_definitions(defs)
-    counts = diff.groupBy(*KEYS).pivot("section", SECTIONS).agg(F.count(F.lit(1)))
-    pairs = version_pairs(defs).select(*KEYS)
-    return pairs.join(counts, KEYS, "left").select(
-        *KEYS, *[F.coalesce(F.col(s) > 0, F.lit(False)).alias(s) for s in SECTIONS])
+    return version_changes(defs).select(*KEYS, F.inline("changes"))
+
+
+def change_flags(defs: DataFrame, changes: DataFrame | None = None) -> DataFrame:
+    """One row per readable pair, one boolean per section."""
+    changes = changes if changes is not None else version_changes(defs)
+    seen = changes.select(*KEYS, F.transform("changes", lambda x: x["section"]).alias("_s"))
+    return seen.select(*KEYS, *[F.array_contains("_s", s).alias(s) for s in SECTIONS])
 
 
 def changed_versions(diff: DataFrame) -> DataFrame:
-    """Versions with any change."""
+    """Versions with any change, from ``diff_definitions`` (long form) or
+    from ``version_changes`` (no shuffle)."""
+    if "changes" in diff.columns:
+        return diff.where(F.size("changes") > 0).select(*KEYS)
     return diff.select(*KEYS).distinct()
 
 

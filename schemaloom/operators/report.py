@@ -1,7 +1,7 @@
 """Reports and alerts.
 
 Every text is assembled per version (bounded by the table's width) or per
-bounded chunk; no report gathers an unbounded group into one task.
+table; no report gathers an unbounded group into one task.
 """
 
 from __future__ import annotations
@@ -9,21 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequence import number_within
 from ..functions.text import column_line
-from ..session import join_checked
 from .diff import KEYS
 from .extract import SECTIONS
 
-# --- fixed values: report wording ------------------------------------------
+# Default wording
 CHANGE_MARK = {"added": "+", "deleted": "-", "changed": "~"}
 NEW_TABLE_TEXT = "new table "
-DROPPED_TABLES_TEXT = "tables dropped from the catalog: "
+DROPPED_TABLE_TEXT = "table dropped from the catalog: "
 NONE_TEXT = "(none)"
-# ---------------------------------------------------------------------------
-
-# tables listed per dropped-tables alert
-DROPPED_CHUNK = 500
 
 
 def render_column_line(name: Column, type_: Column, comment: Column) -> Column:
@@ -43,36 +37,49 @@ def section_no(section: Column) -> Column:
     return out
 
 
-def render_line(diff: DataFrame) -> DataFrame:
-    """A2: one printable line per change."""
-    mark = (F.when(F.col("change") == "added", CHANGE_MARK["added"])
-            .when(F.col("change") == "deleted", CHANGE_MARK["deleted"])
+def line_of(x: Column) -> Column:
+    """The printable line of one change (section, change, old, new)."""
+    old, new = (F.coalesce(x[c], F.lit(NONE_TEXT)) for c in ("old", "new"))
+    mark = (F.when(x["change"] == "added", CHANGE_MARK["added"])
+            .when(x["change"] == "deleted", CHANGE_MARK["deleted"])
             .otherwise(CHANGE_MARK["changed"]))
-    old = F.coalesce(F.col("old"), F.lit(NONE_TEXT))
-    new = F.coalesce(F.col("new"), F.lit(NONE_TEXT))
-    what = (F.when(F.col("change") == "added", new)
-            .when(F.col("change") == "deleted", old)
+    what = (F.when(x["change"] == "added", new).when(x["change"] == "deleted", old)
             .otherwise(F.concat(old, F.lit(" -> "), new)))
+    return F.concat(mark, F.lit(" "), x["section"], F.lit(": "), what)
+
+
+def render_line(diff: DataFrame) -> DataFrame:
+    """A2: one printable line per change."""
+    x = {c: F.col(c) for c in ("section", "change", "old", "new")}
     return diff.select(*KEYS, section_no(F.col("section")).alias("section_no"), "name",
-                       F.concat(mark, F.lit(" "), F.col("section"), F.lit(": "), what).alias("line"))
+                       line_of(x).alias("line"))
 
 
-def change_report(diff: DataFrame) -> DataFrame:
-    """A3: db, tbl, v, body — lines ordered by section, then name."""
-    lines = render_line(diff)
-    return (lines.groupBy(*KEYS)
-            .agg(F.array_sort(F.collect_list(F.struct("section_no", "name", "line"))).alias("ls"))
-            .select(*KEYS, F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("body")))
+def change_report(changes: DataFrame) -> DataFrame:
+    """A3: db, tbl, v, body — lines ordered by section, then name. From
+    ``version_changes`` (a projection) or the long form (grouped by version)."""
+    if "changes" not in changes.columns:
+        changes = changes.groupBy(*KEYS).agg(F.collect_list(F.struct(
+            "section", "change", "name", "old", "new")).alias("changes"))
+    rows = changes.where(F.size("changes") > 0).select(*KEYS, F.array_sort(F.transform(
+        "changes", lambda x: F.struct(section_no(x["section"]).alias("no"),
+                                      x["name"].alias("name"), line_of(x).alias("line")))).alias("ls"))
+    return rows.select(*KEYS, F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("body"))
 
 
 def fan_out(reports: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """A4: one row per report and recipient. Subscriptions (db, tbl,
-    recipient) with tbl NULL cover the whole database. The subscription side
-    is broadcast only after its size is checked."""
-    subs = subscriptions.select("db", F.col("tbl").alias("_sub_tbl"), "recipient")
-    j = join_checked(reports, subs, ["db"])
-    return (j.filter(F.col("_sub_tbl").isNull() | (F.col("_sub_tbl") == F.col("tbl")))
-            .drop("_sub_tbl"))
+    recipient) with tbl NULL cover the whole database, others one table: two
+    equi-joins, each on its own key. A recipient with both gets one row."""
+    names = subscriptions.select("db", "tbl", "recipient").distinct()
+    whole = reports.join(names.where(F.col("tbl").isNull()).drop("tbl"), "db")
+    own = reports.join(names.where(F.col("tbl").isNotNull()), ["db", "tbl"])
+    double = (names.where(F.col("tbl").isNotNull())
+              .join(names.where(F.col("tbl").isNull()).drop("tbl"), ["db", "recipient"])
+              .select("db", "tbl", "recipient"))
+    return (whole.select(*reports.columns, "recipient").unionByName(
+        own.join(double, ["db", "tbl", "recipient"], "left_anti")
+        .select(*reports.columns, "recipient")))
 
 
 def new_table_alerts(new: DataFrame) -> DataFrame:
@@ -80,15 +87,10 @@ def new_table_alerts(new: DataFrame) -> DataFrame:
     return new.select("db", "tbl", F.concat(F.lit(NEW_TABLE_TEXT), "db", F.lit("."), "tbl").alias("body"))
 
 
-def deleted_alerts(deleted: DataFrame, chunk: int = DROPPED_CHUNK) -> DataFrame:
-    """Db, part, body — dropped tables listed per database, in chunks of
-    ``chunk`` names so no alert (and no task) grows with the catalog."""
-    numbered = number_within(deleted.select("db", "tbl"), ["db"], ["tbl"], out="rn")
-    return (numbered.withColumn("part", ((F.col("rn") - 1) / chunk).cast("int"))
-            .groupBy("db", "part")
-            .agg(F.array_sort(F.collect_list(F.concat("db", F.lit("."), "tbl"))).alias("ts"))
-            .select("db", "part", F.concat(F.lit(DROPPED_TABLES_TEXT),
-                                           F.array_join("ts", ", ")).alias("body")))
+def deleted_alerts(deleted: DataFrame) -> DataFrame:
+    """Db, tbl, body — one row per table dropped from the catalog."""
+    return deleted.select("db", "tbl", F.concat(
+        F.lit(DROPPED_TABLE_TEXT), "db", F.lit("."), "tbl").alias("body"))
 
 
 # SURVEY §2 signature names

@@ -18,14 +18,18 @@ from ..operators import history as H
 from ..operators import report as R
 
 
-def drift_summary(diff: DataFrame) -> DataFrame:
-    """db, tbl, v, n_added, n_deleted, n_changed, n_attr per changed version."""
-    is_col = F.col("section") == "columns"
-    return diff.groupBy("db", "tbl", "v").agg(
-        F.count(F.when(is_col & (F.col("change") == "added"), 1)).alias("n_added"),
-        F.count(F.when(is_col & (F.col("change") == "deleted"), 1)).alias("n_deleted"),
-        F.count(F.when(is_col & (F.col("change") == "changed"), 1)).alias("n_changed"),
-        F.count(F.when(~is_col, 1)).alias("n_attr"))
+def drift_summary(changes: DataFrame) -> DataFrame:
+    """db, tbl, v, n_added, n_deleted, n_changed, n_attr per changed version, a
+    projection of ``version_changes``."""
+    def n(cond) -> F.Column:
+        return F.size(F.filter("changes", cond)).cast("long")
+    column = lambda x: x["section"] == "columns"
+    return changes.where(F.size("changes") > 0).select(
+        "db", "tbl", "v",
+        n(lambda x: column(x) & (x["change"] == "added")).alias("n_added"),
+        n(lambda x: column(x) & (x["change"] == "deleted")).alias("n_deleted"),
+        n(lambda x: column(x) & (x["change"] == "changed")).alias("n_changed"),
+        n(lambda x: ~column(x)).alias("n_attr"))
 
 
 @dataclass

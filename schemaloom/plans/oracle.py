@@ -256,11 +256,8 @@ Q: dict[str, str] = {
     "alert_outbox": "select r.db, r.tbl, r.v, s.recipient, r.body from change_report r "
                     "join subs s on s.db = r.db",
     "new_table_alerts": "select db, tbl, concat('new table ', db, '.', tbl) as body from new_t",
-    "deleted_alert": """
-        select db, part, concat('tables dropped from the catalog: ',
-                                string_agg(db || '.' || tbl, ', ' order by tbl)) as body
-        from (select db, tbl, cast((row_number() over (partition by db order by tbl) - 1) // 500 as integer) as part
-              from del_t) group by db, part""",
+    "deleted_alert": "select db, tbl, concat('table dropped from the catalog: ', db, '.', tbl) as body "
+                     "from del_t",
     # functions
     "fn_normalise": r"""
         select doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) as norm_text

@@ -112,7 +112,7 @@ def change_flags(spark, sf):
 
 
 def changed_versions(spark, sf):
-    return D.changed_versions(D.diff_definitions(defs(spark, sf)))
+    return D.changed_versions(D.version_changes(defs(spark, sf)))
 
 
 # ---- history ----------------------------------------------------------------
@@ -178,7 +178,7 @@ def col_lines(spark, sf):
 
 
 def change_report(spark, sf):
-    return R.change_report(D.diff_definitions(defs(spark, sf)))
+    return R.change_report(D.version_changes(defs(spark, sf)))
 
 
 def new_table_alerts(spark, sf):
@@ -213,7 +213,7 @@ def fn_version_stamp(spark, sf):
 
 def drift_report(spark, sf):
     from .drift import drift_summary
-    return drift_summary(D.diff_definitions(defs(spark, sf)))
+    return drift_summary(D.version_changes(defs(spark, sf)))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
