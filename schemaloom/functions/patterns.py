@@ -5,10 +5,10 @@ functions. Repetition of groups is possessive (``*+`` / ``++``): Java runs
 possessive group loops iteratively, so texts with thousands of columns do
 not overflow the stack, and nothing backtracks.
 
-Nesting is bounded: parentheses up to ``PAREN_DEPTH`` inside a list item,
-angle brackets (``MAP<..>``, ``STRUCT<..>``) up to ``ANGLE_DEPTH``. Deeper
-text does not match; the extractor reports such rows as rejected instead of
-losing them.
+The patterns themselves read parentheses nested up to ``PAREN_DEPTH`` and
+angle brackets up to ``ANGLE_DEPTH``. Deeper text is first masked
+(``functions.text.mask_nested``): everything nested inside a list item becomes
+private-use characters, so any depth is read exactly by the same patterns.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ TAIL_START = r"row\s+format\b|stored\s+as\b(?!\s+directories)|location\b|tblprop
 CTAS_START = r"as\s+(?:select|with|from|values|table)\b|as\s*\("
 # ---------------------------------------------------------------------------
 
-# quoted text: 'single', "double" (backslash escapes), `identifier`
-QUOTED = r"""(?:'(?:[^'\\]++|\\.)*+'|"(?:[^"\\]++|\\.)*+"|`[^`]*+`)"""
+# quoted text: 'single', "double" (backslash escapes, doubled quotes), `identifier`
+QUOTED = r"""(?:'(?:[^'\\]++|\\.|'')*+'|"(?:[^"\\]++|\\.|"")*+"|`[^`]*+`)"""
 _QCH = "'\"`"
 
 
@@ -55,6 +55,13 @@ BODY = rf"(?:[^(){_QCH}]++|{QUOTED}|{PN})*+"
 # one comma-separated list item
 ITEM = rf"(?:[^,()<>{_QCH}]++|{QUOTED}|{PN}|{AN})++"
 
+# private-use characters that stand for ( ) , < > in masked text
+MASK = "\ue000\ue001\ue002\ue003\ue004"
+UNMASKED = "(),<>"
+MASKED = rf"{MASK[0]}.*{MASK[1]}"
+# pieces of a text for masking: quoted text, one bracket or comma, anything else
+MASK_TOKENS = rf"{QUOTED}|[(),<>]|[^(),<>{_QCH}]++|[{_QCH}]"
+
 # one to three dot-separated identifiers, plain or back-quoted
 NAME = r"(?:(?:`[^`]++`|\w+)\s*\.\s*){0,2}(?:`[^`]++`|\w+)"
 
@@ -74,11 +81,16 @@ INSIDE_PARENS = r"(?s)^\s*\((.*)\)$"
 
 # a list item that is a table constraint, not a column
 CONSTRAINT_ITEM = rf"(?is)^\s*(?:{CONSTRAINT_START})\b"
-# name type [NOT NULL] [COMMENT 'text']
-COLUMN_ITEM = (
-    rf"(?is)^\s*(`[^`]++`|\w+)\s+(.+?)(?:\s+not\s+null)?"
-    rf"(?:\s+comment\s+({QUOTED}))?\s*$"
-)
+# name type, then in any order NOT NULL, COLLATE c, DEFAULT value, GENERATED
+# ALWAYS AS (…), COMMENT 'text' and constraints of the one column
+_DEFAULT = rf"default\s+(?:(?!\s+(?:not\s+null|comment\s|collate\s))(?:{QUOTED}|{PN}|[^(){_QCH}]))++"
+COLUMN_OPTION = (rf"not\s+null|collate\s+[\w.]+|{_DEFAULT}|generated\s+always\s+as\s*(?:{PN}|{MASKED})"
+                 rf"|comment\s+({QUOTED})|(?:constraint\s+\w+\s+)?(?:check\s*(?:{PN}|{MASKED})"
+                 r"|primary\s+key|unique)|(?:not\s+)?enforced|enable|disable|(?:no)?validate"
+                 r"|(?:no)?rely")
+COLUMN_ITEM = rf"(?is)^\s*(`[^`]++`|\w+)\s+(.+?)(?:\s+(?:{COLUMN_OPTION}))*\s*$"
+# a type never holds quoted text
+TYPE_TEXT = rf"^[^{_QCH}]+$"
 # a bare name (untyped partition column)
 BARE_ITEM = r"(?is)^\s*(`[^`]++`|\w+)\s*$"
 

@@ -72,15 +72,64 @@ def norm_ident(col: Column) -> Column:
 
 def norm_type(col: Column) -> Column:
     """Type as printed, upper-case, no blanks around , < > ( ) :"""
-    slow = F.regexp_replace(collapse_ws(col), r"\s*([,<>():])\s*", "$1")
+    slow = F.regexp_replace(collapse_ws(col), rf"\s*([,<>():{P.MASK}])\s*", "$1")
     t = F.upper(F.when(_has_ws(col), slow).otherwise(col))
     return F.when(t != "", t)
 
 
 def unquote(col: Column) -> Column:
-    """'text' -> text, with backslash escapes resolved."""
+    """'text' -> text, with backslash escapes and doubled quotes resolved."""
     inner = col.substr(F.lit(2), F.length(col) - 2)
-    return F.when(col.contains("\\"), F.regexp_replace(inner, r"\\(.)", "$1")).otherwise(inner)
+    mark = col.substr(F.lit(1), F.lit(1))
+    plain = (F.when(col.contains("\\"), F.regexp_replace(inner, rf"\\(.)|(['\"])\2", "$1$2"))
+             .when(inner.contains("'") & (mark == "'"), F.replace(inner, F.lit("''"), F.lit("'")))
+             .when(inner.contains('"') & (mark == '"'), F.replace(inner, F.lit('""'), F.lit('"')))
+             .otherwise(inner))
+    return plain
+
+
+def _count(col: Column, char: str) -> Column:
+    return F.length(col) - F.length(F.translate(col, char, ""))
+
+
+def nested_deeper(col: Column) -> Column:
+    """Is anything nested deeper than the patterns read? Innermost groups are
+    removed as often as there are levels; a bracket that is left is deeper.
+    Brackets in quotes count too: then masking is not needed but harmless."""
+    def left(opens: str, group: str, levels: int) -> Column:
+        out = col
+        for _ in range(levels):
+            out = F.regexp_replace(out, group, "")
+        return (_count(col, opens) > levels) & out.contains(opens)
+    return (left("(", r"\([^()]*+\)", P.PAREN_DEPTH)
+            | left("<", r"<[^<>]*+>", P.ANGLE_DEPTH))
+
+
+def mask_nested(col: Column) -> Column:
+    """The text with all brackets and commas inside a list item replaced by
+    the characters of ``patterns.MASK``; NULL if brackets don't pair. Quoted
+    text stays. Only for texts that need it: it walks token by token."""
+    opens, closes, comma, less, more = (F.lit(c) for c in P.MASK)
+    start = F.struct(F.lit("").alias("s"), F.lit(0).alias("d"), F.lit(0).alias("a"))
+
+    def step(acc, t):
+        s, d, a = acc["s"], acc["d"], acc["a"]
+        in_list, nested = d >= 1, (d > 1) | (a > 0)
+        angle = in_list & (d == 1)
+        return F.struct(
+            F.concat(s, F.when((t == "(") & in_list, opens)
+                     .when((t == ")") & (d > 1), closes)
+                     .when((t == ",") & in_list & nested, comma)
+                     .when((t == "<") & in_list, less)
+                     .when((t == ">") & in_list, more).otherwise(t)).alias("s"),
+            (d + F.when(t == "(", 1).when(t == ")", -1).otherwise(0)).alias("d"),
+            (a + F.when(angle & (t == "<"), 1).when(angle & (t == ">"), -1).otherwise(0)).alias("a"))
+    end = F.aggregate(rx_all(col, P.MASK_TOKENS), start, step)
+    return F.when((end["d"] == 0) & (end["a"] == 0), end["s"])
+
+
+def unmask(col: Column) -> Column:
+    return F.translate(col, P.MASK, P.UNMASKED)
 
 
 def name_parts(name: Column) -> Column:

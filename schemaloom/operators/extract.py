@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.text import (SEP, groups, name_parts, norm_clause, norm_ident, norm_type,
-                              rx_all, unquote)
+from ..functions.text import (SEP, groups, mask_nested, name_parts, nested_deeper, norm_clause,
+                              norm_ident, norm_type, rx_all, unmask, unquote)
 
 # scalar sections, in report order
 ATTRIBUTES = ["kind", "identity", "clustered", "skewed", "skewed_on", "skewed_dirs",
@@ -90,8 +90,11 @@ def definitions(corpus: DataFrame) -> DataFrame:
         "_view": F.regexp_extract(ddl, P.VIEW_HEAD, 1),
         "_h": groups(ddl, P.TABLE_HEAD, 3),   # kind, name, text after the name
     })
+    d = d.withColumn("_deep", F.coalesce(nested_deeper(c("_h")[2]), F.lit(False)))
     d = d.withColumns({
-        "_kind": c("_h")[0], "_name": _blank_null(c("_h")[1]), "_after": c("_h")[2],
+        "_kind": c("_h")[0], "_name": _blank_null(c("_h")[1]),
+        "_after": F.when(c("_deep"), F.coalesce(mask_nested(c("_h")[2]), c("_h")[2]))
+        .otherwise(c("_h")[2]),
         "_like": F.when(c("_view") == "", F.regexp_extract(c("_h")[2], P.LIKE_AFTER, 1)),
     })
     d = d.withColumn(
@@ -138,7 +141,8 @@ def definitions(corpus: DataFrame) -> DataFrame:
     d = d.withColumns({
         "constraints": F.array_distinct(F.transform("_cons", norm_clause)),
         "_cols_sorted": F.array_sort("_cols"),
-        "_bad_item": F.exists("_cols", lambda x: x["name"].isNull()),
+        "_bad_item": F.exists(F.concat("_cols", "_pcols"), lambda x: x["name"].isNull()
+                              | (x["type"].isNotNull() & ~x["type"].rlike(P.TYPE_TEXT))),
         "_pcols_sorted": F.array_sort("_pcols"),
         "_tail": groups(c("_pre"), P.TAIL, 1)[0],
         "provider": F.when(has("using"), F.lower(_blank_null(F.regexp_extract("_pre", P.PROVIDER, 1)))),
@@ -164,11 +168,22 @@ def definitions(corpus: DataFrame) -> DataFrame:
         "view_text": F.when(c("shape") == "view", norm_clause(ddl)),
         "reject_reason": (
             F.when(c("shape").isNull(), "not a CREATE TABLE or CREATE VIEW text")
-            .when(c("_opens") & (c("_body_full") == ""), "column list unbalanced or nested too deep")
+            .when(c("_opens") & (c("_body_full") == ""), "column list unbalanced")
             .when(~c("_items_ok"), "column list has text outside any item")
-            .when(c("_bad_item"), "column item without a name")
+            .when(c("_bad_item"), "column item that is not a name and a type")
             .when(c("_pword") & (c("_pfull") == ""),
-                  "partition list unbalanced or nested too deep")),
+                  "partition list unbalanced")),
+    })
+    # masked texts get their brackets back
+    deep = c("_deep")
+    plain = lambda x: F.struct(x["name"].alias("name"), x["pos"].alias("pos"),
+                               unmask(x["type"]).alias("type"), unmask(x["comment"]).alias("comment"))
+    d = d.withColumns({
+        **{n: F.when(deep, F.transform(n, plain)).otherwise(c(n)) for n in ("columns", "part_columns")},
+        "constraints": F.when(deep, F.transform("constraints", unmask)).otherwise(c("constraints")),
+        **{n: F.when(deep, unmask(c(n))).otherwise(c(n)) for n in (
+            "clustered", "cluster_cols", "skewed", "skewed_on", "as_sql", "options_tail",
+            "table_comment")},
     })
     d = d.withColumn("identity", _blank_null(F.concat_ws(".", "ident_db", "ident_tbl")))
     keep = [x for x in corpus.columns if x != "ddl"]

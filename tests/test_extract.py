@@ -111,9 +111,53 @@ def test_wide_table(spark, corpus_of):
 
 
 @pytest.mark.parametrize("ddl,reason", [
-    ("CREATE TABLE d.t (a INT CHECK (((a))))", "column list unbalanced or nested too deep"),
+    ("CREATE TABLE d.t (a INT, b ((INT)", "column list unbalanced"),
+    ("CREATE TABLE d.t (a INT) PARTITIONED BY (p INT", "partition list unbalanced"),
+    ("CREATE TABLE d.t (a 'x' INT)", "column item that is not a name and a type"),
     ("SELECT 1", "not a CREATE TABLE or CREATE VIEW text"),
 ])
 def test_rejected_rows_are_kept(spark, corpus_of, ddl, reason):
     rej = E.rejected(E.definitions(corpus_of([("t", 1, ddl)]))).collect()
     assert [r.reject_reason for r in rej] == [reason]
+
+
+def test_any_depth_and_quotes(spark, corpus_of):
+    deep = "INT"
+    for i in range(9):
+        deep = f"STRUCT<f{i}: {deep}, g: MAP<STRING,DECIMAL(10,2)>>"
+    defs = {r.v: r for r in E.definitions(corpus_of([
+        ("t", 1, "CREATE TABLE d.t (id INT, k INT, CHECK (((id > 0) AND (((k < 5))))), z INT) STORED AS ORC"),
+        ("t", 2, f"CREATE TABLE d.t (id INT, s {deep} COMMENT 'a, (b', e ARRAY<INT>) "
+                 "PARTITIONED BY (dt STRING)"),
+        ("t", 3, "CREATE TABLE d.t (a STRING COMMENT 'it''s', b INT DEFAULT 5, c STRING NOT NULL "
+                 "DEFAULT concat('x', (('y'))) COMMENT \"say \"\"hi\"\"\", e STRING COLLATE utf8_lcase, "
+                 "g INT GENERATED ALWAYS AS (((b + (1)))) COMMENT 'gen')"),
+        ("t", 4, "CREATE TABLE d.t (a INT, b ((INT)"),
+        ("t", 5, "CREATE TABLE d.t (a 'odd' INT)"),
+        ("t", 7, "CREATE TABLE d.t (a INT CHECK (((a > 0))) COMMENT 'c', b INT PRIMARY KEY ENABLE)"),
+        ("t", 6, "CREATE TABLE d.t (a INT) SKEWED BY (a) ON (((1)),((2))) STORED AS ORC")])).collect()}
+    assert [c.name for c in defs[1].columns] == ["id", "k", "z"] and defs[1].reject_reason is None
+    assert defs[1].constraints == ["check (((id > 0) and (((k < 5)))))"]
+    assert defs[1].options_tail == "stored as orc"
+    cols = {c.name: c for c in defs[2].columns}
+    assert cols["s"].type == deep.upper().replace(", ", ",").replace(": ", ":")
+    assert cols["s"].comment == "a, (b" and cols["e"].type == "ARRAY<INT>"
+    assert [c.name for c in defs[2].part_columns] == ["dt"] and defs[2].reject_reason is None
+    got = [(c.name, c.type, c.comment) for c in defs[3].columns]
+    assert got == [("a", "STRING", "it's"), ("b", "INT", None), ("c", "STRING", 'say "hi"'),
+                   ("e", "STRING", None), ("g", "INT", "gen")]
+    assert defs[3].reject_reason is None
+    assert defs[4].reject_reason and defs[5].reject_reason
+    assert [(c.name, c.type, c.comment) for c in defs[7].columns] == [
+        ("a", "INT", "c"), ("b", "INT", None)]
+    assert defs[6].skewed_on == "on (((1)),((2)))"
+
+
+def test_unreadable_versions_enter_no_diff(spark, corpus_of):
+    from schemaloom.operators import diff as D
+    defs = E.definitions(corpus_of([("t", 1, "CREATE TABLE d.t (a INT, b INT)"),
+                                    ("t", 2, "CREATE TABLE d.t (a INT, b ((INT)"),
+                                    ("t", 3, "CREATE TABLE d.t (a INT)"),
+                                    ("t", 4, "CREATE TABLE d.t (a BIGINT)")]))
+    assert [(r.v, r.name, r.change) for r in D.diff_columns(defs).collect()] == [(4, "a", "changed")]
+    assert [r.v for r in E.rejected(defs).collect()] == [2]
