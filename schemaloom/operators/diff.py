@@ -49,9 +49,10 @@ def readable(defs: DataFrame) -> Column:
     return F.col("reject_reason").isNull() if "reject_reason" in defs.columns else F.lit(True)
 
 
-def paired(defs: DataFrame, fields) -> DataFrame:
+def paired(defs: DataFrame, fields, firsts: bool = False) -> DataFrame:
     """db, tbl, v, new, old: structs of ``fields`` of every readable version
-    and its readable predecessor. The extraction is read once."""
+    and its readable predecessor; with ``firsts`` also versions without one
+    (old is NULL). The extraction is read once."""
     body = F.struct(*fields)
     sides = defs.select("db", "tbl", "v", body.alias("_d"), readable(defs).alias("_ok")).select(
         "db", "tbl", "_ok", F.inline(F.array(
@@ -60,7 +61,7 @@ def paired(defs: DataFrame, fields) -> DataFrame:
     w = Window.partitionBy(*KEYS).orderBy("_side")
     return (sides.where(F.col("_ok"))
             .withColumns({"old": F.lag("_d").over(w), "_from": F.lag("_side").over(w)})
-            .where((F.col("_side") == 1) & (F.col("_from") == 0))
+            .where((F.col("_side") == 1) & ((F.col("_from") == 0) | F.lit(firsts)))
             .select(*KEYS, F.col("_d").alias("new"), "old"))
 
 

@@ -2,20 +2,20 @@
 
 "Last" and "history" of the saved-file store become queries over the
 append-only corpus. Per-table results use aggregates with map-side partial
-aggregation, or equi-joins on (db, tbl, v); the one ordered step
-(``version_intervals``) uses the skew-safe numbering helper.
+aggregation, or equi-joins on (db, tbl, v); whether a definition changed is
+told from its fingerprint, and only versions that a question needs are
+extracted.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequence import number_within
-from .diff import KEYS, changed_versions
-from .extract import ATTRIBUTES
+from .diff import KEYS, paired, readable
+from .extract import ATTRIBUTES, definitions
 
 TABLE = ["db", "tbl"]
 
@@ -68,37 +68,39 @@ def deleted_tables(prev: DataFrame, cur: DataFrame) -> DataFrame:
     return inventory(prev).join(inventory(cur), TABLE, "left_anti")
 
 
-def classify_tables(prev_defs: DataFrame, cur_defs: DataFrame) -> DataFrame:
-    """H4: db, tbl, status in new / deleted / changed / unchanged, comparing
-    the newest definition of each side."""
-    p = latest_rows(prev_defs).select(*TABLE, fingerprint(prev_defs).alias("fp_prev"))
-    c = latest_rows(cur_defs).select(*TABLE, fingerprint(cur_defs).alias("fp_cur"))
-    j = p.join(c, TABLE, "full_outer")
-    status = (F.when(F.col("fp_prev").isNull(), "new")
-              .when(F.col("fp_cur").isNull(), "deleted")
-              .when(F.col("fp_prev") != F.col("fp_cur"), "changed")
-              .otherwise("unchanged"))
-    return j.select(*TABLE, status.alias("status"))
-
-
-def classify_runs(defs: DataFrame, prev_keys: DataFrame, cur_keys: DataFrame) -> DataFrame:
-    """H4 for two runs over ONE definitions relation: ``prev_keys`` /
-    ``cur_keys`` (db, tbl, v) say which versions each run saw. Fingerprints
-    are computed once; each run's newest version is found from keys alone
-    (no extraction), and one join + per-table pivot gives the status."""
+def _status(prev: Column, cur: Column) -> Column:
+    """Status of a table from its fingerprints; '' is an unreadable version."""
+    return (F.when(prev.isNull(), "new").when(cur.isNull(), "deleted")
+            .when(cur == "", "unreadable").when(prev != cur, "changed").otherwise("unchanged"))
+
+
+def marked_fingerprint(defs: DataFrame) -> Column:
+    """The fingerprint, or '' for a version that could not be read."""
+    return F.when(readable(defs), fingerprint(defs)).otherwise(F.lit(""))
+
+
+def classify_runs(corpus: DataFrame, prev_keys: DataFrame, cur_keys: DataFrame) -> DataFrame:
+    """H4: db, tbl, status in new / deleted / changed / unchanged / unreadable.
+
+    ``prev_keys`` / ``cur_keys`` (db, tbl, v) say which versions each run saw.
+    Each run's newest version is found from keys alone; only these, two per
+    table at most, are taken from the corpus and extracted."""
     def newest(keys: DataFrame, tag: str) -> DataFrame:
         return (keys.groupBy(*TABLE).agg(F.max("v").alias("v"))
                 .withColumn("_run", F.lit(tag)))
     runs = newest(prev_keys, "prev").unionByName(newest(cur_keys, "cur"))
-    fps = defs.select(*KEYS, fingerprint(defs).alias("fp")).join(runs, KEYS)
-    per_table = fps.groupBy(*TABLE).agg(
-        F.max(F.when(F.col("_run") == "prev", F.col("fp"))).alias("fp_prev"),
-        F.max(F.when(F.col("_run") == "cur", F.col("fp"))).alias("fp_cur"))
-    status = (F.when(F.col("fp_prev").isNull(), "new")
-              .when(F.col("fp_cur").isNull(), "deleted")
-              .when(F.col("fp_prev") != F.col("fp_cur"), "changed")
-              .otherwise("unchanged"))
-    return per_table.select(*TABLE, status.alias("status"))
+    needed = runs.groupBy(*KEYS).agg(F.collect_list("_run").alias("_runs"))
+    defs = definitions(corpus.join(needed, KEYS))
+    per_table = defs.select(*TABLE, marked_fingerprint(defs).alias("fp"), "_runs").groupBy(*TABLE).agg(
+        F.max(F.when(F.array_contains("_runs", "prev"), F.col("fp"))).alias("fp_prev"),
+        F.max(F.when(F.array_contains("_runs", "cur"), F.col("fp"))).alias("fp_cur"))
+    return per_table.select(*TABLE, _status(F.col("fp_prev"), F.col("fp_cur")).alias("status"))
+
+
+def classify_tables(prev: DataFrame, cur: DataFrame) -> DataFrame:
+    """H4 for two corpora: the newest version of each side."""
+    both = prev.unionByName(cur).dropDuplicates(KEYS)
+    return classify_runs(both, prev.select(*KEYS), cur.select(*KEYS))
 
 
 def last_seen(defs: DataFrame, by: Iterable[str] = ("kind", "options_tail")) -> DataFrame:
@@ -108,21 +110,38 @@ def last_seen(defs: DataFrame, by: Iterable[str] = ("kind", "options_tail")) ->
             .agg(F.max(F.to_date("captured_at")).alias("last_seen")))
 
 
-def distinct_versions(defs: DataFrame, diff: DataFrame) -> DataFrame:
-    """H6: first versions and versions that really changed something."""
-    changed = changed_versions(diff)
-    firsts = defs.filter(F.col("v") == 1).select(*KEYS)
-    keep = firsts.unionByName(changed)
-    return (defs.join(keep, KEYS, "left_semi")
-            .select(*KEYS, "vid", F.to_date("captured_at").alias("valid_from")))
-
-
-def version_intervals(defs: DataFrame, diff: DataFrame) -> DataFrame:
-    """H7: valid_from / valid_to (next distinct version's date, NULL = current)."""
-    kept = number_within(distinct_versions(defs, diff), TABLE, ["v"], out="r")
-    nxt = kept.select(*TABLE, (F.col("r") - 1).alias("r"), F.col("valid_from").alias("valid_to"))
-    return (kept.join(nxt, [*TABLE, "r"], "left")
-            .select(*KEYS, "vid", "valid_from", "valid_to"))
+def distinct_versions(defs: DataFrame) -> DataFrame:
+    """H6: first versions and versions whose fingerprint differs from the one
+    before; a version after an unreadable one counts as different, an
+    unreadable one is left out. Two short fields per version are compared."""
+    marked = defs.withColumn("_fp", fingerprint(defs))
+    both = paired(marked, ["_fp", "vid", "captured_at"], firsts=True)
+    changed = F.col("old").isNull() | (F.col("old._fp") != F.col("new._fp"))
+    return both.where(changed).select(
+        *KEYS, F.col("new.vid").alias("vid"), F.to_date("new.captured_at").alias("valid_from"))
+
+
+VERSIONS_AT_ONCE = 1024
+
+
+def version_intervals(defs: DataFrame) -> DataFrame:
+    """H7: valid_from / valid_to (next distinct version's date, NULL = current).
+
+    Versions are numbered densely, so a table is cut into runs of
+    VERSIONS_AT_ONCE numbers: a window inside a run, and one over the first
+    rows of a table's runs, find the next version. No task holds a table, and
+    nothing runs while the plan is built."""
+    kept = distinct_versions(defs).withColumn("_run", F.floor(F.col("v") / VERSIONS_AT_ONCE))
+    inside = Window.partitionBy(*TABLE, "_run").orderBy("v")
+    rows = kept.withColumns({"valid_to": F.lead("valid_from").over(inside),
+                             "_last": F.lead("v").over(inside).isNull(),
+                             "_first": F.lag("v").over(inside).isNull()})
+    over = Window.partitionBy(*TABLE).orderBy("_run")
+    heads = rows.where("_first").select(*TABLE, "_run", F.lead("valid_from").over(over).alias("_next"))
+    ends = rows.where("_last").drop("valid_to").join(heads, [*TABLE, "_run"])
+    out = [*KEYS, "vid", "valid_from", "valid_to"]
+    return (rows.where(~F.col("_last")).select(*out)
+            .unionByName(ends.withColumn("valid_to", F.col("_next")).select(*out)))
 
 
 # SURVEY §2 signature names

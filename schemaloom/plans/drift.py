@@ -1,15 +1,24 @@
-"""The whole drift check as one DataFrame DAG.
+"""The drift run.
 
-capture (catalog or files) -> extract -> diff -> classify -> report ->
-outbox. Everything between the source and the sinks is lazy; the sinks are
-the only actions.
+A run takes what the catalog holds now and compares it with the state that
+the last run left in a store on shared storage:
+
+    corpus/run_id=…      versions added by a run (unchanged texts add none)
+    latest/run_id=…      newest definition of every table ever seen, extracted
+    inventory/run_id=…   tables in the catalog at the run
+    rejected/run_id=…    captured texts that could not be read, failed captures
+    alerts/run_id=…      alerts, one row per recipient
+
+Every folder is written with overwrite, so a run that is repeated under its
+id gives the same store. A run reads the capture, the last ``latest`` and the
+last inventory: it costs the catalog, not the history.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import diff as D
@@ -17,6 +26,10 @@ from ..operators import extract as E
 from ..operators import history as H
 from ..operators import report as R
 
+TABLE = ["db", "tbl"]
+LATEST = ["db", "tbl", "v", "fp", *E.SECTIONS]
+ALERT_KINDS = ("changed", "new", "dropped")
+
 
 def drift_summary(changes: DataFrame) -> DataFrame:
     """db, tbl, v, n_added, n_deleted, n_changed, n_attr per changed version, a
@@ -34,42 +47,97 @@ def drift_summary(changes: DataFrame) -> DataFrame:
 
 @dataclass
 class DriftRun:
-    defs: DataFrame
-    diff: DataFrame
-    status: DataFrame
-    reports: DataFrame
-    outbox: DataFrame
-    new_alerts: DataFrame
-    dropped_alerts: DataFrame
-    summary: DataFrame
+    """What a run wrote, read back from the store."""
+
+    status: DataFrame     # db, tbl, status
+    changes: DataFrame    # db, tbl, v, changes
+    alerts: DataFrame     # kind, db, tbl, v, recipient, body
+    rejected: DataFrame   # db, tbl, reason
+
+
+class DriftStore:
+    """Folders of the store; ``root`` is on shared storage."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
 
+    def write(self, df: DataFrame, name: str, run_id: str) -> DataFrame:
+        path = f"{self.root}/{name}/run_id={run_id}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
-def run_drift_check(prev_corpus: DataFrame, cur_corpus: DataFrame,
+    def read(self, name: str, run_id: str, schema) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/run_id={run_id}")
+
+
+def run_drift_check(spark: SparkSession, store: DriftStore, run_id: str, last_run: str | None,
+                    inventory: DataFrame, captured: DataFrame,
                     subscriptions: DataFrame) -> DriftRun:
-    """Compare the saved corpus (``prev_corpus``) with a fresh capture
-    appended to it (``cur_corpus``, same schema, new versions numbered after
-    the saved ones, see ``sinks.writers.number_new_capture``). Returns lazy
-    DataFrames; write them with the sinks."""
-    keys = ["db", "tbl", "v"]
-    fresh = cur_corpus.select(*keys)
-    saved = prev_corpus.select(*keys)
-    newest_saved = saved.groupBy("db", "tbl").agg(F.max("v").alias("v"))
-    # Only these versions are read and extracted: the fresh ones, their
-    # predecessors and each table's newest saved one — a run costs the size
-    # of the catalog, not of its history.
-    needed = (fresh.unionByName(fresh.select("db", "tbl", (F.col("v") - 1).alias("v")))
-              .unionByName(newest_saved.select(*keys)).distinct())
-    corpus = prev_corpus.unionByName(cur_corpus).join(needed, keys, "left_semi")
-    all_defs = E.definitions(corpus)
-    new_diff = D.diff_definitions(all_defs).join(fresh, keys, "left_semi")
-    cur_keys = (saved.unionByName(fresh)
-                .join(H.inventory(cur_corpus), ["db", "tbl"], "left_semi"))
-    status = H.classify_runs(all_defs, saved, cur_keys)
-    reports = R.change_report(new_diff)
-    return DriftRun(
-        defs=all_defs, diff=new_diff, status=status, reports=reports,
-        outbox=R.fan_out(reports, subscriptions),
-        new_alerts=R.new_table_alerts(status.filter(F.col("status") == "new")),
-        dropped_alerts=R.deleted_alerts(status.filter(F.col("status") == "deleted")),
-        summary=drift_summary(new_diff),
-    )
+    """One run. ``inventory`` (db, tbl) lists the catalog (S1); ``captured``
+    (db, tbl, ddl, captured_at) has its texts (S2, null ddl: the capture
+    failed); ``last_run`` is the id of the run before, None for the first.
+
+    Status: new (in the catalog now, not at the last run; a table that is
+    created again is new), dropped (reported once, at the transition),
+    changed, unchanged (adds no version), unreadable, not_captured. Alerts of
+    all kinds go to the recipients of the table and of its database.
+    """
+    # a partition column would come back: the empty frames give the schemas
+    empty = E.definitions(captured.limit(0).select(
+        "db", "tbl", F.lit(0).alias("v"), "captured_at", "ddl"))
+    latest_schema = empty.withColumn("fp", F.lit("")).select(*LATEST).schema
+    inventory_schema = inventory.select(*TABLE).schema
+    if last_run is None:
+        before = spark.createDataFrame([], latest_schema)
+        listed = spark.createDataFrame([], inventory_schema)
+    else:
+        before = store.read("latest", last_run, latest_schema)
+        listed = store.read("inventory", last_run, inventory_schema)
+    now = store.write(inventory.select(*TABLE).distinct(), "inventory", run_id)
+
+    # the capture is extracted once; a second row of a table is dropped
+    texts = (captured.where(F.col("ddl").isNotNull()).dropDuplicates(TABLE)
+             .join(now, TABLE, "left_semi")
+             .join(before.select(*TABLE, F.col("v").alias("_last")), TABLE, "left")
+             .select(*TABLE, (F.coalesce("_last", F.lit(0)) + 1).cast("int").alias("v"),
+                     "captured_at", "ddl"))
+    defs = E.definitions(texts.withColumn("_ddl", F.col("ddl")))
+    fresh = store.write(defs.withColumn("fp", H.marked_fingerprint(defs)).select(
+        *LATEST, "captured_at", "reject_reason", F.col("_ddl").alias("ddl")), "captured", run_id)
+
+    old = before.select(*TABLE, F.col("fp").alias("_fp"))
+    was, is_ = listed.withColumn("_was", F.lit(True)), now.withColumn("_is", F.lit(True))
+    state = (was.join(is_, TABLE, "full_outer")
+             .join(fresh.select(*TABLE, "fp"), TABLE, "left").join(old, TABLE, "left")
+             .select(*TABLE, F.when(F.col("_is").isNull(), "dropped")
+                     .when(F.col("_was").isNull(), "new")
+                     .when(F.col("fp").isNull(), "not_captured").when(F.col("fp") == "", "unreadable")
+                     .when(F.col("_fp").isNull() | (F.col("_fp") != F.col("fp")), "changed")
+                     .otherwise("unchanged").alias("status")))
+    status = store.write(state, "status", run_id)
+
+    read = fresh.where(F.col("fp") != "")
+    added = read.join(before.select(*TABLE, "fp"), [*TABLE, "fp"], "left_anti")
+    store.write(added.select(*TABLE, "v", F.xxhash64(*TABLE, "v").alias("vid"), "captured_at", "ddl"),
+                "corpus", run_id)
+    latest = added.select(*LATEST).unionByName(before.join(added.select(*TABLE), TABLE, "left_anti"))
+    store.write(latest.select(*LATEST), "latest", run_id)
+    failed = captured.where(F.col("ddl").isNull()).select(*TABLE, F.lit("capture failed")
+                                                          .alias("reason"))
+    rejected = store.write(fresh.where(F.col("fp") == "").select(
+        *TABLE, F.col("reject_reason").alias("reason")).unionByName(failed.distinct()),
+        "rejected", run_id)
+
+    # each changed table against its last definition: pairs of (v - 1, v)
+    known = status.where(F.col("status") == "changed").select(*TABLE)
+    pairs = (added.join(known, TABLE, "left_semi").select(*TABLE, "v", *E.SECTIONS)
+             .unionByName(before.join(known, TABLE, "left_semi").select(*TABLE, "v", *E.SECTIONS)))
+    changes = store.write(D.version_changes(pairs), "changes", run_id)
+    of = lambda s: status.where(F.col("status") == s).select(*TABLE)
+    bodies = (
+        R.change_report(changes).withColumn("kind", F.lit("changed"))
+        .unionByName(R.new_table_alerts(of("new")).withColumn("kind", F.lit("new")), True)
+        .unionByName(R.deleted_alerts(of("dropped")).withColumn("kind", F.lit("dropped")), True))
+    alerts = store.write(R.fan_out(bodies.select("kind", "db", "tbl", "v", "body"), subscriptions),
+                         "alerts", run_id)
+    return DriftRun(status=status, changes=changes, alerts=alerts, rejected=rejected)

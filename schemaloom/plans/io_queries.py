@@ -21,6 +21,7 @@ from ..sinks import writers as W
 from ..sources import files as S
 from ..sources import fixture as FX
 from ..streaming import drift_stream as ST
+from . import drift as DR
 
 STREAM_DROPS = 10
 
@@ -40,10 +41,44 @@ def append_snapshot(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def alert_outbox(spark: SparkSession, sf: str) -> DataFrame:
+    """Reports fanned out to registered recipients, read back from the outbox
+    after it was written twice under one run id."""
+    path = scratch_path(spark, "outbox")
+    W.register_recipients(W.subscriptions_from_suppliers(FX.table(spark, sf, "supplier")),
+                          f"{path}/recipients")
     defs = E.definitions(FX.corpus_table(spark, sf))
-    reports = R.change_report(D.diff_definitions(defs))
+    alerts = R.fan_out(R.change_report(D.version_changes(defs)),
+                       W.read_recipients(spark, f"{path}/recipients"))
+    for _ in range(2):
+        W.write_alerts(alerts, f"{path}/alerts", run_id="r1")
+    return (spark.read.parquet(f"{path}/alerts").select("db", "tbl", "v", "recipient", "body"))
+
+
+RUN_DATES = ["1994-01-01", "1996-01-01", "1997-06-01", "1998-07-01"]
+
+
+def drift_run(spark: SparkSession, sf: str) -> DataFrame:
+    """Four runs over the catalog as it stood at RUN_DATES. Tables whose number
+    ends in 3 are dropped at the second run, absent at the third and back at
+    the fourth. Gives run, db, tbl, status and the recipients alerted."""
+    store = DR.DriftStore(spark, scratch_path(spark, "drift_store"))
+    corpus = FX.corpus_table(spark, sf)
     subs = W.subscriptions_from_suppliers(FX.table(spark, sf, "supplier"))
-    return R.fan_out(reports, subs).select("db", "tbl", "v", "recipient", "body")
+    out = None
+    for i, date in enumerate(RUN_DATES, 1):
+        seen = corpus.where(F.col("captured_at") < F.lit(date).cast("timestamp_ntz"))
+        if i in (2, 3):
+            seen = seen.where(~F.col("tbl").endswith("3"))
+        newest = seen.groupBy("db", "tbl").agg(F.max("v").alias("v"))
+        captured = seen.join(newest, ["db", "tbl", "v"]).select("db", "tbl", "ddl", "captured_at")
+        run = DR.run_drift_check(spark, store, f"r{i}", f"r{i - 1}" if i > 1 else None,
+                                 newest.select("db", "tbl"), captured, subs)
+        told = run.alerts.groupBy("db", "tbl", "kind").agg(F.count(F.lit(1)).alias("n"))
+        rows = run.status.join(told, ["db", "tbl"], "left").select(
+            F.lit(i).alias("run"), "db", "tbl", "status", F.coalesce("n", F.lit(0)).alias("n_told"),
+            F.coalesce(F.col("kind") == F.col("status"), F.lit(True)).alias("kind_fits"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 # ---- migration --------------------------------------------------------------
@@ -209,6 +244,7 @@ IO_QUERIES = {
     "def_files": def_files,
     "append_snapshot": append_snapshot,
     "alert_outbox": alert_outbox,
+    "drift_run": drift_run,
     "backup_copy": backup_copy,
     "compacted_write": compacted_write,
     "reconcile_counts": reconcile_counts,

@@ -83,7 +83,7 @@ def x_definition(spark, sf):
 # ---- diff -------------------------------------------------------------------
 
 def version_pairs(spark, sf):
-    return D.version_pairs(defs(spark, sf))
+    return D.version_pairs(corpus(spark, sf))
 
 
 def _col_diff(fn, change=None):
@@ -118,15 +118,15 @@ def changed_versions(spark, sf):
 # ---- history ----------------------------------------------------------------
 
 def _runs(spark, sf):
-    d = defs(spark, sf)
-    prev = d.filter(F.col("captured_at") < F.lit(CUTOFF).cast("timestamp_ntz"))
-    cur_tables = d.filter(F.col("captured_at") >= F.lit(CUTOFF).cast("timestamp_ntz"))
-    cur = d.join(H.inventory(cur_tables), ["db", "tbl"], "left_semi")
+    d = corpus(spark, sf)
+    cutoff = F.lit(CUTOFF).cast("timestamp_ntz")
+    prev = d.filter(F.col("captured_at") < cutoff)
+    cur = d.join(H.inventory(d.filter(F.col("captured_at") >= cutoff)), ["db", "tbl"], "left_semi")
     return prev, cur
 
 
 def latest_def(spark, sf):
-    return H.latest_definition(defs(spark, sf))
+    return H.latest_definition(corpus(spark, sf))
 
 
 def new_tables(spark, sf):
@@ -140,9 +140,8 @@ def deleted_tables(spark, sf):
 
 
 def table_status(spark, sf):
-    d = defs(spark, sf)
     prev, cur = _runs(spark, sf)
-    return H.classify_runs(d, prev.select(*KEYS), cur.select(*KEYS))
+    return H.classify_runs(corpus(spark, sf), prev.select(*KEYS), cur.select(*KEYS))
 
 
 def last_seen(spark, sf):
@@ -150,17 +149,15 @@ def last_seen(spark, sf):
 
 
 def distinct_versions(spark, sf):
-    d = defs(spark, sf)
-    return H.distinct_versions(d, D.diff_definitions(d))
+    return H.distinct_versions(defs(spark, sf))
 
 
 def version_intervals(spark, sf):
-    d = defs(spark, sf)
-    return H.version_intervals(d, D.diff_definitions(d))
+    return H.version_intervals(defs(spark, sf))
 
 
 def archived_versions(spark, sf):
-    return H.archived_versions(defs(spark, sf))
+    return H.archived_versions(corpus(spark, sf))
 
 
 def inventory(spark, sf):

@@ -40,11 +40,11 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_alerts(alerts: DataFrame, path: str) -> None:
-    """K3: append alerts to the outbox with the run time; a notifier reads it."""
+def write_alerts(alerts: DataFrame, path: str, run_id: str) -> None:
+    """K3: the alerts of a run in the outbox, under ``run_id=``; written again,
+    they replace themselves. A notifier reads the outbox."""
     (alerts.withColumn("run_at", F.current_timestamp())
-     .withColumn("run_date", F.to_date("run_at"))
-     .write.mode("append").partitionBy("run_date").parquet(path))
+     .write.mode("overwrite").parquet(f"{path.rstrip('/')}/run_id={run_id}"))
 
 
 def write_compacted(df: DataFrame, path: str, n_files: int | None = None,
@@ -61,15 +61,25 @@ def register_recipients(subscriptions: DataFrame, path: str) -> None:
     subscriptions.select("db", "tbl", "recipient").write.mode("overwrite").parquet(path)
 
 
+def read_recipients(spark: SparkSession, path: str) -> DataFrame:
+    """The registered subscriptions (K6)."""
+    return spark.read.schema("db string, tbl string, recipient string").parquet(path)
+
+
 def subscriptions_from_suppliers(supplier: DataFrame) -> DataFrame:
     """Test subscriptions: per nation the first and last supplier name receive
-    the alerts of database db_<nation>."""
+    the alerts of database db_<nation>; every supplier also those of the table
+    t_<its number> of its database."""
+    own = supplier.select(
+        F.concat(F.lit("db_"), F.col("s_nationkey").cast("string")).alias("db"),
+        F.concat(F.lit("t_"), F.col("s_suppkey").cast("string")).alias("tbl"),
+        F.col("s_name").alias("recipient"))
     per_nation = supplier.groupBy("s_nationkey").agg(
         F.min("s_name").alias("a"), F.max("s_name").alias("b"))
     return per_nation.select(
         F.concat(F.lit("db_"), F.col("s_nationkey").cast("string")).alias("db"),
         F.lit(None).cast("string").alias("tbl"),
-        F.explode(F.array_distinct(F.array("a", "b"))).alias("recipient"))
+        F.explode(F.array_distinct(F.array("a", "b"))).alias("recipient")).unionByName(own)
 
 
 def write_single_file(df: DataFrame, path: str, n: int = 1, fmt: str = "parquet") -> None:

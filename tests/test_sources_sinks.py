@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from schemaloom.operators import extract as E
-from schemaloom.plans.drift import run_drift_check
+from schemaloom.plans.drift import DriftStore, run_drift_check
 from schemaloom.sinks import writers as W
 from schemaloom.sources import catalog as C
 from schemaloom.sources import files as S
@@ -65,34 +65,56 @@ def test_new_capture_numbering_and_snapshot(spark, corpus_of, tmp_path):
     assert back.count() == 4 and "capture_date" in back.columns
 
 
-def test_whole_run(spark, corpus_of, tmp_path):
-    prev = corpus_of([("t", 1, "CREATE TABLE d.t (a INT)"),
-                      ("gone", 1, "CREATE TABLE d.gone (a INT)")])
-    cur = corpus_of([("t", 2, "CREATE TABLE d.t (a INT, b STRING COMMENT 'new')"),
-                     ("fresh", 1, "CREATE TABLE d.fresh (z INT)")])
-    subs = spark.createDataFrame([("d", None, "ops"), ("d", "t", "owner-t"), ("x", None, "nobody")],
-                                 "db string, tbl string, recipient string")
-    run = run_drift_check(prev, cur, subs)
-    status = {r.tbl: r.status for r in run.status.collect()}
-    assert status == {"t": "changed", "gone": "deleted", "fresh": "new"}
-    out = sorted((r.tbl, r.recipient, r.body) for r in run.outbox.collect())
-    assert out == [("t", "ops", "+ columns: b STRING COMMENT 'new'"),
-                   ("t", "owner-t", "+ columns: b STRING COMMENT 'new'")]
-    assert [r.body for r in run.new_alerts.collect()] == ["new table d.fresh"]
-    assert [r.body for r in run.dropped_alerts.collect()] == ["tables dropped from the catalog: d.gone"]
-    W.write_alerts(run.outbox, str(tmp_path / "outbox"))
-    assert spark.read.parquet(str(tmp_path / "outbox")).count() == 2
-
-
-def test_whole_run_reads_only_needed_history(spark, corpus_of):
-    prev = corpus_of([("t", 1, "CREATE TABLE d.t (a INT)"),
-                      ("t", 2, "CREATE TABLE d.t (a BIGINT)"),
-                      ("t", 3, "CREATE TABLE d.t (a BIGINT, c INT)"),
-                      ("old", 1, "CREATE TABLE d.old (x INT)"),
-                      ("old", 2, "CREATE TABLE d.old (x INT, y INT)")])
-    cur = corpus_of([("t", 4, "CREATE TABLE d.t (a BIGINT, c INT)")])
-    subs = spark.createDataFrame([], "db string, tbl string, recipient string")
-    run = run_drift_check(prev, cur, subs)
-    assert run.diff.count() == 0                      # v4 equals v3
-    assert {r.tbl: r.status for r in run.status.collect()} == {"t": "unchanged", "old": "deleted"}
-    assert [r.body for r in run.dropped_alerts.collect()] == ["tables dropped from the catalog: d.old"]
+def capture(spark, *rows):
+    return spark.createDataFrame([("d", t, ddl, dt.datetime(2021, 1, 1)) for t, ddl in rows],
+                                 "db string, tbl string, ddl string, captured_at timestamp_ntz")
+
+
+def listed(spark, *names):
+    return spark.createDataFrame([("d", n) for n in names], "db string, tbl string")
+
+
+def test_runs_keep_state(spark, tmp_path):
+    """Transitions are told once, unchanged texts add no version, a table that
+    comes back is new, a failed capture is no drop, a rerun changes nothing."""
+    subs = spark.createDataFrame([("d", None, "ops"), ("d", "t", "owner-t"), ("d", "t", "ops"),
+                                  ("x", None, "nobody")], "db string, tbl string, recipient string")
+    store = DriftStore(spark, str(tmp_path / "store"))
+
+    def run(n, names, *rows):
+        return run_drift_check(spark, store, f"r{n}", f"r{n - 1}" if n > 1 else None,
+                               listed(spark, *names), capture(spark, *rows), subs)
+
+    def told(r):
+        return sorted((x.kind, x.tbl, x.recipient) for x in r.alerts.collect())
+
+    def status(r):
+        return {x.tbl: x.status for x in r.status.collect()}
+    t1, t2 = "CREATE TABLE d.t (a INT)", "CREATE TABLE d.t (a INT, b STRING COMMENT 'new')"
+    g1, g2 = "CREATE TABLE d.gone (a INT)", "create table `d`.`gone` ( a int )"
+    r = run(1, ["t", "gone"], ("t", t1), ("gone", g1))
+    assert status(r) == {"t": "new", "gone": "new"}
+    assert told(r) == [("new", "gone", "ops"), ("new", "t", "ops"), ("new", "t", "owner-t")]
+    for _ in range(2):  # the second time is a rerun under the same id
+        r = run(2, ["t"], ("t", t2))
+        assert status(r) == {"t": "changed", "gone": "dropped"}
+        assert told(r) == [("changed", "t", "ops"), ("changed", "t", "owner-t"),
+                           ("dropped", "gone", "ops")]
+        assert {x.body for x in r.alerts.collect() if x.kind == "changed"} == {
+            "+ columns: b STRING COMMENT 'new'"}
+    r = run(3, ["t"], ("t", t2))
+    assert status(r) == {"t": "unchanged"} and told(r) == []
+    r = run(4, ["t", "gone"], ("t", None), ("gone", g2))
+    assert status(r) == {"t": "not_captured", "gone": "new"}
+    assert [(x.tbl, x.reason) for x in r.rejected.collect()] == [("t", "capture failed")]
+    r = run(5, ["t", "gone"], ("t", "CREATE TABLE d.t (a ((INT)"), ("gone", g1))
+    assert status(r) == {"t": "unreadable", "gone": "unchanged"} and told(r) == []
+    versions = spark.read.parquet(str(tmp_path / "store" / "corpus"))
+    assert sorted((x.tbl, x.v) for x in versions.collect()) == [("gone", 1), ("t", 1), ("t", 2)]
+
+
+def test_alerts_replace_themselves(spark, tmp_path):
+    alerts = spark.createDataFrame([("d", "t", "x")], "db string, tbl string, body string")
+    for run_id in ("a", "a", "b"):
+        W.write_alerts(alerts, str(tmp_path / "out"), run_id)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
