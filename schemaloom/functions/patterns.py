@@ -116,6 +116,7 @@ CLUSTERED = clause(
     rf"(clustered\s+by\s*({P1})(?:\s*sorted\s+by\s*{P1})?\s*into\s+(\d+)\s+buckets)(?s:.*)$",
 )
 SKEWED = clause(r"skewed\s", rf"(skewed\s+by\s*{P1})(?:\s*(on\s*{P2}))?(\s+stored\s+as\s+directories)?(?s:.*)$")
+OPTIONS = clause(r"options\s*\(", rf"options\s*(\({BODY}\))")
 PROVIDER = clause(r"using\s", r"using\s+([\w.]+)")
 TABLE_COMMENT = clause(r"comment\s", rf"comment\s+({QUOTED})")
 # group 1: clauses before a CTAS query; group 2: the query

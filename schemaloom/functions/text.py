@@ -155,6 +155,12 @@ def parse_stamp(s: Column) -> Column:
     return F.try_to_timestamp(s, F.lit(STAMP_FORMAT)).cast("timestamp_ntz")
 
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
 def normalise_text(col: Column) -> Column:
-    """lower(trim(collapse whitespace)) — the text normaliser of §2.9."""
-    return F.lower(F.trim(F.regexp_replace(col, r"\s+", " ")))
+    """The text normaliser of §2.9, the same in any engine: runs of blank, tab,
+    line feed, vertical tab, form feed and carriage return become one blank,
+    blanks at the ends go, A-Z become a-z. All other characters stay."""
+    spaced = F.regexp_replace(col, r"[ \t\n\x0B\f\r]+", " ")
+    return F.translate(F.btrim(spaced, F.lit(" ")), _UPPER, _UPPER.lower())

@@ -214,12 +214,17 @@ def _printed(x: Column) -> Column:
                     side("deleted", "new_type", "new_comment").alias("new"))
 
 
+def changes_of(pairs: DataFrame) -> DataFrame:
+    """db, tbl, v, changes of pairs from ``paired`` with all SECTIONS."""
+    return _with_rows(pairs, SECTIONS, keep_same=False).select(
+        *KEYS, F.transform("rows", _printed).alias("changes"))
+
+
 def version_changes(defs: DataFrame) -> DataFrame:
     """db, tbl, v, changes: one row per pair with the array of its real changes
     (section, change, name, old, new); empty if nothing changed. Reports, flags
     and summaries are projections of it, without another shuffle."""
-    return _with_rows(paired(defs, SECTIONS), SECTIONS, keep_same=False).select(
-        *KEYS, F.transform("rows", _printed).alias("changes"))
+    return changes_of(paired(defs, SECTIONS))
 
 
 def diff_definitions(defs: DataFrame) -> DataFrame:

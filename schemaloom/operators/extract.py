@@ -22,7 +22,7 @@ from ..functions.text import (SEP, groups, mask_nested, name_parts, nested_deepe
 # scalar sections, in report order
 ATTRIBUTES = ["kind", "identity", "clustered", "skewed", "skewed_on", "skewed_dirs",
               "as_sql", "options_tail", "like_table", "view_text", "provider",
-              "table_comment"]
+              "table_comment", "options"]
 # every diff section, in report order
 SECTIONS = ["columns", "part_columns", *ATTRIBUTES[:9], "constraints", *ATTRIBUTES[9:]]
 
@@ -146,6 +146,7 @@ def definitions(corpus: DataFrame) -> DataFrame:
         "_pcols_sorted": F.array_sort("_pcols"),
         "_tail": groups(c("_pre"), P.TAIL, 1)[0],
         "provider": F.when(has("using"), F.lower(_blank_null(F.regexp_extract("_pre", P.PROVIDER, 1)))),
+        "options": F.when(has("options"), norm_clause(F.regexp_extract("_pre", P.OPTIONS, 1))),
         "table_comment": F.when(has("comment"), unquote(_blank_null(
             F.regexp_extract("_pre", P.TABLE_COMMENT, 1)))),
         "_parts": name_parts(F.when(c("_view") != "", c("_view")).otherwise(c("_name"))),
@@ -183,7 +184,7 @@ def definitions(corpus: DataFrame) -> DataFrame:
         "constraints": F.when(deep, F.transform("constraints", unmask)).otherwise(c("constraints")),
         **{n: F.when(deep, unmask(c(n))).otherwise(c(n)) for n in (
             "clustered", "cluster_cols", "skewed", "skewed_on", "as_sql", "options_tail",
-            "table_comment")},
+            "options", "table_comment")},
     })
     d = d.withColumn("identity", _blank_null(F.concat_ws(".", "ident_db", "ident_tbl")))
     keep = [x for x in corpus.columns if x != "ddl"]

@@ -27,10 +27,16 @@ STREAM_DROPS = 10
 
 
 def def_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Last and History files written, found by their paths, read and parsed:
+    the newest definition of every table as its file has it."""
     root = scratch_path(spark, "def_files")
     S.write_definition_files(FX.corpus_table(spark, sf), root)
-    files = S.drop_history_paths(S.scan_definition_files(spark, root, glob="*.txt"))
-    return files.select("db", "tbl", "v")
+    found = S.scan_definition_files(spark, root, glob="*.txt")
+    texts = S.drop_history_paths(found).select(
+        "db", "tbl", "v", F.lit(0).cast("bigint").alias("vid"), "captured_at", "ddl")
+    return E.definitions(texts).select(
+        "db", "tbl", "v", "kind", "options_tail", F.size("columns").cast("bigint").alias("n_cols"),
+        F.size("part_columns").cast("bigint").alias("n_part_cols"))
 
 
 def append_snapshot(spark: SparkSession, sf: str) -> DataFrame:
@@ -226,14 +232,14 @@ def migration_faults(spark: SparkSession, sf: str) -> DataFrame:
 
 def stream_drift(spark: SparkSession, sf: str) -> DataFrame:
     """Capture records arrive in STREAM_DROPS drops in an order unrelated to
-    version order; the streamed diff must equal the batch ``col_diff``."""
+    version order, every seventh a second time in the next drop; the streamed
+    changes must equal the batch ``def_diff``."""
     base = scratch_path(spark, "stream")
     src = f"{base}/in"
-    corpus = FX.corpus_table(spark, sf).withColumn(
-        "_drop", F.pmod(F.xxhash64("vid"), F.lit(STREAM_DROPS)))
-    for k in range(STREAM_DROPS):
-        (corpus.filter(F.col("_drop") == k).drop("_drop")
-         .write.mode("overwrite").json(f"{src}/drop_{k:02d}"))
+    drop = F.pmod(F.xxhash64("vid"), F.lit(STREAM_DROPS))
+    again = F.when(F.col("vid") % 7 == 0, F.array(drop, (drop + 1) % STREAM_DROPS)).otherwise(F.array(drop))
+    (FX.corpus_table(spark, sf).withColumn("_drop", F.explode(again))
+     .write.partitionBy("_drop").json(src))
     per_drop = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ST.stream_drift_check(spark, f"{src}/*", f"{base}/state", f"{base}/out",
                           f"{base}/checkpoint", max_files_per_trigger=per_drop)

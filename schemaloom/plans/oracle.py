@@ -177,7 +177,11 @@ Q: dict[str, str] = {
     # sources / inventory
     "inventory": "select distinct db, tbl from ver",
     "inventory_filtered": "select distinct db, tbl from ver where db <> 'db_0'",
-    "def_files": "select db, tbl, v from ver",
+    "def_files": """
+        select a.db, a.tbl, a.v, a.kind, a.options_tail,
+               (select count(*) from cols c where c.tbl = a.tbl and c.v = a.v) as n_cols,
+               (select count(*) from pcols p where p.tbl = a.tbl and p.v = a.v) as n_part_cols
+        from attrs a where a.v = (select max(v) from ver y where y.tbl = a.tbl)""",
     "append_snapshot": "select cast(captured_at as date) as capture_date, count(*) as n from ver group by 1",
     "archived_versions": "select db, tbl, v from ver o where exists "
                          "(select 1 from ver n where n.tbl = o.tbl and n.v > o.v)",
@@ -195,11 +199,43 @@ Q: dict[str, str] = {
     "x_part_columns": "select db, tbl, v, pos, name, type, comment from pcols",
     "x_constraints": "select db, tbl, v, text from cons",
     "x_definition": """
-        select a.db, a.tbl, a.v, a.kind,
+        select a.db, a.tbl, a.v, case when like_table is not null then 'like' else 'table' end as shape,
+               a.kind, a.db || '.' || a.tbl as identity, a.clustered, a.skewed, a.skewed_on, a.skewed_dirs,
+               cast(null as varchar) as as_sql, a.options_tail, a.like_table,
+               cast(null as varchar) as view_text, cast(null as varchar) as provider,
+               cast(null as varchar) as table_comment, cast(null as varchar) as options,
                coalesce((select count(*) from cols c where c.tbl = a.tbl and c.v = a.v), 0) as n_cols,
                coalesce((select count(*) from pcols p where p.tbl = a.tbl and p.v = a.v), 0) as n_part_cols,
                coalesce((select count(*) from cons k where k.tbl = a.tbl and k.v = a.v), 0) as n_constraints
         from attrs a""",
+    "x_statements": """
+        , st as (select p_partkey as k, lower(p_brand) as brand, v, p_size > 25 and v = 2 as big
+                 from part, (values (1), (2)) t(v))
+        select 'x_' || k as tbl, v,
+               case when k % 4 = 0 then 'view' else 'table' end as shape,
+               case when k % 4 = 1 then 'parquet' end as provider,
+               case when k % 4 = 1 then 'it''s ' || brand end as table_comment,
+               case when k % 4 = 1 then concat('(''compression''=''', case when big then 'gzip' else 'snappy' end, ''')') end as options,
+               case when k % 4 = 1 then 'select * from s.base where (((1 = 1)))' end as as_sql,
+               case when k % 4 = 0 then concat('create or replace view s.x_', k, ' as select * from s.base where brand = ''',
+                    brand, '''', case when big then ' and size > 25' else '' end) end as view_text,
+               case when k % 4 = 2 then 'STRUCT<A:STRUCT<B:STRUCT<C:STRUCT<D:STRUCT<E:MAP<STRING,ARRAY<DECIMAL(10,2)>>>>>>>'
+                    when k % 4 = 3 and v = 1 then 'INT' end as first_type,
+               case when k % 4 = 2 then 'it''s ' || brand end as first_comment,
+               k % 4 = 3 and v = 2 as is_rejected
+        from st""",
+    "x_rejected": "select 'x_' || p_partkey as tbl, cast(2 as integer) as v, 'table' as shape, "
+                  "'column list unbalanced' as reject_reason from part where p_partkey % 4 = 3",
+    "view_diff": """
+        select 'x_' || p_partkey as tbl, cast(2 as integer) as v,
+               concat('create or replace view s.x_', p_partkey, ' as select * from s.base where brand = ''',
+                      lower(p_brand), '''') as old,
+               concat('create or replace view s.x_', p_partkey, ' as select * from s.base where brand = ''',
+                      lower(p_brand), ''' and size > 25') as new
+        from part where p_partkey % 4 = 0 and p_size > 25""",
+    "statement_diff": "select 'x_' || p_partkey as tbl, cast(2 as integer) as v, "
+                      "case p_partkey % 4 when 0 then 'view_text' else 'options' end as section, "
+                      "'changed' as change from part where p_partkey % 4 in (0, 1) and p_size > 25",
     # diff
     "version_pairs": "select n.db, n.tbl, n.v, o.v as v_prev from ver n join ver o "
                      "on n.tbl = o.tbl and n.v = o.v + 1",
@@ -230,7 +266,8 @@ Q: dict[str, str] = {
                coalesce(bool_or(d.section = 'constraints'), false) as constraints,
                coalesce(bool_or(d.section = 'view_text'), false) as view_text,
                coalesce(bool_or(d.section = 'provider'), false) as provider,
-               coalesce(bool_or(d.section = 'table_comment'), false) as table_comment
+               coalesce(bool_or(d.section = 'table_comment'), false) as table_comment,
+               coalesce(bool_or(d.section = 'options'), false) as options
         from ver p left join def_diff d on d.tbl = p.tbl and d.v = p.v
         where p.v > 1 group by p.db, p.tbl, p.v""",
     "changed_versions": "select distinct db, tbl, v from def_diff",
@@ -288,8 +325,9 @@ Q: dict[str, str] = {
                      "from del_t",
     # functions
     "fn_normalise": r"""
-        select doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) as norm_text
-        from documents where regexp_full_match(text, '[\x20-\x7E\t\n\r]*')""",
+        select doc_id, translate(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' '),
+                                 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as norm_text
+        from documents""",
     "fn_version_stamp": """
         select o_orderkey, strftime(o_orderdate, '%d_%m_%Y_%H_%M_%S') as stamp,
                strptime(strftime(o_orderdate, '%d_%m_%Y_%H_%M_%S'), '%d_%m_%Y_%H_%M_%S') = o_orderdate as back_ok
@@ -334,7 +372,7 @@ Q: dict[str, str] = {
                cast(count(*) filter (where section = 'columns' and change = 'changed') as bigint) as n_changed,
                cast(count(*) filter (where section <> 'columns') as bigint) as n_attr
         from def_diff group by db, tbl, v""",
-    "stream_drift": _COL_DIFF.format(rel="col_diff", where=""),
+    "stream_drift": "select db, tbl, v, section, change, name, old, new from def_diff",
 }
 
 

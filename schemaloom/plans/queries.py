@@ -74,12 +74,37 @@ def x_constraints(spark, sf):
 
 def x_definition(spark, sf):
     return defs(spark, sf).select(
-        *KEYS, "kind",
+        *KEYS, "shape", *E.ATTRIBUTES,
         F.size("columns").cast("bigint").alias("n_cols"),
         F.size("part_columns").cast("bigint").alias("n_part_cols"),
         F.size("constraints").cast("bigint").alias("n_constraints"))
 
 
+def statements(spark, sf):
+    return E.definitions(FX.statement_corpus(spark, sf))
+
+
+def x_statements(spark, sf):
+    d = statements(spark, sf)
+    first = F.element_at("columns", 1)
+    return d.select("tbl", "v", "shape", "provider", "table_comment", "options", "as_sql", "view_text",
+                    F.when(F.size("columns") > 0, first["type"]).alias("first_type"),
+                    F.when(F.size("columns") > 0, first["comment"]).alias("first_comment"),
+                    F.col("reject_reason").isNotNull().alias("is_rejected"))
+
+
+def x_rejected(spark, sf):
+    return E.rejected(statements(spark, sf)).select("tbl", "v", "shape", "reject_reason")
+
+
+def view_diff(spark, sf):
+    return D.diff_views(statements(spark, sf)).select("tbl", "v", "old", "new")
+
+
+def statement_diff(spark, sf):
+    return D.diff_definitions(statements(spark, sf)).select("tbl", "v", "section", "change")
+
+
 # ---- diff -------------------------------------------------------------------
 
 def version_pairs(spark, sf):
@@ -190,13 +215,9 @@ def deleted_alert(spark, sf):
 
 # ---- scalar functions -------------------------------------------------------
 
-ASCII_TEXT = r"^[\x20-\x7E\t\n\r]*$"
-
-
 def fn_normalise(spark, sf):
     docs = FX.table(spark, sf, "documents")
-    return (docs.filter(F.col("text").rlike(ASCII_TEXT))
-            .select("doc_id", normalise_text(F.col("text")).alias("norm_text")))
+    return docs.select("doc_id", normalise_text(F.col("text")).alias("norm_text"))
 
 
 def fn_version_stamp(spark, sf):
@@ -228,6 +249,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "x_part_columns": x_part_columns,
     "x_constraints": x_constraints,
     "x_definition": x_definition,
+    "x_statements": x_statements,
+    "x_rejected": x_rejected,
+    "view_diff": view_diff,
+    "statement_diff": statement_diff,
     "version_pairs": version_pairs,
     "col_diff": _col_diff(D.diff_columns),
     "cols_added": _col_diff(D.added_columns),

@@ -1,15 +1,11 @@
-"""Session helpers: building a local session for tests/bench, the shared
-scratch folder, and size-checked broadcast joins."""
+"""Session helpers: building a local session for tests/bench, and the shared
+scratch folder."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Largest side (rows) we are willing to ship to every executor.
-BROADCAST_MAX_ROWS = 1_000_000
+from pyspark.sql import SparkSession
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
@@ -34,14 +30,15 @@ def scratch_root(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and scratch tables.
 
     Uses the cluster's ``spark.checkpoint.dir``. Only when it is unset (local
-    tests) do we pick one: a folder under the session warehouse, which on a
-    cluster is shared storage too, never a machine-local temp folder.
+    tests) a folder under the session warehouse is taken; off a local master
+    such a folder may be machine-local (``file:``), and that is an error.
     """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
-        wh = spark.conf.get("spark.sql.warehouse.dir")
-        root = wh.rstrip("/") + "/_schemaloom_checkpoints"
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_schemaloom_checkpoints"
+        if not sc.master.startswith("local") and (":" not in root or root.startswith("file:")):
+            raise ValueError(f"set spark.checkpoint.dir to shared storage; {root} is machine-local")
         sc.setCheckpointDir(root)
         root = sc.getCheckpointDir() or root
     return root.rstrip("/")
@@ -50,15 +47,3 @@ def scratch_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder below the scratch root."""
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner",
-                 max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Join that broadcasts ``small`` only after counting it.
-
-    Beyond ``max_rows`` the join stays a shuffle join (AQE may still convert
-    it at run time from real shuffle sizes).
-    """
-    n = small.count()
-    side = F.broadcast(small) if n <= max_rows else small
-    return big.join(side, on, how)

@@ -1,14 +1,16 @@
 """Catalog sources.
 
 Listing a catalog and printing ``SHOW CREATE TABLE`` are metastore calls the
-driver has to make; everything after them is distributed. Captured texts are
-flushed to the corpus in bounded batches, so the driver never holds the
-whole catalog's definitions at once.
+driver has to make; everything after them is distributed. Names are taken and texts written
+batch by batch, so the driver never holds more than one batch of definitions.
+A text that can't be read is a row with its error: a failed capture is not a
+dropped table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import itertools
+from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +23,7 @@ INVENTORY_SCHEMA = T.StructType([
     T.StructField("db", T.StringType()), T.StructField("tbl", T.StringType())])
 CAPTURE_SCHEMA = T.StructType([
     T.StructField("db", T.StringType()), T.StructField("tbl", T.StringType()),
-    T.StructField("ddl", T.StringType())])
+    T.StructField("ddl", T.StringType()), T.StructField("error", T.StringType())])
 
 
 def _quote(name: str) -> str:
@@ -31,58 +33,38 @@ def _quote(name: str) -> str:
 def scan_inventory(spark: SparkSession, exclude: Iterable[str] = ()) -> DataFrame:
     """Every (db, tbl) of the session catalog, views included, session
     temp views excluded; one exclusion list (H8) for every step."""
-    dbs = [r[0] for r in spark.sql("SHOW DATABASES").collect()]  # namespace names only
-    parts = [
-        spark.sql(f"SHOW TABLES IN {_quote(db)}")
-        .filter(~F.col("isTemporary"))
-        .select(F.lit(db).alias("db"), F.lower("tableName").alias("tbl"))
-        for db in dbs
-    ]
-    if not parts:
-        return spark.createDataFrame([], INVENTORY_SCHEMA)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return drop_database(out, exclude)
-
-
-def _show_create(spark: SparkSession, db: str, tbl: str) -> tuple[str, str, str | None]:
+    out = []
+    for (db,) in spark.sql("SHOW DATABASES").collect():
+        for r in spark.sql(f"SHOW TABLES IN {_quote(db)}").collect():
+            if not r.isTemporary:
+                out.append((db, r.tableName.lower()))
+    return drop_database(spark.createDataFrame(out, INVENTORY_SCHEMA), exclude)
+
+
+def _show_create(spark: SparkSession, name: tuple[str, str]) -> tuple[str, str, str | None, str | None]:
+    db, tbl = name
     try:
-        ddl = spark.sql(f"SHOW CREATE TABLE {_quote(db)}.{_quote(tbl)}").first()[0]
-    except Exception:  # noqa: BLE001 - a table dropped meanwhile, or no permission
-        ddl = None
-    return db, tbl, ddl
+        return db, tbl, spark.sql(f"SHOW CREATE TABLE {_quote(db)}.{_quote(tbl)}").first()[0], None
+    except Exception as e:  # noqa: BLE001 - becomes the row's error
+        return db, tbl, None, str(e) or type(e).__name__
 
 
 def capture_definitions(spark: SparkSession, inventory: DataFrame, out_path: str,
                         batch: int = 1000, threads: int = 8) -> DataFrame:
     """Current DDL text of every table in ``inventory`` (db, tbl).
 
-    Metastore calls run in a small thread pool; every ``batch`` texts are
-    appended to ``out_path`` (Parquet), which is returned as a DataFrame
-    (db, tbl, ddl, captured_at)."""
+    Metastore calls run in a small thread pool, ``batch`` tables at a time;
+    each batch is appended to ``out_path`` (Parquet) before the next is begun.
+    Returns db, tbl, ddl, error, captured_at; ddl is NULL where the call
+    failed."""
     captured_at = spark.sql("SELECT localtimestamp() AS t").first()[0]
-
-    def names() -> Iterator[tuple[str, str]]:
-        for r in inventory.select("db", "tbl").toLocalIterator():
-            yield r[0], r[1]
-
-    buf: list[tuple[str, str, str | None]] = []
-
-    def flush() -> None:
-        if buf:
-            (spark.createDataFrame(buf, CAPTURE_SCHEMA)
+    names = ((r[0], r[1]) for r in inventory.select("db", "tbl").toLocalIterator())
+    with ThreadPoolExecutor(max_workers=threads) as pool:
+        while part := list(itertools.islice(names, batch)):
+            rows = list(pool.map(lambda n: _show_create(spark, n), part))
+            (spark.createDataFrame(rows, CAPTURE_SCHEMA)
              .withColumn("captured_at", F.lit(captured_at).cast("timestamp_ntz"))
              .write.mode("append").parquet(out_path))
-            buf.clear()
-
-    with ThreadPoolExecutor(max_workers=threads) as pool:
-        for row in pool.map(lambda n: _show_create(spark, *n), names()):
-            if row[2] is not None:
-                buf.append(row)
-            if len(buf) >= batch:
-                flush()
-    flush()
     return spark.read.schema(
         T.StructType(CAPTURE_SCHEMA.fields + [T.StructField("captured_at", T.TimestampNTZType())])
     ).parquet(out_path)

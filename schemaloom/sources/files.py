@@ -5,8 +5,8 @@ Two layouts are understood, both giving db and table from the path:
 
 * ``<root>/<db>/<table>/Last_<dd_MM_yyyy_HH_mm_ss>.hql`` plus a
   ``History/`` folder of older files (the saved-file store);
-* ``<root>/db=<db>/tbl=<table>/v=<n>/part-….txt`` as written by
-  ``write_definition_files``.
+* ``<root>/db=<db>/tbl=<table>/age=<Last or History>/v=<n>/part-….txt`` as
+  written by ``write_definition_files``.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import parse_stamp
 
-# db / table / optional History / optional v=<n> / file name
-PATH_RE = r"/(?:db=)?([^/=]+)/(?:tbl=)?([^/=]+)/(?:(History)/)?(?:v=(\d+)/)?([^/]+)$"
+# db / table / optional History or Last / optional v=<n> / file name
+PATH_RE = r"/(?:db=)?([^/=]+)/(?:tbl=)?([^/=]+)/(?:(?:age=)?(History|Last)/)?(?:v=(\d+)/)?([^/]+)$"
 STAMP_RE = r"(\d{2}_\d{2}_\d{4}_\d{2}_\d{2}_\d{2})"
 
 
@@ -32,7 +32,7 @@ def scan_definition_files(spark: SparkSession, root: str, glob: str = "*.hql") -
         "path",
         F.lower(F.regexp_extract(p, PATH_RE, 1)).alias("db"),
         F.lower(F.regexp_extract(p, PATH_RE, 2)).alias("tbl"),
-        (F.regexp_extract(p, PATH_RE, 3) != "").alias("is_history"),
+        (F.regexp_extract(p, PATH_RE, 3) == "History").alias("is_history"),
         F.nullif(F.regexp_extract(p, PATH_RE, 4), F.lit("")).try_cast("int").alias("v"),
         parse_stamp(F.nullif(F.regexp_extract(F.regexp_extract(p, PATH_RE, 5), STAMP_RE, 1),
                              F.lit(""))).alias("captured_at"),
@@ -45,7 +45,13 @@ def drop_history_paths(df: DataFrame) -> DataFrame:
     return df.filter(~F.col("is_history"))
 
 
-def write_definition_files(corpus: DataFrame, root: str) -> None:
-    """One text file per version under db=/tbl=/v= folders."""
-    (corpus.select("db", "tbl", "v", "ddl")
-     .write.mode("append").partitionBy("db", "tbl", "v").text(root))
+def write_definition_files(corpus: DataFrame, root: str, history: int = 1) -> None:
+    """The newest definition of every table as a "last" file and up to
+    ``history`` versions before it below History. One file per definition is
+    what this layout is; the whole history belongs into the corpus table."""
+    top = corpus.groupBy("db", "tbl").agg(F.max("v").alias("_top"))
+    (corpus.select("db", "tbl", "v", "ddl").join(top, ["db", "tbl"])
+     .where(F.col("v") >= F.col("_top") - history)
+     .withColumn("age", F.when(F.col("v") == F.col("_top"), "Last").otherwise("History"))
+     .select("db", "tbl", "age", "v", "ddl")
+     .write.mode("append").partitionBy("db", "tbl", "age", "v").text(root))

@@ -162,6 +162,34 @@ def ddl_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
             .repartition(n, "db", "tbl", "v"))
 
 
+DEEP_TYPE = "STRUCT<a:STRUCT<b:STRUCT<c:STRUCT<d:STRUCT<e:MAP<STRING,ARRAY<DECIMAL(10,2)>>>>>>>"
+
+
+def statement_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two versions of a statement for every part, by part key % 4: a view, a
+    table from a query, a table with deep types and doubled quotes, and (in
+    the second version) a text that can't be read. Sizes above 25 change the
+    second version."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
+    k, big = F.col("p_partkey"), (F.col("p_size") > 25) & (F.col("v") == 2)
+    name = F.concat(F.lit("s.x_"), k.cast("string"))
+    brand = F.lower("p_brand")
+    view = F.concat(F.lit("CREATE OR REPLACE VIEW "), name, F.lit(" AS\nSELECT * FROM s.base WHERE brand = '"),
+                    brand, F.lit("'"), F.when(big, " AND size > 25").otherwise(""))
+    ctas = F.concat(F.lit("CREATE TABLE "), name, F.lit(" USING Parquet OPTIONS ('compression'='"),
+                    F.when(big, "gzip").otherwise("snappy"), F.lit("') COMMENT 'it''s "), brand,
+                    F.lit("' AS SELECT * FROM s.base WHERE (((1 = 1)))"))
+    deep = F.concat(F.lit("CREATE TABLE "), name, F.lit(f" (a {DEEP_TYPE} COMMENT 'it''s "), brand,
+                    F.lit("', b INT DEFAULT 5, CHECK (((b > 0)))) STORED AS ORC"))
+    bad = F.concat(F.lit("CREATE TABLE "), name, F.when(F.col("v") == 2, " (a INT, b ((INT)")
+                   .otherwise(" (a INT)"))
+    text = F.when(k % 4 == 0, view).when(k % 4 == 1, ctas).when(k % 4 == 2, deep).otherwise(bad)
+    return (p.withColumn("v", F.explode(F.array(F.lit(1), F.lit(2)))).select(
+        F.lit("s").alias("db"), F.concat(F.lit("x_"), k.cast("string")).alias("tbl"), "v",
+        (k * 2 + F.col("v")).alias("vid"), F.lit("2024-01-01").cast("timestamp_ntz").alias("captured_at"),
+        text.alias("ddl")))
+
+
 _CORPUS_TABLES: dict[tuple[str, str], str] = {}
 
 
@@ -180,11 +208,7 @@ def corpus_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spread_for_extraction(corpus: DataFrame) -> DataFrame:
-    """Extraction is CPU per byte. A small corpus is packed into few read
-    partitions, so spread its versions over all tasks (by version, so a hot
-    table is split too); a large corpus already has enough splits and is
-    left alone — no shuffle of the text."""
+    """Extraction is CPU per byte, so versions are spread over all tasks (by
+    version: a table with very many is split too), at every size alike."""
     n = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if corpus.rdd.getNumPartitions() < n:
-        return corpus.repartition(n, "db", "tbl", "v")
-    return corpus
+    return corpus.repartition(n, "db", "tbl", "v")
