@@ -270,17 +270,18 @@ def count_words(asked: DataFrame) -> DataFrame:
 # ---- pairs -----------------------------------------------------------------
 
 
-def _answers(root: str, part: int, block: int) -> list[dict]:
+def _answers(root: str, part: int, block: int, *columns: str) -> list[dict]:
     """This block's answers in the order of shards."""
     files, folder = open_folder(root)
     t = pq.read_table(f"{folder}/part={part}", filesystem=files, partitioning=None,
-                      filters=[("block", "=", block)])
+                      columns=["shard", *columns], filters=[("block", "=", block)],
+                      use_threads=False)
     return sorted(t.to_pylist(), key=lambda r: r["shard"])
 
 
 def _word_counts(root: str, row: dict) -> np.ndarray:
     return np.concatenate([_unzip(a["counts"], "<i8")
-                           for a in _answers(root, row["part"], row["block"])])
+                           for a in _answers(root, row["part"], row["block"], "counts")])
 
 
 def _deal(b: _Block, v: np.ndarray, w: np.ndarray, count: np.ndarray, hot_from: float,
@@ -405,10 +406,10 @@ def scored(packed: DataFrame, words: str, pairs: str, shards: int, hot_from: flo
             known = _word_counts(words, row)
             v, w, _, where = b.pairs()
             shard, is_hot, order = _deal(b, v, w, known, hot_from, shards)
-            answers = _answers(pairs, row["part"], row["block"])
+            answers = _answers(pairs, row["part"], row["block"], "counts", "contexts")
             n = np.empty(len(order), np.int64)
             n[order] = np.concatenate([_unzip(a["counts"], "<i8") for a in answers])
-            # sums of each context, one entry per (shard, context)
+            # what each context sums up to, one entry per (shard, context)
             sums, p = [], []
             for a in answers:
                 raw = _unzip(a["contexts"], "u1")
@@ -416,25 +417,25 @@ def scored(packed: DataFrame, words: str, pairs: str, shards: int, hot_from: flo
                 sums.append(raw[:size * 4 * (KEPT + 1)].view("<u4").reshape(KEPT + 1, size).T)
                 p.append(raw[size * 4 * (KEPT + 1):].view("<f4"))
             sums, p = np.concatenate(sums).astype(np.float64), np.concatenate(p).astype(np.float64)
-            entry = np.cumsum(np.concatenate(
-                [[False], (v[order[1:]] != v[order[:-1]]) | (shard[order[1:]] != shard[order[:-1]])]))
-            sums, p = sums[entry], p[entry]
-            back = np.empty(len(order), np.int64)
-            back[order] = np.arange(len(order))
-            sums, p = sums[back], p[back]
+            del answers
+            new = np.concatenate([[True], (v[order[1:]] != v[order[:-1]])
+                                  | (shard[order[1:]] != shard[order[:-1]])])
+            first = order[new]
             vkey = np.append(b.keys, BEGIN)
-            for x in np.unique(v[is_hot]).tolist():
-                own = v == x
-                few, many, seen = hot[int(vkey[x].astype(np.int64))]
-                sums[own], p[own] = [*few, many], seen
+            for i in np.flatnonzero(is_hot[first]).tolist():
+                few, many, p[i] = hot[int(vkey[v[first[i]]].astype(np.int64))]
+                sums[i] = [*few, many]
             r = np.arange(1, KEPT + 1)
-            tokens = (sums[:, :KEPT] * r).sum(1) + sums[:, KEPT]  # after this context
-            kept = ((sums[:, :KEPT] * bigram.counts(r)).sum(1) + bigram.scale * sums[:, KEPT])
+            tokens = sums[:, :KEPT] @ r + sums[:, KEPT]  # after this context
+            kept = sums[:, :KEPT] @ bigram.counts(r) + bigram.scale * sums[:, KEPT]
             total = tokens + (kept >= tokens * (1 - 1e-12))  # no discount: one more for the unseen
-            pw = unigrams.p(known[w])
-            safe = np.maximum(total, 1)
-            alpha = np.where(tokens > 0, (1 - kept / safe) / (1 - p), 1.0)
-            prob = np.where(n > 0, bigram.counts(n) / safe, alpha * pw)
+            total = np.maximum(total, 1)
+            alpha = np.where(tokens > 0, (1 - kept / total) / (1 - p), 1.0)
+            entry = np.empty(len(order), np.int32)
+            entry[order] = np.cumsum(new) - 1
+            prob = np.where(n > 0, bigram.counts(n) / total[entry],
+                            alpha[entry] * unigrams.p(known[w]))
+            del sums, p, entry, v, w, n
             log = np.log10(np.maximum(prob, 1e-300))[where]
             c = known[b.token]
             base = np.log10((c + 0.5) / (unigrams.tokens + 0.5 * (unigrams.types + 1)))
