@@ -131,17 +131,21 @@ def version_intervals(defs: DataFrame) -> DataFrame:
     VERSIONS_AT_ONCE numbers: a window inside a run, and one over the first
     rows of a table's runs, find the next version. No task holds a table, and
     nothing runs while the plan is built."""
-    kept = distinct_versions(defs).withColumn("_run", F.floor(F.col("v") / VERSIONS_AT_ONCE))
+    kept = (distinct_versions(defs).withColumn("_run", F.floor(F.col("v") / VERSIONS_AT_ONCE))
+            .where(F.col("db").isNotNull() & F.col("tbl").isNotNull() & F.col("_run").isNotNull()))
     inside = Window.partitionBy(*TABLE, "_run").orderBy("v")
     rows = kept.withColumns({"valid_to": F.lead("valid_from").over(inside),
                              "_last": F.lead("v").over(inside).isNull(),
                              "_first": F.lag("v").over(inside).isNull()})
     over = Window.partitionBy(*TABLE).orderBy("_run")
-    heads = rows.where("_first").select(*TABLE, "_run", F.lead("valid_from").over(over).alias("_next"))
+    # vid goes along, and keys are not null above: all branches need the same
+    # rows and columns, share one exchange, and the extraction runs once
+    heads = rows.where("_first").select(
+        *TABLE, "_run", F.lead(F.struct("valid_from", "vid")).over(over).alias("_next"))
     ends = rows.where("_last").drop("valid_to").join(heads, [*TABLE, "_run"])
     out = [*KEYS, "vid", "valid_from", "valid_to"]
     return (rows.where(~F.col("_last")).select(*out)
-            .unionByName(ends.withColumn("valid_to", F.col("_next")).select(*out)))
+            .unionByName(ends.withColumn("valid_to", F.col("_next.valid_from")).select(*out)))
 
 
 # SURVEY §2 signature names

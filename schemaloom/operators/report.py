@@ -69,17 +69,19 @@ def change_report(changes: DataFrame) -> DataFrame:
 
 def fan_out(reports: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """A4: one row per report and recipient. Subscriptions (db, tbl,
-    recipient) with tbl NULL cover the whole database, others one table: two
-    equi-joins, each on its own key. A recipient with both gets one row."""
+    recipient) with tbl NULL cover the whole database, others one table: a
+    report is looked up under both keys in one equi-join on (db, tbl, whole),
+    so it is computed once. A recipient with both gets one row."""
     names = subscriptions.select("db", "tbl", "recipient").distinct()
-    whole = reports.join(names.where(F.col("tbl").isNull()).drop("tbl"), "db")
-    own = reports.join(names.where(F.col("tbl").isNotNull()), ["db", "tbl"])
-    double = (names.where(F.col("tbl").isNotNull())
-              .join(names.where(F.col("tbl").isNull()).drop("tbl"), ["db", "recipient"])
-              .select("db", "tbl", "recipient"))
-    return (whole.select(*reports.columns, "recipient").unionByName(
-        own.join(double, ["db", "tbl", "recipient"], "left_anti")
-        .select(*reports.columns, "recipient")))
+    whole = names.where(F.col("tbl").isNull()).select("db", "recipient")
+    own = names.where(F.col("tbl").isNotNull()).join(whole, ["db", "recipient"], "left_anti")
+    keys = (whole.select("db", F.lit("").alias("_tbl"), F.lit(True).alias("_whole"), "recipient")
+            .unionByName(own.select("db", F.col("tbl").alias("_tbl"), F.lit(False).alias("_whole"),
+                                    "recipient")))
+    asked = reports.select("*", F.inline(F.array(
+        F.struct(F.lit("").alias("_tbl"), F.lit(True).alias("_whole")),
+        F.struct(F.col("tbl").alias("_tbl"), F.lit(False).alias("_whole")))))
+    return asked.join(keys, ["db", "_tbl", "_whole"]).select(*reports.columns, "recipient")
 
 
 def new_table_alerts(new: DataFrame) -> DataFrame:
