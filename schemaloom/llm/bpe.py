@@ -198,46 +198,56 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.odd = False
         self.number: dict[str, int] = {}
+        self.strange: set[str] = set()  # words whose texts the library splits
         self.text: list[str] = []
         self.flat = np.zeros(0, np.int32)
         self.count = np.zeros(0, np.int64)
         self.start = np.zeros(0, np.int64)
 
     def learn(self, words: list[str]) -> None:
-        marks = [w for w in words if w in self.vocab.special]
-        plain = [w for w in words if w not in self.vocab.special]
-        ids, count = (merge_words(self.vocab, plain) if plain
-                      else (np.zeros(0, np.int32), np.zeros(0, np.int64)))
-        ids = np.concatenate([ids, np.array([self.vocab.special[m] for m in marks], np.int32)])
-        count = np.concatenate([count, np.ones(len(marks), np.int64)])
-        for w in plain + marks:
-            self.number[w] = len(self.number)
-        tokens = self.vocab.tokens
-        flat, at = ids.tolist(), 0
+        """Encode new words, in the order of their numbers."""
+        special = self.vocab.special
+        mark = np.array([w in special for w in words], bool)
+        plain = [w for w in words if w not in special]
+        ids, n = (merge_words(self.vocab, plain) if plain
+                  else (np.zeros(0, np.int32), np.zeros(0, np.int64)))
+        count = np.ones(len(words), np.int64)
+        count[~mark] = n
+        flat = np.empty(count.sum(), np.int32)
+        inside = np.repeat(~mark, count)
+        flat[inside] = ids
+        flat[~inside] = [special[w] for w in words if w in special]
+        tokens, values, at = self.vocab.tokens, flat.tolist(), 0
         for n in count.tolist():
-            self.text.append(" ".join([tokens[i] for i in flat[at:at + n]]))
+            self.text.append(" ".join([tokens[i] for i in values[at:at + n]]))
             at += n
-        self.flat = np.concatenate([self.flat, ids])
+        self.flat = np.concatenate([self.flat, flat])
         self.count = np.concatenate([self.count, count])
         self.start = _starts(self.count)
 
     def encode(self, values: list[str]) -> Iterator[tuple[np.ndarray, str]]:
-        """Token ids and decoded text of each value."""
-        if len(self.number) > CACHE or self.odd:
+        """Token ids and decoded text of each value. Words are held as numbers,
+        not as strings, while the new ones of all values are encoded together."""
+        if len(self.number) > CACHE:
             self.forget()
-        split = [self.vocab.words(v) for v in values]
-        new = set().union(*split).difference(self.number)
-        if odd := unassigned(new):
-            self.odd = True  # words of this slice must not pass as known in the next
-            split = [words if odd.isdisjoint(words) else self.vocab.library_words(v)
-                     for v, words in zip(values, split)]
-            new = set().union(*split).difference(self.number)
-        if new:
-            self.learn(sorted(new))
-        for words in split:
-            no = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        numbers, fresh = [], []
+        for value in values:
+            words = self.vocab.words(value)
+            new = set(words).difference(self.number)
+            odd = unassigned(new)
+            if odd or not self.strange.isdisjoint(words):
+                self.strange |= odd
+                words = self.vocab.library_words(value)
+                new = set(words).difference(self.number)
+                self.strange |= unassigned(new)
+            for w in sorted(new):
+                self.number[w] = len(self.number)
+                fresh.append(w)
+            numbers.append(np.fromiter(map(self.number.__getitem__, words), np.int32, len(words)))
+        if fresh:
+            self.learn(fresh)
+        for no in numbers:
             n = self.count[no]
             ids = self.flat[np.repeat(self.start[no] - _starts(n), n) + np.arange(n.sum())] \
                 if len(no) else self.flat[:0]
