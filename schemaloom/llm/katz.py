@@ -122,19 +122,24 @@ class Unigrams:
 # ---- blocks ----------------------------------------------------------------
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """Packed token streams: part, block, tokens, doc_id[], learn[], keys, stream.
-
-    keys: hashes of the block's distinct tokens, most frequent first; stream:
-    a place in keys per token, each document closed by END. ``docs`` has
-    doc_id, text (null: empty) and learn.
+def blocks(docs: DataFrame, root: str) -> DataFrame:
+    """Packed token streams: part, block, tokens, name, n_keys, doc_id[], learn[].
+
+    Each block is a file ``name`` below ``root``: the hashes of its n_keys
+    distinct tokens, most frequent first, then a compressed place in them per
+    token, each document closed by END. ``docs`` has doc_id, text (null: empty)
+    and learn. Attempts write under their own names; rows name the files of
+    committed tasks.
     """
+    open_folder(root, create=True)
     schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("tokens", pa.int64()),
-                        ("doc_id", pa.list_(pa.int64())), ("learn", pa.list_(pa.bool_())),
-                        ("keys", pa.binary()), ("stream", pa.binary())])
+                        ("name", pa.string()), ("n_keys", pa.int64()),
+                        ("doc_id", pa.list_(pa.int64())), ("learn", pa.list_(pa.bool_()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number = TaskContext.get().partitionId(), 0
+        task = TaskContext.get()
+        files, folder = open_folder(root)
+        number = 0
         ids, learn, flat, held = [], [], [], 0
 
         def packed():
@@ -143,10 +148,13 @@ def blocks(docs: DataFrame) -> DataFrame:
             order = np.argsort(-n, kind="stable")
             place = np.empty(len(order), np.uint32)
             place[order] = np.arange(len(order), dtype=np.uint32)
+            name = f"block-{task.partitionId():06d}-{number:04d}-{task.taskAttemptId()}"
+            with files.open_output_stream(f"{folder}/{name}", compression=None) as out:
+                out.write(keys[order].astype("<u8").tobytes())
+                out.write(_zip(place[where].astype("<u4")))
             return pa.RecordBatch.from_pylist([{
-                "part": part, "block": number, "tokens": len(tokens), "doc_id": ids,
-                "learn": learn, "keys": keys[order].astype("<u8").tobytes(),
-                "stream": _zip(place[where].astype("<u4"))}], schema=schema)
+                "part": task.partitionId(), "block": number, "tokens": len(tokens), "name": name,
+                "n_keys": len(keys), "doc_id": ids, "learn": learn}], schema=schema)
         for batch in chunks(batches, "text", WORDS_AT_ONCE):
             w = Words(texts(batch), spaces=True)
             flat.append(np.insert(w.hash, w.first[1:], END))
@@ -160,20 +168,23 @@ def blocks(docs: DataFrame) -> DataFrame:
         if ids:
             yield packed()
     return docs.select("doc_id", "text", "learn").mapInArrow(
-        run, "part int, block int, tokens long, doc_id array<long>, learn array<boolean>, "
-             "keys binary, stream binary")
+        run, "part int, block int, tokens long, name string, n_keys long, doc_id array<long>, "
+             "learn array<boolean>")
 
 
 class _Block:
     """An unpacked block: sorted keys, tokens as places in them, documents."""
 
-    def __init__(self, row: dict):
-        keys = np.frombuffer(row["keys"], "<u8")
+    def __init__(self, row: dict, root: str):
+        files, folder = open_folder(root)
+        with files.open_input_file(f"{folder}/{row['name']}") as file:
+            raw = file.read()
+        keys = np.frombuffer(raw, "<u8", row["n_keys"])
         order = np.argsort(keys)
         self.keys = keys[order]
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        self.token = place[_unzip(row["stream"], "<u4")]
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        self.token = place[_unzip(raw[8 * row["n_keys"]:], "<u4")]
         last = np.flatnonzero(self.token == np.searchsorted(self.keys, END))
         self.first = np.concatenate([[0], last[:-1] + 1])
         self.size = np.diff(np.append(self.first, len(self.token)))
@@ -183,12 +194,15 @@ class _Block:
         """context, word (places; the begin mark is len(keys)) and learned
         count of the distinct pairs, and the pair of each token."""
         n = len(self.keys)
-        before = np.empty_like(self.token)
-        before[1:] = self.token[:-1]
-        before[self.first] = n
-        code, where = np.unique(before * (n + 1) + self.token, return_inverse=True)
-        count = np.bincount(where[self.learn], minlength=len(code))
-        return code // (n + 1), code % (n + 1), count, where
+        code = np.empty(len(self.token), np.int64)
+        code[1:] = self.token[:-1]
+        code[self.first] = n
+        code *= n + 1
+        code += self.token
+        code, where = np.unique(code, return_inverse=True)
+        count = np.bincount(where[self.learn], minlength=len(code)).astype(np.uint32)
+        return ((code // (n + 1)).astype(np.int32), (code % (n + 1)).astype(np.int32), count,
+                where.astype(np.int32))
 
 
 def _shard(key: np.ndarray, shards: int) -> np.ndarray:
@@ -213,14 +227,14 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 # ---- words -----------------------------------------------------------------
 
 
-def ask_words(packed: DataFrame, shards: int) -> DataFrame:
+def ask_words(packed: DataFrame, root: str, shards: int) -> DataFrame:
     """shard, part, block, keys, counts: distinct words of each block."""
     schema = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("block", pa.int32()),
                         ("keys", pa.binary()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            b = _Block(row)
+            b = _Block(row, root)
             count = np.bincount(b.token[b.learn], minlength=len(b.keys)).astype("<u4")
             yield pa.RecordBatch.from_pylist(
                 [{"shard": s, "part": row["part"], "block": row["block"],
@@ -296,7 +310,8 @@ def _deal(b: _Block, v: np.ndarray, w: np.ndarray, count: np.ndarray, hot_from:
     return shard, hot, np.argsort(shard, kind="stable")
 
 
-def ask_pairs(packed: DataFrame, words: str, shards: int, hot_from: float) -> DataFrame:
+def ask_pairs(packed: DataFrame, root: str, words: str, shards: int,
+              hot_from: float) -> DataFrame:
     """shard, part, block and the distinct pairs of each block: contexts (key,
     pairs, hot) and for each pair the second word's key and count, and the
     pair's learned count in the block."""
@@ -306,7 +321,7 @@ def ask_pairs(packed: DataFrame, words: str, shards: int, hot_from: float) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            b = _Block(row)
+            b = _Block(row, root)
             known = _word_counts(words, row)
             v, w, count, _ = b.pairs()
             shard, hot, order = _deal(b, v, w, known, hot_from, shards)
@@ -393,7 +408,7 @@ def stored(answers: DataFrame, name: str) -> tuple[str, DataFrame]:
     return root, totals
 
 
-def scored(packed: DataFrame, words: str, pairs: str, shards: int, hot_from: float,
+def scored(packed: DataFrame, root: str, words: str, pairs: str, shards: int, hot_from: float,
            unigrams: Unigrams, bigram: Discount, hot: dict[int, tuple]) -> DataFrame:
     """doc_id, learn, n_tokens, n_known, base_score, score per document."""
     schema = pa.schema([("doc_id", pa.int64()), ("learn", pa.bool_()), ("n_tokens", pa.int64()),
@@ -402,7 +417,7 @@ def scored(packed: DataFrame, words: str, pairs: str, shards: int, hot_from: flo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            b = _Block(row)
+            b = _Block(row, root)
             known = _word_counts(words, row)
             v, w, _, where = b.pairs()
             shard, is_hot, order = _deal(b, v, w, known, hot_from, shards)
@@ -460,16 +475,18 @@ def score(docs: DataFrame) -> DataFrame:
     rows. Other columns are ignored.
     """
     spark = docs.sparkSession
-    packed = saved(blocks(docs.withColumn("learn", F.coalesce("learn", F.lit(False)))),
+    root = scratch_path(spark, "katz_streams")
+    packed = saved(blocks(docs.withColumn("learn", F.coalesce("learn", F.lit(False))), root),
                    "katz_blocks")
-    tokens = packed.agg(F.sum("tokens")).first()[0] or 0
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // SHARD_TOKENS))
-
-    words, totals = stored(count_words(ask_words(packed, shards)), "katz_words") if tokens else \
-        ("", None)
-    if totals is None:
+    tokens, n = packed.agg(F.sum("tokens"), F.count(F.lit(1))).first()
+    if not tokens:
         return spark.createDataFrame([], "doc_id long, learn boolean, n_tokens long, n_known long, "
                                          "train_tokens long, base_score double, score double")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(tasks, -(-tokens // SHARD_TOKENS))
+    packed = packed.repartition(min(max(tasks, n // 4), n))  # small rows that name the files
+
+    words, totals = stored(count_words(ask_words(packed, root, shards)), "katz_words")
     # counts of counts: at most sqrt(2 * tokens) distinct sizes
     sizes = (totals.select(F.explode(F.arrays_zip("sizes", "numbers")).alias("x"))
              .groupBy("x.sizes").agg(F.sum("x.numbers").alias("n")).collect())
@@ -477,7 +494,7 @@ def score(docs: DataFrame) -> DataFrame:
                            np.array([r.n for r in sizes], np.int64))
     hot_from = max(unigrams.tokens / (4 * shards), 1000)
 
-    pairs, totals = stored(count_pairs(ask_pairs(packed, words, shards, hot_from), unigrams),
+    pairs, totals = stored(count_pairs(ask_pairs(packed, root, words, shards, hot_from), unigrams),
                            "katz_pairs")
     few = {r.sizes: r.n for r in
            totals.select(F.explode(F.arrays_zip("sizes", "numbers")).alias("x"))
@@ -489,5 +506,5 @@ def score(docs: DataFrame) -> DataFrame:
            .agg(*(F.sum(F.col("h.few")[i]).alias(f"f{i}") for i in range(KEPT)),
                 F.sum("h.many").alias("many"), F.sum("h.p").alias("p"))
            .collect()}  # 4 * shards contexts at most
-    return (scored(packed, words, pairs, shards, hot_from, unigrams, bigram, hot)
+    return (scored(packed, root, words, pairs, shards, hot_from, unigrams, bigram, hot)
             .withColumn("train_tokens", F.lit(unigrams.tokens).cast("long")))
