@@ -9,6 +9,8 @@ renders text and reads it back. Clause values are compared in canonical form
 
 from __future__ import annotations
 
+import re
+
 BASE = r"""
 with ver as (
   select concat('db_', cast(c.c_nationkey as varchar)) as db,
@@ -376,6 +378,35 @@ Q: dict[str, str] = {
 }
 
 
+def _relations() -> dict[str, str]:
+    """The common relations by name, in order."""
+    heads = list(re.finditer(r"^(?:with )?(\w+) as \(", BASE, re.M))
+    ends = [m.start() for m in heads[1:]] + [len(BASE)]
+    return {m.group(1): BASE[m.start():end].strip().removeprefix("with ").rstrip(",")
+            for m, end in zip(heads, ends)}
+
+
+def _needed(text: str, relations: dict[str, str]) -> list[str]:
+    """Relations that ``text`` names, directly or through others, in order."""
+    found: set[str] = set()
+    todo = [text]
+    while todo:
+        words = set(re.findall(r"\w+", todo.pop()))
+        new = words & relations.keys() - found
+        found |= new
+        todo += [relations[n] for n in new]
+    return [n for n in relations if n in found]
+
+
 def oracle_sql() -> dict[str, str]:
-    """Full SQL per query: the shared WITH block plus the query's SELECT."""
-    return {k: BASE + q for k, q in Q.items()}
+    """Full SQL per query: the relations it needs and the query's SELECT (which
+    may begin with relations of its own)."""
+    relations = _relations()
+    out = {}
+    for k, q in Q.items():
+        q = q.strip()
+        own = q.startswith(",")
+        parts = [relations[n] for n in _needed(q, relations)]
+        text = ",\n".join(parts) + ("\n" + q if own and parts else q[1:] if own else "")
+        out[k] = f"with {text}" + ("" if own else f"\n{q}") if text.strip() else q
+    return out
