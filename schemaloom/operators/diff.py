@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import column_line
-from .extract import ATTRIBUTES, SECTIONS
+from .extract import ATTRIBUTES, SECTIONS, unnested
 
 KEYS = ["db", "tbl", "v"]
 DIFF_COLUMNS = ["db", "tbl", "v", "name", "change", "old_type", "new_type",
@@ -54,10 +54,14 @@ def paired(defs: DataFrame, fields, firsts: bool = False) -> DataFrame:
     and its readable predecessor; with ``firsts`` also versions without one
     (old is NULL). The extraction is read once."""
     body = F.struct(*fields)
+
+    def side(v, n: int):
+        # _ok comes out of the generator: a filter on it is not pushed below the
+        # extraction, where it would run every regex a second time
+        return F.struct(v.alias("v"), F.lit(n).alias("_side"), F.col("_ok").alias("_ok"),
+                        F.col("_d").alias("_d"))
     sides = defs.select("db", "tbl", "v", body.alias("_d"), readable(defs).alias("_ok")).select(
-        "db", "tbl", "_ok", F.inline(F.array(
-            F.struct(F.col("v").alias("v"), F.lit(1).alias("_side"), F.col("_d").alias("_d")),
-            F.struct((F.col("v") + 1).alias("v"), F.lit(0).alias("_side"), F.col("_d").alias("_d")))))
+        "db", "tbl", F.inline(F.array(side(F.col("v"), 1), side(F.col("v") + 1, 0))))
     w = Window.partitionBy(*KEYS).orderBy("_side")
     return (sides.where(F.col("_ok"))
             .withColumns({"old": F.lag("_d").over(w), "_from": F.lag("_side").over(w)})
@@ -140,8 +144,7 @@ def diff_long(defs: DataFrame, sections=tuple(SECTIONS), keep_same: bool = True)
     sections give only values that differ.
     -> db, tbl, v, section, name, change, old_type, new_type, old_comment, new_comment"""
     wanted = [s for s in SECTIONS if s in set(sections)]
-    return (_with_rows(paired(defs, wanted), wanted, keep_same)
-            .select(*KEYS, F.inline("rows")))
+    return unnested(_with_rows(paired(defs, wanted), wanted, keep_same), "rows", *KEYS)
 
 
 def _list_diff(defs: DataFrame, section: str) -> DataFrame:
@@ -230,7 +233,7 @@ def version_changes(defs: DataFrame) -> DataFrame:
 def diff_definitions(defs: DataFrame) -> DataFrame:
     """Every real change, long form:
     db, tbl, v, section, change, name, old, new."""
-    return version_changes(defs).select(*KEYS, F.inline("changes"))
+    return unnested(version_changes(defs), "changes", *KEYS)
 
 
 def change_flags(defs: DataFrame, changes: DataFrame | None = None) -> DataFrame:

@@ -202,19 +202,30 @@ def filter_extracted(df: DataFrame, cond: Column) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns])))).filter(cond)
 
 
+def unnested(df: DataFrame, array: str, *keep: str) -> DataFrame:
+    """``keep`` and the fields of each struct of ``array``. The outer form is
+    used and its empty rows are dropped afterwards: for the inner form Catalyst
+    infers a filter on the array and pushes it below the extraction, which then
+    runs twice."""
+    first = df.schema[array].dataType.elementType.names[0]
+    return (df.select(*keep, F.col(array)).select(*keep, F.inline_outer(array))
+            .where(F.col(first).isNotNull()))
+
+
 def def_columns(defs: DataFrame) -> DataFrame:
     """db, tbl, v, pos, name, type, comment — one row per column."""
-    return defs.select("db", "tbl", "v", F.inline("columns")).select(
+    return unnested(defs, "columns", "db", "tbl", "v").select(
         "db", "tbl", "v", "pos", "name", "type", "comment")
 
 
 def def_part_columns(defs: DataFrame) -> DataFrame:
-    return defs.select("db", "tbl", "v", F.inline("part_columns")).select(
+    return unnested(defs, "part_columns", "db", "tbl", "v").select(
         "db", "tbl", "v", "pos", "name", "type", "comment")
 
 
 def def_constraints(defs: DataFrame) -> DataFrame:
-    return defs.select("db", "tbl", "v", F.explode("constraints").alias("text"))
+    return (defs.select("db", "tbl", "v", F.explode_outer("constraints").alias("text"))
+            .where(F.col("text").isNotNull()))
 
 
 def def_attrs(defs: DataFrame) -> DataFrame:
