@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 from .common import WORDS_AT_ONCE, Words, chunks, mix, open_folder, saved, texts
 
-BLOCK = 8 << 20
+BLOCK = 12 << 20
 SHARD_TOKENS = 1_000_000
 KEPT = 5  # counts up to this are discounted
 END = np.uint64(0x5851F42D4C957F2D)  # the end token's key
