@@ -2,15 +2,19 @@
 
 Examples are a bounded sample of the labelled documents (PER_CLASS of each
 label, smallest hash of the id first). Terms are whole words and the
-character 4- and 5-grams of words with their ends marked; the TERMS with the
-highest chi-square against the label (and at least MIN_CHI2) span the vector
-space, so that names and topics do not drown the vocabulary that matters.
-Vectors are TF-IDF ((1 + log tf) * idf), compared by cosine.
-
-The examples lie in an inverted index cut in blocks of BLOCK examples with the
-largest weight of each term in each block. A search scores the most promising
-blocks, takes the k-th score as threshold, and then only the blocks whose
-bound reaches it: the result is exact. Votes of the K nearest, weighted by
+character 4- and 5-grams of words with their ends marked; every term of the
+examples has a place in the vector space. Vectors are TF-IDF ((1 + log tf) *
+idf), compared by cosine. So that names and topics do not drown the vocabulary
+that matters, a term's idf is multiplied by how far it goes with the label: the
+absolute phi coefficient (square root of chi-square over the number of
+examples, so it does not grow with the sample) plus 1 / examples.
+
+Equal examples are indexed once. Terms that many examples hold are rows of a
+matrix, one product of which scores a batch of texts; the others lie in an
+inverted index cut in blocks of BLOCK examples with the largest weight of each
+term in each block. A search takes the k-th of the scores so far as threshold
+and reads only the blocks whose bound reaches it; what may be among the k best
+is then scored in double precision: the result is exact. Votes of the K nearest, weighted by
 their cosine and by how thinly their class was sampled, plus a prior from
 examples without any term, give the score; the neighbours are its evidence.
 """
@@ -29,14 +33,15 @@ from pyspark.sql import functions as F
 from .common import chunks, saved, texts, thinned
 
 PER_CLASS = 4000
-TERMS = 1000
-MIN_CHI2 = 40.0
-MIN_DOCS = 5
 GRAMS = (4, 5)
 BLOCK = 64
 K = 15
 PRIOR_WEIGHT = 0.2
 CACHE = 400_000
+KNOWN = 100_000  # words whose terms a worker remembers
+DENSE = 4096  # terms at most that are rows of the matrix
+COMMON = 16  # they are in 1 example in so many
+TEXTS_AT_ONCE = 128
 SLICE = 4 << 20
 
 _WORD = regex.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -53,79 +58,149 @@ def terms_of(word: str) -> set[str]:
 
 
 class Space:
-    """The chosen terms and their idf; weighs texts."""
+    """The terms and their weights; weighs texts."""
 
     def __init__(self, terms: list[str], idf: np.ndarray):
         self.terms = {t: i for i, t in enumerate(terms)}
         self.idf = idf
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, np.ndarray] = {}
 
     def __getstate__(self):
         return {"terms": self.terms, "idf": self.idf, "known": {}}
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers (ascending) and weights of unit length; both empty
-        for a text without a chosen term."""
-        if len(self.known) > CACHE:
+        for a text without a known term."""
+        if len(self.known) > KNOWN:
             self.known = {}
-        known, tf = self.known, Counter()
-        for word, n in Counter(words(text)).items():
-            own = known.get(word)
-            if own is None:
-                own = known[word] = tuple(sorted(
-                    self.terms[t] for t in terms_of(word) if t in self.terms))
-            for t in own:
-                tf[t] += n
-        at = np.array(sorted(tf), np.int64)
-        w = (1 + np.log(np.array([tf[t] for t in at.tolist()], np.float64))) * self.idf[at]
+        known, count, own = self.known, Counter(words(text)), []
+        for word in count:
+            if (found := known.get(word)) is None:
+                found = known[word] = np.array(
+                    [self.terms[t] for t in terms_of(word) if t in self.terms], np.int32)
+            own.append(found)
+        if not own:
+            return np.zeros(0, np.int32), np.zeros(0)
+        at = np.concatenate(own)
+        tf = np.repeat(np.array(list(count.values())), [len(x) for x in own])
+        order = np.argsort(at, kind="stable")
+        at, tf = at[order], tf[order]
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1])[:len(at)])
+        at, tf = at[first], np.add.reduceat(tf, first) if len(first) else tf
+        w = (1 + np.log(tf)) * self.idf[at]
         norm = np.sqrt((w * w).sum())
         return at, w / norm if norm > 0 else w
 
 
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0] .. start[0] + n[0] - 1, start[1] .. and so on."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
 class BlockMaxIndex:
-    """Inverted index of unit vectors with block maxima."""
+    """Unit vectors (kept in single precision): a matrix of the common terms,
+    an inverted index with block maxima of the others. Weights are positive."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int,
                  block: int = BLOCK):
         self.n, self.block = len(vectors), block
-        self.blocks = -(-self.n // block)
-        term = np.concatenate([v[0] for v in vectors]) if vectors else np.zeros(0, np.int64)
-        doc = np.repeat(np.arange(self.n), [len(v[0]) for v in vectors])
-        weight = np.concatenate([v[1] for v in vectors]) if vectors else np.zeros(0)
+        same: dict[bytes, list[int]] = {}
+        for i, (at, w) in enumerate(vectors):
+            if len(at):
+                same.setdefault(np.asarray(at, np.int32).tobytes()
+                                + np.asarray(w, np.float32).tobytes(), []).append(i)
+        self.members = [np.array(x) for x in same.values()]
+        own = [vectors[x[0]] for x in self.members]
+        m = self.m = len(own)
+        size = np.array([len(v[0]) for v in own], np.int64)
+        self.start = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        self.at = np.zeros(self.start[-1], np.int32)
+        self.w = np.zeros(self.start[-1], np.float32)
+        for i, (at, w) in enumerate(own):
+            self.at[self.start[i]:self.start[i + 1]] = at
+            self.w[self.start[i]:self.start[i + 1]] = w
+        doc = np.repeat(np.arange(m, dtype=np.int32), size)
+
+        df = np.bincount(self.at, minlength=n_terms)
+        common = np.argsort(-df, kind="stable")[:DENSE]
+        common = common[df[common] * COMMON > m]
+        self.slot = np.full(n_terms, -1, np.int32)
+        self.slot[common] = np.arange(len(common))
+        slot = self.slot[self.at]
+        self.dense = np.zeros((len(common), m), np.float32)
+        self.dense[slot[slot >= 0], doc[slot >= 0]] = self.w[slot >= 0]
+        self.slack = 2 * (len(common) + n_terms.bit_length() + 64) * 2.0 ** -23
+
+        term, doc, w = self.at[slot < 0], doc[slot < 0], self.w[slot < 0]
         order = np.lexsort((doc, term))
-        self.doc, self.weight = doc[order], weight[order]
-        cell = term[order] * max(self.blocks, 1) + self.doc // block
-        self.cut = np.searchsorted(cell, np.arange(n_terms * max(self.blocks, 1) + 1))
-        top = np.zeros(n_terms * max(self.blocks, 1))
-        np.maximum.at(top, cell, self.weight)
-        self.top = top.reshape(n_terms, -1)
-
-    def _score(self, at: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-        """Exact scores of all examples (0 outside ``blocks``)."""
-        cell = (at[:, None] * self.blocks + blocks[None, :]).ravel()
-        n = self.cut[cell + 1] - self.cut[cell]
-        place = np.repeat(self.cut[cell] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        weight = np.repeat(np.repeat(w, len(blocks)), n) * self.weight[place]
-        return np.bincount(self.doc[place], weight, minlength=self.n)
+        term, self.doc = term[order], doc[order].astype(np.intp)
+        self.weight = w[order].astype(np.float64)
+        part = self.doc // block
+        cell = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (part[1:] != part[:-1]))
+                              [:len(term)])
+        self.cut = np.append(cell, len(term))  # postings of each cell
+        self.part = part[cell]
+        self.top = np.maximum.reduceat(self.weight, cell) if len(cell) else self.weight
+        self.cells = np.searchsorted(term[cell], np.arange(n_terms + 1))  # cells of each term
+        self.query = np.zeros(n_terms)
+
+    def __getstate__(self):
+        return self.__dict__ | {"query": None}
 
     def search(self, at: np.ndarray, w: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
         """Examples and cosines of the k largest positive cosines, ties to the
         smaller number."""
-        if not len(at) or not self.n:
+        return self.search_all([(at, w)], k)[0]
+
+    def search_all(self, queries: list[tuple[np.ndarray, np.ndarray]],
+                   k: int = K) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``search`` of each query."""
+        if not self.m:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
+        left = np.zeros((len(queries), len(self.dense)), np.float32)
+        for row, (at, w) in zip(left, queries):
+            slot = self.slot[at]
+            row[slot[slot >= 0]] = w[slot >= 0]
+        return [self._one(at, w, score, k)
+                for (at, w), score in zip(queries, left @ self.dense)]
+
+    def _least(self, score: np.ndarray, k: int) -> float:
+        """What a score must reach to be among the k largest, for rounding a bit less."""
+        if self.m <= k:
+            return 0.0
+        return float(np.partition(score, self.m - k)[self.m - k]) * (1 - self.slack)
+
+    def _one(self, at: np.ndarray, w: np.ndarray, score: np.ndarray,
+             k: int) -> tuple[np.ndarray, np.ndarray]:
+        """``score``: sums over the common terms."""
+        rare = self.slot[at] < 0
+        n = self.cells[at[rare] + 1] - self.cells[at[rare]]
+        cell, weight = _ranges(self.cells[at[rare]], n), np.repeat(w[rare], n)
+        high = np.maximum.reduceat(score, np.arange(0, self.m, self.block))
+        bound = high + np.bincount(self.part[cell], weight * self.top[cell], minlength=len(high))
+        live = (bound >= self._least(score, k))[self.part[cell]]
+        cell, weight = cell[live], weight[live]
+        n = self.cut[cell + 1] - self.cut[cell]
+        place = _ranges(self.cut[cell], n)
+        score = score + np.bincount(self.doc[place], np.repeat(weight, n) * self.weight[place],
+                                    minlength=self.m)
+        may = np.flatnonzero((score > 0) & (score >= self._least(score, k)))
+        if not len(may):
             return np.zeros(0, np.int64), np.zeros(0)
-        bound = w @ self.top[at]
-        order = np.argsort(-bound, kind="stable")
-        first = order[:max(1, -(-4 * k // self.block))]
-        score = self._score(at, w, first)
-        least = np.partition(score, self.n - k)[self.n - k] if self.n > k else 0.0
-        rest = order[len(first):]
-        rest = rest[(bound[rest] > 0) & (bound[rest] >= least * (1 - 1e-12))]
-        if len(rest):
-            score += self._score(at, w, rest)
+
+        if self.query is None:
+            self.query = np.zeros(len(self.slot))
+        self.query[at] = w
+        n = self.start[may + 1] - self.start[may]
+        place = _ranges(self.start[may], n)
+        cos = np.add.reduceat(self.query[self.at[place]] * self.w[place], np.cumsum(n) - n)
+        self.query[at] = 0
+        number = [self.members[i][:k] for i in may.tolist()]
+        cos = np.repeat(cos, [len(x) for x in number])
+        number = np.concatenate(number)
         # rounding: cosines that agree to 12 places are ties
-        best = np.lexsort((np.arange(self.n), -np.round(score, 12)))[:k]
-        best = best[score[best] > 0]
-        return best, score[best]
+        best = np.lexsort((number, -np.round(cos, 12)))[:k]
+        return number[best], cos[best]
 
 
 class Model:
@@ -141,12 +216,21 @@ class Model:
         self.prior = float((own[label[bare] == 1].sum() + 0.1) / (own.sum() + 1.0))
 
     def score(self, text: str) -> tuple[float, list[tuple[object, int, float]]]:
-        near, cos = self.index.search(*self.space.vector(text))
-        y = self.label[near]
-        vote = cos * self.weight[y]
-        score = ((vote * y).sum() + PRIOR_WEIGHT * self.prior) / (vote.sum() + PRIOR_WEIGHT)
-        return float(score), [(self.ids[i], int(self.label[i]), float(c))
-                              for i, c in zip(near.tolist(), cos.tolist())]
+        return self.score_all([text])[0]
+
+    def score_all(self, values: list[str]) -> list[tuple[float, list[tuple[object, int, float]]]]:
+        """Score and neighbours (id, label, cosine) of each text."""
+        out = []
+        for at in range(0, len(values), TEXTS_AT_ONCE):
+            queries = [self.space.vector(t) for t in values[at:at + TEXTS_AT_ONCE]]
+            for near, cos in self.index.search_all(queries):
+                y = self.label[near]
+                vote = cos * self.weight[y]
+                score = (((vote * y).sum() + PRIOR_WEIGHT * self.prior)
+                         / (vote.sum() + PRIOR_WEIGHT))
+                out.append((float(score), [(self.ids[i], int(self.label[i]), float(c))
+                                           for i, c in zip(near.tolist(), cos.tolist())]))
+        return out
 
 
 def examples(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
@@ -198,27 +282,32 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
                   .agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = size.get(0, 0), size.get(1, 0)
     n = n0 + n1
-    df = F.col("n0") + F.col("n1")
-    chi = (F.pow(F.col("n1") * (n0 - F.col("n0")) - F.col("n0") * (n1 - F.col("n1")), 2) * n
-           / (F.lit(float(max(n0 * n1, 1))) * df * F.greatest(n - df, F.lit(1))))
-    best = (_document_frequency(sample).where(df >= MIN_DOCS)
-            .select("term", df.alias("df"), chi.alias("chi")).where(F.col("chi") >= MIN_CHI2)
-            .orderBy(F.desc("chi"), "term").limit(TERMS).collect())
-    space = Space([r.term for r in best],
-                  np.log((1 + n) / (1 + np.array([r.df for r in best], np.float64))) + 1)
+    found = _document_frequency(sample).collect()  # terms of 2 * per_class examples at most
+    in0, in1 = (np.array([r[c] for r in found], np.float64) for c in ("n0", "n1"))
+    df = in0 + in1
+    phi = (np.abs(in1 * (n0 - in0) - in0 * (n1 - in1))
+           / np.sqrt(max(n0 * n1, 1) * df * np.maximum(n - df, 1)))
+    weight = (np.log((1 + n) / (1 + df)) + 1) * (phi + 1 / max(n, 1))
+    names = [r.term for r in found]
+    order = sorted(range(len(names)), key=lambda i: (-weight[i], names[i]))
+    space = Space([names[i] for i in order], weight[order])
+    del found, names
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        space = shared.value
         for batch in chunks(batches, "text", SLICE):
             found = [space.vector(t) for t in texts(batch)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.string()), batch.column("toxic"),
-                 pa.array([v[0] for v in found], pa.list_(pa.int64())),
-                 pa.array([v[1] for v in found], pa.list_(pa.float64()))],
+                 pa.array([v[0].astype("<i4").tobytes() for v in found], pa.binary()),
+                 pa.array([v[1].astype("<f4").tobytes() for v in found], pa.binary())],
                 names=["id", "toxic", "at", "w"])
-    rows = (sample.mapInArrow(weigh, "id string, toxic int, at array<long>, w array<double>")
-            .collect())  # 2 * per_class rows of TERMS entries at most
-    rows.sort(key=lambda r: (r.toxic, r["at"][:3], r.id))  # like examples share a block
-    return Model(space, [(np.array(r["at"], np.int64), np.array(r.w)) for r in rows],
+    shared = sample.sparkSession.sparkContext.broadcast(space)
+    rows = (sample.mapInArrow(weigh, "id string, toxic int, at binary, w binary")
+            .collect())  # 2 * per_class rows, 8 bytes a term
+    rows.sort(key=lambda r: (r.toxic, np.frombuffer(r["at"], "<i4", min(3, len(r["at"]) // 4))
+                             .tolist(), r.id))  # like examples share a block
+    return Model(space, [(np.frombuffer(r["at"], "<i4"), np.frombuffer(r.w, "<f4")) for r in rows],
                  np.array([r.toxic for r in rows], np.int64), [r.id for r in rows], population)
 
 
@@ -238,7 +327,7 @@ def score(docs: DataFrame, model: Model,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in chunks(batches, "text", SLICE):
-            found = [model.score(t) for t in texts(batch)]
+            found = model.score_all(texts(batch))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in names),
                  pa.array([s for s, _ in found], pa.float64()),

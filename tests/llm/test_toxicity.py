@@ -54,3 +54,27 @@ def test_nothing_labelled(spark, docs_of, odd_rows):
     got = toxicity.score(docs_of(odd_rows), toxicity.fit(docs_of(odd_rows), labels)).collect()
     assert len(got) == len(odd_rows) and {r.predicted for r in got} == {0}
     assert toxicity.score(docs_of([]), toxicity.fit(docs_of([]), labels)).collect() == []
+
+
+def test_few_examples_span_the_space(spark, docs_of):
+    """No number of examples is too small for a term: texts find what they share words with."""
+    rows = [(i, f"you idiot number{i}") for i in range(3)] + [(i, f"a calm day number{i}")
+                                                             for i in range(3, 12)]
+    labels = spark.createDataFrame([(i, int(i < 3)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs_of(rows), labels)
+    assert {"<idiot>", "<calm>", "<number7>"} <= set(model.space.terms)
+    score, evidence = model.score("what an idiot")
+    assert score > 0.5 and {e[0] for e in evidence} == {"0", "1", "2"}
+    assert [e[0] for e in model.score("number7")[1]][0] == "7"
+
+
+def test_small_table_has_neighbours(spark):
+    """sf0.001 has 58 and 10 examples; every toxic one finds itself."""
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    known = table(spark, "/root/testdata/sf0.001", "labels").where(fold(F.col("doc_id"), 5) != 0)
+    model = toxicity.fit(docs, known)
+    toxic = docs.join(known.where("toxic = 1"), "doc_id").select("doc_id", "text").collect()
+    assert toxic
+    for (score, evidence), r in zip(model.score_all([r.text for r in toxic]), toxic):
+        if (r.text or "").strip():
+            assert any(label == 1 and cos > 1 - 1e-5 for _, label, cos in evidence)
