@@ -35,12 +35,9 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document whose id names its class; rows without id stay."""
-    classes = dartminhash.near_duplicates(docs)
-    kept = (classes.where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct())
-    one = docs.join(kept, "doc_id").dropDuplicates(["doc_id"])
-    return (one.select(*docs.columns)
-            .unionByName(docs.where(F.col("doc_id").isNull()).select(*docs.columns)))
+    """Keeps one row of every class of near-duplicate texts, that of the smallest
+    id; rows without id are compared too, and other texts of an id stay."""
+    return dartminhash.one_of_each(docs).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

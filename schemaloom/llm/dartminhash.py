@@ -12,8 +12,9 @@ unit by unit, doubling, until no coordinate is empty, so the work is about
 the weight plus K log K, not their product.
 
 Join: BANDS keys of ROWS coordinates each (a pair at 0.8 shares none with
-probability below 1e-5). Equal texts collapse first. In each bucket every
-member is compared with the smallest id (linear in the bucket), links are
+probability below 1e-5). Equal texts collapse first, by a 128-bit key of their
+words, and get a number each; ids only name the classes. In each bucket every
+member is compared with the smallest number (linear in the bucket), links are
 verified exactly on the whole texts, and their components found. What is left
 are buckets whose members are still in several components: there the members
 outside the bucket's largest component are compared with all others, block by
@@ -116,9 +117,24 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def text_keys(w: Words, values: list[str]) -> list[np.ndarray]:
+    """Both halves of a 128-bit hash of each word sequence; of the raw text if
+    it has no word."""
+    count = np.diff(w.first)
+    _, place = _spread(count)
+    keys = []
+    for salt in (0x9FB21C651E98DF25, 0xE7037ED1A0B428DB):
+        total = np.zeros(len(values), np.uint64)
+        np.add.at(total, w.doc, mix(w.hash ^ mix(place.astype(np.uint64) * np.uint64(salt)
+                                                 + np.uint64(salt >> 7))))
+        keys.append(mix(total + count.astype(np.uint64)).view(np.int64))
+    for i in np.flatnonzero(count == 0).tolist():
+        keys[0][i], keys[1][i] = np.frombuffer(hashlib.md5(values[i].encode()).digest(), "<i8")
+    return keys
+
+
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, k1, k2 (128-bit hash of the word sequence; of the raw text if it
-    has no word), bands."""
+    """doc_id, k1, k2 (``text_keys``), bands."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in chunks(batches, "text", WORDS_AT_ONCE):
             for at in range(0, whole.num_rows, TEXTS_AT_ONCE):
@@ -127,19 +143,9 @@ def signed(docs: DataFrame) -> DataFrame:
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         values = texts(batch)
         w = Words(values)
-        count = np.diff(w.first)
         sig = signatures(*shingles(w), len(values))
-        _, place = _spread(count)
-        keys = []
-        for salt in (0x9FB21C651E98DF25, 0xE7037ED1A0B428DB):
-            total = np.zeros(len(values), np.uint64)
-            np.add.at(total, w.doc, mix(w.hash ^ mix(place.astype(np.uint64) * np.uint64(salt)
-                                                     + np.uint64(salt >> 7))))
-            keys.append(mix(total + count.astype(np.uint64)).view(np.int64))
-        bands = list(band_keys(sig))
-        for i in np.flatnonzero(count == 0).tolist():
-            raw = np.frombuffer(hashlib.md5(values[i].encode()).digest(), "<i8")
-            keys[0][i], keys[1][i] = raw
+        keys, bands = text_keys(w, values), list(band_keys(sig))
+        for i in np.flatnonzero(np.diff(w.first) == 0).tolist():
             bands[i] = bands[i][:0]
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id").cast(pa.int64()), pa.array(keys[0]), pa.array(keys[1]),
@@ -148,6 +154,29 @@ def signed(docs: DataFrame) -> DataFrame:
         run, "doc_id long, k1 long, k2 long, bands array<long>"))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with the columns _k1 and _k2 (``text_keys``)."""
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text", WORDS_AT_ONCE):
+            values = texts(batch)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in names),
+                 *map(pa.array, text_keys(Words(values), values))], names=[*names, "_k1", "_k2"])
+    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
+    return docs.mapInArrow(run, f"{schema}, _k1 long, _k2 long")
+
+
+def rows_named(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each of ``chosen`` (id, k1, k2 and others): a
+    row of that id (null is one) and text, with the other columns of ``chosen``."""
+    one = keyed(docs).dropDuplicates(["doc_id", "_k1", "_k2"])
+    return one.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("id"))
+                    & (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2"))
+                    ).drop("id", "k1", "k2", "_k1", "_k2")
+
+
 def similarity(left: list[str], right: list[str]) -> np.ndarray:
     """Exact weighted Jaccard similarity of the texts pair by pair."""
     sides = [shingles(Words(values)) for values in (left, right)]
@@ -161,11 +190,11 @@ def similarity(left: list[str], right: list[str]) -> np.ndarray:
     return np.where(union > 0, common / np.maximum(union, 1), 0.0)
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole texts have the similarity, with it."""
-    text = docs.select("doc_id", "text")
-    full = (pairs.join(text.select(F.col("doc_id").alias("a"), F.col("text").alias("text")), "a")
-            .join(text.select(F.col("doc_id").alias("b"), F.col("text").alias("other")), "b"))
+def verified(pairs: DataFrame, named: DataFrame) -> DataFrame:
+    """The pairs (a, b) of numbers whose whole texts (``named``: node, text)
+    have the similarity, with it."""
+    full = (pairs.join(named.select(F.col("node").alias("a"), "text"), "a")
+            .join(named.select(F.col("node").alias("b"), F.col("text").alias("other")), "b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", WORDS_AT_ONCE // 2):
@@ -229,8 +258,9 @@ def block_links(ids: list[int], comp: list[int], values: list[str], left: np.nda
     return out
 
 
-def across(members: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) between components of a bucket. ``members``: h, id, comp.
+def across(members: DataFrame, named: DataFrame) -> DataFrame:
+    """Links (a, b) between components of a bucket. ``members``: h, id, comp;
+    ``named``: node, text.
 
     Members outside the bucket's most frequent component are dealt into blocks
     0 .. s - 1, the others into blocks from s on; every block pair with one of
@@ -251,7 +281,7 @@ def across(members: DataFrame, docs: DataFrame) -> DataFrame:
     dealt = (rows.withColumn("p", block).withColumn("q", F.explode(F.sequence(F.lit(0), last)))
              .select("h", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "p",
                      "id", "comp")
-             .join(docs.select(F.col("doc_id").alias("id"), "text"), "id"))
+             .join(named.select(F.col("node").alias("id"), "text"), "id"))
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,28 +302,25 @@ def across(members: DataFrame, docs: DataFrame) -> DataFrame:
             .mapInArrow(compare, "a long, b long").distinct())
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id of every row: class_id is the smallest doc_id of the
-    texts that links connect.
-
-    Texts of equal word sequences (case of A-Z and punctuation aside) are one
-    class; texts without a word only if they are equal, null as ''. A row
-    without doc_id is compared with none and has class null. Rows that repeat
-    an id with other texts connect what they are like. An empty table gives no
-    rows; other columns are ignored.
-    """
-    rows = saved(signed(docs), "dart_rows")
-    known = rows.where(F.col("doc_id").isNotNull())
-    same = saved(known.groupBy("k1", "k2").agg(
+def text_classes(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """k1, k2, id, class of every text of ``rows`` (``signed`` rows of
+    ``docs``): id is the smallest of its ids, class a number that the texts
+    which links connect have in common."""
+    same = saved(rows.groupBy("k1", "k2").agg(
         F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "dart_texts")
-    keys = same.select("id", F.explode("bands").alias("h"))
+    # numbers rise with the id: a first text is a better lead than its copies
+    same = saved(same.orderBy("id", "k1", "k2")
+                 .withColumn("node", F.monotonically_increasing_id()), "dart_nodes")
+    keys = same.select(F.col("node").alias("id"), F.explode("bands").alias("h"))
     buckets = saved(keys.groupBy("h").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("n"))
                     .where(F.col("n") > 1), "dart_buckets")
     members = saved(keys.join(buckets, "h"), "dart_members")
     star = (members.where(F.col("id") != F.col("lead"))
             .select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
-    # the text of a class is that of the row whose id names it
-    named = docs.select("doc_id", "text").dropDuplicates(["doc_id"])
+    needed = same.select("id", "k1", "k2", "node").join(
+        members.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
+    named = saved(rows_named(docs.select("doc_id", "text"), needed).select("node", "text"),
+                  "dart_named")
     links = saved(verified(star, named).select("a", "b"), "dart_links")
     first = saved(components(links), "dart_first")
 
@@ -309,10 +336,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             # one edge per labelled text: components of both rounds together
             tree = first.select(F.col("class_id").alias("a"), F.col("id").alias("b"))
             final = components(tree.unionByName(more))
+    final = final.select(F.col("id").alias("node"), F.col("class_id").alias("class"))
+    return saved(same.select("k1", "k2", "id", "node").join(final, "node", "left").select(
+        "k1", "k2", "id", F.coalesce("class", "node").alias("class")), "dart_classes")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id of every row: class_id is the smallest doc_id of the
+    texts that links connect.
 
-    out = same.join(final, "id", "left").select(
-        "k1", "k2", F.coalesce("class_id", "id").alias("class_id"))
-    classes = (known.select("doc_id", "k1", "k2").join(saved(out, "dart_classes"), ["k1", "k2"])
+    Texts of equal word sequences (case of A-Z and punctuation aside) are one
+    class; texts without a word only if they are equal, null as ''. A row
+    without doc_id is compared with none and has class null. Rows that repeat
+    an id with other texts are each compared by their own text. An empty table
+    gives no rows; other columns are ignored.
+    """
+    rows = saved(signed(docs), "dart_rows")
+    known = rows.where(F.col("doc_id").isNotNull())
+    found = text_classes(docs, known)
+    names = saved(found.groupBy("class").agg(F.min("id").alias("class_id")), "dart_names")
+    out = saved(found.join(names, "class").select("k1", "k2", "class_id"), "dart_ids")
+    classes = (known.select("doc_id", "k1", "k2").join(out, ["k1", "k2"])
                .select("doc_id", "class_id"))
     return classes.unionByName(rows.where(F.col("doc_id").isNull())
                                .select("doc_id", F.lit(None).cast("long").alias("class_id")))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of ``docs`` per class of texts, of the smallest id. Rows without
+    id are compared too and kept only if no row of their class has one."""
+    found = text_classes(docs, saved(signed(docs), "dart_rows"))
+    first = found.groupBy("class").agg(F.min(F.struct(
+        F.col("id").isNull().alias("bare"), "id", "k1", "k2")).alias("row"))
+    return rows_named(docs, saved(first.select("row.id", "row.k1", "row.k2"), "dart_kept"))

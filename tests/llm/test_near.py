@@ -96,3 +96,19 @@ def test_components(spark):
     got = {r.id: r.class_id for r in
            components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100, 102: 100}
+
+
+def test_texts_that_share_an_id(docs_of, odd_rows):
+    """Every text of a repeated id is compared, and as itself."""
+    rng = random.Random(6)
+    words = [["".join(rng.choices("abcdefghij", k=5)) for _ in range(120)] for _ in range(12)]
+    rows = list(odd_rows)
+    for i, w in enumerate(words):  # id 200 has 12 unlike texts, each with a near copy
+        rows += [(200, " ".join(w)), (300 + i, " ".join(w[:-2] + ["end"]))]
+    rows += [(None, " ".join(words[0]))]
+    got = Counter((r.doc_id, r.class_id) for r in M.near_duplicates(docs_of(rows)).collect())
+    assert got == brute(rows)
+    kept = [(r.doc_id, r.text) for r in M.one_of_each(docs_of(rows)).collect()]
+    assert sorted(x for x in kept if x[0] == 200) == sorted((200, " ".join(w)) for w in words)
+    assert sorted(t for i, t in kept if i == 4) == ["other word", "word"]
+    assert [t for i, t in kept if i is None] == ["no id here"]
