@@ -42,9 +42,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents of which benchmark windows hit 1 word in 20 or more."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    bad = saved(found.where("contaminated").select("doc_id").distinct(), "contaminated")
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    # decided and applied by row: ids may be null or repeated
+    rows = saved(docs.withColumn("_row_key", F.monotonically_increasing_id()), "pipeline_rows")
+    found = decontaminate.contamination(rows.select(F.col("_row_key").alias("doc_id"), "text"),
+                                        table(spark, sf_dir, "benchmark"))
+    bad = saved(found.where("contaminated").select(F.col("doc_id").alias("_row_key")),
+                "contaminated")
+    return rows.join(bad, "_row_key", "left_anti").select(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,3 +42,18 @@ def test_clashing_columns_and_empty(spark):
         assert {r.score for r in out.select("score").collect()} == {"s"}
     for _, stage in P.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_rows_without_or_with_shared_id(spark, docs_of):
+    """Contamination is a matter of the row, and rows without id are deduplicated too."""
+    item = next(r.text for r in table(spark, SF, "benchmark").collect()
+                if len((r.text or "").split()) > 20)
+    rows = [(None, item), (7, item), (7, "a clean text"), (None, "another clean text"), (8, None)]
+    out = P.drop_contaminated(spark, docs_of(rows), SF)
+    assert out.columns == docs_of(rows).columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == [
+        (0, "another clean text"), (7, "a clean text"), (8, "")]
+    rows = [(None, "one text"), (None, "one text"), (None, "other"), (9, "other"), (9, "third")]
+    out = P.drop_near_duplicates(spark, docs_of(rows), SF)
+    assert sorted((r.doc_id or 0, r.text) for r in out.collect()) == [
+        (0, "one text"), (9, "other"), (9, "third")]
