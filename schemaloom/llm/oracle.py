@@ -35,4 +35,48 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM h LEFT JOIN f USING (payload_digest)
 """
 
-ORACLE = {"op4_decontaminate": DECONTAMINATE, "op8_warc_revisits": WARC}
+AUDIT = r"""
+WITH doc AS (
+  SELECT doc_id, coalesce(source::VARCHAR, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id FROM documents),
+good AS (SELECT doc_id, max((quality = 1)::INT) AS g, max((toxic = 1)::INT) AS t
+         FROM labels GROUP BY doc_id),
+cell AS (
+  SELECT part, n_short + n_plain + n_loud + n_mark + n_twin AS mask, count(*) AS n,
+         sum(coalesce(g, 0)) AS g, sum(coalesce(t, 0)) AS t
+  FROM (SELECT doc_id, part, CASE WHEN len(w) < 50 THEN 1 ELSE 0 END AS n_short,
+               CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 2 ELSE 0 END AS n_plain,
+               CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text)
+                    THEN 4 ELSE 0 END AS n_loud,
+               CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END AS n_mark,
+               CASE WHEN doc_id > first_id THEN 16 ELSE 0 END AS n_twin FROM doc)
+  LEFT JOIN good USING (doc_id) GROUP BY ALL),
+letter AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS x(l, bit)),
+orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order,
+         [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM letter a, letter b, letter c, letter d, letter e
+  WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+steps AS (
+  SELECT filter_order, step, bits[step] AS bit,
+         list_sum(list_concat([0], bits[1:step - 1]))::INT AS prior
+  FROM orders, (SELECT unnest(range(1, 6))::INT AS step)),
+told AS (
+  SELECT part, filter_order, step, bit,
+         sum(CASE WHEN mask & (prior | bit) = 0 THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN mask & bit <> 0 AND mask & prior = 0 THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN mask & bit <> 0 AND mask & prior <> 0 THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN mask & bit <> 0 AND mask & prior = 0 THEN g ELSE 0 END) AS good_lost,
+         sum(CASE WHEN mask & bit <> 0 AND mask & prior = 0 THEN t ELSE 0 END) AS toxic_lost
+  FROM cell, steps GROUP BY ALL)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed,
+       redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+       good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM told
+"""
+
+ORACLE = {"op4_decontaminate": DECONTAMINATE, "op8_warc_revisits": WARC,
+          "op13_filter_audit": AUDIT}

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, dartminhash, decontaminate, katz, langid, sharding, tokenfiles, toxicity, warc
+from . import (ann, bpe, dartminhash, decontaminate, filteraudit, katz, langid, sharding,
+               tokenfiles, toxicity, warc)
 from .common import fold, table
 
 
@@ -85,6 +86,12 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", held.alias("held_out"), "lang_pred", "score"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(table(spark, sf_dir, "documents").select("doc_id", "text", "source"),
+                             table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_bpe, op2_nearest, op3_toxicity, op4_decontaminate, op5_katz,
-    op6_dartminhash, op7_token_files, op8_warc_revisits, op9_sharding, op10_language)}
+    op6_dartminhash, op7_token_files, op8_warc_revisits, op9_sharding, op10_language,
+    op13_filter_audit)}
