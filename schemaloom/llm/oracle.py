@@ -78,5 +78,45 @@ SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS remove
 FROM told
 """
 
+
+
+def _codes() -> str:
+    """k-means over parts, each round spelled out: assign, then move."""
+    def nearest(book: str) -> str:
+        return f"""SELECT k, p, min({{'d': norm - 2 * list_inner_product(x, c), 'e': e}}).e AS e
+        FROM part JOIN (SELECT *, list_inner_product(c, c) AS norm FROM {book}) USING (p)
+        GROUP BY k, p"""
+    rounds = "".join(f"""
+own{r} AS MATERIALIZED ({nearest(f'book{r}')}),
+book{r + 1} AS MATERIALIZED (
+  SELECT p, e, coalesce(m, c) AS c FROM book{r} LEFT JOIN (
+    SELECT p, e, list(m ORDER BY i) AS m FROM (
+      SELECT p, e, i, floor(sum(x[i]) / count(*)) AS m
+      FROM part JOIN own{r} USING (k, p), (SELECT unnest(range(1, w + 1)) AS i FROM wide)
+      GROUP BY p, e, i) GROUP BY p, e) USING (p, e)),""" for r in range(4))
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS k, vec_id, label,
+         list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL
+    AND list_aggregate(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)), 'bool_and')),
+wide AS (SELECT max(len(v)) // 4 AS w FROM kept),
+part AS MATERIALIZED (
+  SELECT k, p, v[p * w + 1:p * w + w] AS x
+  FROM kept, wide, (SELECT unnest(range(0, 4)) AS p)),
+book0 AS MATERIALIZED (SELECT p, k - 1 AS e, x AS c FROM part WHERE k <= 256),{rounds}
+last AS MATERIALIZED ({nearest('book4')}),
+error AS MATERIALIZED (
+  SELECT k, string_agg(format('{{:02x}}', e), '' ORDER BY p) AS code,
+         sum(list_inner_product(x, x) + list_inner_product(c, c)
+             - 2 * list_inner_product(x, c))::BIGINT AS error
+  FROM last JOIN part USING (k, p) JOIN book4 USING (p, e) GROUP BY k)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(c::BIGINT[], ','), ',' ORDER BY p, e))
+        FROM book4) AS codebooks_sha256
+FROM kept JOIN error USING (k)
+"""
+
+
 ORACLE = {"op4_decontaminate": DECONTAMINATE, "op8_warc_revisits": WARC,
-          "op13_filter_audit": AUDIT}
+          "op11_vector_codes": _codes(), "op13_filter_audit": AUDIT}
