@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (ann, bpe, dartminhash, decontaminate, filteraudit, katz, langid, metrictree,
-               sharding, tokenfiles, toxicity, warc)
+from . import (ann, bpe, dartminhash, decontaminate, filteraudit, fsttokens, katz, langid,
+               metrictree, sharding, tokenfiles, toxicity, warc)
 from .common import fold, table
 
 
@@ -90,6 +90,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrictree.compress(table(spark, sf_dir, "embeddings"))
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fsttokens.count_tokens(table(spark, sf_dir, "documents"), vocabulary(WORD_BPE))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.audit(table(spark, sf_dir, "documents").select("doc_id", "text", "source"),
                              table(spark, sf_dir, "labels"))
@@ -98,4 +102,4 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_bpe, op2_nearest, op3_toxicity, op4_decontaminate, op5_katz,
     op6_dartminhash, op7_token_files, op8_warc_revisits, op9_sharding, op10_language,
-    op11_vector_codes, op13_filter_audit)}
+    op11_vector_codes, op12_token_counts, op13_filter_audit)}
