@@ -1,18 +1,16 @@
-"""Definition diff (D1-D16): each version against its predecessor.
-
-Versions are numbered densely per table (``v`` = 1, 2, …), so the
-predecessor of ``v`` is ``v - 1`` and every pairing is an equi-join on a key
-that includes ``v`` — unique per version, so a table with very many
-versions never lands in one task (no per-table window).
-
-All sections are compared in one pass (``diff_long``): one compact row per
-version is sent as "new" to ``v`` and as "old" to ``v + 1``, a window over the
-unique key (db, tbl, v) puts the two side by side, and the lists are compared
-inside the row with higher-order functions. One shuffle, one sort on short
-keys, no aggregation of strings, and no task holds more than two versions of
-a table at a time. Order of columns is ignored, a rename is a delete plus an
-add. Versions with a ``reject_reason`` are in no pair: what could not be read
-is never reported as a change.
+"""Definition diff (D1-D16): each version against the last readable one before.
+
+A version that could not be read is in no pair and never reported as a
+change; the version after it is compared with the last one that was read,
+however many lie between, so nothing that changed meanwhile is lost.
+
+Predecessors are found by a carry-forward scan in two steps that keep no
+table in one task: inside runs of VERSIONS_AT_ONCE version numbers by a window
+over (db, tbl, run), and for the first readable version of a run from the last
+readable one of the runs before, by a window over one row per run. All
+branches share one exchange, so the texts are extracted once. The lists are
+then compared inside the row with higher-order functions, without aggregation
+of strings. Order of columns is ignored, a rename is a delete plus an add.
 """
 
 from __future__ import annotations
@@ -32,11 +30,13 @@ def version_keys(defs: DataFrame) -> DataFrame:
     return defs.select(*KEYS)
 
 
+VERSIONS_AT_ONCE = 1024
+
+
 def version_pairs(defs: DataFrame) -> DataFrame:
-    """Db, tbl, v, v_prev for every version that has a predecessor."""
-    new = defs.select(*KEYS)
-    old = defs.select("db", "tbl", (F.col("v") + 1).alias("v"), F.col("v").alias("v_prev"))
-    return new.join(old, KEYS)
+    """Db, tbl, v, v_prev for every readable version that has a readable
+    one before it. A corpus without ``reject_reason`` counts as readable."""
+    return paired(defs, ["v"]).select(*KEYS, F.col("old.v").alias("v_prev"))
 
 
 _ROW = ("struct<section:string,name:string,change:string,old_type:string,new_type:string,"
@@ -51,22 +51,32 @@ def readable(defs: DataFrame) -> Column:
 
 def paired(defs: DataFrame, fields, firsts: bool = False) -> DataFrame:
     """db, tbl, v, new, old: structs of ``fields`` of every readable version
-    and its readable predecessor; with ``firsts`` also versions without one
-    (old is NULL). The extraction is read once."""
-    body = F.struct(*fields)
-
-    def side(v, n: int):
-        # _ok comes out of the generator: a filter on it is not pushed below the
-        # extraction, where it would run every regex a second time
-        return F.struct(v.alias("v"), F.lit(n).alias("_side"), F.col("_ok").alias("_ok"),
-                        F.col("_d").alias("_d"))
-    sides = defs.select("db", "tbl", "v", body.alias("_d"), readable(defs).alias("_ok")).select(
-        "db", "tbl", F.inline(F.array(side(F.col("v"), 1), side(F.col("v") + 1, 0))))
-    w = Window.partitionBy(*KEYS).orderBy("_side")
-    return (sides.where(F.col("_ok"))
-            .withColumns({"old": F.lag("_d").over(w), "_from": F.lag("_side").over(w)})
-            .where((F.col("_side") == 1) & ((F.col("_from") == 0) | F.lit(firsts)))
-            .select(*KEYS, F.col("_d").alias("new"), "old"))
+    and of the last readable version before it; with ``firsts`` also versions
+    without one (old is NULL). The extraction is read once."""
+    table = KEYS[:2]
+    # _ok comes out of a generator: a filter on it is not pushed below the
+    # extraction, where it would run every regex a second time
+    item = F.struct("v", F.col("_ok").alias("_ok"), F.col("_d").alias("_d"))
+    rows = (defs.select(*KEYS, F.struct(*fields).alias("_d"), readable(defs).alias("_ok"))
+            .select(*table, F.inline(F.array(item))).where("_ok").drop("_ok")
+            .withColumn("_run", F.floor(F.col("v") / VERSIONS_AT_ONCE))
+            # else the join below would add this to its branches alone
+            .where(F.col("db").isNotNull() & F.col("tbl").isNotNull() & F.col("_run").isNotNull()))
+    inside = Window.partitionBy(*table, "_run").orderBy("v")
+    # plain columns in the windows: an expression would be computed below the exchange
+    rows = rows.withColumns({"old": F.lag("_d").over(inside),
+                             "_last": F.lead("v").over(inside).isNull()})
+    over = Window.partitionBy(*table).orderBy("_run")
+    ends = rows.where("_last").select(*table, "_run", F.lag("_d").over(over).alias("_before"))
+    # no filter on _run here: it would be pushed below the exchange of this branch
+    begun = rows.where(F.col("old").isNull()).join(ends, [*table, "_run"])
+    if not firsts:
+        begun = begun.where(F.col("_before").isNotNull())
+
+    def pair(old: str) -> list[Column]:
+        return [*map(F.col, KEYS), F.col("_d").alias("new"), F.col(old).alias("old")]
+    return (rows.where(F.col("old").isNotNull()).select(*pair("old"))
+            .unionByName(begun.select(*pair("_before"))))
 
 
 def _entries(items: Column, side: int, listed: bool) -> Column:

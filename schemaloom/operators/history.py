@@ -14,7 +14,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .diff import KEYS, paired, readable
+from .diff import KEYS, VERSIONS_AT_ONCE, paired, readable
 from .extract import ATTRIBUTES, definitions
 
 TABLE = ["db", "tbl"]
@@ -111,9 +111,9 @@ def last_seen(defs: DataFrame, by: Iterable[str] = ("kind", "options_tail")) ->
 
 
 def distinct_versions(defs: DataFrame) -> DataFrame:
-    """H6: first versions and versions whose fingerprint differs from the one
-    before; a version after an unreadable one counts as different, an
-    unreadable one is left out. Two short fields per version are compared."""
+    """H6: first versions and versions whose fingerprint differs from the last
+    readable one before; an unreadable one is left out. Two short fields per
+    version are compared."""
     marked = defs.withColumn("_fp", fingerprint(defs))
     both = paired(marked, ["_fp", "vid", "captured_at"], firsts=True)
     changed = F.col("old").isNull() | (F.col("old._fp") != F.col("new._fp"))
@@ -121,9 +121,6 @@ def distinct_versions(defs: DataFrame) -> DataFrame:
         *KEYS, F.col("new.vid").alias("vid"), F.to_date("new.captured_at").alias("valid_from"))
 
 
-VERSIONS_AT_ONCE = 1024
-
-
 def version_intervals(defs: DataFrame) -> DataFrame:
     """H7: valid_from / valid_to (next distinct version's date, NULL = current).
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 
 BASE = r"""
-with ver as (
+with ver as materialized (
   select concat('db_', cast(c.c_nationkey as varchar)) as db,
          concat('t_', cast(c.c_custkey as varchar)) as tbl,
          o.o_orderkey as vid, o.o_orderdate as captured_at,
@@ -32,15 +32,15 @@ raw as (
                     l.l_discount, l.l_tax, l.l_shipdate, l.l_returnflag, l.l_linestatus) as rn
   from ver v join lineitem l on l.l_orderkey = v.vid
   where not v.is_like),
-cols as (select db, tbl, v, name, type, comment from raw where rn = 1),
-pcols as (
+cols as materialized (select db, tbl, v, name, type, comment from raw where rn = 1),
+pcols as materialized (
   select db, tbl, v, 1 as pos, 'dt' as name, 'STRING' as type, 'load day' as comment
     from ver where not is_like and prio in ('1', '2')
   union all
   select db, tbl, v, 1, 'dt', 'STRING', cast(null as varchar) from ver where not is_like and prio = '3'
   union all
   select db, tbl, v, 2, 'hr', 'INT', cast(null as varchar) from ver where not is_like and prio = '3'),
-attrs as (
+attrs as materialized (
   select db, tbl, v, vid, captured_at,
          case when status = 'F' then 'external' end as kind,
          case when is_like then concat(db, '.t_template') end as like_table,
@@ -54,42 +54,51 @@ attrs as (
                           ' LOCATION ''/wh/', db, '/', tbl, ''' TBLPROPERTIES (''owner''=''', seg, ''')')
               end) as options_tail
   from ver),
-cons as (
+cons as materialized (
   select db, tbl, v,
          concat('constraint pk_', cast(vid as varchar), ' primary key (c_0, c_1) disable novalidate') as text
   from ver x where vid % 6 = 1 and exists (select 1 from cols c where c.tbl = x.tbl and c.v = x.v)),
+pairs as (select n.db, n.tbl, n.v, o.v as pv from ver n join ver o on n.tbl = o.tbl and n.v = o.v + 1),
+col_sides as (
+  select n.db, n.tbl, n.v, c.name, 1 as side, c.type, c.comment
+    from pairs n join cols c on c.tbl = n.tbl and c.v = n.v
+  union all
+  select n.db, n.tbl, n.v, c.name, 0, c.type, c.comment
+    from pairs n join cols c on c.tbl = n.tbl and c.v = n.pv),
+pcol_sides as (
+  select n.db, n.tbl, n.v, c.name, 1 as side, c.type, c.comment
+    from pairs n join pcols c on c.tbl = n.tbl and c.v = n.v
+  union all
+  select n.db, n.tbl, n.v, c.name, 0, c.type, c.comment
+    from pairs n join pcols c on c.tbl = n.tbl and c.v = n.pv),
 col_diff as (
-  select coalesce(n.db, o.db) as db, coalesce(n.tbl, o.tbl) as tbl,
-         coalesce(n.v, o.v) as v, coalesce(n.name, o.name) as name,
-         case when o.name is null then 'added' when n.name is null then 'deleted'
-              when n.type is distinct from o.type or n.comment is distinct from o.comment
+  select db, tbl, v, name,
+         case when max(side) = 0 then 'deleted' when min(side) = 1 then 'added'
+              when max(type) filter (where side = 0) is distinct from max(type) filter (where side = 1)
+                or max(comment) filter (where side = 0) is distinct from max(comment) filter (where side = 1)
               then 'changed' else 'same' end as change,
-         o.type as old_type, n.type as new_type, o.comment as old_comment, n.comment as new_comment
-  from cols n full outer join
-       (select n.db, n.tbl, n.v, o.name, o.type, o.comment
-          from cols o join ver n on n.tbl = o.tbl and n.v = o.v + 1) o
-    on n.tbl = o.tbl and n.v = o.v and n.name = o.name
-  where coalesce(n.v, o.v) > 1),
+         max(type) filter (where side = 0) as old_type, max(type) filter (where side = 1) as new_type,
+         max(comment) filter (where side = 0) as old_comment,
+         max(comment) filter (where side = 1) as new_comment
+  from col_sides group by db, tbl, v, name),
 pcol_diff as (
-  select coalesce(n.db, o.db) as db, coalesce(n.tbl, o.tbl) as tbl,
-         coalesce(n.v, o.v) as v, coalesce(n.name, o.name) as name,
-         case when o.name is null then 'added' when n.name is null then 'deleted'
-              when n.type is distinct from o.type or n.comment is distinct from o.comment
+  select db, tbl, v, name,
+         case when max(side) = 0 then 'deleted' when min(side) = 1 then 'added'
+              when max(type) filter (where side = 0) is distinct from max(type) filter (where side = 1)
+                or max(comment) filter (where side = 0) is distinct from max(comment) filter (where side = 1)
               then 'changed' else 'same' end as change,
-         o.type as old_type, n.type as new_type, o.comment as old_comment, n.comment as new_comment
-  from pcols n full outer join
-       (select n.db, n.tbl, n.v, o.name, o.type, o.comment
-          from pcols o join ver n on n.tbl = o.tbl and n.v = o.v + 1) o
-    on n.tbl = o.tbl and n.v = o.v and n.name = o.name
-  where coalesce(n.v, o.v) > 1),
+         max(type) filter (where side = 0) as old_type, max(type) filter (where side = 1) as new_type,
+         max(comment) filter (where side = 0) as old_comment,
+         max(comment) filter (where side = 1) as new_comment
+  from pcol_sides group by db, tbl, v, name),
 constraint_diff as (
-  select coalesce(n.db, o.db) as db, coalesce(n.tbl, o.tbl) as tbl, coalesce(n.v, o.v) as v,
-         coalesce(n.text, o.text) as text,
-         case when o.text is null then 'added' else 'deleted' end as change
-  from (select * from cons where v > 1) n full outer join
-       (select n.db, n.tbl, n.v, o.text from cons o join ver n on n.tbl = o.tbl and n.v = o.v + 1) o
-    on n.tbl = o.tbl and n.v = o.v and n.text = o.text
-  where n.text is null or o.text is null),
+  select db, tbl, v, text, case when max(side) = 0 then 'deleted' else 'added' end as change
+  from (select n.db, n.tbl, n.v, c.text, 1 as side
+          from pairs n join cons c on c.tbl = n.tbl and c.v = n.v
+        union all
+        select n.db, n.tbl, n.v, c.text, 0
+          from pairs n join cons c on c.tbl = n.tbl and c.v = n.pv) x
+  group by db, tbl, v, text having count(*) = 1),
 attr_pairs as (
   select n.db, n.tbl, n.v, o.kind as o_kind, n.kind as n_kind,
          o.clustered as o_clustered, n.clustered as n_clustered,
@@ -98,7 +107,7 @@ attr_pairs as (
          o.skewed_dirs as o_skewed_dirs, n.skewed_dirs as n_skewed_dirs,
          o.options_tail as o_options_tail, n.options_tail as n_options_tail,
          o.like_table as o_like_table, n.like_table as n_like_table
-  from attrs n join attrs o on n.tbl = o.tbl and n.v = o.v + 1),
+  from pairs p join attrs n on n.tbl = p.tbl and n.v = p.v join attrs o on o.tbl = p.tbl and o.v = p.pv),
 attr_diff as (
   select db, tbl, v, 'kind' as section, o_kind as old, n_kind as new from attr_pairs where o_kind is distinct from n_kind
   union all select db, tbl, v, 'clustered', o_clustered, n_clustered from attr_pairs where o_clustered is distinct from n_clustered
@@ -252,6 +261,11 @@ Q: dict[str, str] = {
     "constraint_diff": "select db, tbl, v, text, change from constraint_diff",
     "attr_diff": "select db, tbl, v, section, old, new from attr_diff",
     "def_diff": "select db, tbl, v, section, change, name, old, new from def_diff",
+    "gap_pairs": "select db, tbl, v, pv as v_prev from pairs",
+    "gap_diff": "select db, tbl, v, section, change, name, old, new from def_diff",
+    "gap_report": "select db, tbl, v, body from change_report",
+    "gap_versions": "select db, tbl, v, vid, valid_from, "
+                    "lead(valid_from) over (partition by tbl order by v) as valid_to from kept",
     "change_flags": """
         select p.db, p.tbl, p.v,
                coalesce(bool_or(d.section = 'columns'), false) as columns,
@@ -380,7 +394,7 @@ Q: dict[str, str] = {
 
 def _relations() -> dict[str, str]:
     """The common relations by name, in order."""
-    heads = list(re.finditer(r"^(?:with )?(\w+) as \(", BASE, re.M))
+    heads = list(re.finditer(r"^(?:with )?(\w+) as (?:materialized )?\(", BASE, re.M))
     ends = [m.start() for m in heads[1:]] + [len(BASE)]
     return {m.group(1): BASE[m.start():end].strip().removeprefix("with ").rstrip(",")
             for m, end in zip(heads, ends)}
@@ -398,12 +412,29 @@ def _needed(text: str, relations: dict[str, str]) -> list[str]:
     return [n for n in relations if n in found]
 
 
+#: The relations over the corpus with unreadable versions: pairs go over gaps,
+#: and ``kept`` begins with the first readable version.
+GAPS = {
+    "pairs": """gap_ver as materialized (
+  select db, tbl, v, vid, captured_at from ver
+  where vid % 5 not in (2, 3) and not (v = 1 and vid % 11 = 0) and not (v >= 3 and tbl like '%7')),
+pairs as materialized (
+  select db, tbl, v, pv from (
+    select db, tbl, v, lag(v) over (partition by tbl order by v) as pv from gap_ver) x
+  where pv is not null)""",
+    "kept": """kept as (
+  select db, tbl, v, vid, cast(captured_at as date) as valid_from from gap_ver x
+  where not exists (select 1 from pairs p where p.tbl = x.tbl and p.v = x.v)
+     or exists (select 1 from def_diff d where d.tbl = x.tbl and d.v = x.v))""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     """Full SQL per query: the relations it needs and the query's SELECT (which
     may begin with relations of its own)."""
-    relations = _relations()
     out = {}
     for k, q in Q.items():
+        relations = _relations() | (GAPS if k.startswith("gap_") else {})
         q = q.strip()
         own = q.startswith(",")
         parts = [relations[n] for n in _needed(q, relations)]

@@ -132,6 +132,26 @@ def def_diff(spark, sf):
     return D.diff_definitions(defs(spark, sf))
 
 
+def gap_defs(spark, sf):
+    return E.definitions(FX.gap_corpus(spark, sf))
+
+
+def gap_pairs(spark, sf):
+    return D.version_pairs(gap_defs(spark, sf))
+
+
+def gap_diff(spark, sf):
+    return D.diff_definitions(gap_defs(spark, sf))
+
+
+def gap_report(spark, sf):
+    return R.change_report(D.version_changes(gap_defs(spark, sf)))
+
+
+def gap_versions(spark, sf):
+    return H.version_intervals(gap_defs(spark, sf))
+
+
 def change_flags(spark, sf):
     return D.change_flags(defs(spark, sf))
 
@@ -265,6 +285,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "constraint_diff": constraint_diff,
     "attr_diff": attr_diff,
     "def_diff": def_diff,
+    "gap_pairs": gap_pairs,
+    "gap_diff": gap_diff,
+    "gap_report": gap_report,
+    "gap_versions": gap_versions,
     "change_flags": change_flags,
     "changed_versions": changed_versions,
     "latest_def": latest_def,

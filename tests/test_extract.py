@@ -153,11 +153,25 @@ def test_any_depth_and_quotes(spark, corpus_of):
     assert defs[6].skewed_on == "on (((1)),((2)))"
 
 
-def test_unreadable_versions_enter_no_diff(spark, corpus_of):
+def test_diff_over_unreadable_versions(spark, corpus_of, monkeypatch):
+    """The version after unreadable ones is compared with the last readable
+    one, also where runs of version numbers end between the two."""
     from schemaloom.operators import diff as D
-    defs = E.definitions(corpus_of([("t", 1, "CREATE TABLE d.t (a INT, b INT)"),
-                                    ("t", 2, "CREATE TABLE d.t (a INT, b ((INT)"),
-                                    ("t", 3, "CREATE TABLE d.t (a INT)"),
-                                    ("t", 4, "CREATE TABLE d.t (a BIGINT)")]))
-    assert [(r.v, r.name, r.change) for r in D.diff_columns(defs).collect()] == [(4, "a", "changed")]
-    assert [r.v for r in E.rejected(defs).collect()] == [2]
+    from schemaloom.operators import history as H
+    bad = "CREATE TABLE d.t (a INT, b ((INT)"
+    rows = [("t", 1, "CREATE TABLE d.t (a INT, b INT)"), ("t", 2, bad), ("t", 3, "CREATE TABLE d.t (a INT)"),
+            ("t", 4, "CREATE TABLE d.t (a BIGINT)"), ("t", 5, bad), ("t", 6, bad), ("t", 7, bad),
+            ("t", 8, "CREATE TABLE d.t (z STRING)"), ("t", 9, bad), ("t", 10, "CREATE TABLE d.t (z STRING)"),
+            ("u", 1, bad), ("u", 2, "CREATE TABLE d.u (a INT)"), ("w", 5, "CREATE TABLE d.w (a INT)")]
+    for at_once in (1024, 1, 2, 3):
+        monkeypatch.setattr(D, "VERSIONS_AT_ONCE", at_once)
+        monkeypatch.setattr(H, "VERSIONS_AT_ONCE", at_once)
+        defs = E.definitions(corpus_of(rows))
+        assert sorted((r.v, r.name, r.change) for r in D.diff_columns(defs).collect()
+                      if r.change != "same") == [
+            (3, "b", "deleted"), (4, "a", "changed"), (8, "a", "deleted"), (8, "z", "added")]
+        assert sorted((r.tbl, r.v, r.v_prev) for r in D.version_pairs(defs).collect()) == [
+            ("t", 3, 1), ("t", 4, 3), ("t", 8, 4), ("t", 10, 8)]
+        assert sorted((r.tbl, r.v) for r in H.distinct_versions(defs).collect()) == [
+            ("t", 1), ("t", 3), ("t", 4), ("t", 8), ("u", 2), ("w", 5)]
+        assert sorted(r.v for r in E.rejected(defs).collect()) == [1, 2, 5, 6, 7, 9]
