@@ -230,22 +230,31 @@ def migration_faults(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- streaming --------------------------------------------------------------
 
-def stream_drift(spark: SparkSession, sf: str) -> DataFrame:
-    """Capture records arrive in STREAM_DROPS drops in an order unrelated to
-    version order, every seventh a second time in the next drop; the streamed
-    changes must equal the batch ``def_diff``."""
+def _streamed(spark: SparkSession, corpus: DataFrame) -> DataFrame:
+    """Changes of capture records that arrive in STREAM_DROPS drops, in an order
+    unrelated to version order, every seventh a second time in the next drop."""
     base = scratch_path(spark, "stream")
     src = f"{base}/in"
     drop = F.pmod(F.xxhash64("vid"), F.lit(STREAM_DROPS))
     again = F.when(F.col("vid") % 7 == 0, F.array(drop, (drop + 1) % STREAM_DROPS)).otherwise(F.array(drop))
-    (FX.corpus_table(spark, sf).withColumn("_drop", F.explode(again))
+    (corpus.withColumn("_drop", F.explode(again))
      .write.partitionBy("_drop").json(src))
     per_drop = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ST.stream_drift_check(spark, f"{src}/*", f"{base}/state", f"{base}/out",
-                          f"{base}/checkpoint", max_files_per_trigger=per_drop)
+    ST.stream_drift_check(spark, f"{src}/*", f"{base}/out", f"{base}/checkpoint",
+                          max_files_per_trigger=per_drop)
     return ST.read_stream_result(spark, f"{base}/out")
 
 
+def stream_drift(spark: SparkSession, sf: str) -> DataFrame:
+    """The streamed changes equal the batch ``def_diff``."""
+    return _streamed(spark, FX.corpus_table(spark, sf))
+
+
+def gap_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Streamed with unreadable versions: equal to the batch ``gap_diff``."""
+    return _streamed(spark, FX.gap_corpus(spark, sf))
+
+
 IO_QUERIES = {
     "def_files": def_files,
     "append_snapshot": append_snapshot,
@@ -260,4 +269,5 @@ IO_QUERIES = {
     "migration_summary": migration_summary,
     "migration_faults": migration_faults,
     "stream_drift": stream_drift,
+    "gap_stream": gap_stream,
 }

@@ -263,6 +263,7 @@ Q: dict[str, str] = {
     "def_diff": "select db, tbl, v, section, change, name, old, new from def_diff",
     "gap_pairs": "select db, tbl, v, pv as v_prev from pairs",
     "gap_diff": "select db, tbl, v, section, change, name, old, new from def_diff",
+    "gap_stream": "select db, tbl, v, section, change, name, old, new from def_diff",
     "gap_report": "select db, tbl, v, body from change_report",
     "gap_versions": "select db, tbl, v, vid, valid_from, "
                     "lead(valid_from) over (partition by tbl order by v) as valid_to from kept",
