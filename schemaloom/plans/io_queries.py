@@ -188,7 +188,7 @@ def migration_faults(spark: SparkSession, sf: str) -> DataFrame:
     status, rows and columns of the live table, working tables left."""
     db = scratch_database(spark, "flt")
     folder = scratch_path(spark, "flt_data")
-    rows = []
+    rows, second = [], []
 
     def live(name: str) -> str:
         t = f"{db}.{name}"
@@ -196,7 +196,7 @@ def migration_faults(spark: SparkSession, sf: str) -> DataFrame:
          .option("path", f"{folder}/{name}/data").saveAsTable(t))
         return t
 
-    def one(case: str, ddl: str, select: str, kill: str | None = None) -> None:
+    def one(case: str, ddl: str, select: str, kill: str | None = None, late: str | None = None) -> None:
         t = live(case)
         where = {"same_location": f"{folder}/{case}/data", "parent_location": f"{folder}/{case}",
                  "child_location": f"{folder}/{case}/data/x"}.get(case)
@@ -205,11 +205,14 @@ def migration_faults(spark: SparkSession, sf: str) -> DataFrame:
         def on_stage(stage: str) -> None:
             if stage == kill:
                 raise Killed(stage)
+            if stage == late:  # rows come in, and somebody starts a second run
+                spark.sql(f"INSERT INTO {t} SELECT * FROM {t} WHERE p_partkey % 10 = 0")
+                second.append(M.migrate_table(spark, t, text, select.format(t=t), db))
         try:
             res = M.migrate_table(spark, t, text, select.format(t=t), db, on_stage=on_stage)
             stage, status = res.stage, res.status
         except Killed as k:
-            stage, status = str(k), M.recover(spark, t)
+            stage, status = str(k), M.recover(spark, t, break_lease=True)
         left = sum(map(len, M.working_tables(spark, t).values()))
         rows.append((case, stage, status, spark.table(t).count(), len(spark.table(t).columns), left))
 
@@ -224,6 +227,9 @@ def migration_faults(spark: SparkSession, sf: str) -> DataFrame:
         "SELECT p_brand AS brand, count(*) AS n FROM {t} GROUP BY p_brand")
     for stage in M.STAGES[1:-1]:
         one(f"killed_{stage}", fits, full, kill=stage)
+    for stage in ("load", "verify", "swap"):
+        one(f"late_{stage}", fits, full, late=stage)
+    rows += [(f"second_run_{i}", s.stage, s.status, 0, 0, 0) for i, s in enumerate(second)]
     return spark.createDataFrame(rows, "case string, stage string, status string, n_live long, "
                                        "n_columns int, n_left int")
 

@@ -370,7 +370,10 @@ Q: dict[str, str] = {
         union all select 'killed_load', 'load', 'removed', count(*), 6, 0 from part
         union all select 'killed_verify', 'verify', 'removed', count(*), 6, 0 from part
         union all select 'killed_swap', 'swap', 'removed', count(*), 6, 0 from part
-        union all select 'killed_cleanup', 'cleanup', 'removed', count(*), 2, 0 from part""",
+        union all select 'killed_cleanup', 'cleanup', 'removed', count(*), 2, 0 from part
+        union all select 'late_' || s, 'done', 'ok', count(*) + count(*) filter (where p_partkey % 10 = 0), 2, 0
+          from part, (values ('load'), ('verify'), ('swap')) x(s) group by s
+        union all select 'second_run_' || i, 'check', 'refused', 0, 0, 0 from (values (0), (1), (2)) y(i)""",
     "reload_select": """
         select p_partkey as part_id, p_name as part_name, upper(p_brand) as brand, p_type as part_type,
                cast(p_size as bigint) as size, cast(round(p_retailprice * 100) as bigint) as price_cents

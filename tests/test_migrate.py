@@ -108,8 +108,14 @@ def test_rerun_after_a_kill(spark, db, at):
         if stage == at:
             raise Kill
     with pytest.raises(Kill):
-        M.migrate_table(*args, on_stage=stop)
+        M.migrate_table(*args, on_stage=stop, lease_seconds=0 if at != "load" else 60)
     assert spark.table(t).count() == 50
+    if at == "load":  # the dead run's lease has not run out
+        assert M.journal(spark, t)["stage"] == "load" and "at.backup" in M.journal(spark, t)
+        assert M.recover(spark, t) == "held" and any(M.working_tables(spark, t).values())
+        r = M.migrate_table(*args)
+        assert r.status == "refused" and "at stage load" in r.error
+        assert M.recover(spark, t, break_lease=True) == "removed"
     r = M.migrate_table(*args)
     assert r.status == "ok" and spark.table(t).columns == ["id"] and spark.table(t).count() == 50
     assert not any(M.working_tables(spark, t).values())
@@ -141,3 +147,62 @@ def test_reconcile_content_counts_copies(spark):
     assert (r.n_missing, r.n_extra) == (1, 1)
     assert M.reconcile_fingerprint(a, a).first().equal
     assert not M.reconcile_fingerprint(a, b).first().equal
+
+
+def test_late_rows_are_loaded_and_a_second_run_is_refused(spark, db):
+    """Rows come in during the load, the verification and right before the
+    renames, and one goes; meanwhile another run is refused."""
+    t = live(spark, db, 200)
+    args = (spark, t, f"CREATE TABLE {t} (id BIGINT, n BIGINT) USING parquet",
+            f"SELECT id, count(*) AS n FROM {t} GROUP BY id", db)
+    seen = []
+
+    def arrive(stage):
+        if stage in ("load", "verify", "swap"):
+            k = 1000 + len(seen)
+            spark.sql(f"INSERT INTO {t} VALUES ({k}, 0, 'late'), ({k}, 0, 'late'), (1, 0, 'again')")
+            seen.append(M.migrate_table(*args).status)
+    r = M.migrate_table(*args, on_stage=arrive)
+    assert r.status == "ok" and seen == ["refused"] * 3
+    got = {x.id: x.n for x in spark.table(t).collect()}
+    assert len(got) == 203 and got[1000] == got[1001] == got[1002] == 2 and got[1] == 4 and got[2] == 1
+    assert not any(M.working_tables(spark, t).values()) and M.journal(spark, t) == {}
+
+
+def test_an_expired_lease_is_taken_once(spark, db):
+    t = live(spark, db, 5)
+    assert M.take_lease(spark, t, "aaaa", 0)["run"] == "aaaa"
+    assert M.take_lease(spark, t, "bbbb", 60)["run"] == "bbbb"
+    assert M.take_lease(spark, t, "cccc", 60)["run"] == "bbbb"
+    M._drop_lease(spark, t, "aaaa")  # not its own any more
+    assert M.journal(spark, t)["run"] == "bbbb"
+
+
+def test_only_leaves_that_differ_are_compared(spark):
+    a = spark.range(20_000).selectExpr("id", "id % 7 AS k", "map('a', id) AS m")
+    b = a.where("id <> 5").unionByName(a.where("id = 9")).selectExpr(
+        "id", "if(id = 77, 100, k) AS k", "m")
+    tree = M.hash_tree(a, b).collect()
+    assert {x.level for x in tree} == set(range(M.TREE_LEVELS + 1))
+    assert sum(x.level == 0 for x in tree) == 1 and sum(x.level == M.TREE_LEVELS for x in tree) == 4
+    assert M.rows_apart(a, b).count() < 30  # of 40,000
+    assert M.rows_apart(a, a).count() == 0 and M.hash_tree(a, a).count() == 0
+    assert tuple(M.reconcile_content(a, b).first()) == (2, 2)
+    assert sorted(x.id for x in M.rows_missing(a, b).collect()) == [5, 77]
+    assert [x.id for x in M.rows_missing(b, a).collect() if x.id != 77] == [9]
+    df = M.reconcile_content(a, b)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    rows = plan[plan.index("Exchange hashpartitioning(id"):]
+    assert "BroadcastHashJoin" in rows and "LeftSemi" in rows  # below the shuffle of rows
+
+
+def test_sources_behind_views_and_subqueries(spark, db, tmp_path):
+    t, v = live(spark, db, 5), f"{db}.v"
+    spark.sql(f"CREATE TABLE {db}.o AS SELECT 1 AS x")
+    spark.range(3).write.parquet(f"{tmp_path}/p")
+    spark.sql(f"CREATE VIEW {v} AS SELECT id FROM {t}")
+    got = M.sources_read(spark, f"WITH c AS (SELECT * FROM {v}) SELECT id FROM c WHERE id IN "
+                                f"(SELECT x FROM {db}.o) UNION ALL SELECT id FROM parquet.`{tmp_path}/p`")
+    assert {k.rpartition(".")[2] for k in got if db in k} == {"src", "o"}
+    assert any(k.endswith("/p") for k in got) and all(got.values())
