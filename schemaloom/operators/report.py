@@ -17,6 +17,7 @@ from .extract import SECTIONS
 CHANGE_MARK = {"added": "+", "deleted": "-", "changed": "~"}
 NEW_TABLE_TEXT = "new table "
 DROPPED_TABLE_TEXT = "table dropped from the catalog: "
+READABLE_TABLE_TEXT = "definition read for the first time: "
 NONE_TEXT = "(none)"
 
 
@@ -89,6 +90,12 @@ def new_table_alerts(new: DataFrame) -> DataFrame:
     return new.select("db", "tbl", F.concat(F.lit(NEW_TABLE_TEXT), "db", F.lit("."), "tbl").alias("body"))
 
 
+def readable_alerts(tables: DataFrame) -> DataFrame:
+    """db, tbl, body of tables whose definition could be read for the first time."""
+    return tables.select("db", "tbl", F.concat(
+        F.lit(READABLE_TABLE_TEXT), "db", F.lit("."), "tbl").alias("body"))
+
+
 def deleted_alerts(deleted: DataFrame) -> DataFrame:
     """Db, tbl, body — one row per table dropped from the catalog."""
     return deleted.select("db", "tbl", F.concat(

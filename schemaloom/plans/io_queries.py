@@ -40,8 +40,16 @@ def def_files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def append_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    """Half of the corpus in one run, all versions after 1995 in another; an
+    attempt that died before its commit and a repeated run add nothing."""
     path = scratch_path(spark, "corpus")
-    W.append_snapshot(FX.corpus_table(spark, sf), path)
+    late = F.col("captured_at") >= F.lit("1996-01-01").cast("timestamp_ntz")
+    corpus = FX.corpus_table(spark, sf)
+    (corpus.where(late).withColumn("capture_date", F.to_date("captured_at"))
+     .repartitionByRange(8, "capture_date")
+     .write.partitionBy("capture_date").parquet(f"{path}/data/run_id=late/attempt=died"))
+    for run_id, rows in (("early", ~late), ("late", late), ("early", ~late)):
+        W.append_snapshot(corpus.where(rows), path, run_id)
     return (W.read_corpus(spark, path).groupBy("capture_date")
             .agg(F.count(F.lit(1)).alias("n")))
 
@@ -63,30 +71,47 @@ def alert_outbox(spark: SparkSession, sf: str) -> DataFrame:
 RUN_DATES = ["1994-01-01", "1996-01-01", "1997-06-01", "1998-07-01"]
 
 
-def drift_run(spark: SparkSession, sf: str) -> DataFrame:
+def _runs(spark: SparkSession, sf: str):
     """Four runs over the catalog as it stood at RUN_DATES. Tables whose number
     ends in 3 are dropped at the second run, absent at the third and back at
-    the fourth. Gives run, db, tbl, status and the recipients alerted."""
+    the fourth; those that end in 5 can't be read at the second, those in 8 at
+    the first, and the capture of those in 6 fails at the third."""
     store = DR.DriftStore(spark, scratch_path(spark, "drift_store"))
     corpus = FX.corpus_table(spark, sf)
     subs = W.subscriptions_from_suppliers(FX.table(spark, sf, "supplier"))
-    out = None
     for i, date in enumerate(RUN_DATES, 1):
         seen = corpus.where(F.col("captured_at") < F.lit(date).cast("timestamp_ntz"))
         if i in (2, 3):
             seen = seen.where(~F.col("tbl").endswith("3"))
         newest = seen.groupBy("db", "tbl").agg(F.max("v").alias("v"))
-        captured = seen.join(newest, ["db", "tbl", "v"]).select("db", "tbl", "ddl", "captured_at")
-        run = DR.run_drift_check(spark, store, f"r{i}", f"r{i - 1}" if i > 1 else None,
-                                 newest.select("db", "tbl"), captured, subs)
+        ends = {1: "8", 2: "5", 3: "6"}.get(i)
+        text = F.col("ddl") if ends is None else F.when(
+            ~F.col("tbl").endswith(ends), F.col("ddl")).when(F.lit(i < 3), F.lit("CREATE TABLE d.t (a (("))
+        captured = seen.join(newest, ["db", "tbl", "v"]).select(
+            "db", "tbl", text.alias("ddl"), "captured_at")
+        yield i, DR.run_drift_check(spark, store, f"r{i}", f"r{i - 1}" if i > 1 else None,
+                                    newest.select("db", "tbl"), captured, subs)
+
+
+def drift_run(spark: SparkSession, sf: str) -> DataFrame:
+    """run, db, tbl, status, the kind of its alert and the recipients told."""
+    out = None
+    for i, run in _runs(spark, sf):
         told = run.alerts.groupBy("db", "tbl", "kind").agg(F.count(F.lit(1)).alias("n"))
         rows = run.status.join(told, ["db", "tbl"], "left").select(
             F.lit(i).alias("run"), "db", "tbl", "status", F.coalesce("n", F.lit(0)).alias("n_told"),
-            F.coalesce(F.col("kind") == F.col("status"), F.lit(True)).alias("kind_fits"))
+            "kind")
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
+def drift_seen(spark: SparkSession, sf: str) -> DataFrame:
+    """H5 over four runs: first and last capture of every whole definition."""
+    *_, (_, last) = _runs(spark, sf)
+    return last.seen.select("db", "tbl", F.to_date("first_seen").alias("first_seen"),
+                            F.to_date("last_seen").alias("last_seen"), "n_runs")
+
+
 # ---- migration --------------------------------------------------------------
 
 PART_V2_COLUMNS = ("part_id BIGINT, part_name STRING, brand STRING, part_type STRING, "
@@ -266,6 +291,7 @@ IO_QUERIES = {
     "append_snapshot": append_snapshot,
     "alert_outbox": alert_outbox,
     "drift_run": drift_run,
+    "drift_seen": drift_seen,
     "backup_copy": backup_copy,
     "compacted_write": compacted_write,
     "reconcile_counts": reconcile_counts,

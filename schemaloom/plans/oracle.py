@@ -184,6 +184,19 @@ kept as (
 _COL_DIFF = ("select db, tbl, v, name, change, old_type, new_type, old_comment, new_comment "
              "from {rel}{where}")
 
+#: What the four runs of ``drift_run`` list and capture.
+_RUNS = """
+        , runs(run, cut) as (values (1, timestamp '1994-01-01'), (2, timestamp '1996-01-01'),
+                                   (3, timestamp '1997-06-01'), (4, timestamp '1998-07-01')),
+        listed as (
+          select r.run, g.db, g.tbl, max(g.v) as v from runs r join sig g on g.captured_at < r.cut
+          where r.run not in (2, 3) or g.tbl not like '%3' group by r.run, g.db, g.tbl),
+        caught as (
+          select l.run, l.db, l.tbl, g.captured_at,
+                 case when (run = 1 and l.tbl like '%8') or (run = 2 and l.tbl like '%5') then 'bad'
+                      when run = 3 and l.tbl like '%6' then 'none' else 'read' end as how, g.s
+          from listed l join sig g on g.tbl = l.tbl and g.v = l.v)"""
+
 Q: dict[str, str] = {
     # sources / inventory
     "inventory": "select distinct db, tbl from ver",
@@ -316,27 +329,31 @@ Q: dict[str, str] = {
     "change_report": "select db, tbl, v, body from change_report",
     "alert_outbox": "select r.db, r.tbl, r.v, s.recipient, r.body from change_report r "
                     "join told s on s.db = r.db and s.tbl = r.tbl",
-    "drift_run": """
-        , runs(run, cut) as (values (1, timestamp '1994-01-01'), (2, timestamp '1996-01-01'),
-                                   (3, timestamp '1997-06-01'), (4, timestamp '1998-07-01')),
-        seen as (
-          select r.run, g.db, g.tbl, max(g.v) as v from runs r join sig g on g.captured_at < r.cut
-          where r.run not in (2, 3) or g.tbl not like '%3' group by r.run, g.db, g.tbl),
-        pres as (select s.run, s.db, s.tbl, g.s from seen s join sig g on g.tbl = s.tbl and g.v = s.v),
-        both_runs as (
-          select coalesce(n.run, o.run + 1) as run, coalesce(n.db, o.db) as db,
-                 coalesce(n.tbl, o.tbl) as tbl, o.s as old_s, n.s as new_s
-          from pres n full outer join pres o on o.tbl = n.tbl and o.run + 1 = n.run),
+    "drift_run": _RUNS + """,
         st as (
-          select run, db, tbl,
-                 case when new_s is null then 'dropped' when old_s is null then 'new'
-                      when old_s <> new_s then 'changed' else 'unchanged' end as status
-          from both_runs where run <= 4)
+          select n.run, n.db, n.tbl,
+                 case when o.tbl is null then 'new' when n.how = 'none' then 'not_captured'
+                      when n.how = 'bad' then 'unreadable'
+                      when k.s is null then 'readable' when k.s <> n.s then 'changed'
+                      else 'unchanged' end as status
+          from caught n left join caught o on o.tbl = n.tbl and o.run = n.run - 1
+          left join (select c.tbl, a.run, max_by(c.s, c.run) as s from caught c, runs a
+                     where c.how = 'read' and c.run < a.run group by c.tbl, a.run) k
+            on k.tbl = n.tbl and k.run = n.run
+          union all
+          select o.run + 1, o.db, o.tbl, 'dropped' from caught o
+          where o.run < 4 and not exists
+            (select 1 from caught n where n.tbl = o.tbl and n.run = o.run + 1))
         select cast(run as integer) as run, db, tbl, status,
-               case when status = 'unchanged' then 0 else
+               case when status in ('unchanged', 'not_captured', 'unreadable') then 0 else
                  (select count(*) from told t where t.db = st.db and t.tbl = st.tbl) end as n_told,
-               true as kind_fits
+               case when status not in ('unchanged', 'not_captured', 'unreadable') and exists
+                 (select 1 from told t where t.db = st.db and t.tbl = st.tbl) then status end as kind
         from st""",
+    "drift_seen": _RUNS + """
+        select db, tbl, cast(min(captured_at) as date) as first_seen,
+               cast(max(captured_at) as date) as last_seen, count(*) as n_runs
+        from caught where how = 'read' group by db, tbl, s""",
     "new_table_alerts": "select db, tbl, concat('new table ', db, '.', tbl) as body from new_t",
     "deleted_alert": "select db, tbl, concat('table dropped from the catalog: ', db, '.', tbl) as body "
                      "from del_t",

@@ -4,10 +4,13 @@ through the driver."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.history import latest_definition
+from .commits import AppendLog
 
 
 def number_new_capture(captured: DataFrame, corpus: DataFrame | None) -> DataFrame:
@@ -24,20 +27,25 @@ def number_new_capture(captured: DataFrame, corpus: DataFrame | None) -> DataFra
     return out.withColumn("vid", F.xxhash64("db", "tbl", "v"))
 
 
-def append_snapshot(corpus: DataFrame, path: str) -> None:
+def append_snapshot(corpus: DataFrame, path: str, run_id: str | None = None) -> bool:
     """K1: append versions to the corpus, partitioned by capture date (so a
-    run's reads of recent versions prune old partitions)."""
+    run's reads of recent versions prune old partitions). A run repeated under
+    its id adds nothing and gives False; without an id every call is a run."""
     n = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Range-partition on (date, key) first: each task writes only the dates
-    # of its range (files ~ tasks + dates, not tasks x dates), and a run whose
-    # rows all share one capture date is still split over many tasks.
-    (corpus.withColumn("capture_date", F.to_date("captured_at"))
-     .repartitionByRange(n, "capture_date", "db", "tbl", "v")
-     .write.mode("append").partitionBy("capture_date").parquet(path))
+
+    def write(folder: str) -> None:
+        # Range-partition on (date, key) first: each task writes only the dates
+        # of its range (files ~ tasks + dates, not tasks x dates), and a run whose
+        # rows all share one capture date is still split over many tasks.
+        (corpus.withColumn("capture_date", F.to_date("captured_at"))
+         .repartitionByRange(n, "capture_date", "db", "tbl", "v")
+         .write.partitionBy("capture_date").parquet(folder))
+    return AppendLog(corpus.sparkSession, path).append(run_id or uuid.uuid4().hex, write)
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """Versions of all committed runs."""
+    return AppendLog(spark, path).read().drop("run_id", "attempt")
 
 
 def write_alerts(alerts: DataFrame, path: str, run_id: str) -> None:

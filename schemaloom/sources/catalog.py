@@ -10,6 +10,7 @@ dropped table.
 from __future__ import annotations
 
 import itertools
+import uuid
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.history import drop_database
+from ..sinks.commits import AppendLog
 
 INVENTORY_SCHEMA = T.StructType([
     T.StructField("db", T.StringType()), T.StructField("tbl", T.StringType())])
@@ -25,6 +27,9 @@ CAPTURE_SCHEMA = T.StructType([
     T.StructField("db", T.StringType()), T.StructField("tbl", T.StringType()),
     T.StructField("ddl", T.StringType()), T.StructField("error", T.StringType())])
 
+CAPTURED_SCHEMA = T.StructType([*CAPTURE_SCHEMA.fields,
+                                T.StructField("captured_at", T.TimestampNTZType())])
+
 
 def _quote(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
@@ -50,24 +55,31 @@ def _show_create(spark: SparkSession, name: tuple[str, str]) -> tuple[str, str,
 
 
 def capture_definitions(spark: SparkSession, inventory: DataFrame, out_path: str,
-                        batch: int = 1000, threads: int = 8) -> DataFrame:
+                        run_id: str | None = None, batch: int = 1000, threads: int = 8) -> DataFrame:
     """Current DDL text of every table in ``inventory`` (db, tbl).
 
     Metastore calls run in a small thread pool, ``batch`` tables at a time;
-    each batch is appended to ``out_path`` (Parquet) before the next is begun.
-    Returns db, tbl, ddl, error, captured_at; ddl is NULL where the call
-    failed."""
+    each batch is written (Parquet, below the run's attempt) before the next is
+    begun, and the run is committed last: one that died half-way or is repeated
+    under its id adds no row twice.
+    Returns db, tbl, ddl, error, captured_at of the run; ddl is NULL where the
+    call failed."""
+    run_id = run_id or uuid.uuid4().hex
     captured_at = spark.sql("SELECT localtimestamp() AS t").first()[0]
-    names = ((r[0], r[1]) for r in inventory.select("db", "tbl").toLocalIterator())
-    with ThreadPoolExecutor(max_workers=threads) as pool:
-        while part := list(itertools.islice(names, batch)):
-            rows = list(pool.map(lambda n: _show_create(spark, n), part))
-            (spark.createDataFrame(rows, CAPTURE_SCHEMA)
-             .withColumn("captured_at", F.lit(captured_at).cast("timestamp_ntz"))
-             .write.mode("append").parquet(out_path))
-    return spark.read.schema(
-        T.StructType(CAPTURE_SCHEMA.fields + [T.StructField("captured_at", T.TimestampNTZType())])
-    ).parquet(out_path)
+    log = AppendLog(spark, out_path)
+
+    def write(folder: str) -> None:
+        names = ((r[0], r[1]) for r in inventory.select("db", "tbl").toLocalIterator())
+        with ThreadPoolExecutor(max_workers=threads) as pool:
+            while part := list(itertools.islice(names, batch)):
+                rows = list(pool.map(lambda n: _show_create(spark, n), part))
+                (spark.createDataFrame(rows, CAPTURE_SCHEMA)
+                 .withColumn("captured_at", F.lit(captured_at).cast("timestamp_ntz"))
+                 .write.mode("append").parquet(folder))
+        # a run without a table has a folder, too
+        (spark.createDataFrame([], CAPTURED_SCHEMA).write.mode("append").parquet(folder))
+    log.append(run_id, write)
+    return log.read(CAPTURED_SCHEMA, [run_id])
 
 
 def scan_table(spark: SparkSession, name: str) -> DataFrame:

@@ -4,10 +4,13 @@ import datetime as dt
 import os
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from schemaloom.operators import extract as E
-from schemaloom.plans.drift import DriftStore, run_drift_check
+from schemaloom.plans.drift import DriftStore, run_drift_check, watch_catalog
+from schemaloom.sinks.commits import AppendLog
 from schemaloom.sinks import writers as W
 from schemaloom.sources import catalog as C
 from schemaloom.sources import files as S
@@ -113,6 +116,90 @@ def test_runs_keep_state(spark, tmp_path):
     assert sorted((x.tbl, x.v) for x in versions.collect()) == [("gone", 1), ("t", 1), ("t", 2)]
 
 
+def test_first_readable_text_is_told(spark, tmp_path):
+    """A table whose first texts could not be read has an alert of its own."""
+    subs = spark.createDataFrame([("d", None, "ops")], "db string, tbl string, recipient string")
+    store = DriftStore(spark, str(tmp_path / "store"))
+    got = []
+    for n, text in enumerate(["CREATE TABLE d.t (a ((", None, "CREATE TABLE d.t (a INT)",
+                              "CREATE TABLE d.t (a INT)"], 1):
+        r = run_drift_check(spark, store, f"r{n}", f"r{n - 1}" if n > 1 else None,
+                            listed(spark, "t"), capture(spark, ("t", text)), subs)
+        got.append(([x.status for x in r.status.collect()], [x.body for x in r.alerts.collect()]))
+    assert got[1:] == [(["not_captured"], []),
+                       (["readable"], ["definition read for the first time: d.t"]), (["unchanged"], [])]
+    assert [(x.n_runs, x.tbl) for x in r.seen.collect()] == [(2, "t")]
+
+
+def test_a_run_writes_the_tables_that_changed(spark, tmp_path):
+    """One table in a hundred changed: about that share of the state is
+    written, the states of earlier runs stay, and buckets are merged in time."""
+    subs = spark.createDataFrame([], "db string, tbl string, recipient string")
+    store, n = DriftStore(spark, str(tmp_path / "store")), 600
+    names = [f"t{i}" for i in range(n)]
+    written = []
+    for k in range(1, 4):
+        rows = [(t, f"CREATE TABLE d.{t} (a INT, b{k if i % 100 == 7 else 0} INT)")
+                for i, t in enumerate(names)]
+        r = run_drift_check(spark, store, f"r{k}", f"r{k - 1}" if k > 1 else None,
+                            listed(spark, *names), capture(spark, *rows), subs)
+        written.append(r.n_written)
+        state = store.latest(f"r{k}", T.StructType.fromDDL("db string, tbl string, v int, fp string"))
+        assert state.count() == state.select("tbl").distinct().count() == n
+    assert written[:2] == [n, 6] and written[2] < 30  # buckets of few tables are merged soon
+    assert {x.status for x in r.status.collect()} == {"changed", "unchanged"}
+    some = "db string, tbl string, v int, fp string"
+    for k in range(4, 7):  # the same bucket grows until it is rewritten
+        before = store.latest(f"r{k - 1}", T.StructType.fromDDL(some))
+        added = before.where("tbl = 't7' or tbl = 't9'").withColumn("v", F.lit(k))
+        store.add_latest(f"r{k}", f"r{k - 1}", before, added)
+    assert max(len([p for p in store.parts("r6") if p[0] == b]) for b in range(16)) <= 12
+    assert store.latest("r6", T.StructType.fromDDL(some)).where("tbl = 't7'").first().v == 6
+
+
+def test_appends_happen_once(spark, corpus_of, tmp_path):
+    saved = corpus_of([("t", 1, "CREATE TABLE d.t (a INT)"), ("t", 2, "CREATE TABLE d.t (a BIGINT)")])
+    path = str(tmp_path / "corpus")
+    assert W.append_snapshot(saved.where("v = 1"), path, "r1")
+    assert not W.append_snapshot(saved.where("v = 1"), path, "r1")
+
+    def dies(folder):
+        saved.where("v = 2").write.parquet(folder)
+        raise RuntimeError("lost")
+    with pytest.raises(RuntimeError):
+        AppendLog(spark, path).append("r2", dies)
+    assert W.read_corpus(spark, path).count() == 1
+    assert W.append_snapshot(saved.where("v = 2"), path, "r2")
+    assert sorted(r.v for r in W.read_corpus(spark, path).collect()) == [1, 2]
+    assert AppendLog(spark, str(tmp_path / "none")).read("a int").count() == 0
+
+
+def test_watch_catalog(spark, tmp_path):
+    """The live loop: listing, capture, comparison, corpus and outbox; a run
+    repeated under its id adds nothing."""
+    db = f"live_{uuid.uuid4().hex[:8]}"
+    spark.sql(f"CREATE DATABASE {db}")
+    others = [r[0] for r in spark.sql("SHOW DATABASES").collect() if r[0] != db]
+    subs = spark.createDataFrame([(db, None, "ops")], "db string, tbl string, recipient string")
+
+    def run(k):
+        r = watch_catalog(spark, str(tmp_path), f"r{k}", f"r{k - 1}" if k > 1 else None, subs, others)
+        return {x.tbl: x.status for x in r.status.collect()}
+    spark.sql(f"CREATE TABLE {db}.a (id INT) USING parquet")
+    spark.sql(f"CREATE VIEW {db}.v AS SELECT id FROM {db}.a")
+    assert run(1) == {"a": "new", "v": "new"}
+    spark.sql(f"ALTER TABLE {db}.a ADD COLUMNS (x STRING)")
+    spark.sql(f"DROP VIEW {db}.v")
+    for _ in range(2):
+        assert run(2) == {"a": "changed", "v": "dropped"}
+    assert run(3) == {"a": "unchanged"}
+    assert sorted((r.tbl, r.v) for r in W.read_corpus(spark, f"{tmp_path}/corpus").collect()) == [
+        ("a", 1), ("a", 2), ("v", 1)]
+    out = spark.read.parquet(f"{tmp_path}/outbox").collect()
+    assert sorted((r.run_id, r.kind, r.tbl) for r in out) == [
+        ("r1", "new", "a"), ("r1", "new", "v"), ("r2", "changed", "a"), ("r2", "dropped", "v")]
+
+
 def test_alerts_replace_themselves(spark, tmp_path):
     alerts = spark.createDataFrame([("d", "t", "x")], "db string, tbl string, body string")
     for run_id in ("a", "a", "b"):
