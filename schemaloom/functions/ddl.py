@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
-from .text import groups, name_parts, norm_clause, rx_all, unquote
+from .text import groups, name_parts, norm_clause, rx_all, unquote, without_comments
 
 
 def _blank_null(c: Column) -> Column:
@@ -20,7 +20,7 @@ def _blank_null(c: Column) -> Column:
 
 
 def _head(ddl: Column) -> Column:
-    return groups(ddl, P.TABLE_HEAD, 3)  # kind, name, text after the name
+    return groups(without_comments(ddl), P.TABLE_HEAD, 3)  # kind, name, text after the name
 
 
 def _after(ddl: Column) -> Column:

@@ -18,7 +18,10 @@ ANGLE_DEPTH = 5
 
 # --- fixed values: DDL grammar words recognised by the extractor ----------
 TABLE_KINDS = r"external|temporary|global\s+temporary|transient|managed"
-CONSTRAINT_START = r"constraint|primary\s+key|foreign\s+key|unique|check"
+CONSTRAINT_WORDS = r"primary\s+key|foreign\s+key|unique|check"
+CLAUSE_START = (r"like|using|options|comment|partitioned\s+by|clustered\s+by|cluster\s+by|sorted\s+by"
+                r"|skewed\s+by|row\s+format|stored\s+(?:as|by)|location|tblproperties"
+                r"|default\s+collation|with\s+serdeproperties|as")
 TAIL_START = r"row\s+format\b|stored\s+as\b(?!\s+directories)|location\b|tblproperties\b"
 CTAS_START = r"as\s+(?:select|with|from|values|table)\b|as\s*\("
 # ---------------------------------------------------------------------------
@@ -62,8 +65,12 @@ MASKED = rf"{MASK[0]}.*{MASK[1]}"
 # pieces of a text for masking: quoted text, one bracket or comma, anything else
 MASK_TOKENS = rf"{QUOTED}|[(),<>]|[^(),<>{_QCH}]++|[{_QCH}]"
 
-# one to three dot-separated identifiers, plain or back-quoted
-NAME = r"(?:(?:`[^`]++`|\w+)\s*\.\s*){0,2}(?:`[^`]++`|\w+)"
+# dot-separated identifiers, plain or back-quoted; catalogs may nest namespaces
+NAME = r"(?:(?:`[^`]++`|\w+)\s*\.\s*){0,7}(?:`[^`]++`|\w+)"
+
+# SQL comments, and the tokens among which they are found (quoted text is one)
+SQL_COMMENT = r"^(?:--|/\*)"
+COMMENT_TOKENS = rf"{QUOTED}|--[^\n]*+|/\*(?s:.*?)\*/|[^/{_QCH}-]++|[-/{_QCH}]"
 
 # CREATE [OR REPLACE] [kind] TABLE [IF NOT EXISTS] name <after>
 TABLE_HEAD = (
@@ -79,8 +86,12 @@ BODY_AFTER = rf"(?is)^\s*\({BODY}\)"
 OPENS_PAREN = r"(?s)^\s*\("
 INSIDE_PARENS = r"(?s)^\s*\((.*)\)$"
 
-# a list item that is a table constraint, not a column
-CONSTRAINT_ITEM = rf"(?is)^\s*(?:{CONSTRAINT_START})\b"
+# a list item that is a table constraint: a column may be called check or unique
+_OPEN = rf"\s*[({MASK[0]}]"
+CONSTRAINT_ITEM = (rf"(?is)^\s*(?:constraint\s+(?:`[^`]++`|\w+)\s+(?:{CONSTRAINT_WORDS})\b"
+                   rf"|(?:{CONSTRAINT_WORDS}){_OPEN})")
+# what may follow the name and the column list
+KNOWN_REST = rf"(?is)^\s*(?:;?\s*$|(?:{CLAUSE_START})\b)"
 # name type, then in any order NOT NULL, COLLATE c, DEFAULT value, GENERATED
 # ALWAYS AS (…), COMMENT 'text' and constraints of the one column
 _DEFAULT = rf"default\s+(?:(?!\s+(?:not\s+null|comment\s|collate\s))(?:{QUOTED}|{PN}|[^(){_QCH}]))++"
@@ -88,11 +99,14 @@ COLUMN_OPTION = (rf"not\s+null|collate\s+[\w.]+|{_DEFAULT}|generated\s+always\s+
                  rf"|comment\s+({QUOTED})|(?:constraint\s+\w+\s+)?(?:check\s*(?:{PN}|{MASKED})"
                  r"|primary\s+key|unique)|(?:not\s+)?enforced|enable|disable|(?:no)?validate"
                  r"|(?:no)?rely")
-COLUMN_ITEM = rf"(?is)^\s*(`[^`]++`|\w+)\s+(.+?)(?:\s+(?:{COLUMN_OPTION}))*\s*$"
-# a type never holds quoted text
-TYPE_TEXT = rf"^[^{_QCH}]+$"
-# a bare name (untyped partition column)
-BARE_ITEM = r"(?is)^\s*(`[^`]++`|\w+)\s*$"
+COLUMN_ITEM = rf"(?is)^\s*(`[^`]++`|\w+)\s+(?![({MASK[0]}])(.+?)(?:\s+(?:{COLUMN_OPTION}))*\s*$"
+# a type holds quoted text only as the comment or the name of a struct field
+TYPE_TEXT = (rf"(?is)^[^{_QCH}]*+(?:(?:(?<=\bcomment\s{{1,9}})(?:'(?:[^'\\]++|\\.|'')*+'|\"(?:[^\"\\]++|\\.)*+\")"
+             rf"|`[^`]*`)[^{_QCH}]*+)*+$")
+# a bare name (untyped partition column), or a partition transform such as
+# days(ts) or bucket(16, id)
+BARE_ITEM = (rf"(?is)^\s*(`[^`]++`|\w+(?:\s*(?:\([^()]*+\)"
+             rf"|{MASK[0]}[^{MASK[0]}{MASK[1]}]*+{MASK[1]}))?)\s*$")
 
 
 def skip_to(stop: str) -> str:
@@ -112,8 +126,8 @@ def clause(stop: str, rest: str) -> str:
 PARTITIONED = clause(r"partitioned\s", rf"partitioned\s+by\s*(\({BODY}\))")
 PARTITIONED_WORD = clause(r"partitioned\s", r"partitioned\s+by\b")
 CLUSTERED = clause(
-    r"clustered\s",
-    rf"(clustered\s+by\s*({P1})(?:\s*sorted\s+by\s*{P1})?\s*into\s+(\d+)\s+buckets)(?s:.*)$",
+    r"cluster(?:ed)?\s",
+    rf"(cluster(?:ed)?\s+by\s*({P1})(?:(?:\s*sorted\s+by\s*{P1})?\s*into\s+(\d+)\s+buckets)?)(?s:.*)$",
 )
 SKEWED = clause(r"skewed\s", rf"(skewed\s+by\s*{P1})(?:\s*(on\s*{P2}))?(\s+stored\s+as\s+directories)?(?s:.*)$")
 OPTIONS = clause(r"options\s*\(", rf"options\s*(\({BODY}\))")

@@ -65,18 +65,35 @@ def _has_ws(col: Column) -> Column:
 
 
 def norm_ident(col: Column) -> Column:
-    """Identifier: back-quotes dropped, lower-case."""
+    """Identifier: back-quotes dropped, lower-case; a partition transform has no
+    blanks."""
     out = F.lower(F.trim(F.translate(col, "`", "")))
+    out = F.when(out.contains("(") | out.contains(P.MASK[0]),
+                 F.regexp_replace(out, r"\s+", "")).otherwise(out)
     return F.when(out != "", out)
 
 
 def norm_type(col: Column) -> Column:
-    """Type as printed, upper-case, no blanks around , < > ( ) :"""
-    slow = F.regexp_replace(collapse_ws(col), rf"\s*([,<>():{P.MASK}])\s*", "$1")
-    t = F.upper(F.when(_has_ws(col), slow).otherwise(col))
+    """Type as printed, upper-case, no blanks around , < > ( ) : — comments and
+    quoted names of struct fields keep their text."""
+    def tight(c: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(c, r"\s+", " "), rf"\s*([,<>():{P.MASK}])\s*", "$1")
+    quoted = F.trim(F.array_join(F.transform(
+        rx_all(col, P.SEGMENTS),
+        lambda s: F.when(s.rlike("^['\"`]"), s).otherwise(F.upper(tight(s)))), ""))
+    t = F.when(col.rlike("['\"`]"), quoted).otherwise(
+        F.upper(F.when(_has_ws(col), F.trim(tight(col))).otherwise(col)))
     return F.when(t != "", t)
 
 
+def without_comments(sql: Column) -> Column:
+    """The statement with SQL comments (-- and /* */) as blanks; comment marks
+    inside quotes stay. Texts without any are not walked."""
+    tokens = F.transform(rx_all(sql, P.COMMENT_TOKENS),
+                         lambda t: F.when(t.rlike(P.SQL_COMMENT), " ").otherwise(t))
+    return F.when(sql.contains("--") | sql.contains("/*"), F.array_join(tokens, "")).otherwise(sql)
+
+
 def unquote(col: Column) -> Column:
     """'text' -> text, with backslash escapes and doubled quotes resolved."""
     inner = col.substr(F.lit(2), F.length(col) - 2)

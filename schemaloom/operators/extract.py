@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.text import (SEP, groups, mask_nested, name_parts, nested_deeper, norm_clause,
-                              norm_ident, norm_type, rx_all, unmask, unquote)
+                              norm_ident, norm_type, rx_all, unmask, unquote, without_comments)
 
 # scalar sections, in report order
 ATTRIBUTES = ["kind", "identity", "clustered", "skewed", "skewed_on", "skewed_dirs",
@@ -84,9 +84,9 @@ def definitions(corpus: DataFrame) -> DataFrame:
 
     A handful of projection stages; each regex runs once per text (several
     groups come from one pass), and nothing leaves the partition."""
-    ddl = F.col("ddl")
+    ddl = F.col("_sql")
     c = F.col
-    d = corpus.withColumns({
+    d = corpus.withColumn("_sql", without_comments(c("ddl"))).withColumns({
         "_view": F.regexp_extract(ddl, P.VIEW_HEAD, 1),
         "_h": groups(ddl, P.TABLE_HEAD, 3),   # kind, name, text after the name
     })
@@ -124,7 +124,7 @@ def definitions(corpus: DataFrame) -> DataFrame:
         "_pfull": F.when(has("partitioned"), F.regexp_extract(
             F.coalesce(c("_rest"), F.lit("")), P.PARTITIONED, 1)).otherwise(F.lit("")),
         "_pword": has("partitioned") & F.coalesce(c("_rest"), F.lit("")).rlike(P.PARTITIONED_WORD),
-        "_cl": F.when(has("clustered"), groups(c("_rest"), P.CLUSTERED, 3)),
+        "_cl": F.when(has("cluster"), groups(c("_rest"), P.CLUSTERED, 3)),
         "_sk": F.when(has("skewed"), groups(c("_rest"), P.SKEWED, 3)),
         "_ct": F.when(has("as"), groups(c("_rest"), P.CTAS_SPLIT, 2)),
     })
@@ -142,7 +142,8 @@ def definitions(corpus: DataFrame) -> DataFrame:
         "constraints": F.array_distinct(F.transform("_cons", norm_clause)),
         "_cols_sorted": F.array_sort("_cols"),
         "_bad_item": F.exists(F.concat("_cols", "_pcols"), lambda x: x["name"].isNull()
-                              | (x["type"].isNotNull() & ~x["type"].rlike(P.TYPE_TEXT))),
+                              | (x["type"].isNotNull() & ~x["type"].rlike(P.TYPE_TEXT)))
+        | F.exists("_cols", lambda x: x["type"].isNull() & x["name"].rlike(rf"[({P.MASK[0]}]")),
         "_pcols_sorted": F.array_sort("_pcols"),
         "_tail": groups(c("_pre"), P.TAIL, 1)[0],
         "provider": F.when(has("using"), F.lower(_blank_null(F.regexp_extract("_pre", P.PROVIDER, 1)))),
@@ -173,11 +174,13 @@ def definitions(corpus: DataFrame) -> DataFrame:
             .when(~c("_items_ok"), "column list has text outside any item")
             .when(c("_bad_item"), "column item that is not a name and a type")
             .when(c("_pword") & (c("_pfull") == ""),
-                  "partition list unbalanced")),
+                  "partition list unbalanced")
+            .when(is_table & ~F.coalesce(c("_rest"), F.lit("")).rlike(P.KNOWN_REST),
+                  "text after the name or the column list that was not read")),
     })
     # masked texts get their brackets back
     deep = c("_deep")
-    plain = lambda x: F.struct(x["name"].alias("name"), x["pos"].alias("pos"),
+    plain = lambda x: F.struct(unmask(x["name"]).alias("name"), x["pos"].alias("pos"),
                                unmask(x["type"]).alias("type"), unmask(x["comment"]).alias("comment"))
     d = d.withColumns({
         **{n: F.when(deep, F.transform(n, plain)).otherwise(c(n)) for n in ("columns", "part_columns")},

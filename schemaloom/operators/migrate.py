@@ -47,6 +47,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import patterns as P
+from ..sources.catalog import scan_query, scan_table
 
 RESULT_SCHEMA = T.StructType([
     T.StructField("tbl", T.StringType()), T.StructField("stage", T.StringType()),
@@ -207,7 +208,7 @@ def insert_into(spark: SparkSession, df: DataFrame, table: str) -> None:
 
 def backup_copy(spark: SparkSession, table: str, backup: str) -> None:
     """M4: full copy of the live table into the backup."""
-    insert_into(spark, spark.table(table), backup)
+    insert_into(spark, scan_table(spark, table), backup)
 
 
 def reconcile_counts(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -332,7 +333,7 @@ def reconcile_fingerprint(a: DataFrame, b: DataFrame) -> DataFrame:
 def reload_source(spark: SparkSession, select_sql: str, target: str) -> DataFrame:
     """The user SELECT cast to the target's columns; a column that either side
     lacks is an error, never dropped."""
-    src = spark.sql(select_sql)
+    src = scan_query(spark, select_sql)
     schema = {f.name.lower(): f.dataType for f in spark.table(target).schema.fields}
     names = [c.lower() for c in src.columns]
     extra, missing = sorted(set(names) - set(schema)), sorted(set(schema) - set(names))

@@ -250,6 +250,41 @@ Q: dict[str, str] = {
         from st""",
     "x_rejected": "select 'x_' || p_partkey as tbl, cast(2 as integer) as v, 'table' as shape, "
                   "'column list unbalanced' as reject_reason from part where p_partkey % 4 = 3",
+    "x_probes": """
+        , st as (select p_partkey as p, p_partkey % 8 as k, lower(p_brand) as brand, v, p_size > 25 and v = 2 as big
+                 from part, (values (1), (2)) t(v))
+        select 'x_' || p as tbl, v, 's.x_' || p as identity,
+               case k when 0 then 'check ' || if(big, 'BIGINT', 'INT') || '; constraint DATE; unique STRING ' || brand
+                      when 1 then if(big, 'extra INT; ', '') || 'id INT'
+                      when 2 then 'id INT; ts TIMESTAMP' when 3 then 'a INT; b INT'
+                      when 4 then 's STRUCT<X:INT COMMENT ''' || brand || ', (Q''' || if(big, ',Y:INT', '')
+                                  || '> of s; t ARRAY<STRUCT<`A b`:INT>>'
+                      when 5 then 'a INT; b ' || if(big, 'BIGINT', 'INT') || ' -- no /* comment'
+                      when 6 then if(big, '', 'a INT') else 'a INT' end as cols,
+               case when k = 2 then 'bucket(' || if(big, '32', '16') || ',id); days(ts); id' else '' end as parts,
+               case when k = 7 then if(big, 'primary key (a); unique (a)', 'check (a > 0); primary key (a)')
+                    else '' end as cons,
+               case when k = 3 then 'cluster by (' || if(big, 'b', 'a') || ')' end as clustered,
+               case when k = 3 then brand end as table_comment,
+               case when k = 6 and big then 'text after the name or the column list that was not read' end
+                 as reject_reason
+        from st""",
+    "probe_diff": """
+        , st as (select 'x_' || p_partkey as tbl, p_partkey % 8 as k, lower(p_brand) as brand,
+                        cast(2 as integer) as v from part where p_size > 25)
+        select tbl, v, 'columns' as section, 'changed' as change, 'check' as name,
+               'check INT' as old, 'check BIGINT' as new from st where k = 0
+        union all select tbl, v, 'columns', 'added', 'extra', null, 'extra INT' from st where k = 1
+        union all select tbl, v, 'part_columns', 'deleted', 'bucket(16,id)', 'bucket(16,id)', null from st where k = 2
+        union all select tbl, v, 'part_columns', 'added', 'bucket(32,id)', null, 'bucket(32,id)' from st where k = 2
+        union all select tbl, v, 'clustered', 'changed', null, 'cluster by (a)', 'cluster by (b)' from st where k = 3
+        union all select tbl, v, 'columns', 'changed', 's',
+                         's STRUCT<X:INT COMMENT ''' || brand || ', (Q''> COMMENT ''of s''',
+                         's STRUCT<X:INT COMMENT ''' || brand || ', (Q'',Y:INT> COMMENT ''of s''' from st where k = 4
+        union all select tbl, v, 'columns', 'changed', 'b', 'b INT COMMENT ''-- no /* comment''',
+                         'b BIGINT COMMENT ''-- no /* comment''' from st where k = 5
+        union all select tbl, v, 'constraints', 'deleted', 'check (a > 0)', 'check (a > 0)', null from st where k = 7
+        union all select tbl, v, 'constraints', 'added', 'unique (a)', null, 'unique (a)' from st where k = 7""",
     "view_diff": """
         select 'x_' || p_partkey as tbl, cast(2 as integer) as v,
                concat('create or replace view s.x_', p_partkey, ' as select * from s.base where brand = ''',

@@ -105,6 +105,21 @@ def statement_diff(spark, sf):
     return D.diff_definitions(statements(spark, sf)).select("tbl", "v", "section", "change")
 
 
+def x_probes(spark, sf):
+    def lines(items):
+        return F.array_join(F.array_sort(F.transform(items, lambda c: F.concat_ws(
+            " ", c["name"], c["type"], c["comment"]))), "; ")
+    return E.definitions(FX.probe_corpus(spark, sf)).select(
+        "tbl", "v", "identity", lines("columns").alias("cols"), lines("part_columns").alias("parts"),
+        F.array_join(F.array_sort("constraints"), "; ").alias("cons"), "clustered", "table_comment",
+        "reject_reason")
+
+
+def probe_diff(spark, sf):
+    return D.diff_definitions(E.definitions(FX.probe_corpus(spark, sf))).select(
+        "tbl", "v", "section", "change", "name", "old", "new")
+
+
 # ---- diff -------------------------------------------------------------------
 
 def version_pairs(spark, sf):
@@ -271,6 +286,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "x_definition": x_definition,
     "x_statements": x_statements,
     "x_rejected": x_rejected,
+    "x_probes": x_probes,
+    "probe_diff": probe_diff,
     "view_diff": view_diff,
     "statement_diff": statement_diff,
     "version_pairs": version_pairs,

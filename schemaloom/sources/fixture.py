@@ -190,6 +190,45 @@ def statement_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         text.alias("ddl")))
 
 
+def probe_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two versions of a statement for every part, by part key % 8: columns
+    called like constraints, names of four parts, partition transforms,
+    CLUSTER BY, comments inside structs, SQL comments, text that no clause
+    explains, and constraints without a name. Sizes above 25 change the second
+    version."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
+    p = p.withColumn("v", F.explode(F.array(F.lit(1), F.lit(2))))
+    k, big = F.col("p_partkey"), (F.col("p_size") > 25) & (F.col("v") == 2)
+    name, brand = F.concat(F.lit("x_"), k.cast("string")), F.lower("p_brand")
+
+    def text(*parts) -> Column:
+        return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+
+    def either(yes: str, no: str = "") -> Column:
+        return F.when(big, yes).otherwise(no)
+    kinds = [
+        text("CREATE TABLE s.", name, " (check ", either("BIGINT", "INT"), ", `unique` STRING COMMENT '",
+             brand, "', constraint DATE)"),
+        text("CREATE TABLE cat.ns.s.", name, " (id INT", either(", extra INT"), ") USING parquet"),
+        text("CREATE TABLE s.", name, " (ts TIMESTAMP, id INT) USING iceberg PARTITIONED BY (days(ts), Bucket(",
+             either("32", "16"), ", id), id)"),
+        text("CREATE TABLE s.", name, " (a INT, b INT) USING delta CLUSTER BY (", either("b", "a"),
+             ") COMMENT '", brand, "'"),
+        text("CREATE TABLE s.", name, " (s STRUCT<x: INT COMMENT '", brand, ", (Q'", either(", y: INT"),
+             "> COMMENT 'of s', t ARRAY<STRUCT<`A b`: INT>>)"),
+        text("-- made by ", brand, "\nCREATE /* it's */ TABLE s.", name, " (a INT, -- the first, (one\n b ",
+             either("BIGINT", "INT"), " COMMENT '-- no /* comment') /* end */"),
+        text("CREATE TABLE s.", name, either(" SHALLOW CLONE s.base", " (a INT)")),
+        text("CREATE TABLE s.", name, " (a INT, ", either("UNIQUE (a)", "CHECK (a > 0)"), ", PRIMARY KEY (a))"),
+    ]
+    ddl = F.when(k % 8 == 0, kinds[0])
+    for i, x in enumerate(kinds[1:], 1):
+        ddl = ddl.when(k % 8 == i, x)
+    return p.select(
+        F.lit("s").alias("db"), name.alias("tbl"), "v", (k * 2 + F.col("v")).alias("vid"),
+        F.lit("2024-01-01").cast("timestamp_ntz").alias("captured_at"), ddl.alias("ddl"))
+
+
 def gap_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus with texts that can't be read between the others: every
     version whose vid % 5 is 2 or 3 (runs of them too), every first version

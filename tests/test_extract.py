@@ -121,6 +121,46 @@ def test_rejected_rows_are_kept(spark, corpus_of, ddl, reason):
     assert [r.reject_reason for r in rej] == [reason]
 
 
+def test_columns_named_like_constraints(spark, corpus_of):
+    r = one(spark, corpus_of, "CREATE TABLE d.t (check STRING, unique INT, primary DATE, constraint INT, "
+                              "CHECK (a > 0), UNIQUE (a), CONSTRAINT c CHECK (b > 0))")
+    assert [c.name for c in r.columns] == ["check", "constraint", "primary", "unique"]
+    assert sorted(r.constraints) == ["check (a > 0)", "constraint c check (b > 0)", "unique (a)"]
+    assert r.reject_reason is None
+
+
+def test_names_of_many_parts(spark, corpus_of):
+    r = one(spark, corpus_of, "CREATE TABLE a.b.c.u (id INT)")
+    assert r.identity == "c.u" and [c.name for c in r.columns] == ["id"] and r.reject_reason is None
+
+
+@pytest.mark.parametrize("ddl", ["CREATE TABLE d.u SHALLOW CLONE d.s", "CREATE TABLE d.u (a INT) NONSENSE x",
+                                 "CREATE TABLE d.u x (a INT)"])
+def test_unread_text_is_rejected(spark, corpus_of, ddl):
+    assert one(spark, corpus_of, ddl).reject_reason == (
+        "text after the name or the column list that was not read")
+
+
+def test_function_items_are_partition_transforms_only(spark, corpus_of):
+    r = one(spark, corpus_of, "CREATE TABLE d.t (a INT) PARTITIONED BY (days(ts), bucket( 16 , `id` ), dt)")
+    assert [c.name for c in r.part_columns] == ["bucket(16,id)", "days(ts)", "dt"]
+    assert r.reject_reason is None
+    assert one(spark, corpus_of, "CREATE TABLE d.t (days(ts))").reject_reason
+
+
+def test_sql_comments_and_struct_comments(spark, corpus_of):
+    r = one(spark, corpus_of, "/* x */ CREATE TABLE d.t ( -- it's, (open\n a STRUCT<x: INT COMMENT 'Q, >', "
+                              "`y z`: MAP<STRING, INT>> COMMENT 'c -- d', /* b INT, */ e INT) -- end")
+    assert [(c.name, c.type, c.comment) for c in r.columns] == [
+        ("a", "STRUCT<X:INT COMMENT 'Q, >',`y z`:MAP<STRING,INT>>", "c -- d"), ("e", "INT", None)]
+    assert r.reject_reason is None
+    deep = "INT COMMENT 'In (x'"
+    for i in range(8):
+        deep = f"STRUCT<f{i}: {deep}>"
+    r = one(spark, corpus_of, f"CREATE TABLE d.t (s {deep}, b INT)")
+    assert r.reject_reason is None and "INT COMMENT 'In (x'" in r.columns[1].type
+
+
 def test_any_depth_and_quotes(spark, corpus_of):
     deep = "INT"
     for i in range(9):
