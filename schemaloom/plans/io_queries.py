@@ -17,6 +17,7 @@ from ..operators import extract as E
 from ..operators import migrate as M
 from ..operators import report as R
 from ..session import scratch_path
+from ..sinks import outbox as O
 from ..sinks import writers as W
 from ..sources import files as S
 from ..sources import fixture as FX
@@ -26,17 +27,40 @@ from . import drift as DR
 STREAM_DROPS = 10
 
 
+def _file_rows(texts: DataFrame) -> DataFrame:
+    return E.definitions(texts.select(
+        "db", "tbl", "v", "is_history", F.lit(0).cast("bigint").alias("vid"), "captured_at", "ddl")).select(
+        "db", "tbl", "v", "is_history", "kind", "options_tail",
+        F.size("columns").cast("bigint").alias("n_cols"),
+        F.size("part_columns").cast("bigint").alias("n_part_cols"))
+
+
 def def_files(spark: SparkSession, sf: str) -> DataFrame:
     """Last and History files written, found by their paths, read and parsed:
-    the newest definition of every table as its file has it."""
+    the definition of every file, the newest of a table and the one before."""
     root = scratch_path(spark, "def_files")
     S.write_definition_files(FX.corpus_table(spark, sf), root)
     found = S.scan_definition_files(spark, root, glob="*.txt")
-    texts = S.drop_history_paths(found).select(
-        "db", "tbl", "v", F.lit(0).cast("bigint").alias("vid"), "captured_at", "ddl")
-    return E.definitions(texts).select(
-        "db", "tbl", "v", "kind", "options_tail", F.size("columns").cast("bigint").alias("n_cols"),
-        F.size("part_columns").cast("bigint").alias("n_part_cols"))
+    last = _file_rows(S.drop_history_paths(found))
+    return last.unionByName(_file_rows(found.where("is_history")))
+
+
+def def_files_again(spark: SparkSession, sf: str) -> DataFrame:
+    """The tree of a third of the tables is scanned twice, then other tables'
+    files come in: scan (1-3), and what it read."""
+    root = scratch_path(spark, "def_files")
+    files = S.DefinitionFiles(spark, f"{root}/tree", f"{root}/manifest", glob="*.txt")
+    corpus = FX.corpus_table(spark, sf).where(F.col("vid") % 3 == 0)
+    early = F.col("tbl").endswith("1")
+    out = None
+    for scan, rows in enumerate((early, None, F.col("tbl").endswith("2")), 1):
+        if rows is not None:
+            S.write_definition_files(corpus.where(rows), f"{root}/tree", history=0)
+        pending = files.pending()
+        read = _file_rows(files.texts(pending)).drop("is_history").withColumn("scan", F.lit(scan))
+        files.taken(pending, f"scan{scan}")
+        out = read if out is None else out.unionByName(read)
+    return out
 
 
 def append_snapshot(spark: SparkSession, sf: str) -> DataFrame:
@@ -68,6 +92,29 @@ def alert_outbox(spark: SparkSession, sf: str) -> DataFrame:
     return (spark.read.parquet(f"{path}/alerts").select("db", "tbl", "v", "recipient", "body"))
 
 
+def alerts_delivered(spark: SparkSession, sf: str) -> DataFrame:
+    """Reports of a run delivered by a delivery that dies behind the sink, again,
+    and once more under its id; then those of a second run. Every alert is in
+    the recipients' folders once."""
+    path = scratch_path(spark, "outbox")
+    subs = W.subscriptions_from_suppliers(FX.table(spark, sf, "supplier"))
+    changes = D.version_changes(E.definitions(FX.corpus_table(spark, sf).where("v <= 4")))
+    reports = R.change_report(changes)
+    sink = O.to_folder(f"{path}/sent")
+
+    def dies(alerts: DataFrame, delivery: str) -> None:
+        sink(alerts, delivery)
+        raise RuntimeError("lost")
+    for run, v in (("r1", 2), ("r2", 3)):
+        W.write_alerts(R.fan_out(reports.where(F.col("v") == v), subs), f"{path}/alerts", run_id=run)
+        for deliver_to in (dies, sink, sink):
+            try:
+                O.deliver(spark, f"{path}/alerts", f"{path}/ledger", f"of_{run}", deliver_to)
+            except RuntimeError:
+                continue
+    return spark.read.parquet(f"{path}/sent").select("db", "tbl", "v", "recipient", "body")
+
+
 RUN_DATES = ["1994-01-01", "1996-01-01", "1997-06-01", "1998-07-01"]
 
 
@@ -288,8 +335,10 @@ def gap_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 IO_QUERIES = {
     "def_files": def_files,
+    "def_files_again": def_files_again,
     "append_snapshot": append_snapshot,
     "alert_outbox": alert_outbox,
+    "alerts_delivered": alerts_delivered,
     "drift_run": drift_run,
     "drift_seen": drift_seen,
     "backup_copy": backup_copy,

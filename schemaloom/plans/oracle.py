@@ -202,10 +202,17 @@ Q: dict[str, str] = {
     "inventory": "select distinct db, tbl from ver",
     "inventory_filtered": "select distinct db, tbl from ver where db <> 'db_0'",
     "def_files": """
-        select a.db, a.tbl, a.v, a.kind, a.options_tail,
+        select a.db, a.tbl, a.v, a.v < t.top as is_history, a.kind, a.options_tail,
                (select count(*) from cols c where c.tbl = a.tbl and c.v = a.v) as n_cols,
                (select count(*) from pcols p where p.tbl = a.tbl and p.v = a.v) as n_part_cols
-        from attrs a where a.v = (select max(v) from ver y where y.tbl = a.tbl)""",
+        from attrs a join (select tbl, max(v) as top from ver group by tbl) t
+          on t.tbl = a.tbl and a.v >= t.top - 1""",
+    "def_files_again": """
+        select a.db, a.tbl, a.v, case when a.tbl like '%1' then 1 else 3 end as scan, a.kind, a.options_tail,
+               (select count(*) from cols c where c.tbl = a.tbl and c.v = a.v) as n_cols,
+               (select count(*) from pcols p where p.tbl = a.tbl and p.v = a.v) as n_part_cols
+        from attrs a join (select tbl, max(v) as top from ver where vid % 3 = 0 group by tbl) t
+          on t.tbl = a.tbl and a.v = t.top where a.tbl like '%1' or a.tbl like '%2'""",
     "append_snapshot": "select cast(captured_at as date) as capture_date, count(*) as n from ver group by 1",
     "archived_versions": "select db, tbl, v from ver o where exists "
                          "(select 1 from ver n where n.tbl = o.tbl and n.v > o.v)",
@@ -364,6 +371,8 @@ Q: dict[str, str] = {
     "change_report": "select db, tbl, v, body from change_report",
     "alert_outbox": "select r.db, r.tbl, r.v, s.recipient, r.body from change_report r "
                     "join told s on s.db = r.db and s.tbl = r.tbl",
+    "alerts_delivered": "select r.db, r.tbl, r.v, s.recipient, r.body from change_report r "
+                        "join told s on s.db = r.db and s.tbl = r.tbl where r.v in (2, 3)",
     "drift_run": _RUNS + """,
         st as (
           select n.run, n.db, n.tbl,

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import parse_stamp
+from ..sinks.commits import AppendLog
 
 # db / table / optional History or Last / optional v=<n> / file name
 PATH_RE = r"/(?:db=)?([^/=]+)/(?:tbl=)?([^/=]+)/(?:(?:age=)?(History|Last)/)?(?:v=(\d+)/)?([^/]+)$"
@@ -23,10 +24,12 @@ STAMP_RE = r"(\d{2}_\d{2}_\d{4}_\d{2}_\d{2}_\d{2})"
 
 def scan_definition_files(spark: SparkSession, root: str, glob: str = "*.hql") -> DataFrame:
     """S3: path, db, tbl, is_history, v, captured_at, ddl — one row per file."""
-    raw = (spark.read.format("text").option("wholetext", True)
-           .option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-           .load(root)
-           .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("ddl")))
+    return _parsed(spark.read.format("text").option("wholetext", True)
+                   .option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root))
+
+
+def _parsed(files: DataFrame) -> DataFrame:
+    raw = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("ddl"))
     p = F.col("path")
     return raw.select(
         "path",
@@ -40,6 +43,42 @@ def scan_definition_files(spark: SparkSession, root: str, glob: str = "*.hql") -
     )
 
 
+class DefinitionFiles:
+    """S3 again and again: only files that are new or changed since are read.
+
+    A manifest (an ``AppendLog``) keeps path, size and time of every file that
+    was taken. ``pending`` lists the tree and leaves those out, ``texts`` reads
+    the rest, ``taken`` commits them once their rows are in use; a scan that
+    died before that finds them pending again.
+    """
+
+    LISTED = "path string, size long, time timestamp, run_id string, attempt string"
+
+    def __init__(self, spark: SparkSession, root: str, manifest: str, glob: str = "*.hql"):
+        self.spark, self.root, self.glob = spark, root, glob
+        self.log = AppendLog(spark, manifest)
+
+    def pending(self) -> DataFrame:
+        """path, size, time of new and changed files; no content is read."""
+        listed = (self.spark.read.format("binaryFile").option("recursiveFileLookup", True)
+                  .option("pathGlobFilter", self.glob).load(self.root)
+                  .select("path", F.col("length").alias("size"), F.col("modificationTime").alias("time")))
+        return listed.join(self.log.read(self.LISTED).drop("run_id", "attempt"),
+                           ["path", "size", "time"], "left_anti")
+
+    def texts(self, pending: DataFrame) -> DataFrame:
+        """Rows as of ``scan_definition_files``. The paths go by the driver, as
+        those of any listing do."""
+        paths = [r.path for r in pending.select("path").toLocalIterator()]
+        if not paths:
+            return self.spark.createDataFrame([], "path string, db string, tbl string, is_history "
+                                              "boolean, v int, captured_at timestamp_ntz, ddl string")
+        return _parsed(self.spark.read.format("text").option("wholetext", True).load(paths))
+
+    def taken(self, pending: DataFrame, run_id: str) -> bool:
+        return self.log.append(run_id, lambda folder: pending.write.parquet(folder))
+
+
 def drop_history_paths(df: DataFrame) -> DataFrame:
     """Keep the "last" file of each table only."""
     return df.filter(~F.col("is_history"))

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from schemaloom.operators import extract as E
 from schemaloom.plans.drift import DriftStore, run_drift_check, watch_catalog
 from schemaloom.sinks.commits import AppendLog
+from schemaloom.sinks import outbox as O
 from schemaloom.sinks import writers as W
 from schemaloom.sources import catalog as C
 from schemaloom.sources import files as S
@@ -200,6 +201,49 @@ def test_watch_catalog(spark, tmp_path):
         ("r1", "new", "a"), ("r1", "new", "v"), ("r2", "changed", "a"), ("r2", "dropped", "v")]
 
 
+def test_files_are_read_when_new_or_changed(spark, tmp_path):
+    folder = tmp_path / "tree" / "d1" / "a"
+    os.makedirs(folder)
+    files = S.DefinitionFiles(spark, str(tmp_path / "tree"), str(tmp_path / "manifest"))
+
+    def scan(run, take=True):
+        pending = files.pending()
+        rows = sorted((r.path.rpartition("/")[2], r.ddl) for r in files.texts(pending).collect())
+        if take:
+            files.taken(pending, run)
+        return rows
+    (folder / "Last_01_01_2020_00_00_00.hql").write_text("CREATE TABLE d1.a (x INT)")
+    first = [("Last_01_01_2020_00_00_00.hql", "CREATE TABLE d1.a (x INT)")]
+    assert scan("s1", take=False) == first  # died before its commit
+    assert scan("s1") == first and scan("s2") == []
+    (folder / "Last_01_01_2020_00_00_00.hql").write_text("CREATE TABLE d1.a (x INT, y INT)")
+    (folder / "Last_02_01_2020_00_00_00.hql").write_text("CREATE TABLE d1.a (z INT)")
+    assert [t for _, t in scan("s3")] == ["CREATE TABLE d1.a (x INT, y INT)", "CREATE TABLE d1.a (z INT)"]
+    assert scan("s4") == []
+
+
+def test_alerts_are_delivered_once(spark, tmp_path):
+    out, ledger, sent = (str(tmp_path / x) for x in ("out", "ledger", "sent"))
+
+    def alerts(*bodies):
+        return spark.createDataFrame([("ops", "d", "t", None, "changed", b) for b in bodies],
+                                     "recipient string, db string, tbl string, v int, kind string, body string")
+    W.write_alerts(alerts("a", "b", "b"), out, "r1")
+
+    def dies(rows, delivery):
+        raise RuntimeError("lost")
+    with pytest.raises(RuntimeError):
+        O.deliver(spark, out, ledger, "d1", dies)
+    assert O.deliver(spark, out, ledger, "d1", O.to_folder(sent)) == 2
+    assert O.deliver(spark, out, ledger, "d1", O.to_folder(sent)) == 0
+    W.write_alerts(alerts("a", "b"), out, "r1")   # the run is repeated
+    W.write_alerts(alerts("a"), out, "r2")        # the same text from another run
+    assert O.deliver(spark, out, ledger, "d2", O.to_folder(sent)) == 1
+    assert O.pending(spark, out, ledger).count() == 0
+    assert sorted((r.run_id, r.body) for r in spark.read.parquet(sent).collect()) == [
+        ("r1", "a"), ("r1", "b"), ("r2", "a")]
+
+
 def test_alerts_replace_themselves(spark, tmp_path):
     alerts = spark.createDataFrame([("d", "t", "x")], "db string, tbl string, body string")
     for run_id in ("a", "a", "b"):
