@@ -223,6 +223,26 @@ def compacted_write(spark: SparkSession, sf: str) -> DataFrame:
                     F.count(F.lit(1)).alias("n_rows"))
 
 
+def compacted_by_size(spark: SparkSession, sf: str) -> DataFrame:
+    """lineitem in two large files and fifty small ones, packed: the large ones
+    stay, the small ones become few, within the target, and no row is lost."""
+    path = scratch_path(spark, "packed")
+    li = FX.table(spark, sf, "lineitem")
+    half = F.col("l_orderkey") % 2 == 0
+    li.where(half).repartition(2).write.parquet(f"{path}/in")
+    li.where(~half).repartition(50).write.mode("append").parquet(f"{path}/in")
+    sizes = [r.length for r in spark.read.format("binaryFile").load(f"{path}/in").select("length").collect()]
+    target = max(sizes)
+    files = W.compact_files(spark, f"{path}/in", f"{path}/out", target)
+    told = files.agg(F.count(F.when(~F.col("is_new"), 1)).alias("n_untouched"),
+                     F.coalesce(F.max(F.when(F.col("is_new"), F.col("size"))) <= 1.2 * target,
+                                F.lit(False)).alias("within"),
+                     (F.count(F.when(F.col("is_new"), 1)) < 25).alias("fewer"))
+    rows = W.read_compacted(spark, f"{path}/out").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("l_orderkey")).alias("keys"))
+    return told.crossJoin(rows)  # one row each
+
+
 def reload_select(spark: SparkSession, sf: str) -> DataFrame:
     db = scratch_database(spark, "reload")
     live = live_table(spark, sf, db, "part")
@@ -343,6 +363,7 @@ IO_QUERIES = {
     "drift_seen": drift_seen,
     "backup_copy": backup_copy,
     "compacted_write": compacted_write,
+    "compacted_by_size": compacted_by_size,
     "reconcile_counts": reconcile_counts,
     "reconcile_content": reconcile_content,
     "reload_select": reload_select,

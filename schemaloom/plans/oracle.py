@@ -413,6 +413,8 @@ Q: dict[str, str] = {
     # migration (the Spark side copies / reloads real tables, then reads back)
     "backup_copy": "select l_returnflag, l_linestatus, count(*) as n from lineitem group by 1, 2",
     "compacted_write": "select cast(4 as bigint) as n_files, count(*) as n_rows from lineitem",
+    "compacted_by_size": "select cast(2 as bigint) as n_untouched, true as within, true as fewer, "
+                         "count(*) as n_rows, cast(sum(l_orderkey) as bigint) as keys from lineitem",
     "reconcile_counts": "select count(*) as n_source, count(*) as n_backup, true as equal from lineitem",
     "reconcile_content": "select count(*) filter (where l_orderkey % 1000 in (1, 3)) as n_missing, "
                          "count(*) filter (where l_orderkey % 1000 in (2, 3)) as n_extra from lineitem",

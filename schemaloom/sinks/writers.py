@@ -64,6 +64,53 @@ def write_compacted(df: DataFrame, path: str, n_files: int | None = None,
     out.write.mode(mode).format(fmt).save(path)
 
 
+FILES = "path string, size long, is_new boolean"
+
+
+def compact_files(spark: SparkSession, path: str, out: str, target_bytes: int) -> DataFrame:
+    """K5 by size: small Parquet files of the folder ``path`` packed into files of
+    about ``target_bytes``; files of half of it or more are left as they are. A
+    table with partition folders is packed folder by folder.
+
+    Rows are not shuffled: Spark's own packing of files into read tasks, with
+    ``target_bytes`` a task and no cost for opening, gives the bins, and a task
+    writes one file below ``out``/data. The list of files that make up the
+    table now (path, size, is_new) is written last, to ``out``/files, and
+    returned; ``read_compacted`` goes by it. The small files may be deleted
+    then. Repeated, it starts over.
+    """
+    found = (spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet")
+             .load(path)
+             .select("path", F.col("length").alias("size")))
+    small = [r.path for r in found.where(F.col("size") * 2 < target_bytes).toLocalIterator()]
+    files = found.where(F.col("size") * 2 >= target_bytes).withColumn("is_new", F.lit(False))
+    if small:
+        wanted = {"spark.sql.files.maxPartitionBytes": str(target_bytes),
+                  "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+        before = {k: spark.conf.get(k, None) for k in wanted}
+        try:
+            for k, v in wanted.items():
+                spark.conf.set(k, v)
+            spark.read.parquet(*small).write.mode("overwrite").parquet(f"{out}/data")
+        finally:
+            for k, v in before.items():
+                if v is None:
+                    spark.conf.unset(k)
+                else:
+                    spark.conf.set(k, v)
+        new = (spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{out}/data")
+               .select("path", F.col("length").alias("size"), F.lit(True).alias("is_new")))
+        files = files.unionByName(new)
+    files.coalesce(1).write.mode("overwrite").json(f"{out}/files")
+    return spark.read.schema(FILES).json(f"{out}/files")
+
+
+def read_compacted(spark: SparkSession, out: str) -> DataFrame:
+    """The table as ``compact_files`` left it."""
+    return spark.read.parquet(*[r.path for r in spark.read.schema(FILES).json(f"{out}/files")
+                                .toLocalIterator()])
+
+
 def register_recipients(subscriptions: DataFrame, path: str) -> None:
     """K6: store subscriptions(db, tbl, recipient); tbl NULL = whole database."""
     subscriptions.select("db", "tbl", "recipient").write.mode("overwrite").parquet(path)

@@ -244,6 +244,19 @@ def test_alerts_are_delivered_once(spark, tmp_path):
         ("r1", "a"), ("r1", "b"), ("r2", "a")]
 
 
+def test_small_files_are_packed(spark, tmp_path):
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.range(400_000).repartition(1).write.parquet(path)
+    spark.range(400_000, 400_400).repartition(40).write.mode("append").parquet(path)
+    large = max(os.path.getsize(f) for f in tmp_path.glob("in/*.parquet"))
+    files = W.compact_files(spark, path, out, large).collect()
+    assert [f.size for f in files if not f.is_new] == [large] and sum(f.is_new for f in files) == 1
+    df = W.read_compacted(spark, out)
+    assert df.count() == 400_400 == df.distinct().count()
+    W.compact_files(spark, path, out, large)
+    assert W.read_compacted(spark, out).count() == 400_400
+
+
 def test_alerts_replace_themselves(spark, tmp_path):
     alerts = spark.createDataFrame([("d", "t", "x")], "db string, tbl string, body string")
     for run_id in ("a", "a", "b"):
