@@ -2,42 +2,56 @@
 
 Examples are a bounded sample of the labelled documents (PER_CLASS of each
 label, smallest hash of the id first). Terms are whole words and the
-character 4- and 5-grams of words with their ends marked; every term of the
-examples has a place in the vector space. Vectors are TF-IDF ((1 + log tf) *
-idf), compared by cosine. So that names and topics do not drown the vocabulary
-that matters, a term's idf is multiplied by how far it goes with the label: the
-absolute phi coefficient (square root of chi-square over the number of
-examples, so it does not grow with the sample) plus 1 / examples.
-
-Equal examples are indexed once. Terms that many examples hold are rows of a
-matrix, one product of which scores a batch of texts; the others lie in an
-inverted index cut in blocks of BLOCK examples with the largest weight of each
-term in each block. A search takes the k-th of the scores so far as threshold
-and reads only the blocks whose bound reaches it; what may be among the k best
-is then scored in double precision: the result is exact. Votes of the K nearest, weighted by
-their cosine and by how thinly their class was sampled, plus a prior from
-examples without any term, give the score; the neighbours are its evidence.
+character 4- and 5-grams of words with their ends marked, known by 64-bit
+hashes; every term of the examples has a place in the vector space. Vectors are
+TF-IDF ((1 + log tf) * idf), compared by cosine. So that names and topics do not
+drown the vocabulary that matters, a term's idf is multiplied by how far it goes
+with the label: the absolute phi coefficient (square root of chi-square over the
+number of examples, so it does not grow with the sample) plus 1 / examples.
+Plain idf finds too few of the toxic documents (README).
+
+Nothing of that passes through the driver but counts, one number an example and
+paths: tasks list the terms, a join weighs them, and the index is cut in shards
+of whole examples with at most SHARD postings (a longer example is a shard by
+itself), each written by one task to the shared folder. Scoring tasks map one
+shard after the other over a slice of texts and merge the K best of each.
+
+A shard is an inverted index in blocks of BLOCK examples, with the largest weight
+of every term in every block. The postings of terms that 1 example in COMMON
+holds lie in it as rows of a matrix, the others as lists. A search bounds each
+block, reads the blocks of the largest bounds, takes the k-th of the scores so
+far as threshold and reads the other blocks whose bound reaches it; what may be
+among the k best is then scored in double precision: the result is exact.
+Votes of the K nearest, weighted by their cosine and by how thinly their class
+was sampled, plus a prior, give a raw score. A logistic curve turns it into the
+score; it is fitted on the examples, each scored without its own vote.
 """
 
 from __future__ import annotations
 
+import io
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, saved, texts, thinned
+from ..session import scratch_path
+from .common import chunks, open_folder, saved, texts, thinned
 
 PER_CLASS = 4000
 GRAMS = (4, 5)
 BLOCK = 64
 K = 15
 PRIOR_WEIGHT = 0.2
-CACHE = 400_000
+SHARD = 4_000_000  # postings
+HELD = 3  # shards at most that a worker keeps in memory
 KNOWN = 100_000  # words whose terms a worker remembers
 DENSE = 4096  # terms at most that are rows of the matrix
 COMMON = 16  # they are in 1 example in so many
@@ -57,39 +71,28 @@ def terms_of(word: str) -> set[str]:
     return {marked} | {marked[i:i + n] for n in GRAMS for i in range(len(marked) - n + 1)}
 
 
-class Space:
-    """The terms and their weights; weighs texts."""
+class Hashes:
+    """64-bit hashes of the terms of words, remembered."""
 
-    def __init__(self, terms: list[str], idf: np.ndarray):
-        self.terms = {t: i for i, t in enumerate(terms)}
-        self.idf = idf
+    def __init__(self):
         self.known: dict[str, np.ndarray] = {}
 
-    def __getstate__(self):
-        return {"terms": self.terms, "idf": self.idf, "known": {}}
+    def of(self, word: str) -> np.ndarray:
+        if (found := self.known.get(word)) is None:
+            if len(self.known) > KNOWN:
+                self.known.clear()
+            found = self.known[word] = np.array(
+                [xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"))
+                 for t in terms_of(word)], np.uint64).view(np.int64)
+        return found
 
-    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Term numbers (ascending) and weights of unit length; both empty
-        for a text without a known term."""
-        if len(self.known) > KNOWN:
-            self.known = {}
-        known, count, own = self.known, Counter(words(text)), []
-        for word in count:
-            if (found := known.get(word)) is None:
-                found = known[word] = np.array(
-                    [self.terms[t] for t in terms_of(word) if t in self.terms], np.int32)
-            own.append(found)
-        if not own:
-            return np.zeros(0, np.int32), np.zeros(0)
-        at = np.concatenate(own)
-        tf = np.repeat(np.array(list(count.values())), [len(x) for x in own])
-        order = np.argsort(at, kind="stable")
-        at, tf = at[order], tf[order]
-        first = np.flatnonzero(np.append(True, at[1:] != at[:-1])[:len(at)])
-        at, tf = at[first], np.add.reduceat(tf, first) if len(first) else tf
-        w = (1 + np.log(tf)) * self.idf[at]
-        norm = np.sqrt((w * w).sum())
-        return at, w / norm if norm > 0 else w
+
+def _summed(at: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of ``at``, ascending, and the sums of their ``tf``."""
+    order = np.argsort(at, kind="stable")
+    at, tf = at[order], tf[order]
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1])[:len(at)])
+    return at[first], np.add.reduceat(tf, first) if len(first) else tf
 
 
 def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -98,8 +101,8 @@ def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 class BlockMaxIndex:
-    """Unit vectors (kept in single precision): a matrix of the common terms,
-    an inverted index with block maxima of the others. Weights are positive."""
+    """Unit vectors (kept in single precision) in blocks with block maxima;
+    common terms as matrix rows, the others as lists. Weights are positive."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int,
                  block: int = BLOCK):
@@ -109,8 +112,10 @@ class BlockMaxIndex:
             if len(at):
                 same.setdefault(np.asarray(at, np.int32).tobytes()
                                 + np.asarray(w, np.float32).tobytes(), []).append(i)
-        self.members = [np.array(x) for x in same.values()]
-        own = [vectors[x[0]] for x in self.members]
+        # equal examples are one row: the numbers of row i are member[first[i]:first[i + 1]]
+        self.member = np.array([i for x in same.values() for i in x], np.int64)
+        self.first = np.cumsum([0, *map(len, same.values())])
+        own = [vectors[x[0]] for x in same.values()]
         m = self.m = len(own)
         size = np.array([len(v[0]) for v in own], np.int64)
         self.start = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
@@ -127,14 +132,18 @@ class BlockMaxIndex:
         self.slot = np.full(n_terms, -1, np.int32)
         self.slot[common] = np.arange(len(common))
         slot = self.slot[self.at]
-        self.dense = np.zeros((len(common), m), np.float32)
-        self.dense[slot[slot >= 0], doc[slot >= 0]] = self.w[slot >= 0]
+        self.blocks = -(-m // block)
+        dense = np.zeros((len(common), self.blocks * block), np.float32)
+        dense[slot[slot >= 0], doc[slot >= 0]] = self.w[slot >= 0]
+        # one matrix a block, and the largest weight of each row in it
+        self.dense = np.ascontiguousarray(
+            dense.reshape(len(common), self.blocks, block).transpose(1, 0, 2))
+        self.high = np.ascontiguousarray(self.dense.max(axis=2, initial=0).T)
         self.slack = 2 * (len(common) + n_terms.bit_length() + 64) * 2.0 ** -23
 
         term, doc, w = self.at[slot < 0], doc[slot < 0], self.w[slot < 0]
         order = np.lexsort((doc, term))
-        term, self.doc = term[order], doc[order].astype(np.intp)
-        self.weight = w[order].astype(np.float64)
+        term, self.doc, self.weight = term[order], doc[order], w[order]
         part = self.doc // block
         cell = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (part[1:] != part[:-1]))
                               [:len(term)])
@@ -142,14 +151,24 @@ class BlockMaxIndex:
         self.part = part[cell]
         self.top = np.maximum.reduceat(self.weight, cell) if len(cell) else self.weight
         self.cells = np.searchsorted(term[cell], np.arange(n_terms + 1))  # cells of each term
+        self.n_terms = n_terms
         self.query = np.zeros(n_terms)
 
-    def __getstate__(self):
-        return self.__dict__ | {"query": None}
+    def arrays(self) -> dict[str, np.ndarray]:
+        return {k: np.asarray(v) for k, v in self.__dict__.items() if k != "query"}
+
+    @classmethod
+    def of(cls, arrays) -> BlockMaxIndex:
+        """The index that ``arrays`` gave, without building it again."""
+        index = cls.__new__(cls)
+        for k, v in arrays.items():
+            index.__dict__[k] = v if v.ndim else v.item()
+        index.query = np.zeros(index.n_terms)
+        return index
 
     def search(self, at: np.ndarray, w: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
-        """Examples and cosines of the k largest positive cosines, ties to the
-        smaller number."""
+        """Examples and products of the k largest positive products, ties to
+        the smaller number."""
         return self.search_all([(at, w)], k)[0]
 
     def search_all(self, queries: list[tuple[np.ndarray, np.ndarray]],
@@ -157,158 +176,341 @@ class BlockMaxIndex:
         """``search`` of each query."""
         if not self.m:
             return [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
-        left = np.zeros((len(queries), len(self.dense)), np.float32)
+        left = np.zeros((len(queries), len(self.high)), np.float32)
         for row, (at, w) in zip(left, queries):
             slot = self.slot[at]
             row[slot[slot >= 0]] = w[slot >= 0]
-        return [self._one(at, w, score, k)
-                for (at, w), score in zip(queries, left @ self.dense)]
-
-    def _least(self, score: np.ndarray, k: int) -> float:
+        bound = (left @ self.high).astype(np.float64)
+        lists = []
+        for row, (at, w) in zip(bound, queries):
+            rare = self.slot[at] < 0
+            n = self.cells[at[rare] + 1] - self.cells[at[rare]]
+            cell, weight = _ranges(self.cells[at[rare]], n), np.repeat(w[rare], n)
+            row += np.bincount(self.part[cell], weight * self.top[cell], minlength=self.blocks)
+            lists.append((cell, weight))
+        score = np.full((len(queries), self.blocks, self.block), -1.0)
+        first = min(self.blocks, -(-k // self.block) + 1)
+        chosen = np.zeros(bound.shape, bool)
+        np.put_along_axis(chosen, np.argpartition(-bound, first - 1, axis=1)[:, :first], True, 1)
+        self._read(chosen, left, lists, score)
+        least = self._least(score, k)
+        live = ~chosen & (bound * (1 + self.slack) >= least[:, None])
+        self._read(live, left, lists, score)
+        least = self._least(score, k)
+        return [self._best(at, w, row, low, k) for (at, w), row, low
+                in zip(queries, score.reshape(len(queries), -1)[:, :self.m], least.tolist())]
+
+    def _read(self, wanted: np.ndarray, left: np.ndarray, lists: list, score: np.ndarray) -> None:
+        """Scores of all examples of the blocks that each query wants."""
+        for b in np.flatnonzero(wanted.any(axis=0)).tolist():
+            rows = np.flatnonzero(wanted[:, b])
+            score[rows, b] = (left if len(rows) == len(left) else left[rows]) @ self.dense[b]
+        for own, (cell, weight), row in zip(wanted, lists, score.reshape(len(left), -1)):
+            live = own[self.part[cell]]
+            cell, weight = cell[live], weight[live]
+            n = self.cut[cell + 1] - self.cut[cell]
+            place = _ranges(self.cut[cell], n)
+            row += np.bincount(self.doc[place], np.repeat(weight, n) * self.weight[place],
+                               minlength=len(row))
+
+    def _least(self, score: np.ndarray, k: int) -> np.ndarray:
         """What a score must reach to be among the k largest, for rounding a bit less."""
+        flat = score.reshape(len(score), -1)[:, :self.m]
         if self.m <= k:
-            return 0.0
-        return float(np.partition(score, self.m - k)[self.m - k]) * (1 - self.slack)
-
-    def _one(self, at: np.ndarray, w: np.ndarray, score: np.ndarray,
-             k: int) -> tuple[np.ndarray, np.ndarray]:
-        """``score``: sums over the common terms."""
-        rare = self.slot[at] < 0
-        n = self.cells[at[rare] + 1] - self.cells[at[rare]]
-        cell, weight = _ranges(self.cells[at[rare]], n), np.repeat(w[rare], n)
-        high = np.maximum.reduceat(score, np.arange(0, self.m, self.block))
-        bound = high + np.bincount(self.part[cell], weight * self.top[cell], minlength=len(high))
-        live = (bound >= self._least(score, k))[self.part[cell]]
-        cell, weight = cell[live], weight[live]
-        n = self.cut[cell + 1] - self.cut[cell]
-        place = _ranges(self.cut[cell], n)
-        score = score + np.bincount(self.doc[place], np.repeat(weight, n) * self.weight[place],
-                                    minlength=self.m)
-        may = np.flatnonzero((score > 0) & (score >= self._least(score, k)))
+            return np.zeros(len(flat))
+        return np.maximum(np.partition(flat, self.m - k, axis=1)[:, self.m - k]
+                          * (1 - self.slack), 0)
+
+    def _best(self, at: np.ndarray, w: np.ndarray, score: np.ndarray, least: float,
+              k: int) -> tuple[np.ndarray, np.ndarray]:
+        may = np.flatnonzero((score > 0) & (score >= least))
         if not len(may):
             return np.zeros(0, np.int64), np.zeros(0)
-
-        if self.query is None:
-            self.query = np.zeros(len(self.slot))
         self.query[at] = w
         n = self.start[may + 1] - self.start[may]
         place = _ranges(self.start[may], n)
         cos = np.add.reduceat(self.query[self.at[place]] * self.w[place], np.cumsum(n) - n)
         self.query[at] = 0
-        number = [self.members[i][:k] for i in may.tolist()]
-        cos = np.repeat(cos, [len(x) for x in number])
-        number = np.concatenate(number)
-        # rounding: cosines that agree to 12 places are ties
-        best = np.lexsort((number, -np.round(cos, 12)))[:k]
+        n = np.minimum(self.first[may + 1] - self.first[may], k)
+        number, cos = self.member[_ranges(self.first[may], n)], np.repeat(cos, n)
+        best = _ranked(cos, number, k)
         return number[best], cos[best]
 
 
+def _ranked(value: np.ndarray, number: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest; values that agree to 12 places are ties (rounding)."""
+    return np.lexsort((number, -np.round(value, 12)))[:k]
+
+
+class Shard:
+    """Some examples with their index, and the weights of their terms."""
+
+    def __init__(self, data):
+        data = {k: data[k] for k in data.files}
+        self.terms, self.idf, self.own, self.number = (
+            data.pop(k) for k in ("terms", "idf", "own", "number"))
+        self.index = BlockMaxIndex.of(data)
+        self.known: dict[str, np.ndarray] = {}
+
+    def vector(self, count: Counter, hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
+        """Terms of the shard (ascending) and their TF-IDF, not scaled."""
+        if len(self.known) > KNOWN:
+            self.known = {}
+        new = [x for x in count if x not in self.known]
+        if new:
+            found = [hashes.of(x) for x in new]
+            every = np.concatenate(found)
+            at = np.minimum(np.searchsorted(self.terms, every), max(len(self.terms) - 1, 0))
+            ok = self.terms[at] == every if len(self.terms) else np.zeros(len(every), bool)
+            end = np.cumsum([len(x) for x in found]).tolist()
+            for x, a, b in zip(new, [0, *end[:-1]], end):
+                self.known[x] = at[a:b][ok[a:b]].astype(np.int32)
+        if not count:
+            return np.zeros(0, np.int32), np.zeros(0)
+        own = [self.known[x] for x in count]
+        at, tf = _summed(np.concatenate(own),
+                         np.repeat(np.array(list(count.values())), [len(x) for x in own]))
+        return at, (1 + np.log(tf)) * self.idf[at]
+
+
 class Model:
-    """Space, index, labels, class weights and prior; ``ids`` name the examples."""
-
-    def __init__(self, space: Space, vectors, label: np.ndarray, ids: list, population: dict):
-        self.space, self.label, self.ids = space, label, ids
-        self.index = BlockMaxIndex(vectors, max(len(space.terms), 1))
-        here = np.bincount(label, minlength=2)
-        self.weight = np.array([population.get(c, 0) / max(here[c], 1) for c in (0, 1)])
-        bare = np.array([len(v[0]) == 0 for v in vectors], bool)
-        own = self.weight[label[bare]] if bare.any() else np.zeros(0)
-        self.prior = float((own[label[bare] == 1].sum() + 0.1) / (own.sum() + 1.0))
-
-    def score(self, text: str) -> tuple[float, list[tuple[object, int, float]]]:
-        return self.score_all([text])[0]
+    """Where the shards lie, and what turns neighbours into a score. A small
+    object: shards are read by the workers that score."""
+
+    def __init__(self, folder: str, shards: list[str], ids: dict[int, str], weight: np.ndarray,
+                 prior: float, curve: tuple[float, float] = (1.0, 0.0)):
+        self.folder, self.shards, self.ids = folder, shards, ids
+        self.weight, self.prior, self.curve = weight, prior, curve
+        self.held: dict[str, Shard] = {}
+        self.hashes = Hashes()
 
-    def score_all(self, values: list[str]) -> list[tuple[float, list[tuple[object, int, float]]]]:
-        """Score and neighbours (id, label, cosine) of each text."""
+    def __getstate__(self):
+        return self.__dict__ | {"held": {}, "hashes": Hashes()}
+
+    def _shard(self, name: str) -> Shard:
+        if (found := self.held.get(name)) is None:
+            files, folder = open_folder(self.folder)
+            with files.open_input_stream(f"{folder}/{name}") as f:
+                found = Shard(np.load(io.BytesIO(f.read())))
+            if len(self.held) < HELD:
+                self.held[name] = found
+        return found
+
+    def neighbours(self, values: list[str], leave: list[int] | None = None,
+                   k: int = K) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Example numbers (twice the place, plus the label) and cosines of the
+        k nearest of each text; without the examples numbered in ``leave``."""
+        counts = [Counter(words(t)) for t in values]
+        square = np.zeros(len(values))
+        found: list[list] = [[] for _ in values]
+        more = k + (leave is not None)
+        for name in self.shards:
+            shard = self._shard(name)
+            for at in range(0, len(values), TEXTS_AT_ONCE):
+                some = range(at, min(at + TEXTS_AT_ONCE, len(values)))
+                queries = [shard.vector(counts[i], self.hashes) for i in some]
+                for i, (terms, w), (near, product) in zip(
+                        some, queries, shard.index.search_all(queries, more)):
+                    own = w[shard.own[terms]]
+                    square[i] += (own * own).sum()
+                    found[i].append((shard.number[near], product))
         out = []
-        for at in range(0, len(values), TEXTS_AT_ONCE):
-            queries = [self.space.vector(t) for t in values[at:at + TEXTS_AT_ONCE]]
-            for near, cos in self.index.search_all(queries):
-                y = self.label[near]
-                vote = cos * self.weight[y]
-                score = (((vote * y).sum() + PRIOR_WEIGHT * self.prior)
-                         / (vote.sum() + PRIOR_WEIGHT))
-                out.append((float(score), [(self.ids[i], int(self.label[i]), float(c))
-                                           for i, c in zip(near.tolist(), cos.tolist())]))
+        for i, (parts, norm) in enumerate(zip(found, np.sqrt(square).tolist())):
+            number = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
+            cos = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0)
+            if leave is not None:
+                number, cos = number[number != leave[i]], cos[number != leave[i]]
+            cos = np.minimum(cos / (norm or 1.0), 1.0)
+            best = _ranked(cos, number, k)
+            out.append((number[best], cos[best]))
         return out
 
+    def raw(self, number: np.ndarray, cos: np.ndarray) -> float:
+        """Share of the toxic votes."""
+        y = number % 2
+        vote = cos * self.weight[y]
+        return float(((vote * y).sum() + PRIOR_WEIGHT * self.prior) / (vote.sum() + PRIOR_WEIGHT))
+
+    def calibrated(self, raw: float) -> float:
+        slope, shift = self.curve
+        return float(1 / (1 + np.exp(-(slope * _logit(raw) + shift))))
+
+    def score(self, text: str) -> tuple[float, list[tuple[int, float]]]:
+        return self.score_all([text])[0]
+
+    def score_all(self, values: list[str]) -> list[tuple[float, list[tuple[int, float]]]]:
+        """Score and neighbours (number, cosine) of each text."""
+        return [(self.calibrated(self.raw(number, cos)), list(zip(number.tolist(), cos.tolist())))
+                for number, cos in self.neighbours(values)]
+
+
+def _logit(p):
+    p = np.clip(p, 1e-6, 1 - 1e-6)
+    return np.log(p / (1 - p))
+
+
+def logistic(raw: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope (positive) and shift of the curve over logit(raw) that fits the
+    labels best. As the labels may be parted without fault, targets are drawn
+    in by one case of each label and the slope is held near 1 by a small penalty."""
+    if not len(raw) or label.min() == label.max():
+        return 1.0, 0.0
+    x = np.stack([_logit(raw), np.ones(len(raw))], 1)
+    n = np.array([(label == c).sum() for c in (0, 1)])
+    target = np.where(label == 1, (n[1] + 1) / (n[1] + 2), 1 / (n[0] + 2))
+    weight = weight / weight.mean()
+    beta, ridge = np.array([1.0, 0.0]), np.array([1.0, 1e-3])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-(x @ beta)))
+        slope = x.T @ (weight * (p - target)) + ridge * (beta - [1, 0])
+        curve = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(ridge)
+        step = np.linalg.solve(curve, slope)
+        beta = beta - step / max(1.0, np.abs(step).max())
+        if np.abs(step).max() < 1e-9:
+            break
+    return (float(beta[0]), float(beta[1])) if beta[0] > 0 else (1.0, 0.0)
+
 
 def examples(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
-    """doc_id, text, toxic of at most ``per_class`` documents of each label.
+    """doc_id, text, toxic, no of at most ``per_class`` documents of each label.
 
     A label counts if toxic is 0 or 1; of several labels of one id the larger
-    holds. Only ids are ranked, after a threshold on their hash that leaves
+    holds, of several texts of one id the smallest (null only if there is no
+    other). Only ids are ranked, after a threshold on their hash that leaves
     about twice as many as wanted; the chosen ones, 2 * per_class at most, are
-    broadcast to the documents.
+    broadcast to the documents. ``no`` is twice the rank plus the label.
     """
     known = (labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
              .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")))
     order = Window.partitionBy("toxic").orderBy("_h", "doc_id")
     chosen = (thinned(known, "toxic", F.xxhash64("doc_id"), per_class)
-              .withColumn("n", F.row_number().over(order))
-              .where(F.col("n") <= per_class).select("doc_id", "toxic"))
+              .withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_class)
+              .select("doc_id", "toxic",
+                      (F.col("n").cast("long") * 2 + F.col("toxic")).alias("no")))
     return (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-            .dropDuplicates(["doc_id"]))
+            .groupBy("doc_id", "toxic", "no").agg(F.min("text").alias("text")))
 
 
-def _document_frequency(sample: DataFrame) -> DataFrame:
-    """term, n0, n1: examples of each label that hold the term."""
+def postings(sample: DataFrame) -> DataFrame:
+    """no, toxic, h, tf: the distinct terms of each example."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
-
-        def out():
-            names = sorted(seen[0].keys() | seen[1].keys())
-            return pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.string()), *(pa.array([s[t] for t in names], pa.int64())
-                                                 for s in seen)], names=["term", "n0", "n1"])
-        for batch in chunks(batches, "text", SLICE):
-            for text, y in zip(texts(batch), batch.column("toxic").to_pylist()):
-                seen[y].update(set().union(*map(terms_of, set(words(text)))))
-            if len(seen[0]) + len(seen[1]) > CACHE:
-                yield out()
-                seen = (Counter(), Counter())
-        yield out()
-    return (sample.select("text", "toxic").mapInArrow(run, "term string, n0 long, n1 long")
-            .groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+        hashes = Hashes()
+        for batch in chunks(batches, "text", SLICE // 16):
+            for text, y, no in zip(texts(batch), batch.column("toxic").to_pylist(),
+                                   batch.column("no").to_pylist()):
+                count = Counter(words(text))
+                if not count:
+                    continue
+                found = [hashes.of(x) for x in count]
+                h, tf = _summed(np.concatenate(found), np.repeat(
+                    np.array(list(count.values())), [len(x) for x in found]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(h), no)), pa.array(np.full(len(h), y, np.int32)),
+                     pa.array(h), pa.array(tf)], names=["no", "toxic", "h", "tf"])
+    return sample.select("no", "toxic", "text").mapInArrow(
+        run, "no long, toxic int, h long, tf long")
+
+
+def _write_shard(folder: str):
+    """Writes the rows (no, h, tf, idf, own) of one shard; gives its name."""
+    def run(rows: pa.Table) -> pa.Table:
+        no, h, tf, idf, own = (rows.column(c).combine_chunks().to_numpy(zero_copy_only=False)
+                               for c in ("no", "h", "tf", "idf", "own"))
+        terms, first, at = np.unique(h, return_index=True, return_inverse=True)
+        w = (1 + np.log(tf)) * idf
+        # like examples share a block: by label, then by their heaviest terms
+        numbers, who = np.unique(no, return_inverse=True)
+        order = np.lexsort((at, -w, who))
+        cut = np.searchsorted(who[order], np.arange(len(numbers) + 1))
+        key = [(int(n) % 2, at[order[a:min(a + 3, b)]].tolist(), int(n))
+               for n, a, b in zip(numbers.tolist(), cut[:-1].tolist(), cut[1:].tolist())]
+        place = np.empty(len(numbers), np.int64)
+        place[sorted(range(len(numbers)), key=key.__getitem__)] = np.arange(len(numbers))
+        order = np.lexsort((at, place[who]))
+        who, at, w = place[who][order], at[order], w[order]
+        cut = np.searchsorted(who, np.arange(len(numbers) + 1))
+        w = (w / np.sqrt(np.add.reduceat(w * w, cut[:-1]))[who]).astype(np.float32)
+        at = at.astype(np.int32)
+        index = BlockMaxIndex([(at[a:b], w[a:b]) for a, b in zip(cut[:-1].tolist(),
+                                                                cut[1:].tolist())], len(terms))
+        ordered = np.empty_like(numbers)
+        ordered[place] = numbers
+        data = io.BytesIO()
+        np.savez(data, terms=terms, idf=idf[first], own=own[first], number=ordered,
+                 **index.arrays())
+        # attempts write under their own names; the committed one's is reported
+        name = f"shard-{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex[:12]}.npz"
+        files, place_ = open_folder(folder, create=True)
+        with files.open_output_stream(f"{place_}/{name}") as f:
+            f.write(data.getbuffer())
+        return pa.table({"shard": rows.column("shard")[:1], "name": pa.array([name])})
+    return run
+
+
+def _idf(size0: int, size1: int):
+    """Weight of a term that n0 and n1 examples of the labels hold."""
+    n, df = size0 + size1, F.col("n0") + F.col("n1")
+    idf = F.log(F.lit(1.0 + n) / (1 + df)) + 1
+    phi = (F.abs(F.col("n1") * (size0 - F.col("n0")) - F.col("n0") * (size1 - F.col("n1")))
+           / F.sqrt(F.lit(float(max(size0 * size1, 1))) * df * F.greatest(n - df, F.lit(1))))
+    return idf * (phi + 1 / max(n, 1))
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
-    """Model from the labelled documents. Null texts are empty examples."""
+    """Model from the labelled documents. Null texts are empty examples, which
+    have no vote."""
     sample = saved(examples(docs, labels, per_class), "toxic_examples")
+    spark = sample.sparkSession
+    listed = saved(postings(sample), "toxic_postings")
     size = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     population = {r.toxic: r["n"] for r in
-                  labels.where(F.col("toxic").isin(0, 1)).groupBy(F.col("toxic").cast("int")
-                                                                  .alias("toxic"))
-                  .agg(F.count(F.lit(1)).alias("n")).collect()}
+                  labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
+                  .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+                  .groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = size.get(0, 0), size.get(1, 0)
     n = n0 + n1
-    found = _document_frequency(sample).collect()  # terms of 2 * per_class examples at most
-    in0, in1 = (np.array([r[c] for r in found], np.float64) for c in ("n0", "n1"))
-    df = in0 + in1
-    phi = (np.abs(in1 * (n0 - in0) - in0 * (n1 - in1))
-           / np.sqrt(max(n0 * n1, 1) * df * np.maximum(n - df, 1)))
-    weight = (np.log((1 + n) / (1 + df)) + 1) * (phi + 1 / max(n, 1))
-    names = [r.term for r in found]
-    order = sorted(range(len(names)), key=lambda i: (-weight[i], names[i]))
-    space = Space([names[i] for i in order], weight[order])
-    del found, names
-
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space = shared.value
+    weight = np.array([population.get(c, 0) / max(size.get(c, 0), 1) for c in (0, 1)])
+    # one number for each of the 2 * per_class examples at most
+    long = sorted((r.no, r["count"]) for r in listed.groupBy("no").count().collect())
+    shard, full, held = [], 0, 0
+    for no, count in long:
+        if held and held + count > SHARD:
+            full, held = full + 1, 0
+        held += count
+        shard.append((no, full))
+    where = spark.createDataFrame(shard, "no long, shard int")
+    placed = listed.join(F.broadcast(where), "no")
+    terms = (placed.groupBy("h").agg(F.sum(1 - F.col("toxic")).alias("n0"),
+                                     F.sum("toxic").alias("n1"), F.min("shard").alias("home"))
+             .select("h", "home", _idf(n0, n1).alias("idf")))
+    folder = scratch_path(spark, "toxic_index")
+    names = (placed.join(terms, "h").withColumn("own", F.col("home") == F.col("shard"))
+             .select("shard", "no", "h", "tf", "idf", "own")
+             .groupBy("shard").applyInArrow(_write_shard(folder), "shard int, name string"))
+    names = [r.name for r in sorted(saved(names, "toxic_shards").collect())]
+    prior = float((weight[1] * n1 + 0.1) / ((weight * [n0, n1]).sum() + 1.0))
+    ids = {r.no: str(r.doc_id) for r in sample.select("no", "doc_id").collect()}
+    model = Model(folder, names, ids, weight, prior)
+    model.curve = _curve(sample, model)
+    return model
+
+
+def _curve(sample: DataFrame, model: Model) -> tuple[float, float]:
+    """Calibration: every example is scored without its own vote, in tasks."""
+    shared = sample.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for batch in chunks(batches, "text", SLICE):
-            found = [space.vector(t) for t in texts(batch)]
+            near = model.neighbours(texts(batch), batch.column("no").to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.string()), batch.column("toxic"),
-                 pa.array([v[0].astype("<i4").tobytes() for v in found], pa.binary()),
-                 pa.array([v[1].astype("<f4").tobytes() for v in found], pa.binary())],
-                names=["id", "toxic", "at", "w"])
-    shared = sample.sparkSession.sparkContext.broadcast(space)
-    rows = (sample.mapInArrow(weigh, "id string, toxic int, at binary, w binary")
-            .collect())  # 2 * per_class rows, 8 bytes a term
-    rows.sort(key=lambda r: (r.toxic, np.frombuffer(r["at"], "<i4", min(3, len(r["at"]) // 4))
-                             .tolist(), r.id))  # like examples share a block
-    return Model(space, [(np.frombuffer(r["at"], "<i4"), np.frombuffer(r.w, "<f4")) for r in rows],
-                 np.array([r.toxic for r in rows], np.int64), [r.id for r in rows], population)
+                [batch.column("no"), pa.array([model.raw(*x) for x in near], pa.float64())],
+                names=["no", "raw"])
+    rows = sorted(sample.select("no", "text").repartition(
+        sample.sparkSession.sparkContext.defaultParallelism)
+        .mapInArrow(run, "no long, raw double").collect())  # 2 * per_class numbers at most
+    label = np.array([r.no % 2 for r in rows], np.int64)
+    return logistic(np.array([r.raw for r in rows]), label, model.weight[label])
 
 
 def score(docs: DataFrame, model: Model,
@@ -332,8 +534,9 @@ def score(docs: DataFrame, model: Model,
                 [*(batch.column(c) for c in names),
                  pa.array([s for s, _ in found], pa.float64()),
                  pa.array([int(s >= 0.5) for s, _ in found], pa.int32()),
-                 pa.array([[dict(zip(("doc_id", "label", "cosine"), e)) for e in ev]
-                           for _, ev in found], kind)], names=[*names, *into])
+                 pa.array([[{"doc_id": model.ids[no], "label": no % 2, "cosine": cos}
+                            for no, cos in ev] for _, ev in found], kind)],
+                names=[*names, *into])
     own = docs.select(*names)
     schema = ", ".join(f"`{c}` {t}" for c, t in own.dtypes)
     return own.mapInArrow(run, f"{schema}, `{into[0]}` double, `{into[1]}` int, `{into[2]}` "

@@ -1,4 +1,7 @@
 """Exactness of the block-max search; accuracy on held-out labels; odd rows."""
+import math
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -46,7 +49,7 @@ def test_odd_rows_and_clashing_columns(spark, docs_of, odd_rows):
     assert {r.score for r in got if not r.text} == {model.score("")[0]}
     assert got[0].class_id == -1  # other columns stay
     s, evidence = model.score("You idiot, you worthless clown and moron")
-    assert s > 0.5 and evidence and all(label in (0, 1) and c > 0 for _, label, c in evidence)
+    assert s > 0.5 and evidence and all(no in model.ids and c > 0 for no, c in evidence)
 
 
 def test_nothing_labelled(spark, docs_of, odd_rows):
@@ -62,10 +65,9 @@ def test_few_examples_span_the_space(spark, docs_of):
                                                              for i in range(3, 12)]
     labels = spark.createDataFrame([(i, int(i < 3)) for i, _ in rows], "doc_id long, toxic int")
     model = toxicity.fit(docs_of(rows), labels)
-    assert {"<idiot>", "<calm>", "<number7>"} <= set(model.space.terms)
     score, evidence = model.score("what an idiot")
-    assert score > 0.5 and {e[0] for e in evidence} == {"0", "1", "2"}
-    assert [e[0] for e in model.score("number7")[1]][0] == "7"
+    assert score > 0.5 and {model.ids[no] for no, _ in evidence} == {"0", "1", "2"}
+    assert model.ids[model.score("number7")[1][0][0]] == "7"
 
 
 def test_small_table_has_neighbours(spark):
@@ -77,4 +79,81 @@ def test_small_table_has_neighbours(spark):
     assert toxic
     for (score, evidence), r in zip(model.score_all([r.text for r in toxic]), toxic):
         if (r.text or "").strip():
-            assert any(label == 1 and cos > 1 - 1e-5 for _, label, cos in evidence)
+            assert any(no % 2 == 1 and cos > 1 - 1e-5 for no, cos in evidence)
+
+
+def brute_force(rows, sample, population):
+    """Raw scores of texts by the definition: all cosines in plain Python."""
+    def tf(text):
+        count = Counter()
+        for word, n in Counter(toxicity.words(text or "")).items():
+            count.update(dict.fromkeys(toxicity.terms_of(word), n))
+        return count
+    held = [(tf(text), y, no) for text, y, no in sample]
+    size = Counter(y for _, y, _ in held)
+    n, seen = len(held), {0: Counter(), 1: Counter()}
+    for count, y, _ in held:
+        seen[y].update(count.keys())
+    idf = {}
+    for t in seen[0].keys() | seen[1].keys():
+        a, b = seen[0][t], seen[1][t]
+        phi = abs(b * (size[0] - a) - a * (size[1] - b)) / math.sqrt(
+            max(size[0] * size[1], 1) * (a + b) * max(n - a - b, 1))
+        idf[t] = (math.log((1 + n) / (1 + a + b)) + 1) * (phi + 1 / n)
+
+    def unit(count):
+        w = {t: (1 + math.log(c)) * idf[t] for t, c in count.items() if t in idf}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        return {t: x / norm for t, x in w.items()}
+    vectors = [(unit(count), y, no) for count, y, no in held]
+    weight = [population[c] / max(size[c], 1) for c in (0, 1)]
+    total = weight[0] * size[0] + weight[1] * size[1]
+    prior = (weight[1] * size[1] + 0.1) / (total + 1)
+    out = []
+    for text in rows:
+        q = unit(tf(text))
+        cos = sorted(((-sum(x * v.get(t, 0) for t, x in q.items()), no, y)
+                      for v, y, no in vectors))[:toxicity.K]
+        votes = [(-c * weight[y], y) for c, _, y in cos if c < 0]
+        out.append((sum(v * y for v, y in votes) + toxicity.PRIOR_WEIGHT * prior)
+                   / (sum(v for v, _ in votes) + toxicity.PRIOR_WEIGHT))
+    return out
+
+
+def test_whole_score_is_that_of_brute_force(spark, monkeypatch):
+    """Terms, weights, search over several shards, votes and prior; then the
+    curve, which keeps the order of the raw scores."""
+    monkeypatch.setattr(toxicity, "SHARD", 20_000)
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    known = table(spark, "/root/testdata/sf0.001", "labels").where(fold(F.col("doc_id"), 5) != 0)
+    model = toxicity.fit(docs, known)
+    assert len(model.shards) > 1
+    sample = [(r.text, r.toxic, r.no) for r in toxicity.examples(docs, known).collect()]
+    rows = [r.text for r in docs.orderBy("doc_id").limit(40).collect()] + ["", "zzz qqq", None]
+    want = brute_force(rows, sample, Counter(y for _, y, _ in sample))
+    got = [model.raw(*x) for x in model.neighbours([t or "" for t in rows])]
+    assert np.allclose(got, want, atol=1e-5)
+    scores = [s for s, _ in model.score_all([t or "" for t in rows])]
+    slope, shift = model.curve
+    assert slope > 0
+    assert np.allclose(scores, [1 / (1 + math.exp(-(slope * math.log(p / (1 - p)) + shift)))
+                                for p in got])
+
+
+def test_curve_corrects_raw_scores():
+    rng = np.random.default_rng(2)
+    raw = rng.random(4000)
+    true = 1 / (1 + np.exp(-(2 * np.log(raw / (1 - raw)) - 1)))
+    slope, shift = toxicity.logistic(raw, (rng.random(4000) < true).astype(int), np.ones(4000))
+    assert abs(slope - 2) < 0.2 and abs(shift + 1) < 0.2
+    assert toxicity.logistic(raw, np.zeros(4000, int), np.ones(4000)) == (1.0, 0.0)
+
+
+def test_repeated_labelled_ids(spark, docs_of):
+    """The smallest text of an id counts, and an id once, however often it is labelled."""
+    rows = [(1, "b b"), (1, "a a"), (1, None), (2, None), (2, None)]
+    labels = spark.createDataFrame([(1, 0), (1, 1), (1, 1), (2, 0), (None, 1), (9, 1)],
+                                   "doc_id long, toxic int")
+    got = toxicity.examples(docs_of(rows), labels).collect()
+    assert sorted((r.doc_id, r.text, r.toxic) for r in got) == [(1, "a a", 1), (2, None, 0)]
+    assert {r.no % 2 == r.toxic for r in got} == {True}
