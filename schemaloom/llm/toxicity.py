@@ -43,14 +43,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import chunks, open_folder, saved, texts, thinned
+from .common import chunks, mix, open_folder, saved, texts, thinned
 
 PER_CLASS = 4000
 GRAMS = (4, 5)
 BLOCK = 64
 K = 15
 PRIOR_WEIGHT = 0.2
-SHARD = 4_000_000  # postings
+SHARD = 8_000_000  # postings
 HELD = 3  # shards at most that a worker keeps in memory
 KNOWN = 100_000  # words whose terms a worker remembers
 DENSE = 4096  # terms at most that are rows of the matrix
@@ -58,6 +58,7 @@ COMMON = 16  # they are in 1 example in so many
 TEXTS_AT_ONCE = 128
 SLICE = 4 << 20
 
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 _WORD = regex.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -65,26 +66,32 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def terms_of(word: str) -> set[str]:
-    """The word (in marks) and its 4- and 5-grams."""
-    marked = f"<{word}>"
-    return {marked} | {marked[i:i + n] for n in GRAMS for i in range(len(marked) - n + 1)}
-
-
-class Hashes:
-    """64-bit hashes of the terms of words, remembered."""
-
-    def __init__(self):
-        self.known: dict[str, np.ndarray] = {}
-
-    def of(self, word: str) -> np.ndarray:
-        if (found := self.known.get(word)) is None:
-            if len(self.known) > KNOWN:
-                self.known.clear()
-            found = self.known[word] = np.array(
-                [xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"))
-                 for t in terms_of(word)], np.uint64).view(np.int64)
-        return found
+def term_hashes(some: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the distinct terms of each word, word after word, and
+    their number for each: the word in marks < and >, and its 4- and 5-grams
+    (a marked word of that length is its own gram)."""
+    marked = [f"<{x}>" for x in some]
+    code = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"),
+                         np.uint32).astype(np.uint64) + np.uint64(1)
+    size = np.array([len(x) for x in marked], np.int64)
+    word = np.repeat(np.arange(len(some)), size)
+    other = np.flatnonzero(~np.isin(size, GRAMS))
+    hashes = [np.array([xxhash.xxh64_intdigest(marked[i].encode("utf-8", "surrogatepass"))
+                        for i in other.tolist()], np.uint64)]
+    owner = [other]
+    for n in GRAMS:
+        m = max(len(code) - n + 1, 0)
+        total = np.full(m, np.uint64(n))
+        for j in range(n):
+            total = total * _STEP + code[j:j + m]
+        at = np.flatnonzero(word[:m] == word[n - 1:][:m])
+        hashes.append(mix(total[at]))
+        owner.append(word[at])
+    h, word = np.concatenate(hashes).view(np.int64), np.concatenate(owner)
+    order = np.lexsort((h, word))
+    h, word = h[order], word[order]
+    first = np.append(True, (h[1:] != h[:-1]) | (word[1:] != word[:-1]))[:len(h)]
+    return h[first], np.bincount(word[first], minlength=len(some))
 
 
 def _summed(at: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -251,25 +258,38 @@ class Shard:
             data.pop(k) for k in ("terms", "idf", "own", "number"))
         self.index = BlockMaxIndex.of(data)
         self.known: dict[str, np.ndarray] = {}
+        self.tf = np.zeros(len(self.terms))
+        self.last = np.zeros(len(self.terms), np.int64)
 
-    def vector(self, count: Counter, hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
-        """Terms of the shard (ascending) and their TF-IDF, not scaled."""
+    def learn(self, counts: list[Counter]) -> None:
+        """Finds the terms of the words that are not remembered."""
         if len(self.known) > KNOWN:
             self.known = {}
-        new = [x for x in count if x not in self.known]
-        if new:
-            found = [hashes.of(x) for x in new]
-            every = np.concatenate(found)
-            at = np.minimum(np.searchsorted(self.terms, every), max(len(self.terms) - 1, 0))
-            ok = self.terms[at] == every if len(self.terms) else np.zeros(len(every), bool)
-            end = np.cumsum([len(x) for x in found]).tolist()
-            for x, a, b in zip(new, [0, *end[:-1]], end):
-                self.known[x] = at[a:b][ok[a:b]].astype(np.int32)
+        new = [x for x in dict.fromkeys(x for c in counts for x in c) if x not in self.known]
+        if not new:
+            return
+        every, n = term_hashes(new)
+        at = np.minimum(np.searchsorted(self.terms, every), max(len(self.terms) - 1, 0))
+        ok = self.terms[at] == every if len(self.terms) else np.zeros(len(every), bool)
+        end = np.cumsum(n)
+        left = np.concatenate([[0], np.cumsum(ok)])[end].tolist()
+        found = at[ok].astype(np.int32)
+        for x, a, b in zip(new, [0, *left[:-1]], left):
+            self.known[x] = found[a:b]
+
+    def vector(self, count: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct terms of the shard and their TF-IDF, not scaled. The words
+        must be learnt."""
         if not count:
             return np.zeros(0, np.int32), np.zeros(0)
         own = [self.known[x] for x in count]
-        at, tf = _summed(np.concatenate(own),
-                         np.repeat(np.array(list(count.values())), [len(x) for x in own]))
+        at = np.concatenate(own)
+        self.tf[at] = 0
+        np.add.at(self.tf, at, np.repeat(np.array(list(count.values()), np.float64),
+                                         [len(x) for x in own]))
+        self.last[at] = np.arange(len(at))
+        at = at[self.last[at] == np.arange(len(at))]
+        tf = self.tf[at]
         return at, (1 + np.log(tf)) * self.idf[at]
 
 
@@ -282,10 +302,9 @@ class Model:
         self.folder, self.shards, self.ids = folder, shards, ids
         self.weight, self.prior, self.curve = weight, prior, curve
         self.held: dict[str, Shard] = {}
-        self.hashes = Hashes()
 
     def __getstate__(self):
-        return self.__dict__ | {"held": {}, "hashes": Hashes()}
+        return self.__dict__ | {"held": {}}
 
     def _shard(self, name: str) -> Shard:
         if (found := self.held.get(name)) is None:
@@ -308,7 +327,8 @@ class Model:
             shard = self._shard(name)
             for at in range(0, len(values), TEXTS_AT_ONCE):
                 some = range(at, min(at + TEXTS_AT_ONCE, len(values)))
-                queries = [shard.vector(counts[i], self.hashes) for i in some]
+                shard.learn(counts[some.start:some.stop])
+                queries = [shard.vector(counts[i]) for i in some]
                 for i, (terms, w), (near, product) in zip(
                         some, queries, shard.index.search_all(queries, more)):
                     own = w[shard.own[terms]]
@@ -339,9 +359,12 @@ class Model:
         return self.score_all([text])[0]
 
     def score_all(self, values: list[str]) -> list[tuple[float, list[tuple[int, float]]]]:
-        """Score and neighbours (number, cosine) of each text."""
-        return [(self.calibrated(self.raw(number, cos)), list(zip(number.tolist(), cos.tolist())))
-                for number, cos in self.neighbours(values)]
+        """Score and neighbours (number, cosine) of each text; equal texts are
+        scored once."""
+        place = {t: i for i, t in enumerate(dict.fromkeys(values))}
+        found = [(self.calibrated(self.raw(number, cos)), list(zip(number.tolist(), cos.tolist())))
+                 for number, cos in self.neighbours(list(place))]
+        return [found[place[t]] for t in values]
 
 
 def _logit(p):
@@ -394,16 +417,14 @@ def examples(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
 def postings(sample: DataFrame) -> DataFrame:
     """no, toxic, h, tf: the distinct terms of each example."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
         for batch in chunks(batches, "text", SLICE // 16):
             for text, y, no in zip(texts(batch), batch.column("toxic").to_pylist(),
                                    batch.column("no").to_pylist()):
                 count = Counter(words(text))
                 if not count:
                     continue
-                found = [hashes.of(x) for x in count]
-                h, tf = _summed(np.concatenate(found), np.repeat(
-                    np.array(list(count.values())), [len(x) for x in found]))
+                h, n = term_hashes(list(count))
+                h, tf = _summed(h, np.repeat(np.array(list(count.values())), n))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(h), no)), pa.array(np.full(len(h), y, np.int32)),
                      pa.array(h), pa.array(tf)], names=["no", "toxic", "h", "tf"])

@@ -82,12 +82,30 @@ def test_small_table_has_neighbours(spark):
             assert any(no % 2 == 1 and cos > 1 - 1e-5 for no, cos in evidence)
 
 
+def terms_of(word):
+    marked = f"<{word}>"
+    return {marked} | {marked[i:i + n] for n in (4, 5) for i in range(len(marked) - n + 1)}
+
+
+def test_term_hashes_tell_terms_apart():
+    words = ["a", "ab", "abc", "abcd", "idiot", "tick" * 50, "Ärger", "ab", "bc", "x" * 3000]
+    h, n = toxicity.term_hashes(words)
+    want = [terms_of(w) for w in words]
+    assert n.tolist() == [len(x) for x in want]
+    own = np.split(h, np.cumsum(n)[:-1])
+    assert len({x for a in own for x in a.tolist()}) == len(set().union(*want))
+    for a, x in zip(own, want):
+        for b, y in zip(own, want):
+            assert len(np.intersect1d(a, b)) == len(x & y)
+    assert [len(x) for x in toxicity.term_hashes([])] == [0, 0]
+
+
 def brute_force(rows, sample, population):
     """Raw scores of texts by the definition: all cosines in plain Python."""
     def tf(text):
         count = Counter()
         for word, n in Counter(toxicity.words(text or "")).items():
-            count.update(dict.fromkeys(toxicity.terms_of(word), n))
+            count.update(dict.fromkeys(terms_of(word), n))
         return count
     held = [(tf(text), y, no) for text, y, no in sample]
     size = Counter(y for _, y, _ in held)
