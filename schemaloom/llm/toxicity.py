@@ -11,9 +11,10 @@ number of examples, so it does not grow with the sample) plus 1 / examples.
 Plain idf finds too few of the toxic documents (README).
 
 Nothing of that passes through the driver but counts, one number an example and
-paths: tasks list the terms, a join weighs them, and the index is cut in shards
+paths: tasks list the terms, a grouping weighs them, and the index is cut in shards
 of whole examples with at most SHARD postings (a longer example is a shard by
-itself), each written by one task to the shared folder. Scoring tasks map one
+itself), each written by one task to the shared folder; the weights, 16 bytes a
+distinct term, are a file beside them. Scoring tasks map one
 shard after the other over a slice of texts and merge the K best of each.
 
 A shard is an inverted index in blocks of BLOCK examples, with the largest weight
@@ -50,8 +51,8 @@ GRAMS = (4, 5)
 BLOCK = 64
 K = 15
 PRIOR_WEIGHT = 0.2
-SHARD = 8_000_000  # postings
-HELD = 3  # shards at most that a worker keeps in memory
+SHARD = 2_000_000  # postings
+HELD = 10  # shards at most that a worker keeps in memory
 KNOWN = 100_000  # words whose terms a worker remembers
 DENSE = 4096  # terms at most that are rows of the matrix
 COMMON = 16  # they are in 1 example in so many
@@ -179,8 +180,9 @@ class BlockMaxIndex:
         return self.search_all([(at, w)], k)[0]
 
     def search_all(self, queries: list[tuple[np.ndarray, np.ndarray]],
-                   k: int = K) -> list[tuple[np.ndarray, np.ndarray]]:
-        """``search`` of each query."""
+                   k: int = K, floor: np.ndarray | None = None
+                   ) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``search`` of each query; products below its ``floor`` may be left out."""
         if not self.m:
             return [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
         left = np.zeros((len(queries), len(self.high)), np.float32)
@@ -199,11 +201,13 @@ class BlockMaxIndex:
         first = min(self.blocks, -(-k // self.block) + 1)
         chosen = np.zeros(bound.shape, bool)
         np.put_along_axis(chosen, np.argpartition(-bound, first - 1, axis=1)[:, :first], True, 1)
+        floor = np.zeros(len(queries)) if floor is None else floor * (1 - self.slack)
+        chosen &= bound * (1 + self.slack) >= floor[:, None]
         self._read(chosen, left, lists, score)
-        least = self._least(score, k)
+        least = np.maximum(self._least(score, k), floor)
         live = ~chosen & (bound * (1 + self.slack) >= least[:, None])
         self._read(live, left, lists, score)
-        least = self._least(score, k)
+        least = np.maximum(self._least(score, k), floor)
         return [self._best(at, w, row, low, k) for (at, w), row, low
                 in zip(queries, score.reshape(len(queries), -1)[:, :self.m], least.tolist())]
 
@@ -249,14 +253,11 @@ def _ranked(value: np.ndarray, number: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((number, -np.round(value, 12)))[:k]
 
 
-class Shard:
-    """Some examples with their index, and the weights of their terms."""
+class Space:
+    """The terms of the examples (hashes, ascending) and their weights; weighs texts."""
 
-    def __init__(self, data):
-        data = {k: data[k] for k in data.files}
-        self.terms, self.idf, self.own, self.number = (
-            data.pop(k) for k in ("terms", "idf", "own", "number"))
-        self.index = BlockMaxIndex.of(data)
+    def __init__(self, terms: np.ndarray, idf: np.ndarray):
+        self.terms, self.idf = terms, idf
         self.known: dict[str, np.ndarray] = {}
         self.tf = np.zeros(len(self.terms))
         self.last = np.zeros(len(self.terms), np.int64)
@@ -278,8 +279,8 @@ class Shard:
             self.known[x] = found[a:b]
 
     def vector(self, count: Counter) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct terms of the shard and their TF-IDF, not scaled. The words
-        must be learnt."""
+        """Numbers of the distinct known terms and their weights of unit length.
+        The words must be learnt."""
         if not count:
             return np.zeros(0, np.int32), np.zeros(0)
         own = [self.known[x] for x in count]
@@ -290,27 +291,47 @@ class Shard:
         self.last[at] = np.arange(len(at))
         at = at[self.last[at] == np.arange(len(at))]
         tf = self.tf[at]
-        return at, (1 + np.log(tf)) * self.idf[at]
+        w = (1 + np.log(tf)) * self.idf[at]
+        return at, w / (np.sqrt((w * w).sum()) or 1.0)
+
+
+def _read_arrays(folder: str, name: str) -> dict[str, np.ndarray]:
+    files, place = open_folder(folder)
+    with files.open_input_stream(f"{place}/{name}") as f:
+        data = np.load(io.BytesIO(f.read()))
+    return {k: data[k] for k in data.files}
+
+
+def _write_arrays(folder: str, arrays: dict[str, np.ndarray]) -> str:
+    """Name of the new file. Attempts write under their own names; what the
+    committed one reports is read."""
+    name = f"part-{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex[:12]}.npz"
+    files, place = open_folder(folder, create=True)
+    with files.open_output_stream(f"{place}/{name}") as f:
+        data = io.BytesIO()
+        np.savez(data, **arrays)
+        f.write(data.getbuffer())
+    return name
 
 
 class Model:
     """Where the shards lie, and what turns neighbours into a score. A small
     object: shards are read by the workers that score."""
 
-    def __init__(self, folder: str, shards: list[str], ids: dict[int, str], weight: np.ndarray,
-                 prior: float, curve: tuple[float, float] = (1.0, 0.0)):
-        self.folder, self.shards, self.ids = folder, shards, ids
-        self.weight, self.prior, self.curve = weight, prior, curve
-        self.held: dict[str, Shard] = {}
+    def __init__(self, folder: str, terms: str | None, shards: list[str], ids: dict[int, str],
+                 weight: np.ndarray, prior: float):
+        self.folder, self.terms, self.shards, self.ids = folder, terms, shards, ids
+        self.weight, self.prior, self.curve = weight, prior, (1.0, 0.0)
+        self.space: Space | None = None
+        self.held: dict[str, tuple[np.ndarray, BlockMaxIndex]] = {}
 
     def __getstate__(self):
-        return self.__dict__ | {"held": {}}
+        return self.__dict__ | {"space": None, "held": {}}
 
-    def _shard(self, name: str) -> Shard:
+    def _shard(self, name: str) -> tuple[np.ndarray, BlockMaxIndex]:
         if (found := self.held.get(name)) is None:
-            files, folder = open_folder(self.folder)
-            with files.open_input_stream(f"{folder}/{name}") as f:
-                found = Shard(np.load(io.BytesIO(f.read())))
+            data = _read_arrays(self.folder, name)
+            found = data.pop("number"), BlockMaxIndex.of(data)
             if len(self.held) < HELD:
                 self.held[name] = found
         return found
@@ -319,31 +340,29 @@ class Model:
                    k: int = K) -> list[tuple[np.ndarray, np.ndarray]]:
         """Example numbers (twice the place, plus the label) and cosines of the
         k nearest of each text; without the examples numbered in ``leave``."""
+        if not self.terms:  # no example has a term
+            return [(np.zeros(0, np.int64), np.zeros(0))] * len(values)
+        self.space = self.space or Space(**_read_arrays(self.folder, self.terms))
         counts = [Counter(words(t)) for t in values]
-        square = np.zeros(len(values))
-        found: list[list] = [[] for _ in values]
+        queries = []
+        for at in range(0, len(values), TEXTS_AT_ONCE):
+            self.space.learn(counts[at:at + TEXTS_AT_ONCE])
+            queries += [self.space.vector(c) for c in counts[at:at + TEXTS_AT_ONCE]]
         more = k + (leave is not None)
+        best = [(np.zeros(0, np.int64), np.zeros(0))] * len(values)
         for name in self.shards:
-            shard = self._shard(name)
+            numbers, index = self._shard(name)
             for at in range(0, len(values), TEXTS_AT_ONCE):
-                some = range(at, min(at + TEXTS_AT_ONCE, len(values)))
-                shard.learn(counts[some.start:some.stop])
-                queries = [shard.vector(counts[i]) for i in some]
-                for i, (terms, w), (near, product) in zip(
-                        some, queries, shard.index.search_all(queries, more)):
-                    own = w[shard.own[terms]]
-                    square[i] += (own * own).sum()
-                    found[i].append((shard.number[near], product))
-        out = []
-        for i, (parts, norm) in enumerate(zip(found, np.sqrt(square).tolist())):
-            number = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
-            cos = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0)
-            if leave is not None:
-                number, cos = number[number != leave[i]], cos[number != leave[i]]
-            cos = np.minimum(cos / (norm or 1.0), 1.0)
-            best = _ranked(cos, number, k)
-            out.append((number[best], cos[best]))
-        return out
+                own = slice(at, at + TEXTS_AT_ONCE)
+                floor = np.array([c[-1] if len(c) == more else 0.0 for _, c in best[own]])
+                for i, (near, cos) in enumerate(index.search_all(queries[own], more, floor), at):
+                    number = np.concatenate([best[i][0], numbers[near]])
+                    cos = np.concatenate([best[i][1], cos])
+                    first = _ranked(cos, number, more)
+                    best[i] = number[first], cos[first]
+        if leave is not None:
+            best = [(n[n != no][:k], c[n != no][:k]) for (n, c), no in zip(best, leave)]
+        return [(n, np.minimum(c, 1.0)) for n, c in best]
 
     def raw(self, number: np.ndarray, cos: np.ndarray) -> float:
         """Share of the toxic votes."""
@@ -432,38 +451,36 @@ def postings(sample: DataFrame) -> DataFrame:
         run, "no long, toxic int, h long, tf long")
 
 
-def _write_shard(folder: str):
-    """Writes the rows (no, h, tf, idf, own) of one shard; gives its name."""
+def _write_terms(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(b.column("h").to_numpy(), b.column("idf").to_numpy()) for b in batches]
+        h, idf = (np.concatenate([np.zeros(0, kind), *(r[i] for r in rows)])
+                  for i, kind in enumerate((np.int64, np.float64)))
+        order = np.argsort(h)
+        name = _write_arrays(folder, {"terms": h[order], "idf": idf[order]})
+        yield pa.RecordBatch.from_arrays([pa.array([name])], names=["name"])
+    return run
+
+
+def _write_shard(folder: str, terms: str):
+    """Writes the index of the rows (no, h, tf) of one shard; gives its name."""
     def run(rows: pa.Table) -> pa.Table:
-        no, h, tf, idf, own = (rows.column(c).combine_chunks().to_numpy(zero_copy_only=False)
-                               for c in ("no", "h", "tf", "idf", "own"))
-        terms, first, at = np.unique(h, return_index=True, return_inverse=True)
-        w = (1 + np.log(tf)) * idf
+        space = Space(**_read_arrays(folder, terms))
+        at = np.searchsorted(space.terms, rows.column("h").to_numpy()).astype(np.int32)
+        w = (1 + np.log(rows.column("tf").to_numpy())) * space.idf[at]
+        numbers, who = np.unique(rows.column("no").to_numpy(), return_inverse=True)
         # like examples share a block: by label, then by their heaviest terms
-        numbers, who = np.unique(no, return_inverse=True)
         order = np.lexsort((at, -w, who))
-        cut = np.searchsorted(who[order], np.arange(len(numbers) + 1))
+        cut = np.searchsorted(who[order], np.arange(len(numbers) + 1)).tolist()
         key = [(int(n) % 2, at[order[a:min(a + 3, b)]].tolist(), int(n))
-               for n, a, b in zip(numbers.tolist(), cut[:-1].tolist(), cut[1:].tolist())]
-        place = np.empty(len(numbers), np.int64)
-        place[sorted(range(len(numbers)), key=key.__getitem__)] = np.arange(len(numbers))
-        order = np.lexsort((at, place[who]))
-        who, at, w = place[who][order], at[order], w[order]
-        cut = np.searchsorted(who, np.arange(len(numbers) + 1))
-        w = (w / np.sqrt(np.add.reduceat(w * w, cut[:-1]))[who]).astype(np.float32)
-        at = at.astype(np.int32)
-        index = BlockMaxIndex([(at[a:b], w[a:b]) for a, b in zip(cut[:-1].tolist(),
-                                                                cut[1:].tolist())], len(terms))
-        ordered = np.empty_like(numbers)
-        ordered[place] = numbers
-        data = io.BytesIO()
-        np.savez(data, terms=terms, idf=idf[first], own=own[first], number=ordered,
-                 **index.arrays())
-        # attempts write under their own names; the committed one's is reported
-        name = f"shard-{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex[:12]}.npz"
-        files, place_ = open_folder(folder, create=True)
-        with files.open_output_stream(f"{place_}/{name}") as f:
-            f.write(data.getbuffer())
+               for n, a, b in zip(numbers.tolist(), cut[:-1], cut[1:])]
+        by_key = np.array(sorted(range(len(numbers)), key=key.__getitem__), np.int64)
+        order = np.lexsort((at, who))
+        at, w = at[order], w[order]
+        vectors = [(at[cut[i]:cut[i + 1]], w[cut[i]:cut[i + 1]]) for i in by_key.tolist()]
+        index = BlockMaxIndex([(a, (x / np.sqrt((x * x).sum())).astype(np.float32))
+                               for a, x in vectors], len(space.terms))
+        name = _write_arrays(folder, {"number": numbers[by_key], **index.arrays()})
         return pa.table({"shard": rows.column("shard")[:1], "name": pa.array([name])})
     return run
 
@@ -500,18 +517,21 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
         held += count
         shard.append((no, full))
     where = spark.createDataFrame(shard, "no long, shard int")
-    placed = listed.join(F.broadcast(where), "no")
-    terms = (placed.groupBy("h").agg(F.sum(1 - F.col("toxic")).alias("n0"),
-                                     F.sum("toxic").alias("n1"), F.min("shard").alias("home"))
-             .select("h", "home", _idf(n0, n1).alias("idf")))
     folder = scratch_path(spark, "toxic_index")
-    names = (placed.join(terms, "h").withColumn("own", F.col("home") == F.col("shard"))
-             .select("shard", "no", "h", "tf", "idf", "own")
-             .groupBy("shard").applyInArrow(_write_shard(folder), "shard int, name string"))
-    names = [r.name for r in sorted(saved(names, "toxic_shards").collect())]
+    weighed = (listed.groupBy("h").agg(F.sum(1 - F.col("toxic")).alias("n0"),
+                                       F.sum("toxic").alias("n1"))
+               .select("h", _idf(n0, n1).alias("idf")))
+    # 16 bytes a distinct term of the examples
+    written = saved(weighed.repartition(1).mapInArrow(_write_terms(folder), "name string"),
+                    "toxic_terms").collect()
+    terms = written[0].name if written else None
+    names = saved(listed.join(F.broadcast(where), "no").select("shard", "no", "h", "tf")
+                  .groupBy("shard").applyInArrow(_write_shard(folder, terms),
+                                                 "shard int, name string"), "toxic_shards")
+    names = [r.name for r in sorted(names.collect())]
     prior = float((weight[1] * n1 + 0.1) / ((weight * [n0, n1]).sum() + 1.0))
     ids = {r.no: str(r.doc_id) for r in sample.select("no", "doc_id").collect()}
-    model = Model(folder, names, ids, weight, prior)
+    model = Model(folder, terms, names, ids, weight, prior)
     model.curve = _curve(sample, model)
     return model
 
