@@ -11,11 +11,11 @@ number of examples, so it does not grow with the sample) plus 1 / examples.
 Plain idf finds too few of the toxic documents (README).
 
 Nothing of that passes through the driver but counts, one number an example and
-paths: tasks list the terms, a grouping weighs them, and the index is cut in shards
-of whole examples with at most SHARD postings (a longer example is a shard by
-itself), each written by one task to the shared folder; the weights, 16 bytes a
-distinct term, are a file beside them. Scoring tasks map one
-shard after the other over a slice of texts and merge the K best of each.
+paths: tasks count the terms, a grouping weighs them, and the examples are cut in
+shards with at most SHARD bytes of text (a longer example is a shard by itself),
+each written as vectors by one task to the shared folder; the weights, 16 bytes
+a distinct term, are a file beside them. Scoring tasks index the shards, search
+one after the other for a slice of texts and merge the K best.
 
 A shard is an inverted index in blocks of BLOCK examples, with the largest weight
 of every term in every block. The postings of terms that 1 example in COMMON
@@ -51,7 +51,7 @@ GRAMS = (4, 5)
 BLOCK = 64
 K = 15
 PRIOR_WEIGHT = 0.2
-SHARD = 2_000_000  # postings
+SHARD = 3 << 20  # bytes of text
 HELD = 10  # shards at most that a worker keeps in memory
 KNOWN = 100_000  # words whose terms a worker remembers
 DENSE = 4096  # terms at most that are rows of the matrix
@@ -159,21 +159,8 @@ class BlockMaxIndex:
         self.part = part[cell]
         self.top = np.maximum.reduceat(self.weight, cell) if len(cell) else self.weight
         self.cells = np.searchsorted(term[cell], np.arange(n_terms + 1))  # cells of each term
-        self.n_terms = n_terms
         self.query = np.zeros(n_terms)
 
-    def arrays(self) -> dict[str, np.ndarray]:
-        return {k: np.asarray(v) for k, v in self.__dict__.items() if k != "query"}
-
-    @classmethod
-    def of(cls, arrays) -> BlockMaxIndex:
-        """The index that ``arrays`` gave, without building it again."""
-        index = cls.__new__(cls)
-        for k, v in arrays.items():
-            index.__dict__[k] = v if v.ndim else v.item()
-        index.query = np.zeros(index.n_terms)
-        return index
-
     def search(self, at: np.ndarray, w: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
         """Examples and products of the k largest positive products, ties to
         the smaller number."""
@@ -331,7 +318,9 @@ class Model:
     def _shard(self, name: str) -> tuple[np.ndarray, BlockMaxIndex]:
         if (found := self.held.get(name)) is None:
             data = _read_arrays(self.folder, name)
-            found = data.pop("number"), BlockMaxIndex.of(data)
+            at, w, cut = data["at"], data["w"], data["cut"].tolist()
+            found = data["number"], BlockMaxIndex(
+                [(at[a:b], w[a:b]) for a, b in zip(cut[:-1], cut[1:])], len(self.space.terms))
             if len(self.held) < HELD:
                 self.held[name] = found
         return found
@@ -433,22 +422,26 @@ def examples(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
             .groupBy("doc_id", "toxic", "no").agg(F.min("text").alias("text")))
 
 
-def postings(sample: DataFrame) -> DataFrame:
-    """no, toxic, h, tf: the distinct terms of each example."""
+def _vector_of(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct terms, ascending, and how often they occur."""
+    count = Counter(words(text))
+    h, n = term_hashes(list(count))
+    return _summed(h, np.repeat(np.fromiter(count.values(), np.int64, len(count)), n))
+
+
+def document_frequency(sample: DataFrame) -> DataFrame:
+    """h, n0, n1: examples of each label that hold the term; added up for
+    a slice of texts before the shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text", SLICE // 16):
-            for text, y, no in zip(texts(batch), batch.column("toxic").to_pylist(),
-                                   batch.column("no").to_pylist()):
-                count = Counter(words(text))
-                if not count:
-                    continue
-                h, n = term_hashes(list(count))
-                h, tf = _summed(h, np.repeat(np.array(list(count.values())), n))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(h), no)), pa.array(np.full(len(h), y, np.int32)),
-                     pa.array(h), pa.array(tf)], names=["no", "toxic", "h", "tf"])
-    return sample.select("no", "toxic", "text").mapInArrow(
-        run, "no long, toxic int, h long, tf long")
+        for batch in chunks(batches, "text", SLICE):
+            found = [_vector_of(t)[0] for t in texts(batch)]
+            y = np.repeat(batch.column("toxic").to_numpy(), [len(x) for x in found])
+            h, at = np.unique(np.concatenate(found), return_inverse=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h), *(pa.array(np.bincount(at[y == c], minlength=len(h)))
+                                for c in (0, 1))], names=["h", "n0", "n1"])
+    return (sample.select("toxic", "text").mapInArrow(run, "h long, n0 long, n1 long")
+            .groupBy("h").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
 
 
 def _write_terms(folder: str):
@@ -463,24 +456,22 @@ def _write_terms(folder: str):
 
 
 def _write_shard(folder: str, terms: str):
-    """Writes the index of the rows (no, h, tf) of one shard; gives its name."""
+    """Writes the vectors of the examples (no, text) of one shard; gives its name."""
     def run(rows: pa.Table) -> pa.Table:
-        space = Space(**_read_arrays(folder, terms))
-        at = np.searchsorted(space.terms, rows.column("h").to_numpy()).astype(np.int32)
-        w = (1 + np.log(rows.column("tf").to_numpy())) * space.idf[at]
-        numbers, who = np.unique(rows.column("no").to_numpy(), return_inverse=True)
-        # like examples share a block: by label, then by their heaviest terms
-        order = np.lexsort((at, -w, who))
-        cut = np.searchsorted(who[order], np.arange(len(numbers) + 1)).tolist()
-        key = [(int(n) % 2, at[order[a:min(a + 3, b)]].tolist(), int(n))
-               for n, a, b in zip(numbers.tolist(), cut[:-1], cut[1:])]
-        by_key = np.array(sorted(range(len(numbers)), key=key.__getitem__), np.int64)
-        order = np.lexsort((at, who))
-        at, w = at[order], w[order]
-        vectors = [(at[cut[i]:cut[i + 1]], w[cut[i]:cut[i + 1]]) for i in by_key.tolist()]
-        index = BlockMaxIndex([(a, (x / np.sqrt((x * x).sum())).astype(np.float32))
-                               for a, x in vectors], len(space.terms))
-        name = _write_arrays(folder, {"number": numbers[by_key], **index.arrays()})
+        space, found = Space(**_read_arrays(folder, terms)), []
+        for no, text in zip(rows.column("no").to_pylist(), rows.column("text").to_pylist()):
+            h, tf = _vector_of(text or "")
+            at = np.searchsorted(space.terms, h).astype(np.int32)
+            w = (1 + np.log(tf)) * space.idf[at]
+            w = (w / (np.sqrt((w * w).sum()) or 1.0)).astype(np.float32)
+            # like examples share a block: by label, then by their heaviest terms
+            found.append(((no % 2, at[np.lexsort((at, -w))[:3]].tolist(), no), at, w))
+        found.sort(key=lambda x: x[0])
+        name = _write_arrays(folder, {
+            "number": np.array([x[0][2] for x in found], np.int64),
+            "cut": np.cumsum([0, *(len(x[1]) for x in found)]),
+            "at": np.concatenate([x[1] for x in found]),
+            "w": np.concatenate([x[2] for x in found])})
         return pa.table({"shard": rows.column("shard")[:1], "name": pa.array([name])})
     return run
 
@@ -499,36 +490,34 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     have no vote."""
     sample = saved(examples(docs, labels, per_class), "toxic_examples")
     spark = sample.sparkSession
-    listed = saved(postings(sample), "toxic_postings")
     size = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     population = {r.toxic: r["n"] for r in
                   labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
                   .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
                   .groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = size.get(0, 0), size.get(1, 0)
-    n = n0 + n1
     weight = np.array([population.get(c, 0) / max(size.get(c, 0), 1) for c in (0, 1)])
     # one number for each of the 2 * per_class examples at most
-    long = sorted((r.no, r["count"]) for r in listed.groupBy("no").count().collect())
+    size_of = F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")
     shard, full, held = [], 0, 0
-    for no, count in long:
+    for no, count in sorted(sample.select("no", size_of).collect()):
         if held and held + count > SHARD:
             full, held = full + 1, 0
         held += count
         shard.append((no, full))
     where = spark.createDataFrame(shard, "no long, shard int")
     folder = scratch_path(spark, "toxic_index")
-    weighed = (listed.groupBy("h").agg(F.sum(1 - F.col("toxic")).alias("n0"),
-                                       F.sum("toxic").alias("n1"))
-               .select("h", _idf(n0, n1).alias("idf")))
+    weighed = document_frequency(sample).select("h", _idf(n0, n1).alias("idf"))
     # 16 bytes a distinct term of the examples
     written = saved(weighed.repartition(1).mapInArrow(_write_terms(folder), "name string"),
                     "toxic_terms").collect()
     terms = written[0].name if written else None
-    names = saved(listed.join(F.broadcast(where), "no").select("shard", "no", "h", "tf")
-                  .groupBy("shard").applyInArrow(_write_shard(folder, terms),
-                                                 "shard int, name string"), "toxic_shards")
-    names = [r.name for r in sorted(names.collect())]
+    names = []
+    if terms:
+        names = saved(sample.join(F.broadcast(where), "no").select("shard", "no", "text")
+                      .groupBy("shard").applyInArrow(_write_shard(folder, terms),
+                                                     "shard int, name string"), "toxic_shards")
+        names = [r.name for r in sorted(names.collect())]
     prior = float((weight[1] * n1 + 0.1) / ((weight * [n0, n1]).sum() + 1.0))
     ids = {r.no: str(r.doc_id) for r in sample.select("no", "doc_id").collect()}
     model = Model(folder, terms, names, ids, weight, prior)
