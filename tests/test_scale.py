@@ -1,8 +1,12 @@
 """What a plan must not do twice or in one task."""
 
+import pytest
+
 from schemaloom.operators import diff as D
 from schemaloom.operators import extract as E
 from schemaloom.operators import report as R
+from schemaloom.sources import fixture as FX
+from tests.conftest import SF_SMALL
 
 
 def plan(df):
@@ -18,3 +22,8 @@ def test_filters_on_changes_do_not_compare_twice(corpus_of):
     for kept in (D.changed_versions(changes), R.change_report(changes)):
         assert plan(kept).count("zip_with(") <= once
         assert [r.v for r in kept.collect()] == [2]
+
+
+@pytest.mark.parametrize("corpus", [FX.statement_corpus, FX.probe_corpus])
+def test_statements_are_spread_for_extraction(spark, corpus):
+    assert "RepartitionByExpression" in plan(corpus(spark, SF_SMALL))
