@@ -1,10 +1,13 @@
 """What a plan must not do twice or in one task."""
 
+import os
+
 import pytest
 
 from schemaloom.operators import diff as D
 from schemaloom.operators import extract as E
 from schemaloom.operators import report as R
+from schemaloom.sources import files as S
 from schemaloom.sources import fixture as FX
 from tests.conftest import SF_SMALL
 
@@ -27,3 +30,23 @@ def test_filters_on_changes_do_not_compare_twice(corpus_of):
 @pytest.mark.parametrize("corpus", [FX.statement_corpus, FX.probe_corpus])
 def test_statements_are_spread_for_extraction(spark, corpus):
     assert "RepartitionByExpression" in plan(corpus(spark, SF_SMALL))
+
+
+def test_definition_files_have_no_job_commit(spark, corpus_of, tmp_path):
+    """Written in place by tasks; written again, the same files."""
+    corpus = corpus_of([("t", 1, "CREATE TABLE d.t (a INT)"), ("t", 2, "CREATE TABLE d.t (b INT)"),
+                        ("a b:c", 1, "CREATE TABLE d.`a b:c` (ü INT)"), ("t", 3, None)])
+    root = str(tmp_path / "tree")
+    for _ in range(2):
+        S.write_definition_files(corpus, root)
+    names = sorted(os.path.relpath(os.path.join(at, f), root)
+                   for at, _, fs in os.walk(root) for f in fs)
+    assert [os.path.dirname(n) for n in names] == [
+        "db=d/tbl=a b%3Ac/age=Last/v=1", "db=d/tbl=t/age=History/v=2", "db=d/tbl=t/age=Last/v=3"]
+    files = S.DefinitionFiles(spark, root, str(tmp_path / "manifest"), glob="*.txt")
+    got = {(r.tbl, r.v, r.is_history, r.ddl) for r in files.texts(files.pending()).collect()}
+    scanned = {(r.tbl, r.v, r.is_history, r.ddl) for r in
+               S.scan_definition_files(spark, root, glob="*.txt").collect()}
+    assert got == scanned
+    assert {x[1:] for x in got} == {(1, False, "CREATE TABLE d.`a b:c` (ü INT)"),
+                                    (2, True, "CREATE TABLE d.t (b INT)"), (3, False, "")}
