@@ -50,3 +50,23 @@ def test_definition_files_have_no_job_commit(spark, corpus_of, tmp_path):
     assert got == scanned
     assert {x[1:] for x in got} == {(1, False, "CREATE TABLE d.`a b:c` (ü INT)"),
                                     (2, True, "CREATE TABLE d.t (b INT)"), (3, False, "")}
+
+
+class _State:
+    exists = False
+
+    def update(self, value):
+        self.get = value
+
+
+def test_stream_makes_no_frame_without_pairs():
+    import pandas as pd
+
+    from schemaloom.streaming import drift_stream as ST
+    state = _State()
+    frame = pd.DataFrame({"v": [1, 3], "body": ["d1", None]})
+    assert list(ST._pair_up(("d", "t"), iter([frame]), state)) == []
+    state.exists = True
+    out = list(ST._pair_up(("d", "t"), iter([pd.DataFrame({"v": [4, 2], "body": ["d4", "d2"]})]), state))
+    assert [sorted(map(tuple, x.values.tolist())) for x in out] == [
+        [("d", "t", 2, "d2", "d1"), ("d", "t", 4, "d4", "d2")]]
