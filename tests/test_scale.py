@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from schemaloom.operators import diff as D
 from schemaloom.operators import extract as E
@@ -70,3 +71,25 @@ def test_stream_makes_no_frame_without_pairs():
     out = list(ST._pair_up(("d", "t"), iter([pd.DataFrame({"v": [4, 2], "body": ["d4", "d2"]})]), state))
     assert [sorted(map(tuple, x.values.tolist())) for x in out] == [
         [("d", "t", 2, "d2", "d1"), ("d", "t", 4, "d4", "d2")]]
+
+
+def test_line_items_are_shuffled_once(spark):
+    """By order, as the join with the versions needs them, and not again behind it."""
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    try:
+        rendered = FX.ddl_corpus(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(limit, before)
+    assert rendered.count("Exchange hashpartitioning(vid#") == 2  # line items, versions
+    assert "RepartitionByExpression" not in plan(FX.corpus_table(spark, SF_SMALL))
+
+
+def test_corpus_files_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(FX, "_CORPUS_TABLES", {})
+    monkeypatch.setattr(FX, "TEXTS_AT_ONCE", 50)
+    stored = FX.corpus_table(spark, SF_SMALL)
+    assert stored.exceptAll(FX.ddl_corpus(spark, SF_SMALL)).isEmpty()
+    counts = [r["count"] for r in stored.groupBy(F.input_file_name()).count().collect()]
+    assert max(counts) == 50 and sum(counts) == FX.versions(spark, SF_SMALL).count()
