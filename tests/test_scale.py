@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from schemaloom.functions.text import nested_deeper
 from schemaloom.operators import diff as D
 from schemaloom.operators import extract as E
 from schemaloom.operators import report as R
@@ -93,3 +94,12 @@ def test_corpus_files_are_bounded(spark, monkeypatch):
     assert stored.exceptAll(FX.ddl_corpus(spark, SF_SMALL)).isEmpty()
     counts = [r["count"] for r in stored.groupBy(F.input_file_name()).count().collect()]
     assert max(counts) == 50 and sum(counts) == FX.versions(spark, SF_SMALL).count()
+
+
+def test_nesting_is_found_in_one_pass(spark):
+    want = {" (a INT)": False, " (a DECIMAL(10,2), CHECK (b > 0))": False, " (a INT, CHECK ((b > 0)))": True,
+            " (a INT, b ((INT": True, " (a INT": False, " ) a (b) (": False, "((a) (b) (c)": True,
+            " (a A<B<C<D<E<INT>>>>>)": False, " (a A<B<C<D<E<F<INT>>>>>>)": True, "<<<<<<": True, "": False}
+    rows = spark.createDataFrame([(t,) for t in want], "t string").withColumn("deep", nested_deeper(F.col("t")))
+    assert {r.t: r.deep for r in rows.collect()} == want
+    assert "regexp_replace" not in plan(rows)
