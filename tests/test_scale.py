@@ -9,6 +9,7 @@ from schemaloom.functions.text import nested_deeper
 from schemaloom.operators import diff as D
 from schemaloom.operators import extract as E
 from schemaloom.operators import report as R
+from schemaloom.plans import io_queries as IO
 from schemaloom.sources import files as S
 from schemaloom.sources import fixture as FX
 from tests.conftest import SF_SMALL
@@ -103,3 +104,13 @@ def test_nesting_is_found_in_one_pass(spark):
     rows = spark.createDataFrame([(t,) for t in want], "t string").withColumn("deep", nested_deeper(F.col("t")))
     assert {r.t: r.deep for r in rows.collect()} == want
     assert "regexp_replace" not in plan(rows)
+
+
+def test_no_task_writes_a_quarter_of_the_table(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(IO, "scratch_path", lambda _, name: str(tmp_path / name))
+    got = IO.compacted_by_size(spark, SF_SMALL).collect()
+    rows = FX.table(spark, SF_SMALL, "lineitem").count()
+    assert [tuple(r)[:4] for r in got] == [(2, True, True, rows)]
+    for folder in ("in", "out/data"):
+        files = spark.read.parquet(str(tmp_path / "packed" / folder)).groupBy(F.input_file_name()).count()
+        assert max(r["count"] for r in files.collect()) <= rows / 10
