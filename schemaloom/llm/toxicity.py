@@ -13,16 +13,17 @@ Plain idf finds too few of the toxic documents (README).
 Nothing of that passes through the driver but counts, one number an example and
 paths: tasks count the terms, a grouping weighs them, and the examples are cut in
 shards with at most SHARD bytes of text (a longer example is a shard by itself),
-each written as vectors by one task to the shared folder; the weights, 16 bytes
+each written as vectors by one task to the shared folder; the weights, 20 bytes
 a distinct term, are a file beside them. Scoring tasks index the shards, search
 one after the other for a slice of texts and merge the K best.
 
-A shard is an inverted index in blocks of BLOCK examples, with the largest weight
-of every term in every block. The postings of terms that 1 example in COMMON
-holds lie in it as rows of a matrix, the others as lists. A search bounds each
-block, reads the blocks of the largest bounds, takes the k-th of the scores so
-far as threshold and reads the other blocks whose bound reaches it; what may be
-among the k best is then scored in double precision: the result is exact.
+A shard keeps the postings of terms that 1 example in COMMON holds as rows of a
+matrix, the others as lists, and for every block of BLOCK examples the largest
+weight of each row and the largest length of what is in the lists. A search of
+many texts at once leaves out the blocks whose bound does not reach the k-th
+product of the shards before; the others cost one matrix product and one sum over
+the postings met. What may be among the k best is then scored in double
+precision: the result is exact.
 Votes of the K nearest, weighted by their cosine and by how thinly their class
 was sampled, plus a prior, give a raw score. A logistic curve turns it into the
 score; it is fitted on the examples, each scored without its own vote.
@@ -59,6 +60,11 @@ COMMON = 16  # they are in 1 example in so many
 TEXTS_AT_ONCE = 128
 SLICE = 4 << 20
 
+AT_ONCE = 1 << 18  # postings
+
+#: Terms and weights of many vectors one after the other, and where each begins.
+Vectors = tuple[np.ndarray, np.ndarray, np.ndarray]
+
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _WORD = regex.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -95,9 +101,10 @@ def term_hashes(some: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return h[first], np.bincount(word[first], minlength=len(some))
 
 
-def _summed(at: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _summed(at: np.ndarray, tf: np.ndarray, kind: str | None = "stable"
+            ) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values of ``at``, ascending, and the sums of their ``tf``."""
-    order = np.argsort(at, kind="stable")
+    order = np.argsort(at, kind=kind)
     at, tf = at[order], tf[order]
     first = np.flatnonzero(np.append(True, at[1:] != at[:-1])[:len(at)])
     return at[first], np.add.reduceat(tf, first) if len(first) else tf
@@ -141,94 +148,103 @@ class BlockMaxIndex:
         self.slot[common] = np.arange(len(common))
         slot = self.slot[self.at]
         self.blocks = -(-m // block)
-        dense = np.zeros((len(common), self.blocks * block), np.float32)
-        dense[slot[slot >= 0], doc[slot >= 0]] = self.w[slot >= 0]
-        # one matrix a block, and the largest weight of each row in it
-        self.dense = np.ascontiguousarray(
-            dense.reshape(len(common), self.blocks, block).transpose(1, 0, 2))
-        self.high = np.ascontiguousarray(self.dense.max(axis=2, initial=0).T)
+        # common terms x examples, and the largest weight of each row in each block
+        self.dense = np.zeros((len(common), self.blocks * block), np.float32)
+        self.dense[slot[slot >= 0], doc[slot >= 0]] = self.w[slot >= 0]
+        self.high = self.dense.reshape(len(common), self.blocks, block).max(axis=2, initial=0)
         self.slack = 2 * (len(common) + n_terms.bit_length() + 64) * 2.0 ** -23
 
         term, doc, w = self.at[slot < 0], doc[slot < 0], self.w[slot < 0]
+        # the largest length of a block's vectors without their common terms
+        self.rest = np.sqrt(np.bincount(doc, w.astype(np.float64) ** 2,
+                                        minlength=self.blocks * block)
+                            ).reshape(self.blocks, block).max(axis=1, initial=0)
         order = np.lexsort((doc, term))
-        term, self.doc, self.weight = term[order], doc[order], w[order]
-        part = self.doc // block
-        cell = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (part[1:] != part[:-1]))
-                              [:len(term)])
-        self.cut = np.append(cell, len(term))  # postings of each cell
-        self.part = part[cell]
-        self.top = np.maximum.reduceat(self.weight, cell) if len(cell) else self.weight
-        self.cells = np.searchsorted(term[cell], np.arange(n_terms + 1))  # cells of each term
-        self.query = np.zeros(n_terms)
+        self.doc, self.weight = doc[order], w[order]
+        self.lists = np.searchsorted(term[order], np.arange(n_terms + 1)).astype(np.int32)
 
     def search(self, at: np.ndarray, w: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
         """Examples and products of the k largest positive products, ties to
         the smaller number."""
-        return self.search_all([(at, w)], k)[0]
-
-    def search_all(self, queries: list[tuple[np.ndarray, np.ndarray]],
-                   k: int = K, floor: np.ndarray | None = None
-                   ) -> list[tuple[np.ndarray, np.ndarray]]:
-        """``search`` of each query; products below its ``floor`` may be left out."""
-        if not self.m:
-            return [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
-        left = np.zeros((len(queries), len(self.high)), np.float32)
-        for row, (at, w) in zip(left, queries):
-            slot = self.slot[at]
-            row[slot[slot >= 0]] = w[slot >= 0]
-        bound = (left @ self.high).astype(np.float64)
-        lists = []
-        for row, (at, w) in zip(bound, queries):
-            rare = self.slot[at] < 0
-            n = self.cells[at[rare] + 1] - self.cells[at[rare]]
-            cell, weight = _ranges(self.cells[at[rare]], n), np.repeat(w[rare], n)
-            row += np.bincount(self.part[cell], weight * self.top[cell], minlength=self.blocks)
-            lists.append((cell, weight))
-        score = np.full((len(queries), self.blocks, self.block), -1.0)
-        first = min(self.blocks, -(-k // self.block) + 1)
-        chosen = np.zeros(bound.shape, bool)
-        np.put_along_axis(chosen, np.argpartition(-bound, first - 1, axis=1)[:, :first], True, 1)
-        floor = np.zeros(len(queries)) if floor is None else floor * (1 - self.slack)
-        chosen &= bound * (1 + self.slack) >= floor[:, None]
-        self._read(chosen, left, lists, score)
-        least = np.maximum(self._least(score, k), floor)
-        live = ~chosen & (bound * (1 + self.slack) >= least[:, None])
-        self._read(live, left, lists, score)
-        least = np.maximum(self._least(score, k), floor)
-        return [self._best(at, w, row, low, k) for (at, w), row, low
-                in zip(queries, score.reshape(len(queries), -1)[:, :self.m], least.tolist())]
-
-    def _read(self, wanted: np.ndarray, left: np.ndarray, lists: list, score: np.ndarray) -> None:
-        """Scores of all examples of the blocks that each query wants."""
-        for b in np.flatnonzero(wanted.any(axis=0)).tolist():
-            rows = np.flatnonzero(wanted[:, b])
-            score[rows, b] = (left if len(rows) == len(left) else left[rows]) @ self.dense[b]
-        for own, (cell, weight), row in zip(wanted, lists, score.reshape(len(left), -1)):
-            live = own[self.part[cell]]
-            cell, weight = cell[live], weight[live]
-            n = self.cut[cell + 1] - self.cut[cell]
-            place = _ranges(self.cut[cell], n)
-            row += np.bincount(self.doc[place], np.repeat(weight, n) * self.weight[place],
-                               minlength=len(row))
-
-    def _least(self, score: np.ndarray, k: int) -> np.ndarray:
-        """What a score must reach to be among the k largest, for rounding a bit less."""
-        flat = score.reshape(len(score), -1)[:, :self.m]
-        if self.m <= k:
-            return np.zeros(len(flat))
-        return np.maximum(np.partition(flat, self.m - k, axis=1)[:, self.m - k]
-                          * (1 - self.slack), 0)
-
-    def _best(self, at: np.ndarray, w: np.ndarray, score: np.ndarray, least: float,
-              k: int) -> tuple[np.ndarray, np.ndarray]:
-        may = np.flatnonzero((score > 0) & (score >= least))
-        if not len(may):
-            return np.zeros(0, np.int64), np.zeros(0)
-        self.query[at] = w
-        n = self.start[may + 1] - self.start[may]
-        place = _ranges(self.start[may], n)
-        cos = np.add.reduceat(self.query[self.at[place]] * self.w[place], np.cumsum(n) - n)
-        self.query[at] = 0
+        return self.search_all((at, w, np.array([0, len(at)])), k, np.zeros(len(self.slot)))[0]
+
+    def search_all(self, queries: Vectors, k: int, table: np.ndarray,
+                   floor: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``search`` of each query; products below its ``floor`` may be left
+        out. ``table``: a zero for every term, for use inside."""
+        at, w, cut = queries
+        n = len(cut) - 1
+        out = [(np.zeros(0, np.int64), np.zeros(0))] * n
+        if not self.m or not n:
+            return out
+        query = np.repeat(np.arange(n), np.diff(cut))
+        slot = self.slot[at]
+        common = slot >= 0
+        left = np.zeros((n, len(self.high)), np.float32)
+        left[query[common], slot[common]] = w[common]
+        at_rare, w_rare, query = at[~common], w[~common], query[~common]
+        # common terms are bounded by block maxima, the others by the lengths of both sides
+        bound = ((left @ self.high).astype(np.float64)
+                 + np.outer(np.sqrt(np.bincount(query, w_rare * w_rare, minlength=n)), self.rest))
+        floor = np.zeros(n) if floor is None else floor * (1 - self.slack)
+        live = bound * (1 + self.slack) >= floor[:, None]
+        rows = np.flatnonzero(live.any(axis=1))
+        if not len(rows):
+            return out
+        score = self._products(left, live, rows)
+        self._add_rare(score, at_rare, w_rare, query, live.any(axis=1))
+        if self.m > k:
+            least = np.partition(score[rows], self.m - k, axis=1)[:, self.m - k]
+            floor[rows] = np.maximum(floor[rows], least * (1 - self.slack))
+        may = (score > 0) & (score >= floor[:, None])
+        for i in np.flatnonzero(may.any(axis=1)).tolist():
+            own = slice(cut[i], cut[i + 1])
+            out[i] = self._best(at[own], w[own], np.flatnonzero(may[i]), k, table)
+        return out
+
+    def _products(self, left: np.ndarray, live: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Products over the common terms, -1 in the blocks that a query doesn't want."""
+        score = np.full((len(left), self.blocks, self.block), -1.0)
+        if live[rows].mean() > 0.5:  # one product costs less than many small ones
+            every = (left if len(rows) == len(left) else left[rows]) @ self.dense
+            score[rows] = np.where(live[rows][:, :, None],
+                                   every.reshape(len(rows), self.blocks, self.block), -1.0)
+        else:
+            for b in np.flatnonzero(live.any(axis=0)).tolist():
+                own = np.flatnonzero(live[:, b])
+                score[own, b] = left[own] @ self.dense[:, b * self.block:(b + 1) * self.block]
+        return score.reshape(len(left), -1)[:, :self.m]
+
+    def _add_rare(self, score: np.ndarray, at: np.ndarray, w: np.ndarray, query: np.ndarray,
+                  wanted: np.ndarray) -> None:
+        """Adds the products over the other terms (``at``, ``w`` of ``query``),
+        about AT_ONCE postings at a time, whole queries."""
+        n = np.where(wanted[query], self.lists[at + 1] - self.lists[at], 0)
+        held = np.flatnonzero(n)
+        at, w, query, n = at[held], w[held], query[held], n[held]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        edge = np.searchsorted(query, np.arange(len(score) + 1))
+        first = 0
+        while first < len(score):
+            to = max(first + 1, int(np.searchsorted(upto[edge], upto[edge[first]] + AT_ONCE,
+                                                    "right")) - 1)
+            own = slice(edge[first], edge[to])
+            if edge[to] > edge[first]:
+                place = _ranges(self.lists[at[own]].astype(np.int64), n[own])
+                cell = np.repeat((query[own] - first) * self.m, n[own])
+                cell += self.doc.take(place, mode="clip")
+                value = np.repeat(w[own], n[own])
+                value *= self.weight.take(place, mode="clip")
+                score[first:to] += np.bincount(cell, value, minlength=(to - first) * self.m
+                                               ).reshape(to - first, self.m)
+            first = to
+
+    def _best(self, at: np.ndarray, w: np.ndarray, may: np.ndarray, k: int,
+              table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        table[at] = w
+        cos = np.array([table.take(self.at[a:b], mode="clip") @ self.w[a:b].astype(np.float64)
+                        for a, b in zip(self.start[may].tolist(), self.start[may + 1].tolist())])
+        table[at] = 0
         n = np.minimum(self.first[may + 1] - self.first[may], k)
         number, cos = self.member[_ranges(self.first[may], n)], np.repeat(cos, n)
         best = _ranked(cos, number, k)
@@ -241,13 +257,14 @@ def _ranked(value: np.ndarray, number: np.ndarray, k: int) -> np.ndarray:
 
 
 class Space:
-    """The terms of the examples (hashes, ascending) and their weights; weighs texts."""
+    """The terms of the examples (hashes, ascending), their numbers and, by
+    number, their weights; weighs texts. Frequent terms have the small numbers,
+    so what is looked up often lies close together."""
 
-    def __init__(self, terms: np.ndarray, idf: np.ndarray):
-        self.terms, self.idf = terms, idf
+    def __init__(self, terms: np.ndarray, number: np.ndarray, idf: np.ndarray):
+        self.terms, self.number, self.idf = terms, number, idf
         self.known: dict[str, np.ndarray] = {}
-        self.tf = np.zeros(len(self.terms))
-        self.last = np.zeros(len(self.terms), np.int64)
+        self.table = np.zeros(len(self.terms))
 
     def learn(self, counts: list[Counter]) -> None:
         """Finds the terms of the words that are not remembered."""
@@ -261,25 +278,25 @@ class Space:
         ok = self.terms[at] == every if len(self.terms) else np.zeros(len(every), bool)
         end = np.cumsum(n)
         left = np.concatenate([[0], np.cumsum(ok)])[end].tolist()
-        found = at[ok].astype(np.int32)
+        found = self.number[at[ok]]
         for x, a, b in zip(new, [0, *left[:-1]], left):
             self.known[x] = found[a:b]
 
-    def vector(self, count: Counter) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the distinct known terms and their weights of unit length.
-        The words must be learnt."""
-        if not count:
-            return np.zeros(0, np.int32), np.zeros(0)
-        own = [self.known[x] for x in count]
-        at = np.concatenate(own)
-        self.tf[at] = 0
-        np.add.at(self.tf, at, np.repeat(np.array(list(count.values()), np.float64),
-                                         [len(x) for x in own]))
-        self.last[at] = np.arange(len(at))
-        at = at[self.last[at] == np.arange(len(at))]
-        tf = self.tf[at]
+    def vectors(self, counts: list[Counter]) -> Vectors:
+        """Vectors of unit length of texts with these words: the distinct known
+        terms and their weights. The words must be learnt."""
+        own = [self.known[x] for c in counts for x in c]
+        size = np.array([len(x) for x in own], np.int64)
+        doc = np.repeat(np.arange(len(counts)), [len(c) for c in counts])
+        key = (np.repeat(doc * len(self.terms), size)
+               + np.concatenate([np.zeros(0, np.int32), *own]))
+        tf = np.array([n for c in counts for n in c.values()], np.float64)
+        key, tf = _summed(key, np.repeat(tf, size), None)
+        doc, at = np.divmod(key, max(len(self.terms), 1))
         w = (1 + np.log(tf)) * self.idf[at]
-        return at, w / (np.sqrt((w * w).sum()) or 1.0)
+        norm = np.sqrt(np.bincount(doc, w * w, minlength=len(counts)))
+        return (at.astype(np.int32), w / np.where(norm > 0, norm, 1.0)[doc],
+                np.searchsorted(doc, np.arange(len(counts) + 1)))
 
 
 def _read_arrays(folder: str, name: str) -> dict[str, np.ndarray]:
@@ -332,27 +349,34 @@ class Model:
         if not self.terms:  # no example has a term
             return [(np.zeros(0, np.int64), np.zeros(0))] * len(values)
         self.space = self.space or Space(**_read_arrays(self.folder, self.terms))
-        counts = [Counter(words(t)) for t in values]
-        queries = []
-        for at in range(0, len(values), TEXTS_AT_ONCE):
-            self.space.learn(counts[at:at + TEXTS_AT_ONCE])
-            queries += [self.space.vector(c) for c in counts[at:at + TEXTS_AT_ONCE]]
         more = k + (leave is not None)
-        best = [(np.zeros(0, np.int64), np.zeros(0))] * len(values)
-        for name in self.shards:
-            numbers, index = self._shard(name)
-            for at in range(0, len(values), TEXTS_AT_ONCE):
-                own = slice(at, at + TEXTS_AT_ONCE)
-                floor = np.array([c[-1] if len(c) == more else 0.0 for _, c in best[own]])
-                for i, (near, cos) in enumerate(index.search_all(queries[own], more, floor), at):
-                    number = np.concatenate([best[i][0], numbers[near]])
-                    cos = np.concatenate([best[i][1], cos])
-                    first = _ranked(cos, number, more)
-                    best[i] = number[first], cos[first]
+        # shards that are not kept are read once for all texts
+        best, step = [], TEXTS_AT_ONCE if len(self.shards) <= HELD else max(len(values), 1)
+        for at in range(0, len(values), step):
+            queries = []
+            for first in range(at, min(at + step, len(values)), TEXTS_AT_ONCE):
+                counts = [Counter(words(t)) for t in values[first:first + TEXTS_AT_ONCE]]
+                self.space.learn(counts)
+                queries.append(self.space.vectors(counts))
+            best += self._nearest(queries, more)
         if leave is not None:
             best = [(n[n != no][:k], c[n != no][:k]) for (n, c), no in zip(best, leave)]
         return [(n, np.minimum(c, 1.0)) for n, c in best]
 
+    def _nearest(self, queries: list[Vectors], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        best = [[(np.zeros(0, np.int64), np.zeros(0))] * (len(q[2]) - 1) for q in queries]
+        for name in self.shards:
+            numbers, index = self._shard(name)
+            for own, q in zip(best, queries):
+                floor = np.array([c[-1] if len(c) == k else 0.0 for _, c in own])
+                for i, (near, cos) in enumerate(index.search_all(q, k, self.space.table, floor)):
+                    if len(near):
+                        number = np.concatenate([own[i][0], numbers[near]])
+                        cos = np.concatenate([own[i][1], cos])
+                        first = _ranked(cos, number, k)
+                        own[i] = number[first], cos[first]
+        return [x for own in best for x in own]
+
     def raw(self, number: np.ndarray, cos: np.ndarray) -> float:
         """Share of the toxic votes."""
         y = number % 2
@@ -446,11 +470,15 @@ def document_frequency(sample: DataFrame) -> DataFrame:
 
 def _write_terms(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(b.column("h").to_numpy(), b.column("idf").to_numpy()) for b in batches]
-        h, idf = (np.concatenate([np.zeros(0, kind), *(r[i] for r in rows)])
-                  for i, kind in enumerate((np.int64, np.float64)))
+        rows = [[b.column(c).to_numpy() for c in ("h", "idf", "df")] for b in batches]
+        h, idf, df = (np.concatenate([np.zeros(0, kind), *(r[i] for r in rows)])
+                      for i, kind in enumerate((np.int64, np.float64, np.int64)))
         order = np.argsort(h)
-        name = _write_arrays(folder, {"terms": h[order], "idf": idf[order]})
+        h, idf, df = h[order], idf[order], df[order]
+        order = np.argsort(-df, kind="stable")
+        number = np.empty(len(h), np.int32)
+        number[order] = np.arange(len(h))
+        name = _write_arrays(folder, {"terms": h, "number": number, "idf": idf[order]})
         yield pa.RecordBatch.from_arrays([pa.array([name])], names=["name"])
     return run
 
@@ -461,7 +489,9 @@ def _write_shard(folder: str, terms: str):
         space, found = Space(**_read_arrays(folder, terms)), []
         for no, text in zip(rows.column("no").to_pylist(), rows.column("text").to_pylist()):
             h, tf = _vector_of(text or "")
-            at = np.searchsorted(space.terms, h).astype(np.int32)
+            at = space.number[np.searchsorted(space.terms, h)]
+            order = np.argsort(at)
+            at, tf = at[order], tf[order]
             w = (1 + np.log(tf)) * space.idf[at]
             w = (w / (np.sqrt((w * w).sum()) or 1.0)).astype(np.float32)
             # like examples share a block: by label, then by their heaviest terms
@@ -507,8 +537,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
         shard.append((no, full))
     where = spark.createDataFrame(shard, "no long, shard int")
     folder = scratch_path(spark, "toxic_index")
-    weighed = document_frequency(sample).select("h", _idf(n0, n1).alias("idf"))
-    # 16 bytes a distinct term of the examples
+    weighed = document_frequency(sample).select("h", _idf(n0, n1).alias("idf"),
+                                                 (F.col("n0") + F.col("n1")).alias("df"))
+    # 20 bytes a distinct term of the examples
     written = saved(weighed.repartition(1).mapInArrow(_write_terms(folder), "name string"),
                     "toxic_terms").collect()
     terms = written[0].name if written else None

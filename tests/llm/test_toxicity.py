@@ -33,6 +33,50 @@ def test_search_is_exact():
         assert np.allclose(score, cos[want])
 
 
+def test_search_of_many_is_exact(monkeypatch):
+    """Common and rare terms, several chunks of postings, queries without a
+    term, and a floor under which products may be missing."""
+    monkeypatch.setattr(toxicity, "AT_ONCE", 50)
+    rng = np.random.default_rng(5)
+
+    def vector():
+        at = np.unique(np.concatenate([rng.choice(8, 3), 8 + rng.integers(0, 300, 12)]))
+        w = rng.random(len(at)) + 0.05
+        return at.astype(np.int32), w / np.sqrt((w * w).sum())
+    vectors = [vector() for _ in range(400)]
+    index = toxicity.BlockMaxIndex(vectors, 308, block=16)
+    assert 0 < len(index.dense) < 308
+    dense = np.zeros((400, 308))
+    for i, (at, w) in enumerate(vectors):
+        dense[i, at] = w.astype(np.float32)
+    queries = [vector() for _ in range(60)] + [(np.zeros(0, np.int32), np.zeros(0))]
+    flat = (np.concatenate([a for a, _ in queries]), np.concatenate([w for _, w in queries]),
+            np.cumsum([0, *(len(a) for a, _ in queries)]))
+    for low in (0.0, 0.5):
+        got = index.search_all(flat, 15, np.zeros(308), np.full(61, low))
+        for (at, w), (number, cos) in zip(queries, got):
+            every = dense[:, at] @ w
+            want = np.lexsort((np.arange(400), -np.round(every, 12)))[:15]
+            want = want[(every[want] > 0) & (every[want] >= low)]
+            assert number[:len(want)].tolist() == want.tolist()
+            assert np.allclose(cos[:len(want)], every[want])
+
+
+def test_frequent_terms_have_small_numbers(spark, docs_of):
+    rows = [(i, "shared" + " other" * (i % 2) + f" word{i}") for i in range(20)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs_of(rows), labels)
+    model.neighbours(["shared"])
+    space = model.space
+    assert sorted(space.number.tolist()) == list(range(len(space.terms)))
+
+    def numbers(word):
+        h, _ = toxicity.term_hashes([word])
+        return space.number[np.searchsorted(space.terms, h)]
+    own = numbers("word7")[~np.isin(numbers("word7"), numbers("word8"))]
+    assert numbers("shared").max() < numbers("other").min() and numbers("other").max() < own.min()
+
+
 def test_held_out_accuracy(spark):
     got = (QUERIES["op3_toxicity"](spark, SF).join(table(spark, SF, "labels"), "doc_id")
            .where("held_out").groupBy("toxic", "predicted").count().collect())
