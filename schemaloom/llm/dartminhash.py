@@ -14,7 +14,9 @@ the weight plus K log K, not their product.
 Join: BANDS keys of ROWS coordinates each (a pair at 0.8 shares none with
 probability below 1e-5). Equal texts collapse first, by a 128-bit key of their
 words, and get a number each; ids only name the classes. In each bucket every
-member is compared with the smallest number (linear in the bucket), links are
+member is paired with the smallest number (linear in the bucket). A text is first
+compared with the one of these that it shares most buckets with; of the other
+pairs those follow that the links found do not join. Links are
 verified exactly on the whole texts, and their components found. What is left
 are buckets whose members are still in several components: there the members
 outside the bucket's largest component are compared with all others, block by
@@ -31,7 +33,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORDS_AT_ONCE, Words, chunks, mix, saved, texts
@@ -171,10 +173,14 @@ def keyed(docs: DataFrame) -> DataFrame:
 def rows_named(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """One row of ``docs`` for each of ``chosen`` (id, k1, k2 and others): a
     row of that id (null is one) and text, with the other columns of ``chosen``."""
-    one = keyed(docs).dropDuplicates(["doc_id", "_k1", "_k2"])
-    return one.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("id"))
-                    & (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2"))
-                    ).drop("id", "k1", "k2", "_k1", "_k2")
+    # joined and made distinct by the same columns: texts are shuffled once
+    def named(of: DataFrame, key: Column) -> DataFrame:
+        return (of.withColumn("_bare", key.isNull())
+                .withColumn("_id", F.coalesce(key, F.lit(0).cast("long"))))
+    keys = ["_bare", "_id", "_k1", "_k2"]
+    wanted = named(chosen.withColumnsRenamed({"k1": "_k1", "k2": "_k2"}), F.col("id")).drop("id")
+    return (named(keyed(docs), F.col("doc_id").cast("long")).join(wanted, keys)
+            .dropDuplicates(keys).drop(*keys))
 
 
 def similarity(left: list[str], right: list[str]) -> np.ndarray:
@@ -302,6 +308,11 @@ def across(members: DataFrame, named: DataFrame) -> DataFrame:
             .mapInArrow(compare, "a long, b long").distinct())
 
 
+def _tree(found: DataFrame) -> DataFrame:
+    """Components (id, class_id) as links: one edge per labelled text."""
+    return found.select(F.col("class_id").alias("a"), F.col("id").alias("b"))
+
+
 def text_classes(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """k1, k2, id, class of every text of ``rows`` (``signed`` rows of
     ``docs``): id is the smallest of its ids, class a number that the texts
@@ -312,17 +323,32 @@ def text_classes(docs: DataFrame, rows: DataFrame) -> DataFrame:
     same = saved(same.orderBy("id", "k1", "k2")
                  .withColumn("node", F.monotonically_increasing_id()), "dart_nodes")
     keys = same.select(F.col("node").alias("id"), F.explode("bands").alias("h"))
-    buckets = saved(keys.groupBy("h").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("n"))
-                    .where(F.col("n") > 1), "dart_buckets")
-    members = saved(keys.join(buckets, "h"), "dart_members")
-    star = (members.where(F.col("id") != F.col("lead"))
-            .select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
+    bucket = Window.partitionBy("h")
+    members = saved(keys.withColumn("lead", F.min("id").over(bucket))
+                    .withColumn("n", F.count(F.lit(1)).over(bucket)).where(F.col("n") > 1),
+                    "dart_members")
+    star = saved(members.where(F.col("id") != F.col("lead"))
+                 .groupBy(F.col("lead").alias("a"), F.col("id").alias("b"))
+                 .agg(F.count(F.lit(1)).alias("shared")), "dart_star")
     needed = same.select("id", "k1", "k2", "node").join(
         members.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
     named = saved(rows_named(docs.select("doc_id", "text"), needed).select("node", "text"),
                   "dart_named")
-    links = saved(verified(star, named).select("a", "b"), "dart_links")
-    first = saved(components(links), "dart_first")
+    # every text meets the lead it shares most buckets with; of the other pairs, those that
+    # are not joined by then
+    nearest = star.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
+    nearest = saved(nearest.select("a", "b"), "dart_nearest")
+    first = saved(components(saved(verified(nearest, named).select("a", "b"), "dart_links")),
+                  "dart_joined")
+    others = star.select("a", "b").join(nearest, ["a", "b"], "left_anti")
+    for end in ("a", "b"):
+        others = others.join(first.select(F.col("id").alias(end),
+                                          F.col("class_id").alias(f"{end}_class")), end, "left")
+    others = saved(others.where(F.coalesce("a_class", "a") != F.coalesce("b_class", "b"))
+                   .select("a", "b"), "dart_others")
+    more = saved(verified(others, named).select("a", "b"), "dart_links")
+    if not more.isEmpty():
+        first = saved(components(_tree(first).unionByName(more)), "dart_first")
 
     # buckets of three or more whose members are in several components
     labelled = saved(members.where(F.col("n") > 2).join(first, "id", "left").select(
@@ -333,9 +359,7 @@ def text_classes(docs: DataFrame, rows: DataFrame) -> DataFrame:
     if not mixed.isEmpty():
         more = saved(across(labelled.join(mixed, "h"), named), "dart_more")
         if not more.isEmpty():
-            # one edge per labelled text: components of both rounds together
-            tree = first.select(F.col("class_id").alias("a"), F.col("id").alias("b"))
-            final = components(tree.unionByName(more))
+            final = components(_tree(first).unionByName(more))
     final = final.select(F.col("id").alias("node"), F.col("class_id").alias("class"))
     return saved(same.select("k1", "k2", "id", "node").join(final, "node", "left").select(
         "k1", "k2", "id", F.coalesce("class", "node").alias("class")), "dart_classes")

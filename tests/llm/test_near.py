@@ -112,3 +112,17 @@ def test_texts_that_share_an_id(docs_of, odd_rows):
     assert sorted(x for x in kept if x[0] == 200) == sorted((200, " ".join(w)) for w in words)
     assert sorted(t for i, t in kept if i == 4) == ["other word", "word"]
     assert [t for i, t in kept if i is None] == ["no id here"]
+
+
+def test_one_comparison_joins_a_text(spark, docs_of, monkeypatch):
+    """Texts of one cluster are paired with several leads, but what the first
+    comparison of each has joined is not compared again."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(300)]
+    rows = [(i, edited(rng, words, 0.008)) for i in range(40)]
+    verified, pairs = M.verified, []
+    monkeypatch.setattr(M, "verified", lambda p, named: pairs.append(p.count()) or verified(p, named))
+    got = Counter((r.doc_id, r.class_id) for r in M.near_duplicates(docs_of(rows)).collect())
+    assert got == brute(rows)
+    assert {c for _, c in got} == {0}
+    assert sum(pairs) < 40
