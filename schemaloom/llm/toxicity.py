@@ -10,20 +10,24 @@ with the label: the absolute phi coefficient (square root of chi-square over the
 number of examples, so it does not grow with the sample) plus 1 / examples.
 Plain idf finds too few of the toxic documents (README).
 
-Nothing of that passes through the driver but counts, one number an example and
-paths: tasks count the terms, a grouping weighs them, and the examples are cut in
-shards with at most SHARD bytes of text (a longer example is a shard by itself),
-each written as vectors by one task to the shared folder; the weights, 20 bytes
-a distinct term, are a file beside them. Scoring tasks index the shards, search
-one after the other for a slice of texts and merge the K best.
-
-A shard keeps the postings of terms that 1 example in COMMON holds as rows of a
-matrix, the others as lists, and for every block of BLOCK examples the largest
-weight of each row and the largest length of what is in the lists. A search of
-many texts at once leaves out the blocks whose bound does not reach the k-th
-product of the shards before; the others cost one matrix product and one sum over
-the postings met. What may be among the k best is then scored in double
-precision: the result is exact.
+Nothing of that passes through the driver but counts, two numbers an example,
+WIDTH numbers a shard and paths: tasks count the terms, a grouping weighs them,
+and the examples are cut in shards with at most SHARD bytes of text (a longer
+example is a shard by itself), each written as vectors by one task to the shared
+folder; the weights, 20 bytes a distinct term, are a file beside them. Like
+examples share shards: their projections to WIDTH signs a term are grouped by
+k-means in one task. Scoring tasks index the shards, search one after the other
+for a slice of texts, nearest texts together and the likeliest shard first, and
+merge the K best.
+
+A shard keeps postings and, for every block of BLOCK examples, the largest weight
+of each term that 1 example in COMMON holds and the largest length of the rest. A
+search of many texts at once leaves out the texts whose bounds do not reach the
+k-th product of the shards before. For the others, terms whose postings many of
+these texts share are made rows of a matrix, whose product adds them at once; over
+the other terms the postings met are summed. Grouping of texts and choice of rows
+only save time. What may be among the k best is then scored in double precision:
+the result is exact.
 Votes of the K nearest, weighted by their cosine and by how thinly their class
 was sampled, plus a prior, give a raw score. A logistic curve turns it into the
 score; it is fitted on the examples, each scored without its own vote.
@@ -55,12 +59,17 @@ PRIOR_WEIGHT = 0.2
 SHARD = 3 << 20  # bytes of text
 HELD = 10  # shards at most that a worker keeps in memory
 KNOWN = 100_000  # words whose terms a worker remembers
-DENSE = 4096  # terms at most that are rows of the matrix
+DENSE = 4096  # terms at most that are rows of a matrix
+BOUNDED = 512  # terms at most with block maxima
 COMMON = 16  # they are in 1 example in so many
+SUMMED = 400  # adding a posting takes as long as so many products of a matrix
 TEXTS_AT_ONCE = 128
 SLICE = 4 << 20
+WIDTH = 64  # numbers of a projection
+FREQUENT = 8192  # most frequent terms, which are projected
+GROUPS = 8
 
-AT_ONCE = 1 << 18  # postings
+AT_ONCE = 1 << 16  # postings
 
 #: Terms and weights of many vectors one after the other, and where each begins.
 Vectors = tuple[np.ndarray, np.ndarray, np.ndarray]
@@ -73,10 +82,10 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def term_hashes(some: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the distinct terms of each word, word after word, and
-    their number for each: the word in marks < and >, and its 4- and 5-grams
-    (a marked word of that length is its own gram)."""
+def _grams(some: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the terms of each word and the place of the word: the
+    word in marks < and >, and its 4- and 5-grams (a marked word of that length
+    is its own gram). Grams may repeat; in no order."""
     marked = [f"<{x}>" for x in some]
     code = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"),
                          np.uint32).astype(np.uint64) + np.uint64(1)
@@ -90,11 +99,18 @@ def term_hashes(some: list[str]) -> tuple[np.ndarray, np.ndarray]:
         m = max(len(code) - n + 1, 0)
         total = np.full(m, np.uint64(n))
         for j in range(n):
-            total = total * _STEP + code[j:j + m]
+            total *= _STEP
+            total += code[j:j + m]
         at = np.flatnonzero(word[:m] == word[n - 1:][:m])
         hashes.append(mix(total[at]))
         owner.append(word[at])
-    h, word = np.concatenate(hashes).view(np.int64), np.concatenate(owner)
+    return np.concatenate(hashes).view(np.int64), np.concatenate(owner)
+
+
+def term_hashes(some: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct terms of each word, word after word, and their
+    number for each."""
+    h, word = _grams(some)
     order = np.lexsort((h, word))
     h, word = h[order], word[order]
     first = np.append(True, (h[1:] != h[:-1]) | (word[1:] != word[:-1]))[:len(h)]
@@ -116,12 +132,12 @@ def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 class BlockMaxIndex:
-    """Unit vectors (kept in single precision) in blocks with block maxima;
-    common terms as matrix rows, the others as lists. Weights are positive."""
+    """Unit vectors (kept in single precision) as postings, with block maxima of
+    the common terms. Weights are positive."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int,
                  block: int = BLOCK):
-        self.n, self.block = len(vectors), block
+        self.n = len(vectors)
         same: dict[bytes, list[int]] = {}
         for i, (at, w) in enumerate(vectors):
             if len(at):
@@ -139,29 +155,27 @@ class BlockMaxIndex:
         for i, (at, w) in enumerate(own):
             self.at[self.start[i]:self.start[i + 1]] = at
             self.w[self.start[i]:self.start[i + 1]] = w
-        doc = np.repeat(np.arange(m, dtype=np.int32), size)
-
-        df = np.bincount(self.at, minlength=n_terms)
-        common = np.argsort(-df, kind="stable")[:DENSE]
-        common = common[df[common] * COMMON > m]
-        self.slot = np.full(n_terms, -1, np.int32)
-        self.slot[common] = np.arange(len(common))
+        doc = np.repeat(np.arange(m, dtype=np.min_scalar_type(max(m, 1))), size)
+        order = np.argsort(self.at, kind="stable")
+        self.doc, self.weight = doc[order], self.w[order]
+        self.df = np.bincount(self.at, minlength=n_terms).astype(np.int32)
+        self.lists = np.cumsum(self.df, dtype=np.int32) - self.df
+        self.several = np.flatnonzero(self.df > m // 200)
+
+        common = np.argsort(-self.df, kind="stable")[:BOUNDED]
+        self.dense = common[self.df[common] * COMMON > m]  # the terms with block maxima
+        self.slot = np.full(n_terms, -1, np.int16)
+        self.slot[self.dense] = np.arange(len(self.dense))
+        blocks = -(-m // block)
         slot = self.slot[self.at]
-        self.blocks = -(-m // block)
-        # common terms x examples, and the largest weight of each row in each block
-        self.dense = np.zeros((len(common), self.blocks * block), np.float32)
-        self.dense[slot[slot >= 0], doc[slot >= 0]] = self.w[slot >= 0]
-        self.high = self.dense.reshape(len(common), self.blocks, block).max(axis=2, initial=0)
-        self.slack = 2 * (len(common) + n_terms.bit_length() + 64) * 2.0 ** -23
-
-        term, doc, w = self.at[slot < 0], doc[slot < 0], self.w[slot < 0]
+        cell = slot[slot >= 0].astype(np.int64) * blocks + doc[slot >= 0] // block
+        self.high = np.zeros((len(self.dense), blocks), np.float32)
+        np.maximum.at(self.high.reshape(-1), cell, self.w[slot >= 0])
         # the largest length of a block's vectors without their common terms
-        self.rest = np.sqrt(np.bincount(doc, w.astype(np.float64) ** 2,
-                                        minlength=self.blocks * block)
-                            ).reshape(self.blocks, block).max(axis=1, initial=0)
-        order = np.lexsort((doc, term))
-        self.doc, self.weight = doc[order], w[order]
-        self.lists = np.searchsorted(term[order], np.arange(n_terms + 1)).astype(np.int32)
+        self.rest = np.sqrt(np.bincount(doc[slot < 0], self.w[slot < 0].astype(np.float64) ** 2,
+                                        minlength=blocks * block)
+                            ).reshape(blocks, block).max(axis=1, initial=0)
+        self.slack = 2 * (min(DENSE, n_terms) + n_terms.bit_length() + 64) * 2.0 ** -23
 
     def search(self, at: np.ndarray, w: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
         """Examples and products of the k largest positive products, ties to
@@ -172,57 +186,80 @@ class BlockMaxIndex:
                    floor: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """``search`` of each query; products below its ``floor`` may be left
         out. ``table``: a zero for every term, for use inside."""
+        n = len(queries[2]) - 1
+        best = np.zeros((n, k), np.float32)
+        if floor is not None:
+            best += floor[:, None].astype(np.float32)
+        near = self.candidates(queries, best)
+        return [(number[top], cos[top]) for number, cos in self.exact(queries, *near[:2], k, table)
+                for top in [_ranked(cos, number, k)]]
+
+    def candidates(self, queries: Vectors, best: np.ndarray
+                   ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Queries, rows and products in single precision of what may be among
+        the best; ``best`` has the largest products of each query so far, and
+        gets those that are found."""
         at, w, cut = queries
-        n = len(cut) - 1
-        out = [(np.zeros(0, np.int64), np.zeros(0))] * n
-        if not self.m or not n:
-            return out
-        query = np.repeat(np.arange(n), np.diff(cut))
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+        query = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
+        if not self.m or not len(at):
+            return none
+        rows = self._reaching(at, w, query, best.min(axis=1) * (1 - self.slack))
+        if not len(rows):
+            return none
+        row = np.full(len(cut) - 1, -1)
+        row[rows] = np.arange(len(rows))
+        held = np.flatnonzero((self.df[at] > 0) & (row[query] >= 0))
+        score = self._products(at[held], w[held].astype(np.float32), row[query[held]], len(rows))
+        k = best.shape[1]
+        best[rows] = np.partition(np.concatenate([best[rows], score], axis=1), self.m,
+                                  axis=1)[:, -k:]
+        floor = best[rows].min(axis=1) * (1 - self.slack)
+        i, j = np.nonzero((score > 0) & (score >= floor[:, None]))
+        return rows[i], j, score[i, j]
+
+    def _reaching(self, at: np.ndarray, w: np.ndarray, query: np.ndarray,
+                  floor: np.ndarray) -> np.ndarray:
+        """Queries of which a block's bound reaches the floor: common terms are
+        bounded by block maxima, the others by the lengths of both sides."""
         slot = self.slot[at]
         common = slot >= 0
-        left = np.zeros((n, len(self.high)), np.float32)
+        left = np.zeros((len(floor), len(self.high)), np.float32)
         left[query[common], slot[common]] = w[common]
-        at_rare, w_rare, query = at[~common], w[~common], query[~common]
-        # common terms are bounded by block maxima, the others by the lengths of both sides
-        bound = ((left @ self.high).astype(np.float64)
-                 + np.outer(np.sqrt(np.bincount(query, w_rare * w_rare, minlength=n)), self.rest))
-        floor = np.zeros(n) if floor is None else floor * (1 - self.slack)
-        live = bound * (1 + self.slack) >= floor[:, None]
-        rows = np.flatnonzero(live.any(axis=1))
-        if not len(rows):
-            return out
-        score = self._products(left, live, rows)
-        self._add_rare(score, at_rare, w_rare, query, live.any(axis=1))
-        if self.m > k:
-            least = np.partition(score[rows], self.m - k, axis=1)[:, self.m - k]
-            floor[rows] = np.maximum(floor[rows], least * (1 - self.slack))
-        may = (score > 0) & (score >= floor[:, None])
-        for i in np.flatnonzero(may.any(axis=1)).tolist():
-            own = slice(cut[i], cut[i + 1])
-            out[i] = self._best(at[own], w[own], np.flatnonzero(may[i]), k, table)
-        return out
-
-    def _products(self, left: np.ndarray, live: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """Products over the common terms, -1 in the blocks that a query doesn't want."""
-        score = np.full((len(left), self.blocks, self.block), -1.0)
-        if live[rows].mean() > 0.5:  # one product costs less than many small ones
-            every = (left if len(rows) == len(left) else left[rows]) @ self.dense
-            score[rows] = np.where(live[rows][:, :, None],
-                                   every.reshape(len(rows), self.blocks, self.block), -1.0)
-        else:
-            for b in np.flatnonzero(live.any(axis=0)).tolist():
-                own = np.flatnonzero(live[:, b])
-                score[own, b] = left[own] @ self.dense[:, b * self.block:(b + 1) * self.block]
-        return score.reshape(len(left), -1)[:, :self.m]
-
-    def _add_rare(self, score: np.ndarray, at: np.ndarray, w: np.ndarray, query: np.ndarray,
-                  wanted: np.ndarray) -> None:
-        """Adds the products over the other terms (``at``, ``w`` of ``query``),
-        about AT_ONCE postings at a time, whole queries."""
-        n = np.where(wanted[query], self.lists[at + 1] - self.lists[at], 0)
-        held = np.flatnonzero(n)
-        at, w, query, n = at[held], w[held], query[held], n[held]
-        upto = np.concatenate([[0], np.cumsum(n)])
+        length = np.sqrt(np.bincount(query[~common], w[~common] ** 2, minlength=len(floor)))
+        bound = (left @ self.high).astype(np.float64) + np.outer(length, self.rest)
+        return np.flatnonzero((bound * (1 + self.slack)).max(axis=1) >= floor)
+
+    def _products(self, at: np.ndarray, w: np.ndarray, query: np.ndarray, n: int) -> np.ndarray:
+        """Products of ``n`` queries with all rows, by a matrix of the terms that
+        many of the queries share and by the postings of the others."""
+        met = np.bincount(at, minlength=len(self.df))[self.several]
+        df = self.df[self.several]
+        gain = met * df * float(SUMMED) - (n * self.m + df * float(SUMMED))
+        chosen = np.flatnonzero(gain > 0)
+        if len(chosen) > DENSE:
+            chosen = chosen[np.argpartition(-gain[chosen], DENSE)[:DENSE]]
+        terms, df = self.several[chosen], df[chosen]
+        place = np.full(len(self.df), -1, np.int16)
+        place[terms] = np.arange(len(terms))
+        slot = place[at]
+        dense = slot >= 0
+        left = np.zeros((n, len(terms)), np.float32)
+        left[query[dense], slot[dense]] = w[dense]
+        right = np.zeros((len(terms), self.m), np.float32)
+        posting = _ranges(self.lists[terms].astype(np.int64), df)
+        right.reshape(-1)[np.repeat(np.arange(len(terms)) * self.m, df)
+                          + self.doc[posting]] = self.weight[posting]
+        score = left @ right
+        self._add_rare(score, at[~dense], w[~dense], query[~dense])
+        return score
+
+    def _add_rare(self, score: np.ndarray, at: np.ndarray, w: np.ndarray,
+                  query: np.ndarray) -> None:
+        """Adds the products over the terms ``at``, ``w`` of ``query``, about
+        AT_ONCE postings at a time, whole queries."""
+        n, lists = self.df[at], self.lists[at]
+        upto = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
         edge = np.searchsorted(query, np.arange(len(score) + 1))
         first = 0
         while first < len(score):
@@ -230,7 +267,9 @@ class BlockMaxIndex:
                                                     "right")) - 1)
             own = slice(edge[first], edge[to])
             if edge[to] > edge[first]:
-                place = _ranges(self.lists[at[own]].astype(np.int64), n[own])
+                base = (lists[own] - (upto[own] - upto[edge[first]])).astype(np.int32)
+                place = np.repeat(base, n[own])
+                place += np.arange(len(place), dtype=np.int32)
                 cell = np.repeat((query[own] - first) * self.m, n[own])
                 cell += self.doc.take(place, mode="clip")
                 value = np.repeat(w[own], n[own])
@@ -239,16 +278,25 @@ class BlockMaxIndex:
                                                ).reshape(to - first, self.m)
             first = to
 
-    def _best(self, at: np.ndarray, w: np.ndarray, may: np.ndarray, k: int,
-              table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        table[at] = w
-        cos = np.array([table.take(self.at[a:b], mode="clip") @ self.w[a:b].astype(np.float64)
-                        for a, b in zip(self.start[may].tolist(), self.start[may + 1].tolist())])
-        table[at] = 0
-        n = np.minimum(self.first[may + 1] - self.first[may], k)
-        number, cos = self.member[_ranges(self.first[may], n)], np.repeat(cos, n)
-        best = _ranked(cos, number, k)
-        return number[best], cos[best]
+    def exact(self, queries: Vectors, query: np.ndarray, row: np.ndarray, k: int,
+              table: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Numbers and products in double precision of the rows of each query
+        (``query`` ascending); of equal examples the k first."""
+        at, w, cut = queries
+        n = len(cut) - 1
+        out = [(np.zeros(0, np.int64), np.zeros(0))] * n
+        edge = np.searchsorted(query, np.arange(n + 1)).tolist()
+        begin, end = self.start[row].tolist(), self.start[row + 1].tolist()
+        size = np.minimum(self.first[row + 1] - self.first[row], k)
+        for i in np.unique(query).tolist():
+            own, mine = slice(edge[i], edge[i + 1]), at[cut[i]:cut[i + 1]]
+            table[mine] = w[cut[i]:cut[i + 1]]
+            cos = np.array([table.take(self.at[a:b], mode="clip") @ self.w[a:b]
+                            for a, b in zip(begin[own], end[own])])
+            table[mine] = 0
+            out[i] = (self.member[_ranges(self.first[row[own]], size[own])],
+                      np.repeat(cos, size[own]))
+        return out
 
 
 def _ranked(value: np.ndarray, number: np.ndarray, k: int) -> np.ndarray:
@@ -265,23 +313,62 @@ class Space:
         self.terms, self.number, self.idf = terms, number, idf
         self.known: dict[str, np.ndarray] = {}
         self.table = np.zeros(len(self.terms))
+        # where the hashes begin that share their first bits
+        self.shift = np.uint64(64 - max(len(terms).bit_length(), 1))
+        self.begin = np.searchsorted(self._bits(terms), np.arange((1 << 64 - int(self.shift)) + 1)
+                                     ).astype(np.int32)
+        self.signs: np.ndarray | None = None
+
+    def _bits(self, h: np.ndarray) -> np.ndarray:
+        return ((h.view(np.uint64) ^ np.uint64(1 << 63)) >> self.shift).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Places of the hashes in the terms, -1 if they are none."""
+        out = np.full(len(h), -1, np.int32)
+        bits = self._bits(h)
+        at, end = self.begin[bits], self.begin[bits + 1]
+        left = np.flatnonzero(at < end)
+        at, end, h = at[left], end[left], h[left]
+        while len(left):
+            hit = self.terms[at] == h
+            out[left[hit]] = at[hit]
+            at += 1
+            more = np.flatnonzero(~hit & (at < end))
+            left, at, end, h = left[more], at[more], end[more], h[more]
+        return out
 
     def learn(self, counts: list[Counter]) -> None:
         """Finds the terms of the words that are not remembered."""
         if len(self.known) > KNOWN:
             self.known = {}
-        new = [x for x in dict.fromkeys(x for c in counts for x in c) if x not in self.known]
+        new = list(set().union(*counts).difference(self.known))
         if not new:
             return
-        every, n = term_hashes(new)
-        at = np.minimum(np.searchsorted(self.terms, every), max(len(self.terms) - 1, 0))
-        ok = self.terms[at] == every if len(self.terms) else np.zeros(len(every), bool)
-        end = np.cumsum(n)
-        left = np.concatenate([[0], np.cumsum(ok)])[end].tolist()
-        found = self.number[at[ok]]
-        for x, a, b in zip(new, [0, *left[:-1]], left):
+        h, word = _grams(new)
+        at = self.find(h)
+        key = np.sort(word[at >= 0] * len(self.terms) + self.number[at[at >= 0]])
+        key = key[np.append(True, key[1:] != key[:-1])[:len(key)]]
+        word, found = np.divmod(key, max(len(self.terms), 1))
+        found = found.astype(np.int32)
+        left = np.searchsorted(word, np.arange(len(new) + 1)).tolist()
+        for x, a, b in zip(new, left[:-1], left[1:]):
             self.known[x] = found[a:b]
 
+    def projected(self, vectors: Vectors) -> np.ndarray:
+        """Sums of the weights of the frequent terms, each with the signs that its
+        hash gives; of unit length. Like vectors have like ones."""
+        if self.signs is None:
+            h = np.empty(len(self.terms), np.int64)
+            h[self.number] = self.terms
+            bits = np.unpackbits(mix(h[:FREQUENT].view(np.uint64)).view(np.uint8))
+            self.signs = bits.reshape(-1, WIDTH).astype(np.float32) * 2 - 1
+        at, w, cut = vectors
+        query = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
+        left = np.zeros((len(cut) - 1, len(self.signs)), np.float32)
+        own = at < len(self.signs)
+        left[query[own], at[own]] = w[own]
+        return _unit(left @ self.signs)
+
     def vectors(self, counts: list[Counter]) -> Vectors:
         """Vectors of unit length of texts with these words: the distinct known
         terms and their weights. The words must be learnt."""
@@ -299,6 +386,27 @@ class Space:
                 np.searchsorted(doc, np.arange(len(counts) + 1)))
 
 
+def _unit(rows: np.ndarray) -> np.ndarray:
+    return rows / np.maximum(np.sqrt((rows * rows).sum(axis=1, keepdims=True)), 1e-9)
+
+
+def _grouped(rows: np.ndarray) -> np.ndarray:
+    """Group of each unit vector by k-means, begun with vectors evenly spaced;
+    like groups have numbers next to each other."""
+    centre = rows[np.linspace(0, len(rows) - 1, min(GROUPS, len(rows))).astype(int)]
+    for _ in range(12):
+        group = (rows @ centre.T).argmax(axis=1)
+        total = np.zeros_like(centre)
+        np.add.at(total, group, rows)
+        centre = np.where((total * total).sum(axis=1, keepdims=True) > 0, _unit(total), centre)
+    chain = [0]
+    while len(chain) < len(centre):
+        near = centre @ centre[chain[-1]]
+        near[chain] = -np.inf
+        chain.append(int(near.argmax()))
+    return (rows @ centre[chain].T).argmax(axis=1)
+
+
 def _read_arrays(folder: str, name: str) -> dict[str, np.ndarray]:
     files, place = open_folder(folder)
     with files.open_input_stream(f"{place}/{name}") as f:
@@ -322,9 +430,10 @@ class Model:
     """Where the shards lie, and what turns neighbours into a score. A small
     object: shards are read by the workers that score."""
 
-    def __init__(self, folder: str, terms: str | None, shards: list[str], ids: dict[int, str],
-                 weight: np.ndarray, prior: float):
+    def __init__(self, folder: str, terms: str | None, shards: list[str], centres: np.ndarray,
+                 ids: dict[int, str], weight: np.ndarray, prior: float):
         self.folder, self.terms, self.shards, self.ids = folder, terms, shards, ids
+        self.centres = centres
         self.weight, self.prior, self.curve = weight, prior, (1.0, 0.0)
         self.space: Space | None = None
         self.held: dict[str, tuple[np.ndarray, BlockMaxIndex]] = {}
@@ -350,32 +459,67 @@ class Model:
             return [(np.zeros(0, np.int64), np.zeros(0))] * len(values)
         self.space = self.space or Space(**_read_arrays(self.folder, self.terms))
         more = k + (leave is not None)
-        # shards that are not kept are read once for all texts
-        best, step = [], TEXTS_AT_ONCE if len(self.shards) <= HELD else max(len(values), 1)
-        for at in range(0, len(values), step):
-            queries = []
-            for first in range(at, min(at + step, len(values)), TEXTS_AT_ONCE):
-                counts = [Counter(words(t)) for t in values[first:first + TEXTS_AT_ONCE]]
-                self.space.learn(counts)
-                queries.append(self.space.vectors(counts))
-            best += self._nearest(queries, more)
+        n, queries, near = len(values), [], []
+        for first in range(0, n, TEXTS_AT_ONCE):
+            counts = [Counter(words(t)) for t in values[first:first + TEXTS_AT_ONCE]]
+            self.space.learn(counts)
+            queries.append(self.space.vectors(counts))
+            near.append(self.space.projected(queries[-1]) @ self.centres.T)
+        # texts that are like the same shard are searched together
+        near = np.concatenate([np.zeros((0, len(self.shards)), np.float32), *near])
+        order = np.argsort(near.argmax(axis=1), kind="stable")
+        at, w = (np.concatenate([np.zeros(0, kind), *(q[i] for q in queries)])
+                 for i, kind in enumerate((np.int32, np.float64)))
+        size = np.concatenate([np.zeros(0, np.int64), *(np.diff(q[2]) for q in queries)])
+        start = np.cumsum(size) - size
+        del queries
+        batches = []
+        for first in range(0, n, TEXTS_AT_ONCE):
+            own = order[first:first + TEXTS_AT_ONCE]
+            place = _ranges(start[own], size[own])
+            batches.append((at[place], w[place], np.cumsum([0, *size[own]])))
+        del at, w
+        if len(self.shards) <= HELD:
+            found = [x for i, q in enumerate(batches) for x in self._nearest(
+                [q], more, np.argsort(-near[order[i * TEXTS_AT_ONCE:][:TEXTS_AT_ONCE]].sum(axis=0)))]
+        else:  # shards that are not kept are read twice for all texts
+            found = self._nearest(batches, more, np.arange(len(self.shards)))
+        best = [None] * n
+        for i, x in zip(order.tolist(), found):
+            best[i] = x
         if leave is not None:
             best = [(n[n != no][:k], c[n != no][:k]) for (n, c), no in zip(best, leave)]
         return [(n, np.minimum(c, 1.0)) for n, c in best]
 
-    def _nearest(self, queries: list[Vectors], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        best = [[(np.zeros(0, np.int64), np.zeros(0))] * (len(q[2]) - 1) for q in queries]
-        for name in self.shards:
-            numbers, index = self._shard(name)
-            for own, q in zip(best, queries):
-                floor = np.array([c[-1] if len(c) == k else 0.0 for _, c in own])
-                for i, (near, cos) in enumerate(index.search_all(q, k, self.space.table, floor)):
-                    if len(near):
-                        number = np.concatenate([own[i][0], numbers[near]])
-                        cos = np.concatenate([own[i][1], cos])
-                        first = _ranked(cos, number, k)
-                        own[i] = number[first], cos[first]
-        return [x for own in best for x in own]
+    def _nearest(self, batches: list[Vectors], k: int,
+                 shards: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        best = [np.zeros((len(q[2]) - 1, k), np.float32) for q in batches]
+        near: list[list] = [[] for _ in batches]
+        for s in shards.tolist():
+            index = self._shard(self.shards[s])[1]
+            for own, q, high in zip(near, batches, best):
+                own.append((s, *index.candidates(q, high)))
+        found = [[[] for _ in range(len(q[2]) - 1)] for q in batches]
+        for pos, s in enumerate(shards.tolist()):
+            numbers, index = self._shard(self.shards[s])
+            for own, q, high, out in zip(near, batches, best, found):
+                query, row, score = own[pos][1:]
+                still = score >= high.min(axis=1)[query] * (1 - index.slack)
+                if still.any():
+                    for i, (place, cos) in enumerate(index.exact(q, query[still], row[still], k,
+                                                                 self.space.table)):
+                        if len(place):
+                            out[i].append((numbers[place], cos))
+        return [self._merged(x, k) for out in found for x in out]
+
+    @staticmethod
+    def _merged(parts: list[tuple[np.ndarray, np.ndarray]],
+                k: int) -> tuple[np.ndarray, np.ndarray]:
+        if not parts:
+            return np.zeros(0, np.int64), np.zeros(0)
+        number, cos = (np.concatenate(x) for x in zip(*parts))
+        top = _ranked(cos, number, k)
+        return number[top], cos[top]
 
     def raw(self, number: np.ndarray, cos: np.ndarray) -> float:
         """Share of the toxic votes."""
@@ -484,7 +628,8 @@ def _write_terms(folder: str):
 
 
 def _write_shard(folder: str, terms: str):
-    """Writes the vectors of the examples (no, text) of one shard; gives its name."""
+    """Writes the vectors of the examples (no, text) of one shard; gives its name
+    and the mean of their projections."""
     def run(rows: pa.Table) -> pa.Table:
         space, found = Space(**_read_arrays(folder, terms)), []
         for no, text in zip(rows.column("no").to_pylist(), rows.column("text").to_pylist()):
@@ -502,10 +647,38 @@ def _write_shard(folder: str, terms: str):
             "cut": np.cumsum([0, *(len(x[1]) for x in found)]),
             "at": np.concatenate([x[1] for x in found]),
             "w": np.concatenate([x[2] for x in found])})
-        return pa.table({"shard": rows.column("shard")[:1], "name": pa.array([name])})
+        flat = (np.concatenate([x[1] for x in found]), np.concatenate([x[2] for x in found]),
+                np.cumsum([0, *(len(x[1]) for x in found)]))
+        centre = _unit(space.projected(flat).sum(axis=0, keepdims=True))[0]
+        return pa.table({"shard": rows.column("shard")[:1], "name": pa.array([name]),
+                         "centre": pa.array([centre.tolist()], pa.list_(pa.float32()))})
+    return run
+
+
+def _project(folder: str, terms: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        space = Space(**_read_arrays(folder, terms))
+        for batch in chunks(batches, "text", SLICE):
+            counts = [Counter(words(t)) for t in texts(batch)]
+            space.learn(counts)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("no"), batch.column("size"),
+                 pa.array([x.tobytes() for x in space.projected(space.vectors(counts))])],
+                names=["no", "size", "place"])
     return run
 
 
+def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Groups all examples by their projections, WIDTH numbers each."""
+    rows = sorted(x for b in batches for x in zip(*(b.column(c).to_pylist()
+                                                    for c in ("no", "size", "place"))))
+    if rows:
+        place = np.frombuffer(b"".join(x[2] for x in rows), np.float32).reshape(-1, WIDTH)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([x[0] for x in rows]), pa.array([x[1] for x in rows]),
+             pa.array(_grouped(place))], names=["no", "size", "grp"])
+
+
 def _idf(size0: int, size1: int):
     """Weight of a term that n0 and n1 examples of the labels hold."""
     n, df = size0 + size1, F.col("n0") + F.col("n1")
@@ -527,15 +700,6 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
                   .groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = size.get(0, 0), size.get(1, 0)
     weight = np.array([population.get(c, 0) / max(size.get(c, 0), 1) for c in (0, 1)])
-    # one number for each of the 2 * per_class examples at most
-    size_of = F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")
-    shard, full, held = [], 0, 0
-    for no, count in sorted(sample.select("no", size_of).collect()):
-        if held and held + count > SHARD:
-            full, held = full + 1, 0
-        held += count
-        shard.append((no, full))
-    where = spark.createDataFrame(shard, "no long, shard int")
     folder = scratch_path(spark, "toxic_index")
     weighed = document_frequency(sample).select("h", _idf(n0, n1).alias("idf"),
                                                  (F.col("n0") + F.col("n1")).alias("df"))
@@ -543,15 +707,32 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     written = saved(weighed.repartition(1).mapInArrow(_write_terms(folder), "name string"),
                     "toxic_terms").collect()
     terms = written[0].name if written else None
-    names = []
+    names, centres = [], np.zeros((0, WIDTH), np.float32)
     if terms:
+        size_of = F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")
+        # WIDTH numbers for each of the 2 * per_class examples at most in the task that groups
+        # them; two numbers for each on the driver
+        placed = saved(sample.select("no", "text", size_of)
+                       .mapInArrow(_project(folder, terms), "no long, size int, place binary")
+                       .repartition(1).mapInArrow(_group, "no long, size long, grp long"),
+                       "toxic_groups").collect()
+        shard, full, held = [], 0, 0
+        for r in sorted(placed, key=lambda r: (r.grp, r.no)):
+            if held and held + r.size > SHARD:
+                full, held = full + 1, 0
+            held += r.size
+            shard.append((r.no, full))
+        where = spark.createDataFrame(shard, "no long, shard int")
         names = saved(sample.join(F.broadcast(where), "no").select("shard", "no", "text")
                       .groupBy("shard").applyInArrow(_write_shard(folder, terms),
-                                                     "shard int, name string"), "toxic_shards")
-        names = [r.name for r in sorted(names.collect())]
+                                                     "shard int, name string, centre array<float>"),
+                      "toxic_shards")
+        names = sorted(names.collect())
+        centres = np.array([r.centre for r in names], np.float32)
+        names = [r.name for r in names]
     prior = float((weight[1] * n1 + 0.1) / ((weight * [n0, n1]).sum() + 1.0))
     ids = {r.no: str(r.doc_id) for r in sample.select("no", "doc_id").collect()}
-    model = Model(folder, terms, names, ids, weight, prior)
+    model = Model(folder, terms, names, centres, ids, weight, prior)
     model.curve = _curve(sample, model)
     return model
 

@@ -77,6 +77,43 @@ def test_frequent_terms_have_small_numbers(spark, docs_of):
     assert numbers("shared").max() < numbers("other").min() and numbers("other").max() < own.min()
 
 
+def test_index_holds_postings_alone():
+    """Nothing but the vectors, the postings and some numbers a term stays in memory."""
+    rng = np.random.default_rng(3)
+    vectors = []
+    for _ in range(300):
+        at = np.sort(rng.choice(2000, 300, replace=False)).astype(np.int32)
+        vectors.append((at, np.full(300, 300 ** -0.5)))
+    index = toxicity.BlockMaxIndex(vectors, 2000)
+    size = sum(x.nbytes for x in vars(index).values() if isinstance(x, np.ndarray))
+    assert size < 300 * 300 * 16 + 2000 * 100
+
+
+def test_like_examples_share_shards(spark, docs_of, monkeypatch):
+    """Examples are grouped by what they are like, not by their numbers."""
+    monkeypatch.setattr(toxicity, "SHARD", 1500)
+    kinds = ["the quiet river runs along these hills", "viele kleine Haeuser stehen dort"]
+    rows = [(i, f"{kinds[i % 2]} {i}") for i in range(120)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs_of(rows), labels)
+    model.neighbours(["the river"])
+    mixed = 0
+    for name in model.shards:
+        own = {int(model.ids[no]) % 2 for no in model._shard(name)[0].tolist()}
+        mixed += len(own) > 1
+    assert len(model.shards) >= 3 and mixed <= 1
+
+
+def test_find_is_a_search():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 5, 3000):
+        terms = np.sort(rng.integers(-2 ** 63, 2 ** 63 - 1, n))
+        space = toxicity.Space(terms, np.arange(n, dtype=np.int32), np.ones(n))
+        h = np.concatenate([terms, terms + 1, rng.integers(-2 ** 63, 2 ** 63 - 1, 500)])
+        place = {x: i for i, x in enumerate(terms.tolist())}
+        assert space.find(h).tolist() == [place.get(x, -1) for x in h.tolist()]
+
+
 def test_held_out_accuracy(spark):
     got = (QUERIES["op3_toxicity"](spark, SF).join(table(spark, SF, "labels"), "doc_id")
            .where("held_out").groupBy("toxic", "predicted").count().collect())
