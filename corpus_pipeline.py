@@ -26,10 +26,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents whose language is 'und': null, or without a letter."""
+    """Rejects documents whose language is 'und': null, or without a letter. The
+    network's language and probability reject nothing, so texts with a letter stay
+    even if there is no row to learn a language from."""
     held = fold(F.col("doc_id"), 3) == 1
     net = langid.train(table(spark, sf_dir, "documents").where(~held)
                        .select("doc_id", "text", "lang"))
+    if net is None:
+        return langid.with_letter(docs)
     marked = langid.predict(docs, net, ("_language", "_probability"))
     return marked.where(F.col("_language") != langid.UNKNOWN).select(*docs.columns)
 

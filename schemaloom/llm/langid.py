@@ -203,3 +203,12 @@ def predict(docs: DataFrame, net: ByteCNN | None,
     own = docs.select(*names)
     schema = ", ".join(f"`{c}` {t}" for c, t in own.dtypes)
     return own.mapInArrow(run, f"{schema}, `{into[0]}` string, `{into[1]}` double")
+
+
+def with_letter(docs: DataFrame) -> DataFrame:
+    """Rows whose text has a letter: those that a net gives a language."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text", SLICE):
+            yield batch.filter(pa.array([bool(_LETTER.search(t)) for t in texts(batch)],
+                                        pa.bool_()))
+    return docs.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes))

@@ -57,3 +57,15 @@ def test_rows_without_or_with_shared_id(spark, docs_of):
     out = P.drop_near_duplicates(spark, docs_of(rows), SF)
     assert sorted((r.doc_id or 0, r.text) for r in out.collect()) == [
         (0, "one text"), (9, "other"), (9, "third")]
+
+
+def test_no_language_to_learn(spark, tmp_path):
+    """Without a usable lang, documents with a letter stay and only the others go."""
+    docs = table(spark, SF, "documents").withColumn("lang", F.lit(None).cast("string"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").unionByName(
+        docs.limit(1).withColumn("text", F.lit("12 !")))
+    out = P.keep_languages(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    want = docs.where(F.col("text").rlike(r"\p{L}")).count()
+    assert 0 < out.count() == want < docs.count()
