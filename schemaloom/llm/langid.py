@@ -159,14 +159,16 @@ class ByteCNN:
 def train(labelled: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> ByteCNN | None:
     """Fit on rows with text and lang (null lang and texts without a letter
     teach nothing); None if there are none. At most ``per_lang`` rows of each
-    language, smallest hash of the id first; from each the bytes of WINDOW
-    characters at a place that the hash gives."""
+    language, smallest hash of the id and the part first; the part is the bytes of
+    WINDOW characters at a place that a hash of the id gives. Rows without id or of
+    one id differ by their parts; rows equal in both count once."""
     place = F.pmod(F.xxhash64("doc_id", F.lit(1)),
                    F.greatest(F.length("text") - WINDOW + 1, F.lit(1))) + 1
     usable = (labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
               .select("lang", "doc_id", F.substring("text", place.cast("int"), F.lit(WINDOW))
                       .alias("part")))
-    rows = (thinned(usable, "lang", F.xxhash64("doc_id"), per_lang)
+    rows = (thinned(usable, "lang", F.xxhash64("doc_id", "part"), per_lang)
+            .select("lang", "_h", "part").distinct()
             .withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "part")))
             .where(F.col("n") <= per_lang).collect())
     rows.sort(key=lambda r: (r.lang, r.n))

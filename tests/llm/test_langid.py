@@ -57,3 +57,19 @@ def test_nothing_to_learn(spark, docs_of, odd_rows):
     docs = docs_of(odd_rows).withColumn("lang", F.lit(None).cast("string"))
     assert langid.train(docs) is None
     assert {r.lang_pred for r in langid.predict(docs, None).collect()} == {"und"}
+
+
+def test_rows_without_id_are_thinned(spark, monkeypatch):
+    """Rows without id, or of one id, are neither all kept nor all dropped."""
+    seen = {}
+    monkeypatch.setattr(langid.ByteCNN, "train", lambda self, data, lang: seen.update(
+        data={bytes(x).rstrip(b"\0").decode() for x in data}, n=len(data)))
+    rows = [(None if i % 3 else i, f"text number {i}", "en") for i in range(900)]
+    rows += [(7, f"shared {i}", "de") for i in range(900)] + [(None, "a copy", "fr")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langid.train(docs, per_lang=100)
+    kept = [x for x in seen["data"] if x.startswith("text")]
+    own = sum(int(x.split()[-1]) % 3 == 0 for x in kept)
+    assert len(kept) == 100 and 10 < own < 60
+    assert sum(x.startswith("shared") for x in seen["data"]) == 100
+    assert seen["n"] == 201
