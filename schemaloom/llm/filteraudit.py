@@ -76,6 +76,8 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     A label table counted to be small is broadcast; else the join shuffles,
     with each id spread over SALTS tasks by the text, rows without id apart.
+    It has to be told to: by the size of its file, which holds an id in a few
+    bytes and once for all salts, a table of millions would pass for small.
     """
     of_id = (labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id"))
              .agg(F.max(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("_good"),
@@ -88,7 +90,7 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
         salt = F.pmod(F.xxhash64("_key"), F.lit(SALTS)).cast("int")
         spread = of_id.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
         named = docs.where(F.col("_id").isNotNull()).withColumn("_salt", salt)
-        out = (named.join(spread, ["_id", "_salt"], "left").drop("_salt")
+        out = (named.join(spread.hint("merge"), ["_id", "_salt"], "left").drop("_salt")
                .unionByName(docs.where(F.col("_id").isNull()), allowMissingColumns=True))
     return out.fillna(0, ["_good", "_toxic"])
 

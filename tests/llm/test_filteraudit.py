@@ -91,3 +91,17 @@ def test_large_group_of_copies(spark):
 
 def test_empty(spark):
     assert filteraudit.audit(*frames(spark, [], [])).collect() == []
+
+
+def test_many_labels_are_not_broadcast(spark, monkeypatch):
+    """Labels counted as too many for a broadcast are shuffled, however small the
+    planner takes their file to be."""
+    monkeypatch.setattr(filteraudit, "BROADCAST_ROWS", 2)
+    docs = spark.createDataFrame([(i, f"k{i}".encode()) for i in (1, 2, 3, 4, None)],
+                                 "_id long, _key binary")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (3, 1, 1), (9, 1, 1)],
+                                   "doc_id long, quality int, toxic int")
+    found = filteraudit.labelled(docs, labels)
+    got = {r["_id"]: (r["_good"], r["_toxic"]) for r in found.collect()}
+    assert got == {1: (1, 0), 2: (0, 1), 3: (1, 1), 4: (0, 0), None: (0, 0)}
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
