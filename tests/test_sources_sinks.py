@@ -5,6 +5,7 @@ import os
 import uuid
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -262,3 +263,42 @@ def test_alerts_replace_themselves(spark, tmp_path):
     for run_id in ("a", "a", "b"):
         W.write_alerts(alerts, str(tmp_path / "out"), run_id)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def _odd_tree(root):
+    for name in ("db=a/t1.hql", "db=a/b c/é%20.hql", "db=a/x/y/z.hql", "t#1.hql", ".hid/t.hql", "_h/t.hql",
+                 "_k=1/t.hql", "_metadata/t.hql", "db=a/.t.hql", "db=a/_t.hql", "db=a/_t=1.hql", "a.hqlx",
+                 "db=a/_metadata.hql", "db=a/t.hql._COPYING_", "b/none.hql", "T.HQL"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text("" if "none" in name else name)
+    (root / "empty").mkdir()
+    os.symlink(root / "db=a" / "x", root / "linked")
+    os.symlink(root / "gone", root / "broken.hql")
+
+
+@pytest.mark.parametrize("at_once", [0, 2, 1000])
+def test_tasks_list_what_spark_lists(spark, tmp_path, monkeypatch, at_once):
+    monkeypatch.setattr(S, "FOLDERS_AT_ONCE", at_once)
+    root = tmp_path / "tree"
+    _odd_tree(root)
+    for top, glob in ((root, "*.hql"), (root, "{t?,[a-z]}.hql"), (f"{root}/db=*", "*"), (root / "t#1.hql", "*"),
+                      (f"file:{root}/", "t1.hql"), (root / "empty", "*")):
+        want = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
+                .option("pathGlobFilter", glob).load(str(top)).select("path", "length", "modificationTime"))
+        got = S.list_files(spark, str(top), glob)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())), (top, glob)
+    with pytest.raises(AnalysisException):
+        S.list_files(spark, str(root / "gone"), "*")
+
+
+def test_the_driver_holds_no_list_of_files(spark, tmp_path):
+    """Neither of the tree nor of the manifest's paths: no file of the tree is an
+    input of the plan, and the manifest, however small, is not broadcast."""
+    _odd_tree(tmp_path / "tree")
+    files = S.DefinitionFiles(spark, str(tmp_path / "tree"), str(tmp_path / "manifest"))
+    files.taken(files.pending(), "one")
+    (tmp_path / "tree" / "new.hql").write_text("new")
+    pending = files.pending()
+    assert [r.size for r in pending.collect()] == [3]
+    assert not [p for p in pending.inputFiles() if "/tree/" in p]
+    assert "Broadcast" not in pending._jdf.queryExecution().executedPlan().toString()
