@@ -114,3 +114,32 @@ def test_no_task_writes_a_quarter_of_the_table(spark, monkeypatch, tmp_path):
     for folder in ("in", "out/data"):
         files = spark.read.parquet(str(tmp_path / "packed" / folder)).groupBy(F.input_file_name()).count()
         assert max(r["count"] for r in files.collect()) <= rows / 10
+
+
+def _base_tables(spark, folder):
+    """Two tables of one database with three versions each, and two suppliers."""
+    date = "timestamp_ntz'2020-01-01' + make_dt_interval(o) AS o_orderdate"
+    rows = {
+        "customer": "SELECT id AS c_custkey, 3 AS c_nationkey, 'X' AS c_mktsegment FROM range(1, 3)",
+        "orders": f"SELECT id AS o_orderkey, id % 2 + 1 AS o_custkey, 'F' AS o_orderstatus, {date}, "
+                  "'1-URGENT' AS o_orderpriority FROM (SELECT id, int(id) AS o FROM range(1, 7))",
+        "lineitem": "SELECT id AS l_orderkey, id AS l_partkey, id AS l_suppkey, 1 AS l_linenumber, 1 AS l_quantity, "
+                    "1.0 AS l_extendedprice, 0.0 AS l_discount, 0.0 AS l_tax, date'2020-01-01' AS l_shipdate, "
+                    "'A' AS l_returnflag, 'O' AS l_linestatus FROM range(1, 7)",
+        "supplier": "SELECT id AS s_suppkey, 3 AS s_nationkey, concat('S', id) AS s_name FROM range(1, 3)"}
+    for name, query in rows.items():
+        spark.sql(query).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_alerts_written_again_are_not_computed_again(spark, tmp_path, monkeypatch):
+    read, write = [], IO.W.write_alerts
+
+    def seen(alerts, path, run_id):
+        read.append({f.split("/")[-2].rsplit("-", 1)[0] for f in alerts.inputFiles()})
+        write(alerts, path, run_id)
+    monkeypatch.setattr(IO.W, "write_alerts", seen)
+    got = IO.alert_outbox(spark, _base_tables(spark, tmp_path)).collect()
+    assert read == [{"told"}] * 2  # neither texts nor recipients
+    assert sorted((r.db, r.tbl, r.v, r.recipient) for r in got) == [
+        ("db_3", t, v, s) for t in ("t_1", "t_2") for v in (2, 3) for s in ("S1", "S2")]
